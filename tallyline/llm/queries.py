@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from .common import table
 from .exact_dedup import exact_groups
 from .packing import pack
+from .secrets import scan_secrets
 from .simhash import near_duplicates
 from .token_counts import token_counts
+from .toxicity import fit_toxicity, held_out, score_toxicity
 from .url_filter import filter_urls
 
 # The rules of the URL contract (host, path, verdict).
@@ -23,6 +25,12 @@ URL_RULES = [
 ]
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -41,15 +49,22 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), model_path=public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path=public_tokenizers.path("word_bpe_49k.json"), end_id=2, length=4096)
 
 
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
     "op3_simhash": op3_simhash,
     "op5_url_filter": op5_url_filter,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_token_counts": op7_token_counts,
+    "op9_secret_scan": op9_secret_scan,
     "op10_packing": op10_packing,
 }
 

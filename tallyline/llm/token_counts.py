@@ -21,7 +21,7 @@ from .common import text_of
 
 SPACE = "▁"
 #: Merged pre-tokens that one Python worker remembers; the memory is emptied beyond it, results don't depend on it.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 
 
 class PreTokenCosts(dict):
