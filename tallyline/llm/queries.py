@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .embedding_dedup import embedding_links
 from .exact_dedup import exact_groups
 from .packing import pack
 from .secrets import scan_secrets
@@ -35,6 +36,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_links(table(spark, sf_dir, "embeddings"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return filter_urls(table(spark, sf_dir, "pages"), rules)
@@ -61,6 +66,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_simhash": op3_simhash,
+    "op4_embedding_dedup": op4_embedding_dedup,
     "op5_url_filter": op5_url_filter,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_token_counts": op7_token_counts,
