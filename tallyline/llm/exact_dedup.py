@@ -86,10 +86,17 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_exact_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, all columns; see ``exact_groups``.
+    """The rows of ``docs`` that stay, all columns: one of each group of equal texts; see ``exact_groups``.
 
-    Assumes unique ids (rows that share the id of a dropped row go with it, but one row of each text stays as long as
-    ids are unique). Only the ids of dropped rows are joined, so texts move only if those ids are too many to broadcast.
+    Only ids and hashes of rows that go are joined. Rows repeated with their id are cut to one apart from the others;
+    where there are none, that part is empty.
     """
-    dropped = exact_groups(docs, id_col=id_col, text_col=text_col).where("NOT kept").select(F.col(id_col).alias("dropped_id")).distinct()
-    return docs.join(dropped, F.col(id_col) == F.col("dropped_id"), "left_anti")
+    groups = exact_groups(docs, id_col=id_col, text_col=text_col, hash_all=True).where("group_size > 1")
+    told = cut_lineage(groups.groupBy(F.col(id_col).alias("told_id"), F.col("full_hash").alias("told_hash")).agg(F.max("kept").alias("stays"), F.count("*").alias("rows")).where("NOT stays OR rows > 1"))
+    match = F.col(id_col).eqNullSafe(F.col("told_id")) & (F.col("__hash") == F.col("told_hash"))
+    left = docs.withColumn("__hash", F.sha2(normalised(text_of(text_col)), 256))
+    once = left.join(told.select("told_id", "told_hash"), match, "left_anti").drop("__hash")
+    repeated = told.where("stays")
+    if repeated.isEmpty():
+        return once
+    return once.unionByName(left.join(repeated.select("told_id", "told_hash"), match, "left_semi").dropDuplicates([id_col, "__hash"]).drop("__hash"))

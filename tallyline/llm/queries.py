@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .embedding_dedup import embedding_links
 from .exact_dedup import exact_groups
+from .html_extract import extract_text, fit_extractor
 from .packing import pack
 from .secrets import scan_secrets
 from .simhash import near_duplicates
@@ -26,6 +27,11 @@ URL_RULES = [
 ]
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return extract_text(pages, fit_extractor(pages))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
@@ -64,6 +70,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html_extract": op1_html_extract,
     "op2_toxicity": op2_toxicity,
     "op3_simhash": op3_simhash,
     "op4_embedding_dedup": op4_embedding_dedup,
