@@ -75,7 +75,8 @@ def marginal_values(rosters: DataFrame, candidates: DataFrame, projections: Data
     mine = weekly_points(rosters, projections, roster=[roster], weeks=weeks)
     held = mine.select(roster, "week", "position", F.col("points").cast("decimal(18,4)").alias("points"))
     arrays = [F.reverse(F.array_sort(F.collect_list(F.when(F.col("position") == p, F.col("points"))))).alias(f"of_{p}") for p in starters]
-    frame = rosters.select(roster).distinct().withColumn("week", F.explode(F.sequence(F.lit(1), F.lit(weeks))))
+    every = rosters.select(roster).unionByName(candidates.select(roster)).distinct()  # also rosters without an entity yet
+    frame = every.withColumn("week", F.explode(F.sequence(F.lit(1), F.lit(weeks))))
     empty = F.array().cast("array<decimal(18,4)>")
     base = frame.join(held.groupBy(roster, "week").agg(*arrays), [roster, "week"], "left").select(roster, "week", *[F.coalesce(f"of_{p}", empty).alias(f"of_{p}") for p in starters])
     base = base.withColumn("now", _score({p: F.col(f"of_{p}") for p in starters}, starters, flex))

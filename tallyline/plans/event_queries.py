@@ -154,14 +154,14 @@ def playoff_conflicts(spark, sf_dir):
     return schedule.conflicts(games, every.where("unit % 5 = 0"), users.where("entity % 5 != 0").select("entity", F.col("entity").alias("unit")), week="week", weeks=(15, 17))
 
 
-FACTORS = f"""{EVENTS}, al AS (SELECT entity AS opponent, position AS segment, {s_mean("points")} AS points FROM e GROUP BY ALL), lg AS (SELECT segment, {s_mean("points")} AS league FROM al GROUP BY segment),
+FACTORS = f"""{EVENTS}, al AS (SELECT entity AS opponent, position AS segment, {s_total("points")} AS points FROM e GROUP BY ALL), lg AS (SELECT segment, {s_mean("points")} AS league FROM al GROUP BY segment),
     sc AS (SELECT DISTINCT entity AS unit, (entity * 7 + week * 3) % 160 AS opponent, week FROM e WHERE week <= 17),
     fa AS (SELECT unit, lg.segment, week, coalesce(points / nullif(league, 0), 1) AS factor FROM sc CROSS JOIN lg LEFT JOIN al ON al.opponent = sc.opponent AND al.segment = lg.segment)"""
 
 
 def _factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir)
-    allowed = e.groupBy(F.col("entity").alias("opponent"), F.col("position").alias("segment")).agg(mean("points").alias("points"))
+    allowed = e.groupBy(F.col("entity").alias("opponent"), F.col("position").alias("segment")).agg(total("points").alias("points"))
     games = e.select(F.col("entity").alias("unit"), ((F.col("entity") * 7 + F.col("week") * 3) % 160).alias("opponent"), "week").distinct()
     return schedule.matchup_factor(games, allowed, segment="segment", measure="points", last_week=17)
 
@@ -195,12 +195,12 @@ def weekly_pivot(spark, sf_dir):
     return lineup.week_table(_ppw(spark, sf_dir), weeks=list(range(1, 18)), key=["entity", "segment"])
 
 
-# Rosters over events: a user's five types are five entities of a roster with positions QB, RB, WR, TE; rosters are users by tens.
+# Rosters over events: a user's five types are five entities of a roster with positions QB, RB, WR, TE; a user belongs to one of ten rosters.
 STARTERS = {"QB": 1, "RB": 2, "WR": 3, "TE": 1}
 POSITION = "CASE position WHEN 'view' THEN 'WR' WHEN 'click' THEN 'RB' WHEN 'error' THEN 'QB' WHEN 'signup' THEN 'TE' ELSE 'WR' END"
 ROSTER = f"""{EVENTS}, pj AS (SELECT entity || position AS entity, {POSITION} AS position, week, {s_total("points")} AS points FROM e WHERE week <= 14 GROUP BY ALL),
     kn AS (SELECT entity || position AS entity, min({POSITION}) AS position, CAST(round({s_total("points")} / 30, 2) AS DOUBLE) AS base, CAST(min(entity) % 16 AS INTEGER) AS bye, min(e.entity) AS usr FROM e GROUP BY 1),
-    wp AS (SELECT usr % 12 AS roster, usr, kn.entity, kn.position, CAST(g AS INTEGER) AS week, coalesce(pj.points, base) AS points FROM kn CROSS JOIN range(1, 15) t(g)
+    wp AS (SELECT usr % 10 AS roster, usr, kn.entity, kn.position, CAST(g AS INTEGER) AS week, coalesce(pj.points, base) AS points FROM kn CROSS JOIN range(1, 15) t(g)
         LEFT JOIN pj ON pj.entity = kn.entity AND pj.week = g WHERE bye <> g),
     pl AS (SELECT *, row_number() OVER (PARTITION BY roster, week, position ORDER BY points DESC, entity) AS place FROM wp WHERE usr % 3 > 0),
     st AS (SELECT *, place <= CASE position WHEN 'QB' THEN 1 WHEN 'RB' THEN 2 WHEN 'WR' THEN 3 ELSE 1 END AS starts FROM pl),
@@ -217,7 +217,7 @@ def _rosters(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Da
     known = e.groupBy(name.alias("name"), position.alias("place")).agg(base.alias("base"), (F.min("entity") % 16).cast("int").alias("bye"), F.min("entity").alias("usr"))
     values = e.where("week <= 14").groupBy(name.alias("name"), "week").agg(total("points").alias("points"))
     projections = known.join(values, "name", "left").select(F.col("name").alias("entity"), F.col("place").alias("position"), "week", "points", "base", "bye")
-    seats = known.select((F.col("usr") % 12).alias("roster"), F.col("name").alias("entity"), "usr")
+    seats = known.select((F.col("usr") % 10).alias("roster"), F.col("name").alias("entity"), "usr")
     return projections, seats.where("usr % 3 > 0").drop("usr"), seats.where("usr % 3 = 0").drop("usr")
 
 
