@@ -9,10 +9,12 @@ the last is full. No document, id or piece is ever shuffled.
 from __future__ import annotations
 
 import re
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -25,10 +27,19 @@ from .common import shared_dir, text_of
 
 #: Chunks whose ids one Python worker remembers; the memory is emptied beyond it, results don't depend on it.
 REMEMBERED = 600_000
-#: Texts that a task holds as ids before it hands them on, in bytes of text.
-HELD_BYTES = 8 << 20
+#: Texts that a task turns into ids and hands on together, in bytes; one text at least.
+HELD_BYTES = 2 << 20
 #: A mark after an ASCII letter or digit is a pre-token of its own: its ids follow those of the rest of the chunk.
-ENDED = re.compile(rb"[A-Za-z0-9][,.]$")
+ENDS = (b",", b".")
+#: Lower-case words that are one pre-token and in normal form already.
+LETTERS = re.compile("[a-zß-öø-ÿ]+")
+_SEEN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: The letter that byte-level tokenizers write for each byte: itself where it shows, else from U+0100 on.
+BYTE_LETTERS = {b: chr(b) for b in _SEEN} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _SEEN)}
+
+
+def numbers(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class ChunkIds(dict):
@@ -44,29 +55,43 @@ class ChunkIds(dict):
         probe = "\x0b One\t two\r\n\x0cthree "
         if self.tokenizer.encode(probe, add_special_tokens=False).ids != [i for w in probe.split() for i in self.tokenizer.encode(w, add_special_tokens=False).ids]:
             raise ValueError("this tokenizer keeps white space: texts can't be cut into chunks")
-        for mark in ",.":
-            if self.tokenizer.encode(f"one{mark}", add_special_tokens=False).ids != self.tokenizer.encode(f"one {mark}", add_special_tokens=False).ids:
-                raise ValueError("this tokenizer joins words and marks: chunks can't be cut before a mark")
-
-    def ids_of(self, data: bytes) -> bytes:
-        """Ids of a whole text as little-endian unsigned 32-bit numbers."""
+        for word in ("one", "über", "garçonnière", "straße"):
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+            if np.frombuffer(self._word(word.encode()), dtype="<u4").tolist() != ids:
+                raise ValueError("this tokenizer changes plain words")
+            for mark in ENDS:
+                if self.tokenizer.encode(word + mark.decode(), add_special_tokens=False).ids != ids + self.tokenizer.encode(mark.decode(), add_special_tokens=False).ids:
+                    raise ValueError("this tokenizer joins words and marks: chunks can't be cut before a mark")
+
+    def ids_of(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of whole texts, each as little-endian unsigned 32-bit numbers."""
         # Lower case in front folds more chunks together; not where an added token may stand, which has a case.
-        chunks = (data if b"<|" in data else data.lower()).split()
-        distinct = set(chunks)
-        if not distinct <= self.keys():
-            if len(self) + len(distinct) > REMEMBERED:
-                self.clear()
-            self._learn({c[:-1] if ENDED.search(c) else c for c in distinct if c not in self} | {b",", b"."})
-            for c in distinct:
-                if c not in self:
-                    self[c] = self[c[:-1]] + self[c[-1:]]
-        return b"".join(map(self.__getitem__, chunks))
-
-
-    def _learn(self, chunks: set[bytes]) -> None:
-        new = [c for c in chunks if c not in self]
-        for c, e in zip(new, self.tokenizer.encode_batch_fast([c.decode() for c in new], add_special_tokens=False), strict=True):
-            self[c] = np.array(e.ids, dtype="<u4").tobytes()
+        cut = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        new = set(chain.from_iterable(cut)).difference(self)
+        if len(self) + len(new) > REMEMBERED:
+            self.clear()
+            new = set(chain.from_iterable(cut))
+        self._learn(new)
+        return [b"".join(map(self.__getitem__, chunks)) for chunks in cut]
+
+    def _learn(self, new: set[bytes]) -> None:
+        ended = {c for c in new if c[-1:] in ENDS and c[-2:-1].isalnum()}
+        plain = {c[:-1] for c in ended}.union(new - ended, ENDS).difference(self)
+        rest = []
+        for chunk in plain:
+            word = chunk.decode()
+            if LETTERS.fullmatch(word):
+                self[chunk] = self._word(chunk)
+            else:
+                rest.append(word)
+        for word, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            self[word.encode()] = numbers(e.ids)
+        for c in ended:
+            self[c] = self[c[:-1]] + self[c[-1:]]
+
+    def _word(self, chunk: bytes) -> bytes:
+        """Ids of a word of LETTERS by the tokenizer's model alone: normalising and cutting would leave it as it is."""
+        return numbers([t.id for t in self.tokenizer.model.tokenize(chunk.decode("latin-1").translate(BYTE_LETTERS))])
 
 
 @lru_cache(maxsize=2)
@@ -76,7 +101,7 @@ def chunk_ids(path: str) -> ChunkIds:
 
 def _tokenised(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str, text_col: str, kind: str) -> DataFrame:
     rows = docs.select(F.col(id_col).alias("doc"), F.encode(text_of(text_col), "UTF-8").alias("data"))
-    end = np.array([end_id], dtype="<u4").tobytes()
+    end = numbers([end_id])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, part, before = chunk_ids(tokenizer_path), TaskContext.get().partitionId(), 0
@@ -86,17 +111,17 @@ def _tokenised(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str, t
             return out.astype({"doc": "Int64"}) if kind in ("bigint", "int") else out
 
         for batch in batches:
-            held, size = [], 0
-            for doc, data in zip(batch["doc"].astype(object).where(batch["doc"].notna(), None), batch["data"], strict=True):
-                ids = known.ids_of(bytes(data)) + end
-                held.append((doc, before, len(ids) // 4, ids))
-                before += len(ids) // 4
-                size += len(data)
-                if size > HELD_BYTES:
-                    yield table(held)
-                    held, size = [], 0
-            if held:
+            docs, datas = batch["doc"].astype(object).where(batch["doc"].notna(), None).tolist(), batch["data"].map(bytes).tolist()
+            ends = np.cumsum(list(map(len, datas)))
+            at = 0
+            while at < len(docs):
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + HELD_BYTES)))
+                held = []
+                for doc, ids in zip(docs[at:to], known.ids_of(datas[at:to]), strict=True):
+                    held.append((doc, before, len(ids) // 4 + 1, ids + end))
+                    before += len(ids) // 4 + 1
                 yield table(held)
+                at = to
 
     return rows.mapInPandas(run, f"doc {kind}, before bigint, n bigint, ids binary, part int")
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -22,6 +23,8 @@ from .common import text_of
 SPACE = "▁"
 #: Merged pre-tokens that one Python worker remembers; the memory is emptied beyond it, results don't depend on it.
 REMEMBERED = 800_000
+#: Characters of text that are cut into pre-tokens together; one text at least.
+TOGETHER = 1 << 20
 
 
 class PreTokenCosts(dict):
@@ -51,9 +54,10 @@ class PreTokenCosts(dict):
 
     def learn(self, keys: set[str]) -> None:
         """Afterwards all of ``keys`` are known."""
-        if len(self) + len(keys) > REMEMBERED + len(self.single):
+        new = list(keys.difference(self))
+        if len(self) + len(new) > REMEMBERED + len(self.single):
             self.fresh()
-        new = [k for k in keys if k not in self]
+            new = list(keys.difference(self))
         for key, ids in zip(new, self.model.encode(new, num_threads=1), strict=True):
             self[key] = len(ids) - (2 if key[0] == "\n" else 0)  # without the marks put in front
 
@@ -85,16 +89,16 @@ def costs(path: str) -> PreTokenCosts:
 
 def counts_of(texts: list[str], path: str) -> list[int]:
     """Tokens of each text, as the library counts them without added tokens."""
-    known, out = costs(path), []
-    for text in texts:
-        if not text:
-            out.append(0)
-            continue
-        keys = pre_tokens(text)
-        distinct = set(keys)
-        if not distinct <= known.keys():
-            known.learn(distinct)
-        out.append(sum(map(known.__getitem__, keys)) + text.count("\n"))
+    known, out, at = costs(path), [], 0
+    while at < len(texts):
+        to, size = at, 0
+        while to < len(texts) and (size < TOGETHER or to == at):
+            size += len(texts[to])
+            to += 1
+        keys = [pre_tokens(text) if text else [] for text in texts[at:to]]
+        known.learn(set(chain.from_iterable(keys)))
+        out += [sum(map(known.__getitem__, ks)) + text.count("\n") for ks, text in zip(keys, texts[at:to], strict=True)]
+        at = to
     return out
 
 
