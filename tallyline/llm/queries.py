@@ -14,6 +14,7 @@ from .packing import pack
 from .secrets import scan_secrets
 from .simhash import near_duplicates
 from .token_counts import token_counts
+from .sentencepiece_lattice import encode, piece_table
 from .toxicity import fit_toxicity, held_out, score_toxicity
 from .url_filter import filter_urls
 
@@ -60,6 +61,13 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), model_path=public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_pieces, ids_crc32 (of the ids as decimal text, comma-joined)."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    encoded = encode(table(spark, sf_dir, "documents"), piece_table(spark, model), model_path=model)
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.crc32(F.array_join("ids", ",")).alias("ids_crc32"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
@@ -77,6 +85,7 @@ QUERIES = {
     "op5_url_filter": op5_url_filter,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_token_counts": op7_token_counts,
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_secret_scan": op9_secret_scan,
     "op10_packing": op10_packing,
 }
