@@ -14,7 +14,6 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -66,28 +65,19 @@ class ChunkIds(dict):
     def ids_of(self, texts: list[bytes]) -> list[bytes]:
         """Ids of whole texts, each as little-endian unsigned 32-bit numbers."""
         # Lower case in front folds more chunks together; not where an added token may stand, which has a case.
-        cut = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        new = set(chain.from_iterable(cut)).difference(self)
-        if len(self) + len(new) > REMEMBERED:
+        return [b"".join(map(self.__getitem__, (t if b"<|" in t else t.lower()).split())) for t in texts]
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        if len(self) >= REMEMBERED:
             self.clear()
-            new = set(chain.from_iterable(cut))
-        self._learn(new)
-        return [b"".join(map(self.__getitem__, chunks)) for chunks in cut]
-
-    def _learn(self, new: set[bytes]) -> None:
-        ended = {c for c in new if c[-1:] in ENDS and c[-2:-1].isalnum()}
-        plain = {c[:-1] for c in ended}.union(new - ended, ENDS).difference(self)
-        rest = []
-        for chunk in plain:
-            word = chunk.decode()
-            if LETTERS.fullmatch(word):
-                self[chunk] = self._word(chunk)
-            else:
-                rest.append(word)
-        for word, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self[word.encode()] = numbers(e.ids)
-        for c in ended:
-            self[c] = self[c[:-1]] + self[c[-1:]]
+        if chunk[-1:] in ENDS and chunk[-2:-1].isalnum():
+            ids = self[chunk[:-1]] + self[chunk[-1:]]
+        elif LETTERS.fullmatch(word := chunk.decode()):
+            ids = self._word(chunk)
+        else:
+            ids = numbers(self.tokenizer.encode(word, add_special_tokens=False).ids)
+        self[chunk] = ids
+        return ids
 
     def _word(self, chunk: bytes) -> bytes:
         """Ids of a word of LETTERS by the tokenizer's model alone: normalising and cutting would leave it as it is."""
