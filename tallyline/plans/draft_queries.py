@@ -182,3 +182,16 @@ def board_parse(spark, sf_dir):
     boards = docs.select("doc_id", F.array_join(F.transform("lines", lambda line: F.concat(F.lit("User Avatar\n"), picks(line))), "\n").alias("board"))
     parsed = drafts.board_picks(boards, id_col="doc_id", text_col="board")
     return parsed.where(F.col("name").rlike("^[A-Za-z ]+$"))
+
+
+@query(f"""WITH {MARKET} SELECT mk.entity, p_name AS name, market, position FROM mk JOIN part ON p_partkey = mk.entity WHERE lower(p_name) LIKE '%red%' AND position IN ('SMALL', 'ECONOMY')""")
+def player_search(spark, sf_dir):
+    names = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("entity"), F.col("p_name").alias("name"))
+    found = market(spark, sf_dir).join(names, "entity").where(F.col("name").ilike("%red%") & F.col("position").isin("SMALL", "ECONOMY"))
+    return found.select("entity", "name", "market", "position")
+
+
+@query(f"""WITH {FLAGGED} SELECT draft, position, unit, count(*) AS held, count(DISTINCT entity) AS entities, CAST(min(market) AS INTEGER) AS best_market, 'no ' || min(market) || ' in round ' || min(round) AS label FROM f GROUP BY ALL""")
+def roster_positions(spark, sf_dir):
+    label = F.format_string("no %s in round %s", F.min("market").cast("string"), F.min("round").cast("string"))
+    return flagged(spark, sf_dir).groupBy("draft", "position", "unit").agg(F.count("*").alias("held"), F.countDistinct("entity").alias("entities"), F.min("market").alias("best_market"), label.alias("label"))

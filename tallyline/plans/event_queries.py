@@ -261,3 +261,43 @@ def standings_grade(spark, sf_dir):
     projections, rosters, _ = _rosters(spark, sf_dir)
     scores = lineup.lineup_scores(rosters, projections, roster=["roster"], digits=None)
     return lineup.standings(scores.withColumn("league", F.col("roster") % 2), league="league", roster="roster")
+
+
+OUTLOOK = f"""{EVENTS}, br AS (SELECT entity, position, count(*) FILTER (points >= CASE position WHEN 'click' THEN 20 WHEN 'view' THEN 12.5 ELSE 40 END) / CAST(count(*) AS DOUBLE) AS rate
+        FROM e WHERE position IN ('click', 'view', 'purchase') GROUP BY ALL),
+    mu AS (SELECT DISTINCT entity, position, week, (week - 15) / CAST(10 AS DOUBLE) AS advantage FROM e)"""
+
+
+@query(f"""WITH {OUTLOOK} SELECT mu.entity, mu.position, mu.week, rate, CASE WHEN rate IS NOT NULL THEN least(greatest(rate * (1 + advantage), 0.0), CAST(0.95 AS DOUBLE)) END AS outlook FROM mu LEFT JOIN br USING (entity, position)""")
+def boom_outlook(spark, sf_dir):
+    e = events(spark, sf_dir)
+    counted = F.expr("count_if(points >= threshold) / cast(count(*) as double)").alias("rate")
+    prior = e.withColumn("threshold", features.threshold_of("position", THRESHOLDS)).where("threshold IS NOT NULL").groupBy("entity", "position").agg(counted)
+    matchups = e.select("entity", "position", "week").distinct().withColumn("advantage", (F.col("week") - 15) / F.lit(10.0))
+    return features.boom_outlook(prior, matchups, on=["entity", "position"], rate="rate", advantage="advantage").select("entity", "position", "week", "rate", "outlook")
+
+
+@query(f"""WITH {EVENTS}, t AS (SELECT entity, position, {s_total("points")} AS season_total FROM e GROUP BY ALL), g AS (SELECT position, {s_mean("season_total")} AS league_mean FROM t GROUP BY position)
+    SELECT entity, position, season_total, league_mean, season_total - league_mean AS difference,
+        CASE WHEN season_total - league_mean > league_mean * CAST(0.1 AS DOUBLE) THEN 'easy' WHEN season_total - league_mean < -(league_mean * CAST(0.1 AS DOUBLE)) THEN 'tough' ELSE 'average' END AS grade FROM t JOIN g USING (position)""")
+def season_totals(spark, sf_dir):
+    totals = events(spark, sf_dir).groupBy("entity", "position").agg(total("points").alias("season_total"))
+    league = totals.groupBy("position").agg(mean("season_total").alias("league_mean"))
+    out = totals.join(league, "position").withColumn("difference", F.col("season_total") - F.col("league_mean"))
+    band = F.col("league_mean") * 0.1
+    grade = F.when(F.col("difference") > band, "easy").when(F.col("difference") < -band, "tough").otherwise("average")
+    return out.withColumn("grade", grade)
+
+
+@query(f"""WITH {EVENTS}, a AS (SELECT DISTINCT entity FROM e WHERE position = 'purchase' AND week <= 5), b AS (SELECT DISTINCT entity FROM e WHERE position = 'signup' AND week <= 5)
+    SELECT entity, 'both' AS side FROM a INTERSECT SELECT entity, 'both' FROM b UNION ALL SELECT entity, 'first' FROM a WHERE entity NOT IN (SELECT entity FROM b)""")
+def set_operations(spark, sf_dir):
+    e = events(spark, sf_dir).where("week <= 5")
+    a, b = (e.where(F.col("position") == p).select("entity").distinct() for p in ("purchase", "signup"))
+    return a.intersect(b).withColumn("side", F.lit("both")).unionByName(a.join(b, "entity", "left_anti").withColumn("side", F.lit("first")))
+
+
+@query(f"""WITH {WEEKLY} SELECT entity, week, position, points FROM w ORDER BY points DESC, entity, week, position LIMIT 40""")
+def top_n_global(spark, sf_dir):
+    """A top-k report: the forty best weeks."""
+    return weekly(spark, sf_dir).select("entity", "week", "position", "points").orderBy(F.col("points").desc(), "entity", "week", "position").limit(40)
