@@ -26,6 +26,15 @@ def ascii_lower(column: Column) -> Column:
     return F.translate(column, UPPER, UPPER.lower())
 
 
+def carried(column: str) -> Column:
+    """An id on its way through pandas: as text, since a batch with a null would turn large integers into floats."""
+    return F.col(column).cast("string")
+
+
+def kind_of(df: DataFrame, column: str) -> str:
+    return df.select(column).schema[0].dataType.simpleString()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only where the session names none."""
     context = spark.sparkContext
@@ -45,3 +54,49 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def hash_sample(df: DataFrame, key: str, total: int, most: int) -> DataFrame:
+    """``most`` rows at most, those with the smallest hash of ``key``. First a share by hash that holds about so many:
+    else every task would hand that many rows to the last one."""
+    place = F.pmod(F.xxhash64(key), F.lit(1 << 30))
+    share = min(1.0, (1.2 * most + 20) / max(1, total))
+    return df.where(place < int(share * (1 << 30))).orderBy(place, key).limit(most)
+
+
+#: Bits of a filter of ids or keys. Broadcast as blocks of 4 KiB: 4 MiB at most, whatever the input.
+FILTER_BITS = 1 << 25
+
+
+def slot(*columns: str | Column) -> Column:
+    """The bit of a key in a filter."""
+    return F.pmod(F.xxhash64(*columns), F.lit(FILTER_BITS))
+
+
+def filter_blocks(slots: DataFrame) -> DataFrame:
+    """(block, bits): the filter of the keys in ``slots`` (column slot)."""
+    return slots.groupBy(F.bitmap_bucket_number("slot").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+
+
+def with_mark(df: DataFrame, blocks: DataFrame, name: str) -> DataFrame:
+    """Adds whether the bit of the row's ``slot`` is set: certain where it is not, to be confirmed where it is."""
+    byte = F.conv(F.hex(F.substring("bits", F.expr("cast(bitmap_bit_position(slot) div 8 as int) + 1"), F.lit(1))), 16, 10).cast("int")
+    mark = F.coalesce(F.getbit(byte, (F.bitmap_bit_position("slot") % 8).cast("int")) == 1, F.lit(False))
+    return df.withColumn("block", F.bitmap_bucket_number("slot")).join(F.broadcast(blocks), "block", "left").withColumn(name, mark).drop("block", "bits")
+
+
+def without(df: DataFrame, dropped: DataFrame, column: str) -> DataFrame:
+    """The rows of ``df`` whose ``column`` is not in ``dropped`` (one column of the same type, distinct); nulls compare equal.
+
+    A filter of fixed size tells at the scan which rows may be in it; only those, with their texts, are shuffled to the
+    anti join. The others are never moved.
+    """
+    value = F.col(dropped.columns[0])
+    gone = cut_lineage(dropped.select(value.alias("__gone")))
+    blocks = filter_blocks(gone.select(slot("__gone").alias("slot")))
+    inner = df.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(df.columns)])  # no clash with our own names
+    key = f"c{df.columns.index(column)}"
+    marked = with_mark(inner.withColumn("slot", slot(key)), blocks, "may_go")
+    stays = marked.where("NOT may_go").select(inner.columns)
+    asked = marked.where("may_go").select(inner.columns)
+    return stays.unionByName(asked.join(gone, F.col(key).eqNullSafe(F.col("__gone")), "left_anti")).toDF(*df.columns)

@@ -7,12 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, cut_lineage, text_of
+from .common import ASCII_SPACE, cut_lineage, filter_blocks, slot, text_of, with_mark, without
 
 #: Characters of the normalised text that the prefix hash covers.
 PREFIX_CHARS = 64
-#: Bits of the filter of surviving (length, prefix hash) keys. Broadcast as 4 KiB blocks: 4 MiB at most, whatever the input.
-FILTER_BITS = 1 << 25
 
 
 def normalised(text: Column) -> Column:
@@ -26,7 +24,7 @@ def _scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         text.withColumn("norm", normalised(F.col("text")))
         .select("doc", F.length("text").cast("long").alias("n_chars"), "norm", F.length("norm").alias("norm_len"))
         .withColumn("prefix_hash", F.xxhash64(F.substring("norm", 1, PREFIX_CHARS)))
-        .withColumn("slot", F.pmod(F.xxhash64("norm_len", "prefix_hash"), F.lit(FILTER_BITS)))
+        .withColumn("slot", slot("norm_len", "prefix_hash"))
     )
 
 
@@ -47,19 +45,14 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """
     rows = _scan(docs, id_col, text_col)
     survivors = rows.groupBy("norm_len", "prefix_hash", "slot").agg(F.count("*").alias("rows_of_key")).where("rows_of_key > 1")
-    blocks = survivors.groupBy(F.bitmap_bucket_number("slot").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
-
-    bit = F.bitmap_bit_position("slot")
-    byte = F.conv(F.hex(F.substring("bits", F.expr("cast(bitmap_bit_position(slot) div 8 as int) + 1"), F.lit(1))), 16, 10).cast("int")
-    survives = F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False))
+    scanned = with_mark(rows, filter_blocks(survivors), "survives")
     digest = F.sha2("norm", 256)
-    scanned = rows.withColumn("block", F.bitmap_bucket_number("slot")).join(F.broadcast(blocks), "block", "left")
     hashed = cut_lineage(
         scanned.select(
             "doc",
             "n_chars",
-            survives.alias("survives"),
-            (digest if hash_all else F.when(survives, digest)).alias("full_hash"),
+            "survives",
+            (digest if hash_all else F.when(F.col("survives"), digest)).alias("full_hash"),
             F.monotonically_increasing_id().alias("row_no"),
         )
     )
@@ -88,15 +81,18 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 def drop_exact_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, all columns: one of each group of equal texts; see ``exact_groups``.
 
-    Only ids and hashes of rows that go are joined. Rows repeated with their id are cut to one apart from the others;
-    where there are none, that part is empty.
+    Rows of ids that only go are left out by a filter and an anti join on the id alone. An id of which one row goes and
+    another stays (rows repeated with their id, or ids that are not unique) is settled by the text's hash apart from the
+    others; where there is none, that part is not run.
     """
-    groups = exact_groups(docs, id_col=id_col, text_col=text_col, hash_all=True).where("group_size > 1")
-    told = cut_lineage(groups.groupBy(F.col(id_col).alias("told_id"), F.col("full_hash").alias("told_hash")).agg(F.max("kept").alias("stays"), F.count("*").alias("rows")).where("NOT stays OR rows > 1"))
-    match = F.col(id_col).eqNullSafe(F.col("told_id")) & (F.col("__hash") == F.col("told_hash"))
-    left = docs.withColumn("__hash", F.sha2(normalised(text_of(text_col)), 256))
-    once = left.join(told.select("told_id", "told_hash"), match, "left_anti").drop("__hash")
-    repeated = told.where("stays")
-    if repeated.isEmpty():
-        return once
-    return once.unionByName(left.join(repeated.select("told_id", "told_hash"), match, "left_semi").dropDuplicates([id_col, "__hash"]).drop("__hash"))
+    groups = exact_groups(docs, id_col=id_col, text_col=text_col, hash_all=True)
+    told = cut_lineage(groups.where("group_size > 1").select(F.col(id_col).alias("told_id"), F.col("full_hash").alias("told_hash"), "kept"))
+    gone = told.where("NOT kept").select("told_id").distinct()
+    mixed = cut_lineage(groups.where("kept").select(F.col(id_col).alias("told_id")).join(gone.withColumnRenamed("told_id", "gone_id"), F.col("told_id").eqNullSafe(F.col("gone_id")), "left_semi").distinct())
+    if mixed.isEmpty():
+        return without(docs, gone, id_col)
+    once = without(docs, gone, id_col)
+    keep = groups.where("kept").select(F.col(id_col).alias("told_id"), F.col("full_hash").alias("told_hash")).distinct()
+    hashed = docs.withColumn("__hash", F.sha2(normalised(text_of(text_col)), 256)).join(mixed, F.col(id_col).eqNullSafe(F.col("told_id")), "left_semi")
+    settled = hashed.join(keep, F.col(id_col).eqNullSafe(F.col("told_id")) & (F.col("__hash") == F.col("told_hash")), "left_semi")
+    return once.unionByName(settled.dropDuplicates([id_col, "__hash"]).drop("__hash"))

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import UPPER, cut_lineage, text_of
+from .common import UPPER, carried, cut_lineage, text_of, without
 from .components import connected_components
 
 RADIUS = 3
@@ -56,13 +56,13 @@ def fingerprint(data: bytes) -> int:
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, fp) per row of ``docs``; a null text counts as empty (fingerprint zero)."""
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.encode(text_of(text_col), "UTF-8").alias("data"))
+    rows = docs.select(carried(id_col).alias("doc"), F.encode(text_of(text_col), "UTF-8").alias("data"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"doc": batch["doc"].astype("Int64"), "fp": np.array([fingerprint(bytes(x)) for x in batch["data"]], dtype=np.int64)})
+            yield pd.DataFrame({"doc": batch["doc"], "fp": np.array([fingerprint(bytes(x)) for x in batch["data"]], dtype=np.int64)})
 
-    return rows.mapInPandas(run, "doc bigint, fp bigint")
+    return rows.mapInPandas(run, "doc string, fp bigint").select(F.col("doc").cast("bigint").alias("doc"), "fp")
 
 
 def _signed(x: int) -> int:
@@ -156,4 +156,4 @@ def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """The rows of ``docs`` whose id is the smallest of their component, all columns. Rows with a null id are kept."""
     found = near_duplicates(docs, id_col=id_col, text_col=text_col)
     dropped = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("dropped_id")).distinct()
-    return docs.join(dropped, F.col(id_col) == F.col("dropped_id"), "left_anti")
+    return without(docs, dropped, id_col)
