@@ -18,10 +18,12 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import carried, cut_lineage, hash_sample, kind_of, text_of
 
 #: Labelled rows that the classifier is fitted on, at most: those with the smallest hash of their id.
 TRAIN_ROWS = 16_000
+#: Tasks that go over the sample; each gives a count for every bucket at most.
+TRAIN_TASKS = 8
 #: n-grams that become features, at most.
 FEATURES = 8_192
 #: An n-gram is a candidate only if so many training texts hold it.
@@ -77,34 +79,35 @@ def _training_texts(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     """(label, text) of a bounded sample of labelled rows outside the held-out fold."""
     known = labels.select(F.col(id_col).alias("label_id"), F.col(label_col).cast("int").alias("label")).where("label IN (0, 1) AND label_id IS NOT NULL")
     known = known.where(~held_out(F.col("label_id"))).groupBy("label_id").agg(F.max("label").alias("label"))
-    sample = known.orderBy(F.xxhash64("label_id"), "label_id").limit(TRAIN_ROWS)
+    sample = hash_sample(known, "label_id", known.count(), TRAIN_ROWS)
     texts = docs.select(F.col(id_col).alias("doc"), text_of(text_col).alias("text"))
-    return texts.join(F.broadcast(sample), F.col("doc") == F.col("label_id")).select("label", "text")
+    found = texts.join(F.broadcast(sample), F.col("doc") == F.col("label_id")).select("label_id", "label", "text")
+    # Read once: the fit goes over the sample twice, and the sample over all texts.
+    return cut_lineage(found.repartition(TRAIN_TASKS, "label_id")).select("label", "text")
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
     """Fits on labelled rows outside the held-out fold; without rows of both classes the score is the base rate."""
     texts = _training_texts(docs, labels, id_col, text_col, label_col)
 
+    totals = {r["label"]: r["count"] for r in texts.groupBy("label").count().collect()}
+    zeros, ones = totals.get(0, 0), totals.get(1, 0)
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts, rows = np.zeros((2, 1 << BUCKET_BITS), dtype=np.int64), [0, 0]
+        counts = np.zeros((2, 1 << BUCKET_BITS), dtype=np.int64)
         for batch in batches:
             for label, text in zip(batch["label"], batch["text"], strict=True):
                 counts[label][present(text)] += 1
-                rows[label] += 1
         seen = np.flatnonzero(counts.sum(axis=0))
         yield pd.DataFrame({"bucket": seen, "zeros": counts[0][seen], "ones": counts[1][seen]})
-        yield pd.DataFrame({"bucket": [-1], "zeros": [rows[0]], "ones": [rows[1]]})
 
-    counts = texts.mapInPandas(count, "bucket long, zeros long, ones long").groupBy("bucket").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
-    totals = counts.where("bucket = -1").first()
-    zeros, ones = (totals["zeros"], totals["ones"]) if totals else (0, 0)
     if not zeros or not ones:
         rate = (ones + 0.5) / (zeros + ones + 1)
         return ToxicityModel(np.zeros(0, dtype=np.int64), np.zeros(0), float(np.log(rate / (1 - rate))))
+    counts = texts.mapInPandas(count, "bucket long, zeros long, ones long").groupBy("bucket").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
     gap = F.abs(F.col("ones") / F.lit(ones) - F.col("zeros") / F.lit(zeros))
     spread = F.sqrt((F.col("ones") + F.col("zeros") + 1) / F.lit(ones + zeros))
-    best = counts.where((F.col("bucket") >= 0) & (F.col("ones") + F.col("zeros") >= LEAST_TEXTS)).orderBy((gap / spread).desc(), "bucket").limit(FEATURES).collect()
+    best = counts.where(F.col("ones") + F.col("zeros") >= LEAST_TEXTS).orderBy((gap / spread).desc(), "bucket").limit(FEATURES).collect()
     buckets = np.array([r["bucket"] for r in best], dtype=np.int64)
     if not len(buckets):
         return ToxicityModel(buckets, np.zeros(0), float(np.log(ones / zeros)))
@@ -134,16 +137,15 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc_
     Null ids and repeated rows each keep their row; other columns are ignored, whatever their names; an empty table
     gives an empty result.
     """
-    kind = docs.select(id_col).schema[0].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("doc"), text_of(text_col).alias("text"))
+    rows = docs.select(carried(id_col).alias("doc"), text_of(text_col).alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             batch["score"] = model.scores(batch.pop("text"))
             yield batch
 
-    scored = rows.mapInPandas(run, f"doc {kind}, score double").withColumnRenamed("doc", id_col)
-    return scored.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
+    scored = rows.mapInPandas(run, "doc string, score double")
+    return scored.select(F.col("doc").cast(kind_of(docs, id_col)).alias(id_col), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
