@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, shuffle_partitions
+from .common import cut_lineage, hash_sample, shuffle_partitions
 from .components import connected_components
 
 LEAST_COSINE = 0.95
@@ -104,7 +104,7 @@ def linkable(vector: Column) -> Column:
 
 
 def _fit(classes: DataFrame, total: int, width: int) -> tuple[MultiIndex, pd.DataFrame]:
-    sample = classes.orderBy(F.xxhash64("cid"), "cid").limit(max(1, min(SAMPLE, SAMPLE_NUMBERS // width))).select("cid", "size", "vector").toPandas()
+    sample = hash_sample(classes.select("cid", "size", "vector"), "cid", total, max(1, min(SAMPLE, SAMPLE_NUMBERS // width))).toPandas()
     half = (width + 1) // 2
     index = MultiIndex(width, np.zeros((1, half)), np.zeros((1, width - half)))
     unit = index.unit(sample["vector"].tolist())
@@ -182,7 +182,8 @@ def _blocks(batches: Iterator[pd.DataFrame], index: MultiIndex, least: float) ->
             if visiting.any() and members:
                 members = [pd.concat(members)] if len(members) > 1 else members
                 out += _compare(members[0], rows[visiting], index, least)
-        yield pd.DataFrame(out, columns=["a", "b", "links"]).astype({"a": "Int64", "b": "Int64", "links": "Int64"})
+        # As objects first: numbers next to a null would become floats.
+        yield pd.DataFrame(out, columns=["a", "b", "links"], dtype=object).astype({"a": "Int64", "b": "Int64", "links": "Int64"})
 
 
 def linked_classes(classes: DataFrame, *, least: float = LEAST_COSINE) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, text_of
+from .common import carried, cut_lineage, hash_sample, kind_of, text_of
 from .dom import FEATURES, features, parse, text_of_kept
 from .html_layouts import layout
 
@@ -99,7 +99,7 @@ def fit_extractor(pages: DataFrame, *, id_col: str = "page_id", html_col: str =
                 found += sorted((" ".join(t.split())[:SAMPLE_CHARS] for t in by_node.values() if t.strip()), key=len)[-SAMPLE_TEXTS:]
             yield pd.DataFrame({"text": found}, dtype=object)
 
-    sample = pages.select(F.col(id_col).alias("page"), text_of(html_col).alias("html")).orderBy(F.xxhash64("page"), "page", F.length("html")).limit(SAMPLE_PAGES)
+    sample = hash_sample(pages.select(F.col(id_col).alias("page"), text_of(html_col).alias("html")), "page", pages.count(), SAMPLE_PAGES)
     filling = sorted(r["text"] for r in sample.mapInPandas(texts, "text string").collect()) or ["No page of the table holds a text."]
 
     def nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -164,8 +164,7 @@ def extract_text(pages: DataFrame, forest: Forest, *, id_col: str = "page_id", u
     urls and repeated rows each keep their row; other columns are ignored, whatever their names; an empty table gives
     an empty result. Broken markup never fails: unknown tags are elements, missing end tags are implied.
     """
-    kind = pages.select(id_col).schema[0].dataType.simpleString()
-    rows = pages.select(F.col(id_col).alias("page"), F.col(url_col).alias("address"), text_of(html_col).alias("html"))
+    rows = pages.select(carried(id_col).alias("page"), F.col(url_col).alias("address"), text_of(html_col).alias("html"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -174,5 +173,5 @@ def extract_text(pages: DataFrame, forest: Forest, *, id_col: str = "page_id", u
                 part["text"] = main_texts(part.pop("html").tolist(), forest)
                 yield part
 
-    found = rows.mapInPandas(run, f"page {kind}, address string, text string")
-    return found.select(F.col("page").alias(id_col), F.col("address").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))
+    found = rows.mapInPandas(run, "page string, address string, text string")
+    return found.select(F.col("page").cast(kind_of(pages, id_col)).alias(id_col), F.col("address").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))

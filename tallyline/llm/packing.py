@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import shared_dir, text_of
+from .common import carried, kind_of, shared_dir, text_of
 
 #: Chunks whose ids one Python worker remembers; the memory is emptied beyond it, results don't depend on it.
 REMEMBERED = 600_000
@@ -89,19 +89,18 @@ def chunk_ids(path: str) -> ChunkIds:
     return ChunkIds(path)
 
 
-def _tokenised(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str, text_col: str, kind: str) -> DataFrame:
-    rows = docs.select(F.col(id_col).alias("doc"), F.encode(text_of(text_col), "UTF-8").alias("data"))
+def _tokenised(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
+    rows = docs.select(carried(id_col).alias("doc"), F.encode(text_of(text_col), "UTF-8").alias("data"))
     end = numbers([end_id])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, part, before = chunk_ids(tokenizer_path), TaskContext.get().partitionId(), 0
 
         def table(held: list) -> pd.DataFrame:
-            out = pd.DataFrame(held, columns=["doc", "before", "n", "ids"]).assign(part=part)
-            return out.astype({"doc": "Int64"}) if kind in ("bigint", "int") else out
+            return pd.DataFrame(held, columns=["doc", "before", "n", "ids"]).assign(part=part)
 
         for batch in batches:
-            docs, datas = batch["doc"].astype(object).where(batch["doc"].notna(), None).tolist(), batch["data"].map(bytes).tolist()
+            docs, datas = batch["doc"].tolist(), batch["data"].map(bytes).tolist()
             ends = np.cumsum(list(map(len, datas)))
             at = 0
             while at < len(docs):
@@ -113,7 +112,7 @@ def _tokenised(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str, t
                 yield table(held)
                 at = to
 
-    return rows.mapInPandas(run, f"doc {kind}, before bigint, n bigint, ids binary, part int")
+    return rows.mapInPandas(run, "doc string, before bigint, n bigint, ids binary, part int")
 
 
 def pack(docs: DataFrame, *, tokenizer_path: str, end_id: int, length: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -126,11 +125,10 @@ def pack(docs: DataFrame, *, tokenizer_path: str, end_id: int, length: int, id_c
     ids, but by no other.
     """
     spark = docs.sparkSession
-    kind = docs.select(id_col).schema[0].dataType.simpleString()
     place = f"{shared_dir(spark)}/tokenised-{uuid.uuid4().hex}"
     # Row groups of bounded size: a reader holds one at a time.
-    _tokenised(docs, tokenizer_path, end_id, id_col, text_col, kind).write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(place)
-    table = spark.read.schema(f"doc {kind}, before bigint, n bigint, ids binary, part int").parquet(place)
+    _tokenised(docs, tokenizer_path, end_id, id_col, text_col).write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(place)
+    table = spark.read.schema("doc string, before bigint, n bigint, ids binary, part int").parquet(place)
 
     totals = sorted((r["part"], r["total"]) for r in table.groupBy("part").agg(F.sum("n").alias("total")).collect())
     bases, base = [], 0
@@ -144,15 +142,14 @@ def pack(docs: DataFrame, *, tokenizer_path: str, end_id: int, length: int, id_c
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for doc, at, ids in zip(batch["doc"].astype(object).where(batch["doc"].notna(), None), batch["at"], batch["ids"], strict=True):
+            for doc, at, ids in zip(batch["doc"], batch["at"], batch["ids"], strict=True):
                 n, start, view = len(ids) // 4, 0, memoryview(ids)
                 while start < n:
                     sequence, offset = divmod(int(at) + start, length)
                     size = min(n - start, length - offset)
                     rows.append((doc, start, size, zlib.crc32(view[4 * start : 4 * (start + size)]), n, sequence, offset))
                     start += size
-            out = pd.DataFrame(rows, columns=["doc", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-            yield out.astype({"doc": "Int64"}) if kind in ("bigint", "int") else out
+            yield pd.DataFrame(rows, columns=["doc", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    pieces = placed.mapInPandas(run, f"doc {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
-    return pieces.withColumnRenamed("doc", id_col)
+    pieces = placed.mapInPandas(run, "doc string, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
+    return pieces.withColumn("doc", F.col("doc").cast(kind_of(docs, id_col))).withColumnRenamed("doc", id_col)

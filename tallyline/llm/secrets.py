@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import carried, kind_of, text_of
 
 KINDS = ("assign", "access", "hex", "github", "npm", "xprv")
 BASE = KINDS[:3]
@@ -137,8 +137,7 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     count as empty: no spans, empty strings. Texts of any length are read whole. Null ids and repeated rows each keep
     their row; other columns are ignored, whatever their names; an empty table gives an empty result.
     """
-    kind_of_id = docs.select(id_col).schema[0].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("doc"), F.encode(text_of(text_col), "UTF-8").alias("data"))
+    rows = docs.select(carried(id_col).alias("doc"), F.encode(text_of(text_col), "UTF-8").alias("data"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -152,7 +151,8 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             yield batch
 
     counts = ", ".join(f"n_{kind} bigint" for kind in KINDS)
-    return rows.mapInPandas(run, f"doc {kind_of_id}, {counts}, base_spans string, spans string").withColumnRenamed("doc", id_col)
+    found = rows.mapInPandas(run, f"doc string, {counts}, base_spans string, spans string")
+    return found.withColumn("doc", F.col("doc").cast(kind_of(docs, id_col))).withColumnRenamed("doc", id_col)
 
 
 def redacted(data: bytes, mark: bytes) -> bytes:

@@ -18,7 +18,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import carried, kind_of, text_of
 
 SPACE = "▁"
 #: Merged pre-tokens that one Python worker remembers; the memory is emptied beyond it, results don't depend on it.
@@ -108,13 +108,12 @@ def token_counts(docs: DataFrame, *, model_path: str, limit: int, id_col: str =
     Null texts count as empty: 0 bytes, 0 tokens. Texts are counted whole. Null ids and repeated rows each keep their
     row; other columns are ignored, whatever their names; an empty table gives an empty result.
     """
-    kind = docs.select(id_col).schema[0].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("doc"), F.octet_length(text_of(text_col)).cast("bigint").alias("n_bytes"), text_of(text_col).alias("text"))
+    rows = docs.select(carried(id_col).alias("doc"), F.octet_length(text_of(text_col)).cast("bigint").alias("n_bytes"), text_of(text_col).alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             batch["n_tokens"] = np.array(counts_of(batch.pop("text").tolist(), model_path), dtype=np.int64)
             yield batch
 
-    counted = rows.mapInPandas(run, f"doc {kind}, n_bytes bigint, n_tokens bigint")
-    return counted.select(F.col("doc").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    counted = rows.mapInPandas(run, "doc string, n_bytes bigint, n_tokens bigint")
+    return counted.select(F.col("doc").cast(kind_of(docs, id_col)).alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
