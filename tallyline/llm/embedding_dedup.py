@@ -2,7 +2,8 @@
 
 Two codebooks, one for each half of the unit vectors, form a product grid of cells; every vector is filed in its cell.
 A vector visits the cells nearest to it in multi-sequence order (by the sum of its distances to the two codewords); how
-many is measured, so that the visits hold TARGET_RECALL of the true links of QUERIES vectors that are compared with all.
+many is measured, so that the visits hold TARGET_RECALL of the true links of vectors that are compared with all, as many as
+LEAST_LINKS links take; where the sample has fewer, PLANTED_RECALL of partners planted at the least cosine are met too.
 Visits are then verified in double precision. The codebooks are fitted on a bounded sample; all vectors are filed and
 all vectors visit.
 
@@ -13,6 +14,7 @@ forest. A pair that meets twice (each visits the other's cell) is counted once f
 
 from __future__ import annotations
 
+import logging
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,10 +31,15 @@ LEAST_COSINE = 0.95
 #: Classes that the codebooks are fitted on, at most, and the numbers they may hold together.
 SAMPLE = 8192
 SAMPLE_NUMBERS = 1 << 22
-#: Classes of the sample whose links are found by brute force, to measure how many cells to visit.
+#: Classes of the sample whose links are found by brute force at first, to measure how many cells to visit; more of them
+#: until so many links are found.
 QUERIES = 192
+LEAST_LINKS = 200
 TARGET_RECALL = 0.999
-#: Cells visited at least, and where the queries have no link to measure by.
+#: Partners planted where the sample has fewer links, and the share of them to be met; all are as far as links can be.
+PLANTED = 1024
+PLANTED_RECALL = 0.98
+#: Cells visited at least.
 LEAST_VISITS = 4
 #: Codewords of a half, at most.
 CODEWORDS = 512
@@ -40,6 +47,7 @@ CODEWORDS = 512
 MEMBERS = 2048
 VISITORS = 16384
 _SEED = 20
+_LOG = logging.getLogger(__name__)
 
 
 @dataclass
@@ -112,31 +120,68 @@ def _fit(classes: DataFrame, total: int, width: int) -> tuple[MultiIndex, pd.Dat
     return MultiIndex(width, _codebook(unit[:, :half], k), _codebook(unit[:, half:], k)), sample
 
 
-def _measured_visits(classes: DataFrame, index: MultiIndex, sample: pd.DataFrame, least: float) -> int:
-    """Cells to visit so that TARGET_RECALL of the queries' true links, found by brute force over all classes, are met."""
-    asked = sample.iloc[:QUERIES]
+def _before(index: MultiIndex, one: np.ndarray, two: np.ndarray, cell: int) -> int:
+    """Cells that a vector at distances ``one`` and ``two`` to the codewords visits before ``cell``."""
+    a, b = divmod(int(cell), len(index.second))
+    return int((one[:, None] + two[None, :] < one[a] + two[b]).sum())
+
+
+def _link_ranks(classes: DataFrame, index: MultiIndex, asked: pd.DataFrame, least: float) -> list[tuple[int, int]]:
+    """(cells before the link's, links) of the true links of ``asked``, found by brute force over all classes."""
     queries, ids = index.unit(asked["vector"].tolist()), asked["cid"].to_numpy()
     one, two = index.distances(queries)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            unit = index.unit(batch["vector"].tolist())
-            q, v = np.nonzero((queries @ unit.T >= least) & (ids[:, None] != batch["cid"].to_numpy()[None, :]))
-            met, links = np.unique(np.stack([q, index.own_cells(unit)[v]], axis=1), axis=0, return_counts=True)
-            before = []
-            for i, cell in met:
-                a, b = divmod(int(cell), len(index.second))
-                before.append(int((one[i][:, None] + two[i][None, :] < one[i][a] + two[i][b]).sum()))
-            yield pd.DataFrame({"before": np.array(before, dtype=np.int64), "links": links.astype(np.int64)})
+            for k in range(0, len(batch), 512):
+                part = batch.iloc[k : k + 512]
+                unit = index.unit(part["vector"].tolist())
+                q, v = np.nonzero((queries @ unit.T >= least) & (ids[:, None] != part["cid"].to_numpy()[None, :]))
+                met, links = np.unique(np.stack([q, index.own_cells(unit)[v]], axis=1), axis=0, return_counts=True)
+                before = [_before(index, one[i], two[i], cell) for i, cell in met]
+                yield pd.DataFrame({"before": np.array(before, dtype=np.int64), "links": links.astype(np.int64)})
 
     # A row for each rank at most: no more than the grid has cells.
-    ranks = sorted(map(tuple, classes.select("cid", "vector").mapInPandas(run, "before long, links long").groupBy("before").agg(F.sum("links")).collect()))
+    return [tuple(r) for r in classes.select("cid", "vector").mapInPandas(run, "before long, links long").groupBy("before").agg(F.sum("links")).collect()]
+
+
+def _planted_ranks(index: MultiIndex, sample: pd.DataFrame, least: float) -> list[tuple[int, int]]:
+    """The same of partners at a cosine of just ``least``, the farthest that link, made for vectors of the sample: by turns
+    in a random direction and towards another vector of the sample."""
+    rng = np.random.default_rng(_SEED)
+    unit = index.unit(sample["vector"].iloc[:PLANTED].tolist())
+    aim = rng.normal(size=unit.shape)
+    aim[::2] = unit[rng.permutation(len(unit))][::2]
+    aim -= (aim * unit).sum(axis=1, keepdims=True) * unit
+    norm = np.linalg.norm(aim, axis=1, keepdims=True)
+    partner = least * unit + math.sqrt(1 - least * least) * aim / np.maximum(norm, 1e-300)
+    one, two = index.distances(unit)
+    return [(_before(index, one[i], two[i], cell), 1) for i, cell in enumerate(index.own_cells(partner)) if norm[i] > 1e-9]
+
+
+def _visits_for(ranks: list[tuple[int, int]], recall: float) -> int:
+    """Cells to visit so that ``recall`` of the links in ``ranks`` are met; 1 where there are none."""
     total, seen = sum(n for _, n in ranks), 0
-    for before, n in ranks:
+    for before, n in sorted(ranks):
         seen += n
-        if seen >= TARGET_RECALL * total:
-            return max(min(LEAST_VISITS, index.cells), before + 1)
-    return min(4 * LEAST_VISITS, index.cells)
+        if seen >= recall * total:
+            return before + 1
+    return 1
+
+
+def _measured_visits(classes: DataFrame, index: MultiIndex, sample: pd.DataFrame, least: float) -> int:
+    """Cells to visit so that TARGET_RECALL of the queries' true links are met. Queries are added until they hold
+    LEAST_LINKS links or the sample ends; with fewer links, partners planted at ``least`` are to be met as well."""
+    ranks, start, stop = [], 0, QUERIES
+    while start < len(sample) and sum(n for _, n in ranks) < LEAST_LINKS:
+        ranks += _link_ranks(classes, index, sample.iloc[start:stop], least)
+        start, stop = stop, 4 * stop
+    count, links = _visits_for(ranks, TARGET_RECALL), sum(n for _, n in ranks)
+    planted = _planted_ranks(index, sample, least) if links < LEAST_LINKS else []
+    count = max(min(LEAST_VISITS, index.cells), count, _visits_for(planted, PLANTED_RECALL))
+    met = sum(n for before, n in ranks if before < count)
+    _LOG.info("%d of %d cells are visited: %d of %d links of %d queries met, %d of %d planted ones", count, index.cells, met, links, min(start, len(sample)), sum(before < count for before, _ in planted), len(planted))
+    return count
 
 
 def _compare(block: pd.DataFrame, visitors: pd.DataFrame, index: MultiIndex, least: float) -> Iterator[tuple]:

@@ -59,3 +59,23 @@ def test_visits_are_the_nearest_cells():
     sums = (one[:, :, None] + two[:, None, :]).reshape(30, -1)
     assert (index.visits(unit, 13) == np.argsort(sums, axis=1, kind="stable")[:, :13]).all()
     assert (index.visits(unit, 13)[:, 0] == index.own_cells(unit)).all()
+
+
+@pytest.mark.parametrize("pairs", [0, 40])
+def test_rare_pairs_are_met_though_few_queries_have_one(spark, pairs):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(6000, 32))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    aim = rng.normal(size=(pairs, 32))
+    aim -= (aim * base[:pairs]).sum(axis=1, keepdims=True) * base[:pairs]
+    near = 0.952 * base[:pairs] + np.sqrt(1 - 0.952**2) * aim / np.linalg.norm(aim, axis=1, keepdims=True)
+    vectors = np.concatenate([base, near])
+    rows = [(i, 1, v) for i, v in enumerate(vectors.tolist())]
+    classes = spark.createDataFrame(rows, "cid bigint, size bigint, vector array<float>").cache()
+    index, sample = ed._fit(classes, len(rows), 32)
+    count = ed._measured_visits(classes, index, sample, 0.95)
+    unit = index.unit(base.tolist())
+    aim = rng.normal(size=unit.shape)
+    aim -= (aim * unit).sum(axis=1, keepdims=True) * unit
+    partner = 0.95 * unit + np.sqrt(1 - 0.95**2) * aim / np.linalg.norm(aim, axis=1, keepdims=True)
+    assert (index.visits(unit, count) == index.own_cells(partner)[:, None]).any(axis=1).mean() >= 0.95
