@@ -14,7 +14,7 @@ from .packing import pack
 from .secrets import scan_secrets
 from .simhash import near_duplicates
 from .token_counts import token_counts
-from .sentencepiece_lattice import encode, piece_table
+from .sentencepiece_lattice import decode, encode, piece_table
 from .toxicity import fit_toxicity, held_out, score_toxicity
 from .url_filter import filter_urls
 
@@ -62,10 +62,14 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_pieces, ids_crc32 (of the ids as decimal text, comma-joined)."""
+    """doc_id, n_pieces, ids_crc32 (of the ids as decimal text, comma-joined), decoded_sha256 (of the text the ids give)."""
     model = public_tokenizers.path("piece_bpe_32k.model")
-    encoded = encode(table(spark, sf_dir, "documents"), piece_table(spark, model), model_path=model)
-    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.crc32(F.array_join("ids", ",")).alias("ids_crc32"))
+    pieces = piece_table(spark, model)
+    encoded = encode(table(spark, sf_dir, "documents"), pieces, model_path=model)
+    # The id column carries the figures of the row, so that rows with a null or repeated id keep their own.
+    figures = F.struct("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.crc32(F.array_join("ids", ",")).alias("ids_crc32"))
+    decoded = decode(encoded.select(figures.alias("row"), "ids"), pieces, id_col="row")
+    return decoded.select("row.doc_id", "row.n_pieces", "row.ids_crc32", F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"))
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
