@@ -54,7 +54,7 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def gbt_cv(spark, sf_dir):
     """Mean absolute error and R2 by left-out season."""
-    predicted = models.cv_predictions(_pairs(spark, sf_dir).where("season >= 1998"), features=FEATURES, target="adjusted_target", fold="season", trees=TREES)
+    predicted = models.cv_predictions(_pairs(spark, sf_dir), features=FEATURES, target="adjusted_target", fold="season", trees=TREES)
     return models.cv_metrics(predicted, target="adjusted_target", fold="season")
 
 
