@@ -48,8 +48,8 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
-    return filter_urls(table(spark, sf_dir, "pages"), rules)
+    rules = [F.struct(F.lit(host).alias("host"), F.lit(path).alias("path"), F.lit(verdict).alias("verdict")) for host, path, verdict in URL_RULES]
+    return filter_urls(table(spark, sf_dir, "pages"), spark.range(1).select(F.inline(F.array(*rules))))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

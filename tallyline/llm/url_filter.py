@@ -26,13 +26,15 @@ def url_path(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), URL_PATTERN, 2)
 
 
-def _expressions(host: Column, path: Column, slash_lengths: list[int], open_lengths: list[int]) -> Column:
-    """array<string>: every host suffix at a label, followed by every path prefix of a length that some rule has."""
-    labels = F.split(host, r"\.")
-    suffixes = F.filter(
-        F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")),
-        lambda s: s != "",
-    )
+def label_count(host: Column) -> Column:
+    return F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
+
+
+def _expressions(host: Column, path: Column, label_counts: list[int], slash_lengths: list[int], open_lengths: list[int]) -> Column:
+    """array<string>: every host suffix of as many labels as some rule has, followed by every path prefix of a length
+    that some rule has."""
+    suffixes = F.array(*[F.when(label_count(host) >= n, F.substring_index(host, ".", -n)) for n in label_counts]).cast("array<string>")
+    suffixes = F.filter(suffixes, lambda s: s != "")  # nulls go as well
 
     def prefixes(lengths: list[int]) -> Column:
         fitting = F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length(path))
@@ -52,29 +54,34 @@ def filter_urls(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id",
     Null URLs or URLs without "://": host and path empty, ``default``. Null ids stay. Repeated rows each keep their
     row. Rules with a null or empty host, or a null verdict, are ignored; a null path counts as "". Other columns of
     either input are ignored, whatever their names. An empty rule table gives ``default`` everywhere. Any URL length
-    is taken whole. Driver memory: the distinct lengths of rule paths only, at most the longest rule path.
+    is taken whole, in time linear in its length. To the driver go the distinct forms of rules: lengths of paths and
+    counts of labels, as many as the rules' own, whatever the pages.
     """
     urls = pages.select(F.col(id_col).alias(id_col), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
     known = (
         rules.select(ascii_lower(F.col("host")).alias("rule_host"), F.coalesce("path", F.lit("")).alias("rule_path"), F.col("verdict").alias("rule_verdict"))
         .where("rule_host != '' AND rule_verdict IS NOT NULL")
+        .distinct()
         .withColumn("rule", F.concat("rule_host", "rule_path"))
         .withColumn("rule_digest", F.sha2(F.col("rule"), 256))
-        .withColumn("rule_prefix", F.substring("rule_digest", 1, PREFIX_DIGITS))
     )
-    lengths = known.groupBy(F.length("rule_path").alias("n"), F.col("rule_path").endswith("/").alias("slash")).agg(F.count("*").alias("rules")).collect()
-    slash_lengths = sorted(r["n"] for r in lengths if r["slash"])
-    open_lengths = sorted(r["n"] for r in lengths if not r["slash"])
+    # Rules by the short prefix of their digest, of which a few can share one: the full digests are confirmed after the join.
+    filed = known.groupBy(F.substring("rule_digest", 1, PREFIX_DIGITS).alias("rule_prefix")).agg(F.collect_list(F.struct("rule_digest", "rule", "rule_host", "rule_verdict")).alias("filed"))
+    forms = known.select(F.length("rule_path").alias("n"), F.col("rule_path").endswith("/").alias("slash"), label_count(F.col("rule_host")).alias("labels")).distinct().collect()
+    slash_lengths = sorted({r["n"] for r in forms if r["slash"]})
+    open_lengths = sorted({r["n"] for r in forms if not r["slash"]})
+    label_counts = sorted({r["labels"] for r in forms})
 
     looked_up = (
         urls.select("host", "path")
         .where("host != ''")
         .distinct()
-        .select("host", "path", F.explode(_expressions(F.col("host"), F.col("path"), slash_lengths, open_lengths)).alias("expression"))
+        .select("host", "path", F.explode(_expressions(F.col("host"), F.col("path"), label_counts, slash_lengths, open_lengths)).alias("expression"))
         .select("host", "path", F.sha2("expression", 256).alias("digest"))
         .withColumn("prefix", F.substring("digest", 1, PREFIX_DIGITS))
     )
-    hits = looked_up.join(known, (F.col("prefix") == F.col("rule_prefix")) & (F.col("digest") == F.col("rule_digest")))
+    met = looked_up.join(filed, F.col("prefix") == F.col("rule_prefix"))
+    hits = met.select("host", "path", F.inline(F.filter("filed", lambda r: r["rule_digest"] == F.col("digest"))))
     order = F.struct(F.length("rule"), F.length("rule_host"), F.col("rule_verdict") == "block")
     best = (
         hits.groupBy(F.col("host").alias("hit_host"), F.col("path").alias("hit_path"))

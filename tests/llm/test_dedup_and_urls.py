@@ -1,7 +1,11 @@
 import hashlib
+import time
+
+import duckdb
+import pytest
 
 from tallyline.llm.exact_dedup import drop_exact_copies, exact_groups
-from tallyline.llm.queries import URL_RULES
+from tallyline.llm.queries import ORACLE_SQL, QUERIES, URL_RULES
 from tallyline.llm.url_filter import filter_urls
 
 ROWS = [(5, "a b", "x"), (2, "ab ", "x"), (3, "a\tb ", "y"), (4, None, "x"), (9, "", "x"), (7, "alone", "x"), (7, "alone", "x"), (None, "AB", "x"), (None, "A B", "x"), (8, "z" * 100 + "1", "x"), (6, "z" * 100 + "2", "x"), (1, "\xa0", "x"), (5, " other", None)]
@@ -67,3 +71,22 @@ def test_rules_that_end_inside_a_path_part_and_ties(spark):
     rules = spark.createDataFrame([("a.com", "/en", "block"), ("a.com", "/e", "allow"), ("b.com", "/x", "allow"), ("b.com", "/x", "block"), ("c.com", None, "block")], "host string, path string, verdict string")
     pages = spark.createDataFrame([(1, "http://a.com/english"), (2, "http://a.com/ex"), (3, "http://b.com/xyz"), (4, "http://q.c.com")], "page_id bigint, url string")
     assert sorted((r["page_id"], r["verdict"]) for r in filter_urls(pages, rules).collect()) == [(1, "block"), (2, "allow"), (3, "block"), (4, "block")]
+
+
+def test_hosts_of_many_labels_and_long_paths(spark):
+    began = time.time()
+    urls = ["http://" + "a." * 100_000 + "net/es/" + "x/" * 100_000, "http://" + "." * 100_000, "http://" + "net." * 50_000 + "example.com/en/"]
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string"), rules).collect()}
+    assert got == {0: ("net/es/", "block"), 1: (None, "allow"), 2: ("example.com/en/", "block")} and time.time() - began < 30
+
+
+@pytest.mark.parametrize("name", ["op5_url_filter", "op6_exact_dedup"])
+def test_query_equals_its_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('/root/testdata/sf0.001/{t}.parquet')")
+    want = con.execute(ORACLE_SQL[name])
+    columns = [d[0] for d in want.description]
+    got = QUERIES[name](spark, "/root/testdata/sf0.001").select(columns)
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want.fetchall()))
