@@ -18,7 +18,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, cut_lineage, hash_sample, kind_of, text_of
+from .common import bound_batches, carried, cut_lineage, hash_sample, kind_of, text_of
 from .dom import FEATURES, features, parse, text_of_kept
 from .html_layouts import layout
 
@@ -107,8 +107,9 @@ def fit_extractor(pages: DataFrame, *, id_col: str = "page_id", html_col: str =
             for seed in batch["id"]:
                 html, labels = layout(int(seed), filling)
                 x = features(parse(html))
-                if len(x) == len(labels):
-                    yield pd.DataFrame({"x": list(x), "label": np.array(labels, dtype=float)})
+                if len(x) != len(labels):
+                    raise ValueError(f"layout {seed} is read as {len(x)} elements, not {len(labels)}")
+                yield pd.DataFrame({"x": list(x), "label": np.array(labels, dtype=float)})
 
     rows = pages.sparkSession.range(0, LAYOUTS, 1, 4).mapInPandas(nodes, "x array<double>, label double")
     train = cut_lineage(rows.select(array_to_vector("x").alias("features"), "label"))
@@ -164,6 +165,7 @@ def extract_text(pages: DataFrame, forest: Forest, *, id_col: str = "page_id", u
     urls and repeated rows each keep their row; other columns are ignored, whatever their names; an empty table gives
     an empty result. Broken markup never fails: unknown tags are elements, missing end tags are implied.
     """
+    bound_batches(pages)
     rows = pages.select(carried(id_col).alias("page"), F.col(url_col).alias("address"), text_of(html_col).alias("html"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

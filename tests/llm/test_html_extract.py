@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 
@@ -62,6 +64,19 @@ def test_broken_markup_never_fails(forest, html):
     assert isinstance(hx.main_texts([html], forest)[0], str)
 
 
+def test_every_training_layout_is_read_as_its_labels_say():
+    for seed in range(0, hx.LAYOUTS, 5):
+        html, labels = layout(seed, ["A text & more.", "<none>", "Words, words."])
+        assert len(parse(html).tags) == len(labels)
+
+
+@pytest.mark.parametrize("html", ["<div>" * 100_000, "<div>" * 50_000 + "</div>" * 50_000, "<b>" * 50_000 + "</i>" * 50_000, "<li>x" * 50_000, "<ul><li>" * 50_000, "<p><b>" * 50_000, "<table><tr><td>" * 30_000])
+def test_deep_pages_take_linear_time(html):
+    began = time.process_time()
+    page = parse(html)
+    assert len(features(page)) == len(page.tags) and time.process_time() - began < 15
+
+
 def test_rows(spark, forest):
     pages = spark.createDataFrame([(1, "u", None, "t"), (2, None, "", "t"), (None, "u", PAGE, "t"), (3, "u", PAGE, "t"), (3, "u", PAGE, "t")], "page_id bigint, url string, html string, text string")
     got = sorted(((r["page_id"] or 0, r["url"], r["text"], r["n_chars"]) for r in hx.extract_text(pages, forest).collect()), key=str)
