@@ -24,25 +24,28 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, hash_sample, shuffle_partitions
+from .common import cut_lineage, hash_sample, kind_of, shuffle_partitions
 from .components import connected_components
 
 LEAST_COSINE = 0.95
-#: Classes that the codebooks are fitted on, at most, and the numbers they may hold together.
+#: Classes that the codebooks are fitted on, for each codeword and at least, and the numbers they may hold together.
+SAMPLE_OF_CODEWORD = 16
 SAMPLE = 8192
-SAMPLE_NUMBERS = 1 << 22
+SAMPLE_NUMBERS = 1 << 23
 #: Classes of the sample whose links are found by brute force at first, to measure how many cells to visit; more of them
 #: until so many links are found.
 QUERIES = 192
-LEAST_LINKS = 200
+LEAST_LINKS = 1000
 TARGET_RECALL = 0.999
 #: Partners planted where the sample has fewer links, and the share of them to be met; all are as far as links can be.
 PLANTED = 1024
 PLANTED_RECALL = 0.98
 #: Cells visited at least.
 LEAST_VISITS = 4
-#: Codewords of a half, at most.
-CODEWORDS = 512
+#: Codewords of a half, at most: the grid grows with the classes up to its square.
+CODEWORDS = 4096
+#: Cells of a grid whose sizes are broadcast; those of a larger one are joined as Catalyst finds best.
+BROADCAST_CELLS = 1 << 18
 #: Members and visitors of a cell that one block compares.
 MEMBERS = 2048
 VISITORS = 16384
@@ -112,11 +115,12 @@ def linkable(vector: Column) -> Column:
 
 
 def _fit(classes: DataFrame, total: int, width: int) -> tuple[MultiIndex, pd.DataFrame]:
-    sample = hash_sample(classes.select("cid", "size", "vector"), "cid", total, max(1, min(SAMPLE, SAMPLE_NUMBERS // width))).toPandas()
+    wanted = min(CODEWORDS, 1 << max(3, round(math.log2(math.sqrt(total) / 4))))
+    sample = hash_sample(classes.select("cid", "size", "vector"), "cid", total, max(1, min(max(SAMPLE, SAMPLE_OF_CODEWORD * wanted), SAMPLE_NUMBERS // width))).toPandas()
     half = (width + 1) // 2
     index = MultiIndex(width, np.zeros((1, half)), np.zeros((1, width - half)))
     unit = index.unit(sample["vector"].tolist())
-    k = max(1, min(CODEWORDS, len(unit), 1 << max(3, round(math.log2(math.sqrt(total) / 4)))))
+    k = max(1, min(wanted, len(unit)))
     return MultiIndex(width, _codebook(unit[:, :half], k), _codebook(unit[:, half:], k)), sample
 
 
@@ -247,14 +251,13 @@ def linked_classes(classes: DataFrame, *, least: float = LEAST_COSINE) -> DataFr
                 part["cell"], part["visits"] = visits[:, 0], list(visits)
                 yield part
 
-    filed = cut_lineage(classes.mapInPandas(file, "cid bigint, size bigint, vector array<float>, cell bigint, visits array<bigint>"))
+    filed = cut_lineage(classes.mapInPandas(file, f"cid bigint, size bigint, vector {kind_of(classes, 'vector')}, cell bigint, visits array<bigint>"))
     visits = filed.select("cid", "size", "vector", F.col("cell").alias("home"), F.explode("visits").alias("cell"))
-    # A row for each cell of the grid at most: CODEWORDS squared.
+    # A row for each cell of the grid at most.
     members = filed.groupBy("cell").agg(F.count("*").alias("members"))
     visitors = visits.groupBy("cell").agg(F.count("*").alias("visitors"))
-    cells = F.broadcast(
-        members.join(visitors, "cell").select("cell", F.ceil(F.col("members") / MEMBERS).cast("int").alias("rows"), F.ceil(F.col("visitors") / VISITORS).cast("int").alias("columns"))
-    )
+    cells = members.join(visitors, "cell").select("cell", F.ceil(F.col("members") / MEMBERS).cast("int").alias("rows"), F.ceil(F.col("visitors") / VISITORS).cast("int").alias("columns"))
+    cells = F.broadcast(cells) if index.cells <= BROADCAST_CELLS else cells
     spread = F.xxhash64("cid", F.lit(_SEED))
     block = F.xxhash64("cell", "row", "column").alias("block")
     filed_rows = filed.join(cells, "cell").select(
@@ -277,7 +280,8 @@ def embedding_links(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     nothing: n_links 0, component_id null, kept true. A row repeated with its id counts as another row, and both are
     kept or dropped together. Other columns are ignored, whatever their names; an empty table gives an empty result.
     """
-    vector = F.col(vector_col).cast("array<float>")
+    # Single precision stays as it is, everything else is compared as it comes in double precision.
+    vector = F.col(vector_col) if kind_of(vectors, vector_col) == "array<float>" else F.col(vector_col).cast("array<double>")
     rows = vectors.select(F.col(id_col).alias("vec"), vector.alias("vector"), (linkable(vector) & F.col(id_col).isNotNull()).alias("linkable"))
     keyed = rows.select("vec", F.when(F.col("linkable"), F.xxhash64("vector")).alias("k1"), F.when(F.col("linkable"), F.xxhash64(F.lit(_SEED), F.col("vector"))).alias("k2"), F.when(F.col("linkable"), F.col("vector")).alias("vector"))
     classes = cut_lineage(keyed.where("k1 IS NOT NULL").groupBy("k1", "k2").agg(F.min("vec").cast("bigint").alias("cid"), F.count("*").alias("size"), F.any_value("vector").alias("vector")))

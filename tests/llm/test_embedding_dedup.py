@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 
 from tallyline.llm import embedding_dedup as ed
@@ -79,3 +80,25 @@ def test_rare_pairs_are_met_though_few_queries_have_one(spark, pairs):
     aim -= (aim * unit).sum(axis=1, keepdims=True) * unit
     partner = 0.95 * unit + np.sqrt(1 - 0.95**2) * aim / np.linalg.norm(aim, axis=1, keepdims=True)
     assert (index.visits(unit, count) == index.own_cells(partner)[:, None]).any(axis=1).mean() >= 0.95
+
+
+def test_double_vectors_are_compared_as_they_are(spark):
+    # The cosine is over the threshold in double precision only by less than single precision can tell.
+    a, least = np.array([1.0, 0.0]), 0.95
+    over, under = ([c, np.sqrt(1 - c * c)] for c in (least + 1e-12, least - 1e-12))
+    for other, links in ((over, 1), (under, 0)):
+        df = spark.createDataFrame([(1, a.tolist()), (2, [float(x) for x in other])], "vec_id bigint, embedding array<double>")
+        assert [r["n_links"] for r in ed.embedding_links(df).collect()] == [links, links]
+
+
+def test_recall_of_planted_pairs_among_many_vectors(spark):
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(50_000, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    aim = rng.normal(size=(200, 64))
+    aim -= (aim * base[:200]).sum(axis=1, keepdims=True) * base[:200]
+    near = 0.955 * base[:200] + np.sqrt(1 - 0.955**2) * aim / np.linalg.norm(aim, axis=1, keepdims=True)
+    vectors = np.concatenate([base, near]).astype(np.float32)
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(vectors)), "embedding": vectors.tolist()}), "vec_id bigint, embedding array<float>")
+    got = {r["vec_id"]: r["component_id"] for r in ed.embedding_links(df).where("vec_id >= 50000").collect()}
+    assert sum(got[50_000 + i] == i for i in range(200)) >= 190
