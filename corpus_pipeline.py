@@ -1,4 +1,4 @@
-"""Corpus pipeline: toxicity, exact dedup, near-dedup on shingle sets, secret scans, packing.
+"""Corpus pipeline: toxicity, exact dedup, SimHash near-dedup on shingle sets, secret scans, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
 ``run`` writes every stage's result to a table in the shared folder and reads it back as the next one's docs, so that
@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallyline.llm.common import shared_dir, table
 from tallyline.llm.exact_dedup import drop_exact_copies
-from tallyline.llm.minhash import keep_one_of_similar
 from tallyline.llm.packing import pack
 from tallyline.llm.secrets import redact_secrets
+from tallyline.llm.simhash_sets import keep_one_of_similar
 from tallyline.llm.toxicity import drop_toxic
 
 
@@ -31,7 +31,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component of texts whose five-word shingles are similar by 0.8 or more."""
+    """The document with the smallest id of each component of texts whose five-word shingles are similar by 0.8 or more:
+    the operator on SimHash fingerprints, in its form that confirms links on the shingle sets."""
     return keep_one_of_similar(docs)
 
 
