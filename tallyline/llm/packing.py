@@ -1,9 +1,11 @@
 """Packing by concatenate and cut: two-pass prefix sums over partition totals, then fixed windows.
 
 Pass one tokenises each partition once and writes (partition, tokens before in the partition, ids) to a table in the
-shared folder. The totals by partition, a number each, are summed on the driver to global offsets. Pass two reads the
+shared folder. A window over the totals by partition, a row each, gives the global offsets. Pass two reads the
 table, adds the offset and cuts: the pieces of a document are its parts in consecutive windows, so every sequence but
 the last is full. No document, id or piece is ever shuffled.
+
+Both passes go over Arrow batches in slices of HELD_BYTES, so that a task holds Python objects of one slice at a time.
 """
 
 from __future__ import annotations
@@ -16,16 +18,20 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import carried, kind_of, shared_dir, text_of
+from .common import bound_batches, kind_of, shared_dir, slices, text_of
 
-#: Chunks whose ids one Python worker remembers; the memory is emptied beyond it, results don't depend on it.
-REMEMBERED = 600_000
+#: Bytes of chunks and ids that one Python worker remembers; the memory is emptied beyond it, results don't depend on it.
+REMEMBERED_BYTES = 96 << 20
+#: Bytes of an entry besides its chunk and ids: two object headers and a place in the table.
+ENTRY_BYTES = 2 * 33 + 100
+#: Chunks longer than this are not remembered.
+LONG_CHUNK = 1 << 10
 #: Texts that a task turns into ids and hands on together, in bytes; one text at least.
 HELD_BYTES = 2 << 20
 #: A mark after an ASCII letter or digit is a pre-token of its own: its ids follow those of the rest of the chunk.
@@ -47,6 +53,7 @@ class ChunkIds(dict):
 
     def __init__(self, path: str):
         super().__init__()
+        self.held = 0
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -68,14 +75,18 @@ class ChunkIds(dict):
         return [b"".join(map(self.__getitem__, (t if b"<|" in t else t.lower()).split())) for t in texts]
 
     def __missing__(self, chunk: bytes) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
         if chunk[-1:] in ENDS and chunk[-2:-1].isalnum():
             ids = self[chunk[:-1]] + self[chunk[-1:]]
         elif LETTERS.fullmatch(word := chunk.decode()):
             ids = self._word(chunk)
         else:
             ids = numbers(self.tokenizer.encode(word, add_special_tokens=False).ids)
+        if len(chunk) > LONG_CHUNK:
+            return ids
+        if self.held > REMEMBERED_BYTES:
+            self.clear()
+            self.held = 0
+        self.held += len(chunk) + len(ids) + ENTRY_BYTES
         self[chunk] = ids
         return ids
 
@@ -90,29 +101,20 @@ def chunk_ids(path: str) -> ChunkIds:
 
 
 def _tokenised(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    rows = docs.select(carried(id_col).alias("doc"), F.encode(text_of(text_col), "UTF-8").alias("data"))
+    rows = docs.select(F.col(id_col).alias("doc"), F.encode(text_of(text_col), "UTF-8").alias("data"))
     end = numbers([end_id])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, part, before = chunk_ids(tokenizer_path), TaskContext.get().partitionId(), 0
+        for batch in slices(batches, "data", HELD_BYTES):
+            ids = [x + end for x in known.ids_of(batch.column("data").to_pylist())]
+            sizes = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
+            ends = before + np.cumsum(sizes)
+            before = int(ends[-1])
+            columns = [batch.column("doc"), pa.array(ends - sizes), pa.array(sizes), pa.array(ids, pa.binary()), pa.array(np.full(len(ids), part, dtype=np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc", "before", "n", "ids", "part"])
 
-        def table(held: list) -> pd.DataFrame:
-            return pd.DataFrame(held, columns=["doc", "before", "n", "ids"]).assign(part=part)
-
-        for batch in batches:
-            docs, datas = batch["doc"].tolist(), batch["data"].map(bytes).tolist()
-            ends = np.cumsum(list(map(len, datas)))
-            at = 0
-            while at < len(docs):
-                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + HELD_BYTES)))
-                held = []
-                for doc, ids in zip(docs[at:to], known.ids_of(datas[at:to]), strict=True):
-                    held.append((doc, before, len(ids) // 4 + 1, ids + end))
-                    before += len(ids) // 4 + 1
-                yield table(held)
-                at = to
-
-    return rows.mapInPandas(run, "doc string, before bigint, n bigint, ids binary, part int")
+    return rows.mapInArrow(run, f"doc {kind_of(docs, id_col)}, before bigint, n bigint, ids binary, part int")
 
 
 def pack(docs: DataFrame, *, tokenizer_path: str, end_id: int, length: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -124,32 +126,34 @@ def pack(docs: DataFrame, *, tokenizer_path: str, end_id: int, length: int, id_c
     ignored, whatever their names; an empty table gives an empty result. A very long text is held by one task, as its
     ids, but by no other.
     """
+    bound_batches(docs)
     spark = docs.sparkSession
     place = f"{shared_dir(spark)}/tokenised-{uuid.uuid4().hex}"
     # Row groups of bounded size: a reader holds one at a time.
-    _tokenised(docs, tokenizer_path, end_id, id_col, text_col).write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(place)
-    table = spark.read.schema("doc string, before bigint, n bigint, ids binary, part int").parquet(place)
-
-    totals = sorted((r["part"], r["total"]) for r in table.groupBy("part").agg(F.sum("n").alias("total")).collect())
-    bases, base = [], 0
-    for part, total in totals:
-        bases.append((part, base))
-        base += total
-    offsets = spark.createDataFrame(bases, "base_part int, base bigint")  # a row for each partition of the input
-
-    placed = table.join(F.broadcast(offsets), F.col("part") == F.col("base_part")).select("doc", (F.col("base") + F.col("before")).alias("at"), "ids")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for doc, at, ids in zip(batch["doc"], batch["at"], batch["ids"], strict=True):
-                n, start, view = len(ids) // 4, 0, memoryview(ids)
-                while start < n:
-                    sequence, offset = divmod(int(at) + start, length)
-                    size = min(n - start, length - offset)
-                    rows.append((doc, start, size, zlib.crc32(view[4 * start : 4 * (start + size)]), n, sequence, offset))
-                    start += size
-            yield pd.DataFrame(rows, columns=["doc", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-
-    pieces = placed.mapInPandas(run, "doc string, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
-    return pieces.withColumn("doc", F.col("doc").cast(kind_of(docs, id_col))).withColumnRenamed("doc", id_col)
+    tokenised = _tokenised(docs, tokenizer_path, end_id, id_col, text_col)
+    tokenised.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(place)
+    table = spark.read.schema(tokenised.schema).parquet(place)
+
+    # A row for each partition of the input, with documents or not: broadcast, and summed by one task.
+    totals = table.groupBy(F.col("part").alias("base_part")).agg(F.sum("n").alias("total"))
+    earlier = Window.orderBy("base_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("base_part", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("base"))
+
+    placed = table.join(F.broadcast(offsets), F.col("part") == F.col("base_part")).select("doc", (F.col("base") + F.col("before")).alias("at"), "n", "ids")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "ids", HELD_BYTES):
+            at, n = batch.column("at").to_numpy(), batch.column("n").to_numpy()
+            pieces = (at + n - 1) // length - at // length + 1  # a document has its end id at least
+            row = np.repeat(np.arange(len(n)), pieces)
+            window = at[row] // length + np.arange(len(row)) - (np.cumsum(pieces) - pieces)[row]
+            begin = np.maximum(at[row], window * length)
+            size = np.minimum(at[row] + n[row], (window + 1) * length) - begin
+            start, ids = begin - at[row], batch.column("ids")
+            views = [memoryview(ids[k].as_buffer()) for k in range(len(n))]
+            crc = [zlib.crc32(views[r][4 * a : 4 * b]) for r, a, b in zip(row.tolist(), start.tolist(), (start + size).tolist(), strict=True)]
+            columns = [batch.column("doc").take(pa.array(row)), pa.array(start), pa.array(size), pa.array(crc, pa.int64()), pa.array(n[row]), pa.array(window), pa.array(begin - window * length)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+
+    kind = kind_of(docs, id_col)
+    return placed.mapInArrow(run, f"doc {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint").withColumnRenamed("doc", id_col)

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, kind_of, text_of
+from .common import bound_batches, carried, kind_of, text_of
 
 KINDS = ("assign", "access", "hex", "github", "npm", "xprv")
 BASE = KINDS[:3]
@@ -137,6 +137,7 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     count as empty: no spans, empty strings. Texts of any length are read whole. Null ids and repeated rows each keep
     their row; other columns are ignored, whatever their names; an empty table gives an empty result.
     """
+    bound_batches(docs)
     rows = docs.select(carried(id_col).alias("doc"), F.encode(text_of(text_col), "UTF-8").alias("data"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -170,6 +171,7 @@ def redact_secrets(docs: DataFrame, *, text_col: str = "text", chars_col: str |
 
     Texts without a secret, null ones included, stay as they are, and so does their ``chars_col``.
     """
+    bound_batches(docs)
     sealed = mark.encode()
 
     @F.pandas_udf("string")

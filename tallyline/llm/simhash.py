@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import UPPER, carried, cut_lineage, text_of, without
+from .common import UPPER, bound_batches, carried, cut_lineage, text_of, without
 from .components import connected_components
 
 RADIUS = 3
@@ -56,6 +56,7 @@ def fingerprint(data: bytes) -> int:
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, fp) per row of ``docs``; a null text counts as empty (fingerprint zero)."""
+    bound_batches(docs)
     rows = docs.select(carried(id_col).alias("doc"), F.encode(text_of(text_col), "UTF-8").alias("data"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

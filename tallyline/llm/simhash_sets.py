@@ -1,8 +1,14 @@
-"""Near-dedup by the exact similarity of shingle sets, candidates by MinHash bands.
+"""SimHash near-dedup on sets of five-word shingles, links confirmed by the exact similarity of the sets.
 
-Texts whose sets of ``WORDS``-word shingles have a Jaccard similarity of LEAST or more link. Candidates share one of
-BANDS keys of ROWS minima each: a pair at 0.8 shares none with a probability of (1 - 0.8^5)^20 = 0.0004, a closer one
-with less. Every candidate is confirmed on the whole sets.
+Texts whose sets of ``WORDS``-word shingles have a Jaccard similarity of LEAST or more link. Candidates share a key:
+
+- the covering tables of ``simhash``: a SimHash fingerprint of the set under each of the 15 masks, so that every pair
+  within RADIUS bits is a candidate;
+- BANDS keys of ROWS minima of the same shingle hashes each. They are needed because fingerprints can't carry this
+  threshold: at a similarity of 0.8 they differ in 10 of 64 bits on average and in up to 17 of them, and masks that
+  cover 17 bits would be 2^18 tables. A pair at 0.8 shares no band with a probability of (1 - 0.8^5)^20 = 0.0004.
+
+Every candidate is confirmed on the whole sets.
 
 Equal sets are one class from the start. Small buckets give all their pairs, at most SMALL - 1 for a member. Members of
 larger ones are compared with one pivot first, which settles groups of near copies; only buckets whose members are then
@@ -19,8 +25,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import UPPER, carried, cut_lineage, filter_blocks, slot, text_of, with_mark, without
+from .common import UPPER, bound_batches, carried, cut_lineage, filter_bits, filter_blocks, slot, text_of, with_mark, without
 from .components import connected_components
+from .simhash import covering_masks
 
 WORDS = 5
 LEAST = 0.8
@@ -30,6 +37,7 @@ ROWS = 5
 SMALL = 32
 BLOCK = 1024
 _LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
+_MASKS = np.array(covering_masks(), dtype=np.uint64)
 _RNG = np.random.default_rng(20)
 _FACTORS = _RNG.integers(1 << 63, size=BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _TERMS = _RNG.integers(1 << 63, size=BANDS * ROWS, dtype=np.uint64)
@@ -49,14 +57,24 @@ def shingles(data: bytes, size: int = WORDS) -> np.ndarray:
     return np.unique(np.array([digest(line[i:j]) for i, j in zip(starts[: len(words) - size + 1].tolist(), ends[size - 1 :].tolist(), strict=True)], dtype=np.uint64))
 
 
-def bands(found: np.ndarray) -> np.ndarray:
-    """A key of each band, as signed integers; none for an empty set."""
+def fingerprint_of(found: np.ndarray) -> np.uint64:
+    """SimHash of a set of 64-bit hashes: a bit is 1 if set in over half of them."""
+    counts = np.zeros(64, dtype=np.int64)
+    for k in range(0, len(found), 1 << 15):
+        counts += np.unpackbits(found[k : k + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > len(found), bitorder="little").view(np.uint64)[0]
+
+
+def keys_of(found: np.ndarray) -> np.ndarray:
+    """The keys that a set of shingle hashes is filed under, of its masked fingerprint and its bands, as signed integers;
+    none for an empty set."""
     if not len(found):
         return np.array([], dtype=np.int64)
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
     for k in range(0, len(found), 2048):
         least = np.minimum(least, (found[None, k : k + 2048] * _FACTORS[:, None] + _TERMS[:, None]).min(axis=1))
-    return np.array([xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(least.reshape(BANDS, ROWS))], dtype=np.uint64).view(np.int64)
+    rows = [*least.reshape(BANDS, ROWS), *(fingerprint_of(found) & _MASKS)]
+    return np.array([xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(rows)], dtype=np.uint64).view(np.int64)
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -68,15 +86,15 @@ def _key(found: np.ndarray) -> int:
 
 
 def _sketches(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(doc, key, n, bands) per row: key names the set, n is its size."""
+    """(doc, key, n, buckets) per row: key names the set, n is its size."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = [(_key(s), len(s), bands(s)) for s in (shingles(bytes(x), size) for x in batch["data"])]
-            yield pd.DataFrame({"doc": batch["doc"], "key": [x[0] for x in out], "n": [x[1] for x in out], "bands": [x[2] for x in out]})
+            out = [(_key(s), len(s), keys_of(s)) for s in (shingles(bytes(x), size) for x in batch["data"])]
+            yield pd.DataFrame({"doc": batch["doc"], "key": [x[0] for x in out], "n": [x[1] for x in out], "buckets": [x[2] for x in out]})
 
     rows = _rows(docs, id_col, text_col).select(carried("doc").alias("doc"), "data")
-    return rows.mapInPandas(run, "doc string, key bigint, n bigint, bands array<bigint>").withColumn("doc", F.col("doc").cast("bigint"))
+    return rows.mapInPandas(run, "doc string, key bigint, n bigint, buckets array<bigint>").withColumn("doc", F.col("doc").cast("bigint"))
 
 
 def _sets(docs: DataFrame, asked: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
@@ -87,8 +105,11 @@ def _sets(docs: DataFrame, asked: DataFrame, id_col: str, text_col: str, size: i
             out = [shingles(bytes(x), size) for x in batch["data"]]
             yield pd.DataFrame({"key": [_key(s) for s in out], "shingles": [s.view(np.int64) for s in out]})
 
-    marked = with_mark(_rows(docs, id_col, text_col).withColumn("slot", slot("doc")), filter_blocks(asked.select(slot("doc").alias("slot"))), "may_be")
-    return marked.where("may_be").select("data").mapInPandas(run, "key bigint, shingles array<bigint>").groupBy("key").agg(F.any_value("shingles").alias("shingles"))
+    rows, bits = _rows(docs, id_col, text_col), filter_bits(asked.count())
+    if bits is not None:
+        mark = slot("doc", bits=bits)
+        rows = with_mark(rows.withColumn("slot", mark), filter_blocks(asked.select(mark.alias("slot"))), "may_be").where("may_be")
+    return rows.select("data").mapInPandas(run, "key bigint, shingles array<bigint>").groupBy("key").agg(F.any_value("shingles").alias("shingles"))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -140,9 +161,10 @@ def similar_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     has a null component_id. Repeated rows keep a row each; other columns are ignored; an empty table gives an empty
     result.
     """
+    bound_batches(docs)
     sketches = cut_lineage(_sketches(docs, id_col, text_col, words))
-    classes = sketches.groupBy("key").agg(F.min("doc").alias("first_doc"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands"))
-    filed = classes.select("key", "n", F.posexplode("bands").alias("band", "value")).select("key", "n", F.xxhash64("band", "value").alias("bucket"))
+    classes = sketches.groupBy("key").agg(F.min("doc").alias("first_doc"), F.any_value("n").alias("n"), F.any_value("buckets").alias("buckets"))
+    filed = classes.select("key", "n", F.explode("buckets").alias("bucket"))
     sizes = filed.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1").select(F.xxhash64("bucket").alias("size_key"), "members")
     shared = cut_lineage(filed.withColumn("bucket_key", F.xxhash64("bucket")).join(sizes, F.col("bucket_key") == F.col("size_key")).select("bucket", "key", "n", "members"))
 
@@ -156,7 +178,7 @@ def similar_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     asked = pairs.unionByName(stars).where(close).select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).where("a < b").distinct()
 
     wanted = shared.select(F.xxhash64("key").alias("w")).distinct()
-    ids = sketches.select("doc", F.xxhash64("key").alias("h")).join(wanted, F.col("h") == F.col("w"), "left_semi").select("doc")
+    ids = cut_lineage(sketches.select("doc", F.xxhash64("key").alias("h")).join(wanted, F.col("h") == F.col("w"), "left_semi").select("doc"))
     sets = cut_lineage(_sets(docs, ids, id_col, text_col, words))
     edges = cut_lineage(_confirmed(asked, sets, least))
     found = connected_components(edges)
@@ -172,6 +194,10 @@ def similar_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
 
 def keep_one_of_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their component, all columns. Rows with a null id are kept."""
+    """The rows of ``docs`` whose id is the smallest of their component, all columns.
+
+    Rows with a null id are kept; rows repeated with their id are kept or dropped together; null and empty texts are one
+    class; an empty table gives an empty result; columns may have any names.
+    """
     found = similar_texts(docs, id_col=id_col, text_col=text_col)
     return without(docs, found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("dropped_id")).distinct(), id_col)

@@ -18,11 +18,15 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, kind_of, text_of
+from .common import bound_batches, carried, kind_of, text_of
 
 SPACE = "▁"
-#: Merged pre-tokens that one Python worker remembers; the memory is emptied beyond it, results don't depend on it.
-REMEMBERED = 800_000
+#: Bytes of merged pre-tokens that one Python worker remembers; the memory is emptied beyond it, results don't depend on it.
+REMEMBERED_BYTES = 128 << 20
+#: Bytes of an entry besides its text: an object header and a place in the table.
+ENTRY_BYTES = 49 + 100
+#: Pre-tokens longer than this are not remembered from one call to the next.
+LONG_KEY = 1 << 10
 #: Characters of text that are cut into pre-tokens together; one text at least.
 TOGETHER = 1 << 20
 
@@ -49,18 +53,27 @@ class PreTokenCosts(dict):
 
     def fresh(self) -> None:
         self.clear()
+        self.held = 0
         self.update(dict.fromkeys(self.single, 1))
         self[""] = len(self.model.encode("\n")) - 1  # a space mark alone: the text is the mark and the line feed
 
     def learn(self, keys: set[str]) -> None:
         """Afterwards all of ``keys`` are known."""
         new = list(keys.difference(self))
-        if len(self) + len(new) > REMEMBERED + len(self.single):
+        self.held += sum(map(len, new)) + ENTRY_BYTES * len(new)
+        if self.held > REMEMBERED_BYTES:
             self.fresh()
             new = list(keys.difference(self))
+            self.held = sum(map(len, new)) + ENTRY_BYTES * len(new)
         for key, ids in zip(new, self.model.encode(new, num_threads=1), strict=True):
             self[key] = len(ids) - (2 if key[0] == "\n" else 0)  # without the marks put in front
 
+    def forget_long(self, keys: set[str]) -> None:
+        for key in keys:
+            if len(key) > LONG_KEY and key in self:
+                del self[key]
+                self.held -= len(key) + ENTRY_BYTES
+
 
 def pre_tokens(text: str) -> list[str]:
     """Keys of the pre-tokens of a text; one line feed token goes between lines besides."""
@@ -96,8 +109,10 @@ def counts_of(texts: list[str], path: str) -> list[int]:
             size += len(texts[to])
             to += 1
         keys = [pre_tokens(text) if text else [] for text in texts[at:to]]
-        known.learn(set(chain.from_iterable(keys)))
+        distinct = set(chain.from_iterable(keys))
+        known.learn(distinct)
         out += [sum(map(known.__getitem__, ks)) + text.count("\n") for ks, text in zip(keys, texts[at:to], strict=True)]
+        known.forget_long(distinct)
         at = to
     return out
 
@@ -108,6 +123,7 @@ def token_counts(docs: DataFrame, *, model_path: str, limit: int, id_col: str =
     Null texts count as empty: 0 bytes, 0 tokens. Texts are counted whole. Null ids and repeated rows each keep their
     row; other columns are ignored, whatever their names; an empty table gives an empty result.
     """
+    bound_batches(docs)
     rows = docs.select(carried(id_col).alias("doc"), F.octet_length(text_of(text_col)).cast("bigint").alias("n_bytes"), text_of(text_col).alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -7,7 +7,7 @@ regression on the scaled features with Spark ML. Score: one pass over all texts
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,7 +18,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, cut_lineage, hash_sample, kind_of, text_of
+from .common import bound_batches, carried, cut_lineage, hash_sample, kind_of, text_of
 
 #: Labelled rows that the classifier is fitted on, at most: those with the smallest hash of their id.
 TRAIN_ROWS = 16_000
@@ -62,10 +62,16 @@ class ToxicityModel:
     weights: np.ndarray
     intercept: float
 
-    def scores(self, texts: Iterator[str]) -> list[float]:
-        table = np.zeros(1 << BUCKET_BITS, dtype=np.float64)
-        chosen = np.zeros(1 << BUCKET_BITS, dtype=bool)
-        table[self.buckets], chosen[self.buckets] = self.weights, True
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_tables"}
+
+    def scores(self, texts: Iterable[str]) -> list[float]:
+        if not hasattr(self, "_tables"):  # made once where the model is used, never sent
+            table = np.zeros(1 << BUCKET_BITS, dtype=np.float64)
+            chosen = np.zeros(1 << BUCKET_BITS, dtype=bool)
+            table[self.buckets], chosen[self.buckets] = self.weights, True
+            self._tables = table, chosen
+        table, chosen = self._tables
         sums = (self.intercept + table[present(text, chosen)].sum() for text in texts)
         return [float(1 / (1 + np.exp(-np.clip(s, -500, 500)))) for s in sums]
 
@@ -88,6 +94,7 @@ def _training_texts(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
     """Fits on labelled rows outside the held-out fold; without rows of both classes the score is the base rate."""
+    bound_batches(docs)
     texts = _training_texts(docs, labels, id_col, text_col, label_col)
 
     totals = {r["label"]: r["count"] for r in texts.groupBy("label").count().collect()}
@@ -137,6 +144,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc_
     Null ids and repeated rows each keep their row; other columns are ignored, whatever their names; an empty table
     gives an empty result.
     """
+    bound_batches(docs)
     rows = docs.select(carried(id_col).alias("doc"), text_of(text_col).alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -149,7 +157,8 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc_
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that score under 0.5, all columns. Each text is scored in the row that holds it."""
+    """The rows of ``docs`` that score under 0.5, all columns. Each text is scored in the row that holds it: null counts
+    as empty, rows with a null id and repeated ones are judged by their text like others, and an empty table stays empty."""
     model = fit_toxicity(docs, labels, id_col=id_col, text_col=text_col)
 
     @F.pandas_udf("double")

@@ -8,7 +8,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tallyline.llm import secrets, simhash
+from tallyline.llm import secrets
 
 SF = "/root/testdata/sf0.001"
 
@@ -57,7 +57,11 @@ def test_exact_dedup(stages):
 def test_near_dedup(stages):
     docs, result = map(by_id, stages[2])
     ids = sorted(docs)
-    prints = [simhash.fingerprint((docs[i]["text"] or "").encode()) & (2**64 - 1) for i in ids]
+    sets = []
+    for i in ids:
+        words = "".join(c.lower() if c.isascii() else c for c in docs[i]["text"] or "").replace("\x0b", " ").replace("\x0c", " ").replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" ")
+        words = [w for w in words if w]
+        sets.append({tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set())
     root = list(range(len(ids)))
 
     def find(i):
@@ -65,9 +69,9 @@ def test_near_dedup(stages):
             i = root[i]
         return i
 
-    for i in range(len(ids)):
-        for j in range(i):
-            if (prints[i] ^ prints[j]).bit_count() <= 3:
+    for i, one in enumerate(sets):
+        for j, two in enumerate(sets[:i]):
+            if len(one & two) >= 0.8 * len(one | two):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
     assert set(result) == {ids[find(i)] for i in range(len(ids))} and all(docs[i] == result[i] for i in result)

@@ -3,7 +3,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from tallyline.llm import minhash
+from tallyline.llm import simhash_sets
 
 WORDS = [f"w{k}" for k in range(5000)]
 
@@ -47,11 +47,11 @@ def brute(texts):
 
 @pytest.mark.parametrize(("small", "block"), [(32, 1024), (3, 5)])
 def test_components_against_brute_force(spark, monkeypatch, small, block):
-    monkeypatch.setattr(minhash, "SMALL", small)
-    monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(simhash_sets, "SMALL", small)
+    monkeypatch.setattr(simhash_sets, "BLOCK", block)
     texts = corpus()
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    got = {r["doc_id"]: r["component_id"] for r in minhash.similar_texts(docs).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in simhash_sets.similar_texts(docs).collect()}
     assert [got[i] for i in range(len(texts))] == brute(texts)
 
 
@@ -65,5 +65,17 @@ def test_stage_drops_near_copies_that_the_fingerprints_miss(spark):
 def test_null_ids_and_repeated_rows(spark):
     rows = [(None, "a b c d e f"), (None, "a b c d e f"), (7, "a b c d e f"), (3, "A b c d e f"), (3, "A b c d e f"), (9, "x")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    assert sorted(r["doc_id"] or -1 for r in minhash.keep_one_of_similar(docs).collect()) == [-1, -1, 3, 3, 9]
-    assert minhash.keep_one_of_similar(docs.limit(0)).count() == 0
+    assert sorted(r["doc_id"] or -1 for r in simhash_sets.keep_one_of_similar(docs).collect()) == [-1, -1, 3, 3, 9]
+    assert simhash_sets.keep_one_of_similar(docs.limit(0)).count() == 0
+
+
+def test_pairs_within_the_radius_share_a_masked_key():
+    rng = random.Random(3)
+    for _ in range(30):
+        words = rng.choices(WORDS, k=400)
+        near = list(words)
+        near[rng.randrange(400)] = "changed"
+        a, b = (simhash_sets.shingles(" ".join(w).encode()) for w in (words, near))
+        prints = [simhash_sets.fingerprint_of(x) for x in (a, b)]
+        if (int(prints[0]) ^ int(prints[1])).bit_count() <= 3:
+            assert set(simhash_sets.keys_of(a)[simhash_sets.BANDS :].tolist()) & set(simhash_sets.keys_of(b)[simhash_sets.BANDS :].tolist())

@@ -33,8 +33,9 @@ def test_ids_are_the_librarys(text):
 
 def test_memory_bound_changes_no_result(monkeypatch):
     rows = [f"w{i} and v{i}x\ny{i}" for i in range(60)]
-    monkeypatch.setattr(token_counts, "REMEMBERED", 7)
-    monkeypatch.setattr(packing, "REMEMBERED", 7)
+    monkeypatch.setattr(token_counts, "REMEMBERED_BYTES", 1500)
+    monkeypatch.setattr(token_counts, "LONG_KEY", 4)
+    monkeypatch.setattr(packing, "REMEMBERED_BYTES", 1500)
     assert token_counts.counts_of(rows, MODEL) == [len(x) for x in LIBRARY.encode(rows)]
     known = packing.ChunkIds(WORDS)
     assert [np.frombuffer(known.ids_of([r.encode()])[0], dtype="<u4").tolist() for r in rows] == [e.ids for e in TOKENIZER.encode_batch(rows, add_special_tokens=False)]
