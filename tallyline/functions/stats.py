@@ -1,18 +1,45 @@
 """Aggregates and scalar helpers with one null rule each.
 
-Sums of measures are taken over DECIMAL(18,4), so that they do not depend on the order of the rows; means and deviations
-follow from them in double precision. Every aggregate works on groups or, given ``over``, on a window.
+Aggregates are in double precision. Within ``exact_sums(places)``, for measures whose scale is known, sums are taken over
+DECIMAL(18, places), so that they do not depend on the order of the rows, and means and deviations follow from them. Every
+aggregate works on groups or, given ``over``, on a window.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-EXACT = "decimal(18,4)"
+_PLACES: ContextVar[int | None] = ContextVar("places", default=None)
+
+
+@contextmanager
+def exact_sums(places: int | None) -> Iterator[None]:
+    """Columns built within it sum over decimals of so many places; None: in double precision."""
+    token = _PLACES.set(places)
+    try:
+        yield
+    finally:
+        _PLACES.reset(token)
+
+
+def sums_are_exact() -> bool:
+    return _PLACES.get() is not None
+
+
+def measure_type(digits: int = 18, places: int | None = None) -> str:
+    """Type in which measures are added up; ``places`` in place of the setting's, where sums are exact."""
+    return "double" if _PLACES.get() is None else f"decimal({digits},{_PLACES.get() if places is None else places})"
+
+
+def measure(x: str | Column, places: int | None = None) -> Column:
+    """A value as it is added up."""
+    return col(x).cast(measure_type(places=places))
 
 
 def col(x: str | Column) -> Column:
@@ -25,7 +52,7 @@ def _of(aggregate: Column, over: WindowSpec | None) -> Column:
 
 def total(x: str | Column, over: WindowSpec | None = None) -> Column:
     """Sum; null where there is no value."""
-    return _of(F.sum(col(x).cast(EXACT)), over).cast("double")
+    return _of(F.sum(measure(x)), over).cast("double")
 
 
 def total0(x: str | Column, over: WindowSpec | None = None) -> Column:
@@ -37,14 +64,18 @@ def mean(x: str | Column, over: WindowSpec | None = None) -> Column:
     return safe_div(total(x, over), _of(F.count(col(x)), over))
 
 
-def _squares(x: str | Column, over: WindowSpec | None) -> Column:
-    exact = col(x).cast(EXACT)
-    return _of(F.sum(exact * exact), over).cast("double")
+def squared_deviations(x: str | Column, over: WindowSpec | None = None) -> Column:
+    """Sum of the squared differences to the mean."""
+    n = _of(F.count(col(x)), over)
+    if not sums_are_exact():
+        return _of(F.var_pop(col(x).cast("double")), over) * n
+    s = total(x, over)
+    return _of(F.sum(measure(x) * measure(x)), over).cast("double") - s * s / n
 
 
 def _spread(x: str | Column, over: WindowSpec | None, less: int, least: int) -> Column:
-    n, s = _of(F.count(col(x)), over), total(x, over)
-    return F.when(n >= least, F.sqrt(F.greatest(_squares(x, over) - s * s / n, F.lit(0.0)) / (n - less)))
+    n = _of(F.count(col(x)), over)
+    return F.when(n >= least, F.sqrt(F.greatest(squared_deviations(x, over), F.lit(0.0)) / (n - less)))
 
 
 def std_samp(x: str | Column, over: WindowSpec | None = None, least: int = 2) -> Column:
@@ -99,17 +130,17 @@ def existing(df: DataFrame, names: Iterable[str]) -> list[str]:
     return [n for n in names if n in df.columns]
 
 
-def first_known(x: str | Column, order: str | Column) -> Column:
-    """First non-null value in the given order."""
-    return F.min_by(col(x), F.when(col(x).isNotNull(), col(order)))
-
-
 def name_key(x: str | Column) -> Column:
     """Comparison key of a name: lower case, no dots, double spaces as one, one suffix of jr, sr, ii, iii, iv cut."""
     plain = F.regexp_replace(F.replace(F.lower(F.trim(col(x))), F.lit("."), F.lit("")), "  ", " ")
     return F.regexp_replace(plain, r" (jr|sr|ii|iii|iv)$", "")
 
 
+def title_case(x: str | Column) -> Column:
+    """A name for show: single spaces, the first letter of each word in upper case."""
+    return F.initcap(F.lower(F.regexp_replace(F.trim(col(x)), r"\s+", " ")))
+
+
 def label(fmt: str, *parts: str | Column) -> Column:
     """Text from numbers and names, as printf does."""
     return F.format_string(fmt, *map(col, parts))

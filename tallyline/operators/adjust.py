@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import notes, rounded
+from ..functions.stats import measure, notes, rounded
 from .matchup import ratio_multiplier
+from .ranks import rank_min
 
 
 def scheme_adjustments(entities: DataFrame, rules: DataFrame, profiles: DataFrame, *, measures: tuple[str, str]) -> DataFrame:
@@ -27,7 +28,7 @@ def scheme_adjustments(entities: DataFrame, rules: DataFrame, profiles: DataFram
 
 def combine_adjustments(schemes: DataFrame, manual: DataFrame, *, keys: list[str], digits: int | None = 4) -> DataFrame:
     """Sum of schemes s and manual m by key: total = (1 + s)(1 + m) - 1, and a note of what applied."""
-    s = schemes.groupBy(*keys).agg(F.sum(F.col("scheme").cast("decimal(18,6)")).cast("double").alias("scheme"), F.array_join(F.array_sort(F.collect_set("label")), ", ").alias("labels"))
+    s = schemes.groupBy(*keys).agg(F.sum(measure("scheme", places=6)).cast("double").alias("scheme"), F.array_join(F.array_sort(F.collect_set("label")), ", ").alias("labels"))
     m = manual.groupBy(*keys).agg(F.max("pct").alias("manual"), F.max("reason").alias("reason"))
     both = s.join(m, keys, "full_outer").withColumns({"scheme": F.coalesce("scheme", F.lit(0.0)), "manual": F.coalesce("manual", F.lit(0.0))})
     said = F.when(F.col("reason").isNotNull(), F.concat(F.lit("Manual: "), F.col("reason")))
@@ -35,9 +36,27 @@ def combine_adjustments(schemes: DataFrame, manual: DataFrame, *, keys: list[str
 
 
 def apply_adjustments(projections: DataFrame, adjustments: DataFrame, *, keys: list[str], value: str, segment: str, updates: DataFrame | None = None, digits: int | None = 1) -> DataFrame:
-    """Adds adjusted (value x (1 + total)) and its rank in the segment (ties share the smallest); ``updates`` (keys,
-    new_unit) replaces the unit. Without an adjustment the value stays."""
+    """Adds adjusted (value x (1 + total)) and its ranks in the segment and overall (ties share the smallest); ``updates``
+    (keys, new_unit) replaces the unit. Without an adjustment the value stays."""
     out = projections.join(adjustments.select(*keys, "total"), keys, "left").withColumn("adjusted", rounded(F.col(value) * (1 + F.coalesce("total", F.lit(0.0))), digits))
     if updates is not None:
         out = out.join(updates.select(*keys, "new_unit"), keys, "left").withColumn("unit", F.coalesce("new_unit", "unit")).drop("new_unit")
-    return out.withColumn("segment_rank", F.rank().over(Window.partitionBy(segment).orderBy(F.col("adjusted").desc_nulls_last())))
+    return rank_min(rank_min(out, value="adjusted", within=[segment], name="segment_rank"), value="adjusted", name="overall_rank")
+
+
+def resolve_segments(asked: DataFrame, history: DataFrame, *, entity: str, unit: str, segment: str, season: str, default: str = "WR") -> DataFrame:
+    """``asked`` (entity, unit) with the segment in which the history (entity, unit, season, segment) last has the entity:
+    at that unit, else at any unit, else ``default``. Of a season's several segments the first in order."""
+    latest = F.min_by(segment, F.struct(-F.col(season), F.col(segment)))
+    here = history.groupBy(entity, unit).agg(latest.alias("here"))
+    anywhere = history.groupBy(entity).agg(latest.alias("anywhere"))
+    return asked.join(here, [entity, unit], "left").join(anywhere, entity, "left").withColumn(segment, F.coalesce("here", "anywhere", F.lit(default))).drop("here", "anywhere")
+
+
+def scheme_profiles(history: DataFrame, wanted: DataFrame, *, unit: str, segment: str, season: str, measures: list[str], games: str) -> DataFrame:
+    """Games-weighted means of the measures for each of ``wanted`` (profile, unit, seasons array, segment): a rule's own list of
+    seasons, met by an equi-join on unit, season and segment. Null measures count as 0, games as 1 at least."""
+    years = wanted.select("profile", unit, segment, F.explode("seasons").alias(season)).distinct()
+    w = F.greatest(F.coalesce(F.col(games), F.lit(0)), F.lit(1))
+    means = [(F.sum(measure(F.coalesce(F.col(m), F.lit(0.0)) * w)).cast("double") / F.sum(w)).alias(m) for m in measures]
+    return years.join(history, [unit, segment, season]).groupBy("profile", unit, segment).agg(*means)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import name_key
+from .lineup import top_of_each
+from .ranks import rank_min
 
 
 def compare_ranks(ours: DataFrame, theirs: DataFrame, *, name: str, segment: str, value: str, band: int = 8) -> DataFrame:
@@ -15,7 +17,7 @@ def compare_ranks(ours: DataFrame, theirs: DataFrame, *, name: str, segment: str
 
     def side(df: DataFrame, prefix: str) -> DataFrame:
         one = df.groupBy(name_key(name).alias("name_key"), F.col(segment)).agg(F.min(name).alias(f"{prefix}_name"), F.max(value).alias(f"{prefix}_value"))
-        return one.withColumn(f"{prefix}_rank", F.rank().over(Window.partitionBy(segment).orderBy(F.col(f"{prefix}_value").desc_nulls_last())))
+        return rank_min(one, value=f"{prefix}_value", within=[segment], name=f"{prefix}_rank")
 
     both = side(ours, "our").join(side(theirs, "their"), ["name_key", segment], "full_outer")
     both = both.withColumn("rank_diff", F.col("their_rank") - F.col("our_rank"))
@@ -23,6 +25,17 @@ def compare_ranks(ours: DataFrame, theirs: DataFrame, *, name: str, segment: str
     return both.withColumn("verdict", verdict)
 
 
+def missed_top(compared: DataFrame, *, n: int = 24) -> DataFrame:
+    """The other side's first ``n`` of a segment that we rank behind ``n`` or not at all."""
+    return compared.where((F.col("their_rank") <= n) & (F.col("our_rank").isNull() | (F.col("our_rank") > n)))
+
+
+def agreement(compared: DataFrame, *, segment: str, n: int = 12) -> DataFrame:
+    """Our first ``n`` of each segment that both sides rank, with their place."""
+    both = compared.where(F.col("our_rank").isNotNull() & F.col("their_rank").isNotNull())
+    return top_of_each(both.withColumn("best_first", -F.col("our_rank")), within=[segment], value="best_first", tie="name_key", n=n).drop("best_first")
+
+
 def verdict_counts(compared: DataFrame, *, segment: str) -> DataFrame:
     """Verdicts by segment, one column each."""
     return compared.groupBy(segment).pivot("verdict", ["agree", "higher", "lower", "only_ours", "only_theirs"]).count().fillna(0)

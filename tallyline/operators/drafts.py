@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import mean, right_closed, safe_div
+from ..functions.stats import mean, right_closed, rounded, safe_div
 
 
 def snake(pick: Column, teams: int) -> dict[str, Column]:
@@ -45,7 +45,9 @@ def winners(picks: DataFrame, table: DataFrame, *, draft: str, roster: str, scor
 def top_entities(rows: DataFrame, *, entity: str, draft: str, labels: list[str], measures: list[str], top: int, order: str = "pick") -> DataFrame:
     """Entities by the number of drafts that hold them: first known labels by ``order``, mean measures; the ``top`` ones."""
     first = [F.min_by(c, F.when(F.col(c).isNotNull(), F.struct(order, draft))).alias(c) for c in labels]
-    found = rows.where(F.col(entity).isNotNull()).groupBy(entity).agg(F.countDistinct(draft).alias("drafts"), *first, *[mean(m).alias(f"mean_{m}") for m in measures])
+    held = rows.where(F.col(entity).isNotNull())
+    drafts = held.select(entity, draft).distinct().groupBy(entity).agg(F.count(draft).alias("drafts"))
+    found = drafts.join(held.groupBy(entity).agg(*first, *[mean(m).alias(f"mean_{m}") for m in measures]), entity)
     return found.orderBy(F.col("drafts").desc(), entity).limit(top)
 
 
@@ -60,7 +62,7 @@ def phase_average(rows: DataFrame, *, round_col: str, column: str, values: list[
     spark = rows.sparkSession
     n = F.lit(drafts).alias("n_drafts") if drafts is not None else F.countDistinct(draft).alias("n_drafts")
     total = rows.agg(n) if drafts is None else spark.range(1).select(n)
-    phases = spark.createDataFrame([(x,) for x in labels], "phase string")
+    phases = spark.range(1).select(F.explode(F.array(*map(F.lit, labels))).alias("phase"))
     counted = pivot_counts(rows.withColumn("phase", right_closed(round_col, edges, labels)), by="phase", column=column, values=values).drop("total")
     return phases.join(counted, "phase", "left").crossJoin(F.broadcast(total)).select("phase", *[safe_div(F.coalesce(v, F.lit(0)), "n_drafts").alias(v) for v in values])  # one row
 
@@ -94,6 +96,22 @@ def report(rows: DataFrame, *, draft: str, roster: str, round_col: str, column:
     return figures.crossJoin(means).crossJoin(commonest)  # one row each
 
 
+def slot_distribution(rosters: DataFrame, *, draft: str, slot: str) -> DataFrame:
+    """Winning slots by count; a draft counts once for a slot."""
+    return rosters.select(draft, slot).distinct().groupBy(slot).agg(F.count("*").alias("drafts"))
+
+
+def early_mix(rows: DataFrame, *, round_col: str, column: str, rounds: int = 2) -> DataFrame:
+    """Picks of each value in each of the first rounds."""
+    return rows.where(F.col(round_col) <= rounds).groupBy(round_col, column).agg(F.count("*").alias("picks"))
+
+
+def composition(rows: DataFrame, *, draft: str, column: str, digits: int | None = 1) -> DataFrame:
+    """Picks of each value per draft."""
+    n = rows.select(draft).distinct().agg(F.count("*").alias("n_drafts"))  # one row
+    return rows.groupBy(column).agg(F.count("*").alias("picks")).crossJoin(F.broadcast(n)).select(column, rounded(safe_div("picks", "n_drafts"), digits).alias("per_draft"))
+
+
 def available(ranked: DataFrame, picks: DataFrame, *, draft: str, entity: str) -> DataFrame:
     """Ranked entities that a draft has not taken, for each draft."""
     drafts = picks.select(draft).distinct()
@@ -119,6 +137,16 @@ def needs(rosters: DataFrame, targets: DataFrame, *, roster: str, position: str)
     return every.join(have, [roster, position], "left").select(roster, position, F.coalesce("have", F.lit(0)).alias("have"), (F.col("target") - F.coalesce("have", F.lit(0))).alias("need"))
 
 
+def need_candidates(needed: DataFrame, pool: DataFrame, *, roster: str, position: str, pick: str, market: str, entity: str, before: int = 5, after: int = 18, top: int = 3) -> DataFrame:
+    """roster, position, entity, is_near, place: for each position that a roster still needs (need > 0) the ``top`` available
+    entities whose market rank is near its pick, by rank; where none is near, the best of the position."""
+    met = needed.where("need > 0").select(roster, position, pick).join(pool.select(roster, position, entity, market), [roster, position])
+    near = F.col(market).between(F.col(pick) - before, F.col(pick) + after)
+    every = Window.partitionBy(roster, position)
+    told = met.withColumn("is_near", near).withColumn("any_near", F.max("is_near").over(every)).where("is_near OR NOT any_near")
+    return told.withColumn("place", F.row_number().over(every.orderBy(F.col(market).asc_nulls_last(), entity))).where(F.col("place") <= top).select(roster, position, entity, "is_near", "place")
+
+
 def stack_targets(rosters: DataFrame, pool: DataFrame, *, roster: str, entity: str, unit: str, pick: str, market: str, band: int = 20) -> DataFrame:
     """Available entities of the units that a roster holds, those near the pick first."""
     held = rosters.groupBy(roster, unit).agg(F.max(pick).alias("at_pick"), F.count("*").alias("mates"))
@@ -133,9 +161,17 @@ def fallen(pool: DataFrame, *, pick: str, market: str) -> DataFrame:
     return pool.withColumn("fell", F.when(F.col(pick) > F.col(market), F.col(pick) - F.col(market)))
 
 
-def scarcity(pool: DataFrame, *, draft: str, position: str, market: str, first: int, second: int) -> DataFrame:
-    """Entities left by position, in all and within the first and second market ranks."""
-    return pool.groupBy(draft, position).agg(F.count("*").alias("left_over"), F.count_if(F.col(market) <= first).alias("left_first"), F.count_if(F.col(market) <= second).alias("left_second"))
+def scarcity(ranked: DataFrame, picks: DataFrame, *, draft: str, entity: str, position: str, market: str, first: int, second: int) -> DataFrame:
+    """Entities left by draft and position, in all and within the first and second market ranks: the totals of a position
+    less what the draft has taken of it, so the pools themselves are never made. Positions with none left are left out."""
+
+    def counts() -> list[Column]:
+        return [F.count("*").alias("all"), F.count_if(F.col(market) <= first).alias("first"), F.count_if(F.col(market) <= second).alias("second")]
+
+    taken = picks.select(draft, entity).distinct().join(ranked, entity).groupBy(draft, position).agg(*[c.alias(n) for c, n in zip(counts(), ("t_all", "t_first", "t_second"), strict=True)])
+    every = picks.select(draft).distinct().crossJoin(F.broadcast(ranked.groupBy(position).agg(*counts())))  # a row for each of a few positions
+    left = every.join(taken, [draft, position], "left").select(draft, position, *[(F.col(n) - F.coalesce(f"t_{n}", F.lit(0))).alias(out) for n, out in (("all", "left_over"), ("first", "left_first"), ("second", "left_second"))])
+    return left.where("left_over > 0")
 
 
 def bye_clusters(rosters: DataFrame, *, roster: str, bye: str, entity: str) -> DataFrame:
@@ -155,7 +191,12 @@ def first_source(sources: list[DataFrame], *, key: str) -> DataFrame:
 
 def export(picks: DataFrame, projections: DataFrame, market: DataFrame, totals: DataFrame, *, draft: str, roster: str, entity: str) -> DataFrame:
     """The draft table: each pick with its projection, market rank and the roster's total."""
-    one = lambda df: df.dropDuplicates([entity])
+
+    def one(df: DataFrame) -> DataFrame:
+        """A row for each entity, the smallest of several."""
+        rest = [c for c in df.columns if c != entity]
+        return df.groupBy(entity).agg(F.min(F.struct(*rest)).alias("__row")).select(entity, "__row.*")
+
     return picks.join(one(projections), entity, "left").join(one(market), entity, "left").join(totals, [draft, roster], "left")
 
 

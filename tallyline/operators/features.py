@@ -56,10 +56,13 @@ def variance(facts: DataFrame, *, keys: list[str], measure: str, least: int = 6)
     return facts.groupBy(*keys).agg(mean(measure).alias("mean_points"), std_samp(measure).alias("std_points"), F.count(measure).alias("n")).where(F.col("n") >= least)
 
 
-def consistency(facts: DataFrame, *, keys: list[str], measure: str, least: int = 4, least_mean: float = 1.0) -> DataFrame:
-    """Coefficient of variation by key; null unless the mean is above ``least_mean``."""
-    spread = variance(facts, keys=keys, measure=measure, least=least)
-    return spread.withColumn("cv", F.when(F.col("mean_points") > least_mean, F.col("std_points") / F.col("mean_points")))
+def consistency(facts: DataFrame, *, keys: list[str], measure: str, least: int = 4, least_mean: float = 1.0, share: str | None = None, digits: tuple[int, int] | None = None) -> DataFrame:
+    """Coefficient of variation by key; null unless the mean is above ``least_mean``. With ``share``, its sample deviation
+    as well (share_std), null under ``least`` values. ``digits``: of cv and share_std."""
+    known = facts.where(F.col(measure).isNotNull())
+    more = [] if share is None else [rounded(std_samp(share, least=least), digits and digits[1]).alias("share_std")]
+    spread = known.groupBy(*keys).agg(mean(measure).alias("mean_points"), std_samp(measure).alias("std_points"), F.count(measure).alias("n"), *more).where(F.col("n") >= least)
+    return spread.withColumn("cv", rounded(F.when(F.col("mean_points") > least_mean, F.col("std_points") / F.col("mean_points")), digits and digits[0]))
 
 
 def boom_outlook(prior: DataFrame, matchups: DataFrame, *, on: list[str], rate: str, advantage: str, most: float = 0.95) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import rounded, std_pop
+from ..functions.stats import measure, measure_type, rounded, std_pop, total
 
 #: Starters by position, and the positions that may fill the one flexible place.
 LINEUP = {"QB": 1, "RB": 2, "WR": 3, "TE": 1}
@@ -34,26 +34,26 @@ def lineup_weeks(points: DataFrame, *, roster: list[str], starters: dict[str, in
     for position, n in starters.items():
         limit = F.when(F.col("position") == position, n).otherwise(limit)
     placed = points.withColumn("place", F.row_number().over(w)).withColumn("starts", F.col("place") <= limit)
-    starting = F.coalesce(F.sum(F.when(F.col("starts"), F.col("points").cast("decimal(18,4)"))), F.lit(0))
-    best = F.coalesce(F.max(F.when(~F.col("starts") & F.col("position").isin(*flex), F.col("points").cast("decimal(18,4)"))), F.lit(0))
+    starting = F.coalesce(F.sum(F.when(F.col("starts"), measure("points"))), F.lit(0))
+    best = F.coalesce(F.max(F.when(~F.col("starts") & F.col("position").isin(*flex), measure("points"))), F.lit(0))
     return placed.groupBy(*roster, "week").agg((starting + best).cast("double").alias("week_points"))
 
 
 def lineup_scores(rosters: DataFrame, projections: DataFrame, *, roster: list[str], weeks: int = 14, starters: dict[str, int] | None = None, flex: tuple[str, ...] = FLEX, digits: int | None = 1) -> DataFrame:
     """roster..., score: the sum of all weeks; 0 for rosters without an active entity."""
     found = lineup_weeks(weekly_points(rosters, projections, roster=roster, weeks=weeks), roster=roster, starters=starters, flex=flex)
-    sums = found.groupBy(*roster).agg(F.sum(F.col("week_points").cast("decimal(18,4)")).cast("double").alias("score"))
+    sums = found.groupBy(*roster).agg(total("week_points").alias("score"))
     return rosters.select(*roster).distinct().join(sums, roster, "left").select(*roster, rounded(F.coalesce("score", F.lit(0.0)), digits).alias("score"))
 
 
 def _score(by_position: dict[str, Column], starters: dict[str, int], flex: tuple[str, ...]) -> Column:
     """Score of a week from sorted arrays (high to low) of points by position."""
-    zero = F.lit(0).cast("decimal(18,4)")
+    zero, kind = F.lit(0).cast(measure_type()), measure_type(28)
 
     def added(a: Column) -> Column:
-        return F.aggregate(a, F.lit(0).cast("decimal(28,4)"), lambda s, x: (s + x).cast("decimal(28,4)"))
+        return F.aggregate(a, F.lit(0).cast(kind), lambda s, x: (s + x).cast(kind))
 
-    out = F.lit(0).cast("decimal(28,4)")
+    out = F.lit(0).cast(kind)
     rest = []
     for position, n in starters.items():
         out = out + added(F.slice(by_position[position], 1, n))
@@ -73,11 +73,11 @@ def marginal_values(rosters: DataFrame, candidates: DataFrame, projections: Data
     """
     starters = starters or LINEUP
     mine = weekly_points(rosters, projections, roster=[roster], weeks=weeks)
-    held = mine.select(roster, "week", "position", F.col("points").cast("decimal(18,4)").alias("points"))
+    held = mine.select(roster, "week", "position", measure("points").alias("points"))
     arrays = [F.reverse(F.array_sort(F.collect_list(F.when(F.col("position") == p, F.col("points"))))).alias(f"of_{p}") for p in starters]
     every = rosters.select(roster).unionByName(candidates.select(roster)).distinct()  # also rosters without an entity yet
     frame = every.withColumn("week", F.explode(F.sequence(F.lit(1), F.lit(weeks))))
-    empty = F.array().cast("array<decimal(18,4)>")
+    empty = F.array().cast(f"array<{measure_type()}>")
     base = frame.join(held.groupBy(roster, "week").agg(*arrays), [roster, "week"], "left").select(roster, "week", *[F.coalesce(f"of_{p}", empty).alias(f"of_{p}") for p in starters])
     base = base.withColumn("now", _score({p: F.col(f"of_{p}") for p in starters}, starters, flex))
     byes = rosters.join(projections.groupBy("entity").agg(F.max("bye").alias("week")), "entity").where("week IS NOT NULL").select(roster, F.col("week").cast("int").alias("week"), F.lit(True).alias("is_bye")).distinct()
@@ -85,19 +85,19 @@ def marginal_values(rosters: DataFrame, candidates: DataFrame, projections: Data
     low = usable.withColumns({"spread": std_pop("now", Window.partitionBy(roster)), "place": F.row_number().over(Window.partitionBy(roster).orderBy("now", "week"))})
     weak = low.where((F.col("spread") >= least_spread) & (F.col("place") <= weak_weeks)).select(roster, "week", F.lit(1).alias("weak"))
     base = base.join(weak, [roster, "week"], "left")
-    theirs = weekly_points(candidates, projections, roster=[roster], weeks=weeks).select(roster, "week", "entity", "position", F.col("points").cast("decimal(18,4)").alias("points"))
+    theirs = weekly_points(candidates, projections, roster=[roster], weeks=weeks).select(roster, "week", "entity", "position", measure("points").alias("points"))
     tried = theirs.join(base, [roster, "week"])
     with_it = {p: F.when(F.col("position") == p, F.reverse(F.array_sort(F.array_append(F.col(f"of_{p}"), F.col("points"))))).otherwise(F.col(f"of_{p}")) for p in starters}
     tried = tried.withColumn("then", _score(with_it, starters, flex))
-    change = (F.col("then") - F.col("now")).cast("decimal(18,4)")
-    weak_change = (F.round("then", 1) - F.round("now", 1)).cast("decimal(18,4)")
+    change = measure(F.col("then") - F.col("now"))
+    weak_change = measure(F.round("then", 1) - F.round("now", 1))
     gains = tried.groupBy(roster, "entity").agg(F.sum(change).cast("double").alias("gain"), F.coalesce(F.sum(F.when(F.col("weak") == 1, weak_change)).cast("double"), F.lit(0.0)).alias("weak_gain"))
     return gains.withColumns({"gain": rounded(F.col("gain"), digits), "weak_gain": rounded(F.col("weak_gain"), digits)}).where("gain > 0")
 
 
 def raw_value_rank(candidates: DataFrame, projections: DataFrame, *, weeks: int = 14, per_position: int = 2, top: int = 5) -> DataFrame:
     """Fallback: candidates by their own points over the weeks, at most ``per_position`` of a position, ``top`` in all."""
-    sums = weekly_points(candidates, projections, roster=["roster"], weeks=weeks).groupBy("roster", "entity", "position").agg(F.sum(F.col("points").cast("decimal(18,4)")).cast("double").alias("value"))
+    sums = weekly_points(candidates, projections, roster=["roster"], weeks=weeks).groupBy("roster", "entity", "position").agg(total("points").alias("value"))
     capped = top_of_each(sums, within=["roster", "position"], value="value", tie="entity", n=per_position)
     return top_of_each(capped.drop("place"), within=["roster"], value="value", tie="entity", n=top)
 
@@ -114,12 +114,23 @@ def standings(scores: DataFrame, *, league: str, roster: str, score: str = "scor
     every = Window.partitionBy(league)
     place = F.row_number().over(every.orderBy(F.col(score).desc(), roster))
     n = F.count("*").over(every)
-    mean = F.sum(F.col(score).cast("decimal(18,4)")).over(every).cast("double") / n
-    out = scores.withColumns({"place": place, "n_rosters": n, "behind_best": F.max(score).over(every) - F.col(score), "over_mean": F.col(score) - mean})
+    out = scores.withColumns({"place": place, "n_rosters": n, "behind_best": F.max(score).over(every) - F.col(score), "over_mean": F.col(score) - total(score, every) / n})
     share = F.col("place") / F.col("n_rosters")
     return out.withColumn("grade", F.when(share <= 0.2, "A").when(share <= 0.4, "B").when(share <= 0.6, "C").when(share <= 0.8, "D").otherwise("F"))
 
 
+def week_status(points: DataFrame, rosters: DataFrame, projections: DataFrame, *, roster: list[str], least_spread: float = 2.0, weak_weeks: int = 5, digits: int | None = 1) -> DataFrame:
+    """roster..., week, week_points, status of lineup weeks: 'weak' (the lowest ``weak_weeks`` with points and without a
+    rostered bye, if the deviation of such weeks reaches ``least_spread``), else 'bye' where a rostered entity has one."""
+    byes = rosters.join(projections.groupBy("entity").agg(F.max("bye").alias("week")), "entity").where("week IS NOT NULL").select(*roster, F.col("week").cast("int").alias("week"), F.lit(True).alias("is_bye")).distinct()
+    flagged = points.join(byes, [*roster, "week"], "left")
+    usable = F.col("is_bye").isNull() & (F.col("week_points") > 0)
+    every = Window.partitionBy(*roster)
+    told = flagged.withColumns({"spread": std_pop(F.when(usable, F.col("week_points")), every), "place": F.row_number().over(every.orderBy(usable.desc(), "week_points", "week"))})
+    weak = usable & (F.col("spread") >= least_spread) & (F.col("place") <= weak_weeks)
+    return told.select(*roster, "week", rounded(F.col("week_points"), digits).alias("week_points"), F.when(weak, "weak").when(F.col("is_bye"), "bye").otherwise("").alias("status"))
+
+
 def week_table(projection: DataFrame, *, weeks: list[int], key: list[str]) -> DataFrame:
     """One column for each week; a week without a value stays null (a bye)."""
     return projection.groupBy(*key).pivot("week", weeks).agg(F.max("points")).select(*key, *[F.col(str(w)).alias(f"w{w}") for w in weeks])

@@ -5,17 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import mean, safe_div, total
+from ..functions.stats import measure, safe_div, squared_deviations
 
 
 def mae_r2(rows: DataFrame, *, actual: str, predicted: str, within: list[str] | None = None) -> DataFrame:
     """Mean absolute error and R2 by group; R2 is null where all actual values are equal."""
     keys = within or []
     used = rows.where(F.col(actual).isNotNull() & F.col(predicted).isNotNull())
-    error = F.col(actual).cast("decimal(18,4)") - F.col(predicted).cast("decimal(18,4)")
-    y = F.col(actual).cast("decimal(18,4)")
-    sums = used.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(F.abs(error)).cast("double").alias("abs_sum"), F.sum(error * error).cast("double").alias("sse"), total(actual).alias("sy"), F.sum(y * y).cast("double").alias("syy"))
-    return sums.select(*keys, "n", (F.col("abs_sum") / F.col("n")).alias("mae"), (1 - safe_div("sse", F.col("syy") - F.col("sy") * F.col("sy") / F.col("n"))).alias("r2"))
+    error = measure(actual) - measure(predicted)
+    sums = used.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(F.abs(error)).cast("double").alias("abs_sum"), F.sum(error * error).cast("double").alias("sse"), squared_deviations(actual).alias("spread"))
+    return sums.select(*keys, "n", (F.col("abs_sum") / F.col("n")).alias("mae"), (1 - safe_div("sse", "spread")).alias("r2"))
 
 
 def _by_score(rows: DataFrame, label: str, score: str, keys: list[str]) -> DataFrame:
@@ -41,9 +40,3 @@ def average_precision(rows: DataFrame, *, label: str, score: str, within: list[s
     part = F.round(F.col("pos") * F.col("tp") / F.col("seen"), 9).cast("decimal(28,9)")
     return steps.groupBy(*keys).agg(F.sum("pos").alias("positives"), safe_div(F.sum(part), F.sum("pos")).alias("average_precision"))
 
-
-def fold_metrics(rows: DataFrame, *, fold: str, actual: str, predicted: str) -> DataFrame:
-    return mae_r2(rows, actual=actual, predicted=predicted, within=[fold])
-
-
-__all__ = ["average_precision", "fold_metrics", "mae_r2", "mean", "roc_auc"]

@@ -15,6 +15,7 @@ from pyspark.ml.regression import GBTRegressor, IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.shared import cut
 from ..functions.stats import existing
 from .metrics import average_precision, mae_r2, roc_auc
 
@@ -39,15 +40,27 @@ def _folds(rows: DataFrame, fold: str) -> Iterator[tuple]:
         yield value, rows.where(F.col(fold) != value), rows.where(F.col(fold) == value)
 
 
-def cv_predictions(rows: DataFrame, *, features: list[str], target: str, fold: str, trees: int = 300) -> DataFrame:
-    """All rows with prediction (0 at least), each by a model that did not see its fold. The fold is the row's own season."""
+def _parts(rows: DataFrame, segment: str | None) -> Iterator[tuple[str | None, DataFrame]]:
+    """(segment, its rows), a handful; (None, all rows) where no segment is named."""
+    if segment is None:
+        yield None, rows
+        return
+    for value in sorted(r[0] for r in rows.select(segment).where(F.col(segment).isNotNull()).distinct().collect()):
+        yield value, rows.where(F.col(segment) == value)
+
+
+def cv_predictions(rows: DataFrame, *, features: list[str], target: str, fold: str, segment: str | None = None, trees: int = 300) -> DataFrame:
+    """All rows with prediction (0 at least), each by a model of its segment that did not see its fold (the row's own season).
+    Rows without a target or segment are left out, and so is a segment with one fold only."""
     features = existing(rows, features)
-    used = rows.where(F.col(target).isNotNull()).withColumn("label", F.col(target).cast("double")).cache()
-    out = None
-    for _, train, test in _folds(used, fold):
-        scored = Pipeline(stages=[*assembler(features), regressor(trees)]).fit(train).transform(test)
-        part = scored.select(*rows.columns, F.greatest("prediction", F.lit(0.0)).alias("prediction"))
-        out = part if out is None else out.unionByName(part)
+    used = cut(rows.where(F.col(target).isNotNull()).withColumn("label", F.col(target).cast("double")))
+    out = rows.limit(0).withColumn("prediction", F.lit(None).cast("double"))
+    for _, part in _parts(used, segment):
+        for _, train, test in _folds(part, fold):
+            if train.isEmpty():
+                continue
+            scored = Pipeline(stages=[*assembler(features), regressor(trees)]).fit(train).transform(test)
+            out = out.unionByName(scored.select(*rows.columns, F.greatest("prediction", F.lit(0.0)).alias("prediction")))
     return out
 
 
@@ -63,13 +76,13 @@ def _weighted(train: DataFrame) -> DataFrame:
     return train.withColumn("weight", F.when(F.col("label") == 1, float(n["neg"]) / max(1, n["pos"])).otherwise(1.0))
 
 
-def boom_predictions(rows: DataFrame, *, features: list[str], label: str, fold: str, trees: int = 200, least_positives: int = 5, calibration_folds: int = 3) -> DataFrame:
-    """All rows of folds with enough positives, with prob: mean of ``calibration_folds`` classifiers, each calibrated by
-    isotonic regression on the part of the training rows that it did not see."""
+def boom_predictions(rows: DataFrame, *, features: list[str], label: str, fold: str, segment: str | None = None, trees: int = 200, least_positives: int = 5, calibration_folds: int = 3) -> DataFrame:
+    """All rows of a segment's folds with enough positives, with prob: mean of ``calibration_folds`` classifiers of the
+    segment, each calibrated by isotonic regression on the part of the training rows that it did not see."""
     features = existing(rows, features)
-    used = rows.where(F.col(label).isNotNull()).withColumn("label", F.col(label).cast("double")).withColumn("part", F.pmod(F.xxhash64(*features, fold), F.lit(calibration_folds))).cache()
+    used = cut(rows.where(F.col(label).isNotNull()).withColumn("label", F.col(label).cast("double")).withColumn("part", F.pmod(F.xxhash64(*features, fold), F.lit(calibration_folds))))
     out = None
-    for _, train, test in _folds(used, fold):
+    for _, train, test in ((v, a, b) for _, part in _parts(used, segment) for v, a, b in _folds(part, fold)):
         if test.where("label = 1").limit(least_positives).count() < least_positives or train.where("label = 1").limit(least_positives).count() < least_positives:
             continue
         scored = test
@@ -96,23 +109,28 @@ def boom_metrics(predicted: DataFrame, *, label: str, fold: str) -> DataFrame:
     return auc.join(average_precision(predicted, label=label, score="prob", within=[fold]).select(fold, "average_precision"), fold)
 
 
-def back_test(rows: DataFrame, *, features: list[str], label: str, fold: str, year: int, trees: int = 200) -> DataFrame:
-    """Rows of one season with prob, by a classifier fitted on the other seasons only."""
+def back_test(rows: DataFrame, *, features: list[str], label: str, fold: str, year: int, segment: str | None = None, trees: int = 200) -> DataFrame:
+    """Rows of one season with prob, by a classifier of their segment fitted on the other seasons only; segments that have no
+    other season are left out."""
     features = existing(rows, features)
-    used = rows.where(F.col(label).isNotNull()).withColumn("label", F.col(label).cast("double"))
-    model = Pipeline(stages=[*assembler(features), classifier(trees)]).fit(_weighted(used.where(F.col(fold) != year)))
-    made = model.transform(used.where(F.col(fold) == year).withColumn("weight", F.lit(1.0)))
-    return made.select(*rows.columns, F.round(vector_to_array("probability")[1], 3).alias("prob"))
+    used = cut(rows.where(F.col(label).isNotNull()).withColumn("label", F.col(label).cast("double")))
+    out = rows.limit(0).withColumn("prob", F.lit(None).cast("double"))
+    for _, part in _parts(used, segment):
+        train = part.where(F.col(fold) != year)
+        if train.isEmpty():
+            continue
+        model = Pipeline(stages=[*assembler(features), classifier(trees)]).fit(_weighted(train))
+        made = model.transform(part.where(F.col(fold) == year).withColumn("weight", F.lit(1.0)))
+        out = out.unionByName(made.select(*rows.columns, F.round(vector_to_array("probability")[1], 3).alias("prob")))
+    return out
 
 
 def importances(rows: DataFrame, *, features: list[str], target: str, segment: str | None = None, trees: int = 300, digits: int = 4) -> DataFrame:
     """segment, feature, importance of a regression on all rows, by segment where one is named."""
     features = existing(rows, features)
     used = rows.where(F.col(target).isNotNull()).withColumn("label", F.col(target).cast("double"))
-    segments = sorted(r[0] for r in used.select(segment).distinct().collect()) if segment else [None]
     found = []
-    for s in segments:
-        part = used if s is None else used.where(F.col(segment) == s)
+    for s, part in _parts(used, segment):
         model = Pipeline(stages=[*assembler(features), regressor(trees)]).fit(part)
         found += [(s, f, round(float(x), digits)) for f, x in zip(features, model.stages[-1].featureImportances.toArray(), strict=True)]
     return rows.sparkSession.createDataFrame(found, "segment string, feature string, importance double")

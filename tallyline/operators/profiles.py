@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import decay_weight, mean, rounded, safe_div
+from ..functions.stats import decay_weight, mean, rounded, safe_div, total
 
 
 def select_profile(facts: DataFrame, *, unit: str, season: str, seasons: list[int], measures: list[str]) -> DataFrame:
@@ -25,8 +25,18 @@ def smoothed(facts: DataFrame, *, unit: str, season: str, new: int, measures: li
 def decayed_mean(facts: DataFrame, *, keys: list[str], season: str, measure: str, latest: int, decay: float, lookback: int, in_latest: bool = True) -> DataFrame:
     """Mean over the last ``lookback`` seasons, weight decay ** (latest - season), null values left out; only keys of the
     latest season where ``in_latest``. Expects a row per key and season, summed in order of season."""
-    w = decay_weight(F.lit(latest) - F.col(season), decay, lookback)
-    used = facts.where((F.col(season) > latest - lookback) & (F.col(season) <= latest) & F.col(measure).isNotNull())
+    return _decayed(facts, decay_weight(F.lit(latest) - F.col(season), decay, lookback), keys=keys, season=season, measure=measure, latest=latest, in_latest=in_latest)
+
+
+def decayed_by_rule(facts: DataFrame, *, keys: list[str], segment: str, season: str, measure: str, latest: int, rules: dict[str, tuple[float, int]], in_latest: bool = True) -> DataFrame:
+    """``decayed_mean`` with a decay and lookback for each segment, in one pass; segments without a rule are left out."""
+    offset = F.lit(latest) - F.col(season)
+    w = F.coalesce(*[F.when(F.col(segment) == name, decay_weight(offset, decay, lookback)) for name, (decay, lookback) in rules.items()])
+    return _decayed(facts, w, keys=[*keys, segment], season=season, measure=measure, latest=latest, in_latest=in_latest)
+
+
+def _decayed(facts: DataFrame, w: Column, *, keys: list[str], season: str, measure: str, latest: int, in_latest: bool) -> DataFrame:
+    used = facts.where(w.isNotNull() & F.col(measure).isNotNull())
     terms = F.array_sort(F.collect_list(F.struct(F.col(season).alias("season"), w.alias("w"), F.col(measure).cast("double").alias("v"))))
 
     def fold(of) -> F.Column:
@@ -44,6 +54,13 @@ def ranked(df: DataFrame, *, value: str, tie: list[str], within: list[str] | Non
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*(within or [])).orderBy(order, *tie)))
 
 
+def segment_ranks(decayed: DataFrame, weekly: DataFrame, *, unit: str, segment: str, week: str, measure: str) -> DataFrame:
+    """unit, segment, points, place (1: fewest points; ties by unit): decayed means of some segments (column decayed) and, of
+    others, the mean over the weeks in which ``weekly`` has the unit."""
+    weeks = weekly.groupBy(unit, segment, week).agg(total(measure).alias("points")).groupBy(unit, segment).agg(mean("points").alias("points"))
+    return ranked(decayed.select(unit, segment, F.col("decayed").alias("points")).unionByName(weeks), value="points", tie=[unit], within=[segment])
+
+
 def strength(decayed: DataFrame, *, within: list[str], value: str = "decayed", digits: int | None = 3) -> DataFrame:
     """Adds strength: value / mean of its group."""
     w = Window.partitionBy(*within)

@@ -36,6 +36,25 @@ def matchup_factor(schedule: DataFrame, allowed: DataFrame, *, segment: str, mea
     return joined.select("unit", segment, week, F.coalesce(safe_div("allowed", "league"), F.lit(1.0)).alias("factor"))
 
 
+def rank_matrix(edges: DataFrame, ranks: DataFrame, *, segment: str) -> DataFrame:
+    """unit, segment, week, opponent, opponent_rank: ``edges`` (unit, opponent, week) with what ``ranks`` (unit, segment, place)
+    has of the opponent, for each of its segments; games against an opponent without a rank are left out."""
+    theirs = ranks.select(F.col("unit").alias("opponent"), segment, F.col("place").alias("opponent_rank"))
+    return edges.join(theirs, "opponent").select("unit", segment, "week", "opponent", "opponent_rank")
+
+
+def schedule_view(entities: DataFrame, edges: DataFrame, ranks: DataFrame, *, segment: str, playoff: tuple[int, int]) -> DataFrame:
+    """entity, week, opponent, opponent_points, opponent_rank, over_league, is_playoff: the games of an entity's unit with
+    what the opponent allows in the entity's segment, its rank there and the difference to the league's mean; null where
+    ``ranks`` (unit, segment, points, place) does not know the opponent."""
+    league = ranks.groupBy(segment).agg(mean("points").alias("league"))
+    theirs = ranks.join(F.broadcast(league), segment).select(  # a row for each of a few segments
+        F.col("unit").alias("opponent"), segment, F.col("points").alias("opponent_points"), F.col("place").alias("opponent_rank"), (F.col("points") - F.col("league")).alias("over_league")
+    )
+    games = entities.join(edges.select("unit", "opponent", "week"), "unit").join(theirs, ["opponent", segment], "left")
+    return games.select("entity", "week", "opponent", "opponent_points", "opponent_rank", "over_league", F.col("week").between(*playoff).alias("is_playoff"))
+
+
 def strength_summary(ranked_schedule: DataFrame, *, unit: list[str], week: str, rank: str, playoff: tuple[int, int], easy: int, tough: int, digits: int | None = 1) -> DataFrame:
     """Mean opponent rank of the season and of the playoff weeks, and counts of easy (>=) and tough (<=) opponents."""
     late = F.when(F.col(week).between(*playoff), F.col(rank))

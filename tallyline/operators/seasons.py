@@ -22,6 +22,12 @@ def season_rollup(facts: DataFrame, *, keys: list[str], measures: list[str], thr
     return rolled
 
 
+def derived_rates(rolled: DataFrame, *, rates: dict[str, tuple[str, str]], games: str, per_game: list[str] = ()) -> DataFrame:
+    """Adds each rate (name: dividend, divisor) and <total>_per_game; null where the divisor is 0."""
+    found = {name: safe_div(a, b) for name, (a, b) in rates.items()} | {f"{t}_per_game": safe_div(t, games) for t in per_game}
+    return rolled.withColumns(found)
+
+
 def primary_category(facts: DataFrame, *, keys: list[str], category: str) -> DataFrame:
     """The category with the most rows for each key; of equally frequent ones the first in order."""
     counted = facts.where(F.col(category).isNotNull()).groupBy(*keys, category).agg(F.count("*").alias("n_rows"))

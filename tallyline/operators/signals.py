@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import clip, mean, rounded, std_samp, total
+from ..functions.stats import clip, mean, measure, rounded, std_samp, sums_are_exact, total
 
 
 def zscores(df: DataFrame, *, within: list[str], measures: list[str], flat: float | None = 1.0) -> DataFrame:
@@ -52,9 +52,13 @@ def over_league(weekly: DataFrame, *, unit: str, segment: str, week: str, measur
 
 def trend_line(facts: DataFrame, *, keys: list[str], x: str, y: str, least: int = 4) -> DataFrame:
     """Least-squares slope and intercept of y over x by key, for keys with enough rows that are not all at one x.
-    By exact sums, so the order of the rows does not matter."""
+    Where sums are exact, the order of the rows does not matter."""
     used = facts.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    xx, yy = F.col(x).cast("decimal(18,4)"), F.col(y).cast("decimal(18,4)")
+    if not sums_are_exact():
+        a, b = F.col(x).cast("double"), F.col(y).cast("double")
+        fitted = used.groupBy(*keys).agg(F.count("*").alias("n"), F.var_pop(a).alias("spread"), F.regr_slope(b, a).alias("slope"), F.regr_intercept(b, a).alias("intercept"))
+        return fitted.where((F.col("n") >= least) & (F.col("spread") > 0)).drop("spread")
+    xx, yy = measure(x), measure(y)
     sums = used.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(xx).cast("double").alias("sx"), F.sum(yy).cast("double").alias("sy"), F.sum(xx * xx).cast("double").alias("sxx"), F.sum(xx * yy).cast("double").alias("sxy"))
     base = F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")
     fitted = sums.where((F.col("n") >= least) & (base > 0)).withColumn("slope", (F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / base)

@@ -2,23 +2,32 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.stats import exact_sums
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
-    """Registers a query under its function's name, with its SQL twin where SQL can say it."""
+def query(sql: str | None = None, places: int | None = 4):
+    """Registers a query under its function's name, with its SQL twin where SQL can say it. The given tables' measures have
+    four decimal places at most, so sums are exact at that scale; with ``places`` None they are in double precision."""
 
     def register(f):
-        QUERIES[f.__name__] = f
+        @functools.wraps(f)
+        def built(spark: SparkSession, sf_dir: str) -> DataFrame:
+            with exact_sums(places):
+                return f(spark, sf_dir)
+
+        QUERIES[f.__name__] = built
         if sql:
             SQL[f.__name__] = sql
-        return f
+        return built
 
     return register
 
@@ -62,6 +71,11 @@ def s_mean(x: str, over: str = "") -> str:
     return f"({s_total(x, over)} / nullif(CAST(count({x}) {over} AS DOUBLE), 0))"
 
 
+def s_round(x: str, digits: int) -> str:
+    """Half away from zero, of the shortest decimal form of a number."""
+    return f"CAST(round(CAST(CAST(CAST({x} AS DOUBLE) AS VARCHAR) AS DECIMAL(38,17)), {digits}) AS DOUBLE)"
+
+
 def s_spread(x: str, over: str = "", less: int = 1) -> str:
     n, s = f"count({x}) {over}", s_total(x, over)
     q = f"CAST(sum(CAST(CAST({x} AS DECIMAL(18,4)) AS DECIMAL(19,4)) * CAST(CAST({x} AS DECIMAL(18,4)) AS DECIMAL(19,4))) {over} AS DOUBLE)"

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.stats import total
-from ..operators import drafts
-from .base import EVENTS, LINES, events, lines, query, s_mean, s_total, table
+from ..operators import drafts, profiles
+from .base import EVENTS, LINES, events, lines, query, s_mean, s_round, s_total, table
 
 FLAGS = ["A", "N", "R"]
 
@@ -87,10 +87,10 @@ def report_scalars(spark, sf_dir):
     return drafts.report(rows, draft="draft", roster="roster", round_col="round", column="flag", value="R", gap="gap")
 
 
-@query(f"""WITH {EVENTS}, m AS (SELECT entity AS draft, sha256(string_agg(DISTINCT position || ':' || week, ',' ORDER BY position || ':' || week)) AS fingerprint FROM e WHERE week <= 2 GROUP BY entity)
+@query(f"""WITH {EVENTS}, m AS (SELECT entity AS draft, sha256(string_agg(DISTINCT position || ':' || week, ',' ORDER BY position || ':' || week)) AS fingerprint FROM e GROUP BY entity)
     SELECT draft, fingerprint, min(draft) OVER w AS first_draft, count(*) OVER w AS copies FROM m WINDOW w AS (PARTITION BY fingerprint)""")
 def fingerprint_dedupe(spark, sf_dir):
-    picks = events(spark, sf_dir).where("week <= 2").withColumnRenamed("entity", "draft")
+    picks = events(spark, sf_dir).withColumnRenamed("entity", "draft")
     return drafts.first_of_each_fingerprint(drafts.fingerprints(picks, draft="draft", members=["position", "week"]), draft="draft")
 
 
@@ -110,22 +110,22 @@ def unmatched_exports(spark, sf_dir):
     return drafts.unmatched(picks.where("flag = 'A'"), picks.where("flag = 'R'"), key="orderkey")
 
 
-@query(f"""WITH {LINES}, {MARKET}, d AS (SELECT DISTINCT draft FROM l WHERE draft % 10 = 0) SELECT draft, entity, market, position, unit FROM d CROSS JOIN mk WHERE (draft, entity) NOT IN (SELECT draft, entity FROM l)""")
+@query(f"""WITH {LINES}, {MARKET}, d AS (SELECT DISTINCT draft FROM l) SELECT draft, entity, market, position, unit FROM d CROSS JOIN mk WHERE (draft, entity) NOT IN (SELECT draft, entity FROM l)""")
 def available_pool(spark, sf_dir):
     return _pool(spark, sf_dir).select("draft", "entity", "market", "position", "unit")
 
 
 def _pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A tenth of the suppliers are drafts here, by definition of the query: the pool is drafts x parts."""
-    return drafts.available(market(spark, sf_dir), lines(spark, sf_dir).where("draft % 10 = 0"), draft="draft", entity="entity")
+    """Drafts x parts less the picks: the result by definition."""
+    return drafts.available(market(spark, sf_dir), lines(spark, sf_dir), draft="draft", entity="entity")
 
 
-POOL = f"{LINES}, {MARKET}, d AS (SELECT DISTINCT draft FROM l WHERE draft % 10 = 0), po AS (SELECT draft, mk.* FROM d CROSS JOIN mk WHERE (draft, entity) NOT IN (SELECT draft, entity FROM l))"
+POOL = f"{LINES}, {MARKET}, d AS (SELECT DISTINCT draft FROM l), po AS (SELECT draft, mk.* FROM d CROSS JOIN mk WHERE (draft, entity) NOT IN (SELECT draft, entity FROM l))"
 
 
 @query(f"""WITH {POOL} SELECT draft, position, count(*) AS left_over, count(*) FILTER (market <= 500) AS left_first, count(*) FILTER (market <= 1000) AS left_second FROM po GROUP BY ALL""")
 def scarcity(spark, sf_dir):
-    return drafts.scarcity(_pool(spark, sf_dir), draft="draft", position="position", market="market", first=500, second=1000)
+    return drafts.scarcity(market(spark, sf_dir), lines(spark, sf_dir), draft="draft", entity="entity", position="position", market="market", first=500, second=1000)
 
 
 @query(f"""WITH {POOL} SELECT draft, entity, CASE WHEN 700 > market THEN 700 - market END AS fell FROM po""")
@@ -140,25 +140,25 @@ def position_needs(spark, sf_dir):
     return drafts.needs(flagged(spark, sf_dir), targets, roster="draft", position="position")
 
 
-@query(f"""WITH {POOL}, h AS (SELECT draft, unit, CAST(max(round) * 150 AS INTEGER) AS at_pick, count(*) AS mates FROM l JOIN mk USING (entity) WHERE draft % 10 = 0 AND quantity >= 49 GROUP BY ALL)
+@query(f"""WITH {POOL}, h AS (SELECT draft, unit, CAST(max(round) * 150 AS INTEGER) AS at_pick, count(*) AS mates FROM l JOIN mk USING (entity) GROUP BY ALL)
     SELECT draft, entity, unit, mates, abs(market - at_pick) <= 20 AS is_near, CAST(row_number() OVER (PARTITION BY draft ORDER BY abs(market - at_pick) <= 20 DESC, market, entity) AS INTEGER) AS place FROM po JOIN h USING (draft, unit)""")
 def stack_targets(spark, sf_dir):
-    held = flagged(spark, sf_dir).where("draft % 10 = 0 AND quantity >= 49").withColumn("pick", F.col("round") * 150)
+    held = flagged(spark, sf_dir).withColumn("pick", F.col("round") * 150)
     out = drafts.stack_targets(held, _pool(spark, sf_dir), roster="draft", entity="entity", unit="unit", pick="pick", market="market")
     return out.select("draft", "entity", "unit", "mates", "is_near", "place")
 
 
-@query("""WITH r AS (SELECT DISTINCT l_suppkey AS draft, l_linenumber AS bye, l_partkey AS entity FROM lineitem WHERE l_quantity >= 48)
+@query("""WITH r AS (SELECT DISTINCT l_suppkey AS draft, l_linenumber AS bye, l_partkey AS entity FROM lineitem)
     SELECT draft, bye, count(*) AS n, string_agg(CAST(entity AS VARCHAR), ', ' ORDER BY CAST(entity AS VARCHAR)) AS names, CASE WHEN count(*) >= 3 THEN 'high' WHEN count(*) >= 2 THEN 'medium' ELSE 'low' END AS severity FROM r GROUP BY ALL""")
 def bye_clusters(spark, sf_dir):
-    rows = lines(spark, sf_dir).where("quantity >= 48").select("draft", F.col("round").alias("bye"), "entity").distinct()
+    rows = lines(spark, sf_dir).select("draft", F.col("round").alias("bye"), "entity").distinct()
     return drafts.bye_clusters(rows, roster="draft", bye="bye", entity="entity")
 
 
-@query("""WITH u AS (SELECT s_suppkey AS k, s_name AS name, 0 AS source_no FROM supplier WHERE s_suppkey % 2 = 0 UNION ALL SELECT c_custkey, c_name, 1 FROM customer)
+@query("""WITH u AS (SELECT s_suppkey AS k, s_name AS name, 0 AS source_no FROM supplier UNION ALL SELECT c_custkey, c_name, 1 FROM customer)
     SELECT k, name, source_no FROM u QUALIFY row_number() OVER (PARTITION BY k ORDER BY source_no) = 1""")
 def first_source_union(spark, sf_dir):
-    suppliers = table(spark, sf_dir, "supplier").where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"))
+    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"))
     customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"))
     return drafts.first_source([suppliers, customers], key="k").select("k", "name", "source_no")
 
@@ -184,14 +184,44 @@ def board_parse(spark, sf_dir):
     return parsed.where(F.col("name").rlike("^[A-Za-z ]+$"))
 
 
-@query(f"""WITH {MARKET} SELECT mk.entity, p_name AS name, market, position FROM mk JOIN part ON p_partkey = mk.entity WHERE lower(p_name) LIKE '%red%' AND position IN ('SMALL', 'ECONOMY')""")
+@query(f"""WITH {MARKET} SELECT mk.entity, p_name AS name, market, position, CAST(row_number() OVER (ORDER BY market NULLS LAST, mk.entity) AS INTEGER) AS place FROM mk JOIN part ON p_partkey = mk.entity WHERE lower(p_name) LIKE '%red%' AND position IN ('SMALL', 'ECONOMY')""")
 def player_search(spark, sf_dir):
     names = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("entity"), F.col("p_name").alias("name"))
     found = market(spark, sf_dir).join(names, "entity").where(F.col("name").ilike("%red%") & F.col("position").isin("SMALL", "ECONOMY"))
-    return found.select("entity", "name", "market", "position")
+    found = found.select("entity", "name", "market", "position").withColumn("g", F.lit(0))
+    return profiles.ranked(found, value="market", tie=["entity"], within=["g"]).drop("g")  # a report of the few that are found
 
 
 @query(f"""WITH {FLAGGED} SELECT draft, position, unit, count(*) AS held, count(DISTINCT entity) AS entities, CAST(min(market) AS INTEGER) AS best_market, 'no ' || min(market) || ' in round ' || min(round) AS label FROM f GROUP BY ALL""")
 def roster_positions(spark, sf_dir):
     label = F.format_string("no %s in round %s", F.min("market").cast("string"), F.min("round").cast("string"))
     return flagged(spark, sf_dir).groupBy("draft", "position", "unit").agg(F.count("*").alias("held"), F.countDistinct("entity").alias("entities"), F.min("market").alias("best_market"), label.alias("label"))
+
+
+@query(f"""WITH {LINES}, {MARKET}, w AS (SELECT DISTINCT draft, roster FROM (SELECT draft, roster, {s_total("price")} AS score FROM l GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY draft ORDER BY score DESC, roster) = 1)
+    SELECT roster, count(*) AS drafts FROM w GROUP BY roster""")
+def slot_distribution(spark, sf_dir):
+    picks = lines(spark, sf_dir)
+    scores = picks.groupBy("draft", "roster").agg(total("price").alias("score"))
+    return drafts.slot_distribution(drafts.winners(picks.select("draft", "roster"), scores, draft="draft", roster="roster", score="score"), draft="draft", slot="roster")
+
+
+@query(f"WITH {FLAGGED} SELECT round, position, count(*) AS picks FROM f WHERE round <= 2 GROUP BY ALL")
+def early_mix(spark, sf_dir):
+    return drafts.early_mix(flagged(spark, sf_dir), round_col="round", column="position")
+
+
+@query(f"WITH {FLAGGED} SELECT position, {s_round('count(*) / CAST((SELECT count(DISTINCT draft) FROM f) AS DOUBLE)', 1)} AS per_draft FROM f GROUP BY position")
+def roster_composition(spark, sf_dir):
+    return drafts.composition(flagged(spark, sf_dir), draft="draft", column="position")
+
+
+@query(f"""WITH {POOL}, t AS (SELECT DISTINCT position FROM mk), h AS (SELECT draft, position, count(*) AS have FROM l JOIN mk USING (entity) GROUP BY ALL),
+    n AS (SELECT d.draft, t.position, d.draft * 37 % 3000 + 1 AS pick FROM d CROSS JOIN t LEFT JOIN h ON h.draft = d.draft AND h.position = t.position WHERE 110 - coalesce(have, 0) > 0),
+    c AS (SELECT n.draft, n.position, entity, market, market BETWEEN pick - 5 AND pick + 18 AS is_near FROM n JOIN po ON po.draft = n.draft AND po.position = n.position),
+    k AS (SELECT *, max(is_near) OVER (PARTITION BY draft, position) AS any_near FROM c)
+    SELECT draft, position, entity, is_near, CAST(row_number() OVER (PARTITION BY draft, position ORDER BY market, entity) AS INTEGER) AS place FROM k WHERE is_near OR NOT any_near QUALIFY place <= 3""")
+def need_candidates(spark, sf_dir):
+    targets = table(spark, sf_dir, "part").select(F.col("p_type").alias("position")).distinct().withColumn("target", F.lit(110))
+    needed = drafts.needs(flagged(spark, sf_dir), targets, roster="draft", position="position").withColumn("pick", F.col("draft") * 37 % 3000 + 1)
+    return drafts.need_candidates(needed, _pool(spark, sf_dir), roster="draft", position="position", pick="pick", market="market", entity="entity")

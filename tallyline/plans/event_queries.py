@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.stats import mean, total
+from ..functions.stats import mean, std_samp, total
 from ..operators import features, lineup, matchup, profiles, schedule, signals
-from .base import EVENTS, events, query, s_mean, s_spread, s_total, table
+from .base import EVENTS, events, query, s_mean, s_round, s_spread, s_total, table
 
 NEAR = "OVER (PARTITION BY entity, position ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)"
 PAST = "OVER (PARTITION BY entity, position ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
@@ -40,10 +40,10 @@ def boom_label_summary(spark, sf_dir):
     return features.boom_summary(rows, keys=["entity", "position"], probability="prob", actual="boom", points="points")
 
 
-@query(f"""WITH {EVENTS} SELECT entity, position, count(*) AS n, count(*) FILTER (points >= CASE position WHEN 'click' THEN 20 WHEN 'view' THEN 12.5 ELSE 40 END) * 100 / CAST(count(*) AS DOUBLE) AS boom_rate
+@query(f"""WITH {EVENTS} SELECT entity, position, count(*) AS n, {s_round("count(*) FILTER (points >= CASE position WHEN 'click' THEN 20 WHEN 'view' THEN 12.5 ELSE 40 END) * 100 / CAST(count(*) AS DOUBLE)", 1)} AS boom_rate
     FROM e WHERE position IN ('click', 'view', 'purchase') GROUP BY ALL""")
 def boom_rate(spark, sf_dir):
-    return features.boom_rate(events(spark, sf_dir), keys=["entity", "position"], segment="position", measure="points", thresholds=THRESHOLDS, digits=None)
+    return features.boom_rate(events(spark, sf_dir), keys=["entity", "position"], segment="position", measure="points", thresholds=THRESHOLDS)
 
 
 @query(f"""WITH {EVENTS}, v AS (SELECT entity, position, {s_mean("points")} AS mean_points, {s_spread("points")} AS std_points, count(points) AS n FROM e GROUP BY ALL HAVING count(points) >= 6)
@@ -73,9 +73,7 @@ def slot_share_buckets(spark, sf_dir):
         CASE WHEN points - league_mean > league_mean * CAST(0.15 AS DOUBLE) THEN 'easy' WHEN points - league_mean < -(league_mean * CAST(0.15 AS DOUBLE)) THEN 'tough' ELSE 'average' END AS grade FROM w JOIN g USING (week, position)""")
 def over_league(spark, sf_dir):
     out = signals.over_league(weekly(spark, sf_dir), unit="entity", segment="position", week="week", measure="points")
-    band = F.col("league_mean") * 0.15
-    grade = F.when(F.col("over_league") > band, "easy").when(F.col("over_league") < -band, "tough").otherwise("average")
-    return out.withColumn("grade", grade)
+    return out.withColumn("grade", schedule.grade_of(F.col("over_league"), F.col("league_mean") * 0.15))
 
 
 @query(f"""WITH {WEEKLY}, m AS (SELECT entity, position, count(*) AS n, CAST(sum(week) AS DOUBLE) AS sx, {s_total("points")} AS sy, CAST(sum(week * week) AS DOUBLE) AS sxx,
@@ -132,14 +130,14 @@ def complement_single(spark, sf_dir):
     return schedule.complements(_daily_ranks(spark, sf_dir), unit="entity", week="week", rank="rank", tough=13, easy=21, top=5)
 
 
-@query(f"""WITH {DAILY}, ro AS (SELECT DISTINCT entity % 10 AS roster, entity AS unit, entity // 10 AS seat FROM e WHERE entity % 3 = 0), ca AS (SELECT DISTINCT r.roster, e.entity AS candidate FROM e, (SELECT DISTINCT roster FROM ro) r WHERE e.entity % 3 = 1),
+@query(f"""WITH {DAILY}, ro AS (SELECT DISTINCT entity % 10 AS roster, entity AS unit, entity // 10 AS seat FROM e WHERE entity % 3 = 0), ca AS (SELECT DISTINCT r.roster, e.entity AS candidate FROM e, (SELECT DISTINCT roster FROM ro) r WHERE e.entity % 3 > 0),
     m AS (SELECT ca.roster, ca.candidate, ro.unit, ro.seat, count(*) AS tough_weeks, count(*) FILTER (c.rank >= 21) AS easy_weeks
         FROM ca JOIN ro USING (roster) JOIN k a ON a.entity = ro.unit AND a.rank <= 13 LEFT JOIN k c ON c.entity = ca.candidate AND c.week = a.week GROUP BY ALL)
     SELECT roster, candidate, unit, tough_weeks, easy_weeks FROM m QUALIFY row_number() OVER (PARTITION BY roster, candidate ORDER BY easy_weeks DESC, tough_weeks DESC, seat) = 1""")
 def complement_best(spark, sf_dir):
     users = events(spark, sf_dir).select("entity").distinct()
     roster = users.where("entity % 3 = 0").select((F.col("entity") % 10).alias("roster"), F.col("entity").alias("unit"), F.expr("entity div 10").alias("seat"))
-    candidates = roster.select("roster").distinct().crossJoin(users.where("entity % 3 = 1").select(F.col("entity").alias("candidate")))
+    candidates = roster.select("roster").distinct().crossJoin(users.where("entity % 3 > 0").select(F.col("entity").alias("candidate")))
     return schedule.best_pairing(candidates, roster, _daily_ranks(spark, sf_dir), unit="entity", week="week", rank="rank", tough=13, easy=21)
 
 
@@ -227,10 +225,20 @@ def lineup_weeks(spark, sf_dir):
     return lineup.lineup_weeks(lineup.weekly_points(rosters, projections, roster=["roster"], weeks=14), roster=["roster"])
 
 
-@query(f"WITH {ROSTER} SELECT roster, score FROM sc")
+@query(f"WITH {ROSTER} SELECT roster, {s_round('score', 1)} AS score FROM sc")
 def lineup_score(spark, sf_dir):
     projections, rosters, _ = _rosters(spark, sf_dir)
-    return lineup.lineup_scores(rosters, projections, roster=["roster"], digits=None)
+    return lineup.lineup_scores(rosters, projections, roster=["roster"])
+
+
+@query(f"""WITH {ROSTER}, fr AS (SELECT DISTINCT roster, bye AS week FROM kn JOIN (SELECT DISTINCT entity, roster FROM wp WHERE usr % 3 > 0) USING (entity)),
+    fl AS (SELECT lw.roster, lw.week, week_points, fr.week IS NOT NULL AS is_bye, fr.week IS NULL AND week_points > 0 AS usable FROM lw LEFT JOIN fr ON fr.roster = lw.roster AND fr.week = lw.week),
+    tl AS (SELECT *, row_number() OVER (PARTITION BY roster ORDER BY usable DESC, week_points, week) AS place, {s_spread("CASE WHEN usable THEN week_points END", "OVER (PARTITION BY roster)", less=0)} AS spread FROM fl)
+    SELECT roster, week, {s_round("week_points", 1)} AS week_points, CASE WHEN usable AND spread >= 2 AND place <= 5 THEN 'weak' WHEN is_bye THEN 'bye' ELSE '' END AS status FROM tl""")
+def week_status(spark, sf_dir):
+    projections, rosters, _ = _rosters(spark, sf_dir)
+    weeks = lineup.lineup_weeks(lineup.weekly_points(rosters, projections, roster=["roster"], weeks=14), roster=["roster"])
+    return lineup.week_status(weeks, rosters, projections, roster=["roster"])
 
 
 @query(f"""WITH {ROSTER}, c AS (SELECT DISTINCT roster AS cr, entity AS ce FROM wp WHERE usr % 3 = 0),
@@ -284,9 +292,7 @@ def season_totals(spark, sf_dir):
     totals = events(spark, sf_dir).groupBy("entity", "position").agg(total("points").alias("season_total"))
     league = totals.groupBy("position").agg(mean("season_total").alias("league_mean"))
     out = totals.join(league, "position").withColumn("difference", F.col("season_total") - F.col("league_mean"))
-    band = F.col("league_mean") * 0.1
-    grade = F.when(F.col("difference") > band, "easy").when(F.col("difference") < -band, "tough").otherwise("average")
-    return out.withColumn("grade", grade)
+    return out.withColumn("grade", schedule.grade_of(F.col("difference"), F.col("league_mean") * 0.1))
 
 
 @query(f"""WITH {EVENTS}, a AS (SELECT DISTINCT entity FROM e WHERE position = 'purchase' AND week <= 5), b AS (SELECT DISTINCT entity FROM e WHERE position = 'signup' AND week <= 5)
@@ -301,3 +307,44 @@ def set_operations(spark, sf_dir):
 def top_n_global(spark, sf_dir):
     """A top-k report: the forty best weeks."""
     return weekly(spark, sf_dir).select("entity", "week", "position", "points").orderBy(F.col("points").desc(), "entity", "week", "position").limit(40)
+
+
+@query(f"""WITH {EVENTS}, v AS (SELECT entity, {s_mean("points")} AS mean_points, {s_spread("points")} AS std_points, count(points) AS n,
+        CASE WHEN count(week) >= 4 THEN {s_round(s_spread("week"), 1)} END AS share_std FROM e WHERE points IS NOT NULL GROUP BY ALL HAVING count(points) >= 4)
+    SELECT *, {s_round("CASE WHEN mean_points > 1 THEN std_points / mean_points END", 2)} AS cv FROM v""")
+def consistency_share(spark, sf_dir):
+    """The day of the month stands for the share whose steadiness is measured."""
+    return features.consistency(events(spark, sf_dir), keys=["entity"], measure="points", share="week", digits=(2, 1))
+
+
+@query(f"""WITH {EVENTS}, a AS (SELECT entity, {s_mean("points")} / 50 AS signal FROM e WHERE position = 'click' GROUP BY entity), b AS (SELECT entity, {s_mean("points")} / 40 AS signal FROM e WHERE position = 'view' AND week > 15 GROUP BY entity)
+    SELECT coalesce(b.entity, a.entity) AS entity, coalesce(b.signal, a.signal) AS signal FROM a FULL JOIN b ON a.entity = b.entity""")
+def later_signal(spark, sf_dir):
+    e = events(spark, sf_dir)
+    parts = [e.where(c).groupBy("entity").agg((mean("points") / d).alias("signal")) for c, d in (("position = 'click'", 50), ("position = 'view' AND week > 15", 40))]
+    return signals.later_wins(parts, key=["entity"])
+
+
+LOGS = "g AS (SELECT event_id, user_id AS entity, event_type AS position, ts, ln(1 + value) AS x FROM events)"
+
+
+@query(f"""WITH {LOGS} SELECT entity, position, count(*) AS n, round(sum(x), 6) AS x_sum, round(avg(x), 8) AS x_mean, round(stddev_samp(x), 8) AS x_std FROM g GROUP BY ALL""", places=None)
+def rollup_of_logs(spark, sf_dir):
+    """Sums, means and deviations in double precision, of a measure of no known scale."""
+    rows = events(spark, sf_dir).withColumn("x", F.log(1 + F.col("points")))
+    found = rows.groupBy("entity", "position").agg(F.count("*").alias("n"), total("x").alias("x_sum"), mean("x").alias("x_mean"), std_samp("x").alias("x_std"))
+    return found.select("entity", "position", "n", F.round("x_sum", 6).alias("x_sum"), F.round("x_mean", 8).alias("x_mean"), F.round("x_std", 8).alias("x_std"))
+
+
+@query(f"""WITH {LOGS} SELECT event_id, round(avg(x) {NEAR}, 8) AS x_roll, round(stddev_samp(x) {NEAR}, 6) AS x_roll_std, round(avg(x) {PAST}, 8) AS x_past FROM g""", places=None)
+def lagged_logs(spark, sf_dir):
+    rows = events(spark, sf_dir).withColumn("x", F.log(1 + F.col("points")))
+    out = features.lagged(rows, keys=["entity", "position"], order=["ts", "event_id"], measures=["x"])
+    return out.select("event_id", F.round("x_roll", 8).alias("x_roll"), F.round("x_roll_std", 6).alias("x_roll_std"), F.round("x_past", 8).alias("x_past"))
+
+
+@query(f"""WITH {EVENTS}, g AS (SELECT entity, week, sum(ln(1 + points)) AS y FROM e GROUP BY ALL), f AS (SELECT entity, count(*) AS n, regr_slope(y, week) AS slope, regr_intercept(y, week) AS intercept FROM g GROUP BY entity HAVING count(*) >= 4 AND var_pop(week) > 0)
+    SELECT entity, n, round(slope, 7) AS slope, round(intercept, 6) AS intercept FROM f""", places=None)
+def trend_of_logs(spark, sf_dir):
+    rows = events(spark, sf_dir).groupBy("entity", "week").agg(total(F.log(1 + F.col("points"))).alias("y"))
+    return signals.trend_line(rows, keys=["entity"], x="week", y="y").select("entity", "n", F.round("slope", 7).alias("slope"), F.round("intercept", 6).alias("intercept"))

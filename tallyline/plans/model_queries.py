@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import features, metrics, models, seasons
-from .base import events, query, table
+from .base import events, orders, query, table
 from .season_queries import rolled
 
 FEATURES = ["n", "value_sum", "value_mean", "value_std", "value_max"]
@@ -60,7 +60,9 @@ def gbt_cv(spark, sf_dir):
 
 @query()
 def feature_importance(spark, sf_dir):
-    return models.importances(_pairs(spark, sf_dir), features=FEATURES, target="adjusted_target", trees=TREES)
+    """By segment: the one in which a customer has most orders of the season."""
+    segment = seasons.primary_category(orders(spark, sf_dir), keys=["entity", "season"], category="segment").drop("n_rows")
+    return models.importances(_pairs(spark, sf_dir).join(segment, ["entity", "season"]), features=FEATURES, target="adjusted_target", segment="segment", trees=TREES)
 
 
 def _weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,6 +83,6 @@ def boom_calibrated(spark, sf_dir):
 
 @query()
 def boom_back_test(spark, sf_dir):
-    """Probabilities of one fold by a model of the others, summed up by entity."""
-    scored = models.back_test(_weekly(spark, sf_dir), features=LAGGED, label="boom", fold="fold", year=0, trees=4)
+    """Probabilities of one fold by a model of the others for each position, summed up by entity."""
+    scored = models.back_test(_weekly(spark, sf_dir), features=LAGGED, label="boom", fold="fold", year=0, segment="position", trees=4)
     return features.boom_summary(scored, keys=["entity"], probability="prob", actual="boom", points="points")

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.stats import mean, safe_div
-from ..operators import adjust, compare, comps, lineup, matchup, profiles, seasons, signals, tiers
-from .base import ORDERS, ROLLED, orders, query, s_mean, s_spread, s_total, table
+from ..functions.stats import mean, safe_div, title_case
+from ..operators import adjust, compare, comps, lineup, matchup, profiles, schedule, seasons, signals, tiers
+from .base import EVENTS, ORDERS, ROLLED, events, orders, query, s_mean, s_round, s_spread, s_total, table
 
 KEYS = ["entity", "season"]
 
@@ -18,9 +18,9 @@ def rolled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {ROLLED.replace("max(value) AS value_max", '''max(value) AS value_max, round(median(value), 4) AS value_median,
     count(*) FILTER (value >= 100000) AS value_at_100000, count(*) FILTER (value >= 250000) AS value_at_250000''')}
-    SELECT *, value_at_100000 / CAST(n AS DOUBLE) AS value_rate_100000, value_at_250000 / CAST(n AS DOUBLE) AS value_rate_250000 FROM r""")
+    SELECT *, {s_round("value_at_100000 / CAST(n AS DOUBLE)", 3)} AS value_rate_100000, {s_round("value_at_250000 / CAST(n AS DOUBLE)", 3)} AS value_rate_250000 FROM r""")
 def season_rollup(spark, sf_dir):
-    return seasons.season_rollup(orders(spark, sf_dir), keys=KEYS, measures=["value"], thresholds={"value": [100000, 250000]}, digits=None)
+    return seasons.season_rollup(orders(spark, sf_dir), keys=KEYS, measures=["value"], thresholds={"value": [100000, 250000]})
 
 
 @query(f"""WITH {ORDERS}, c AS (SELECT entity, season, segment, count(*) AS n_rows FROM o GROUP BY ALL)
@@ -29,9 +29,9 @@ def primary_category(spark, sf_dir):
     return seasons.primary_category(orders(spark, sf_dir), keys=KEYS, category="segment")
 
 
-@query(f"WITH {ROLLED} SELECT entity, season, n, value_sum, value_sum * 17.0 / greatest(n, 1) AS value_sum_full FROM r")
+@query(f"WITH {ROLLED} SELECT entity, season, n, value_sum, {s_round('value_sum * 17.0 / greatest(n, 1)', 1)} AS value_sum_full FROM r")
 def full_season_norm(spark, sf_dir):
-    full = seasons.full_season(rolled(spark, sf_dir), totals=["value_sum"], games="n", season_games=17, digits=None)
+    full = seasons.full_season(rolled(spark, sf_dir), totals=["value_sum"], games="n", season_games=17)
     return full.select(*KEYS, "n", "value_sum", "value_sum_full")
 
 
@@ -42,11 +42,11 @@ def career_year(spark, sf_dir):
 
 
 @query(f"""WITH {ROLLED} SELECT a.entity, a.season, a.n, a.value_sum, b.n AS next_games, b.value_sum AS next_value_sum,
-    CASE WHEN b.n < 4 THEN b.value_sum * 6.0 / b.n ELSE b.value_sum END AS adjusted_target
+    CASE WHEN b.n < 4 THEN {s_round("b.value_sum * 6.0 / b.n", 1)} ELSE b.value_sum END AS adjusted_target
     FROM r a JOIN r b ON a.entity = b.entity AND b.season = a.season + 1 WHERE a.n >= 2 AND b.n >= 2""")
 def yoy_pairs(spark, sf_dir):
     base = rolled(spark, sf_dir).select(*KEYS, "n", "value_sum")
-    return seasons.yoy_pairs(base, entity=["entity"], season="season", games="n", target="value_sum", least_games=2, short_games=4, season_games=6, digits=None)
+    return seasons.yoy_pairs(base, entity=["entity"], season="season", games="n", target="value_sum", least_games=2, short_games=4, season_games=6)
 
 
 @query(f"""WITH {ROLLED} SELECT a.entity, a.season, a.value_mean, coalesce(a.value_mean - b.value_mean, 0) AS value_mean_trend
@@ -80,17 +80,20 @@ def nation_season(spark, sf_dir, *extra):
     return orders(spark, sf_dir).join(customers, "entity").groupBy("nation", "season", *extra).agg(F.count("*").alias("n"), mean("value").alias("value_mean"))
 
 
-def _weights(decay: float, lookback: int) -> str:
-    return "CASE 2001 - season " + " ".join(f"WHEN {k} THEN CAST({decay**k!r} AS DOUBLE)" for k in range(lookback)) + " END"
+def _seasons(lookback: int) -> str:
+    return ", ".join(f"max(CASE WHEN season = {y} THEN value_mean END) AS v{y}" for y in range(2001 - lookback + 1, 2002))
 
 
-def _decayed(decay: float, lookback: int) -> str:
+def _mean_of_seasons(decay: float, lookback: int) -> str:
     """SQL of a decayed mean with the terms added in order of season."""
-    parts = [f"max(CASE WHEN season = {y} THEN value_mean END) AS v{y}" for y in range(2001 - lookback + 1, 2002)]
     w = {y: repr(float(decay ** (2001 - y))) for y in range(2001 - lookback + 1, 2002)}
     top = " + ".join(["CAST(0 AS DOUBLE)", *[f"coalesce(CAST({w[y]} AS DOUBLE) * v{y}, 0)" for y in w]])
     low = " + ".join(["CAST(0 AS DOUBLE)", *[f"CASE WHEN v{y} IS NULL THEN 0 ELSE CAST({w[y]} AS DOUBLE) END" for y in w]])
-    return f"d AS (SELECT nation, ({top}) / ({low}) AS decayed FROM (SELECT nation, {', '.join(parts)} FROM ns GROUP BY nation) WHERE v2001 IS NOT NULL)"
+    return f"({top}) / ({low})"
+
+
+def _decayed(decay: float, lookback: int) -> str:
+    return f"d AS (SELECT nation, {_mean_of_seasons(decay, lookback)} AS decayed FROM (SELECT nation, {_seasons(lookback)} FROM ns GROUP BY nation) WHERE v2001 IS NOT NULL)"
 
 
 @query(f"WITH {NATION_SEASON}, {_decayed(0.6, 4)} SELECT nation, decayed, row_number() OVER (ORDER BY decayed, nation) AS place FROM d")
@@ -100,11 +103,11 @@ def decayed_mean_rank(spark, sf_dir):
 
 
 @query(f"""WITH {NATION_SEASON}, {_decayed(0.9, 3)}, g AS (SELECT d.*, n_regionkey AS region FROM d JOIN nation ON n_nationkey = nation)
-    SELECT nation, region, decayed, decayed / {s_mean("decayed", "OVER (PARTITION BY region)")} AS strength FROM g""")
+    SELECT nation, region, decayed, {s_round("decayed / " + s_mean("decayed", "OVER (PARTITION BY region)"), 3)} AS strength FROM g""")
 def offence_strength(spark, sf_dir):
     decayed = profiles.decayed_mean(nation_season(spark, sf_dir), keys=["nation"], season="season", measure="value_mean", latest=2001, decay=0.9, lookback=3)
     regions = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("nation"), F.col("n_regionkey").alias("region"))
-    return profiles.strength(decayed.join(regions, "nation"), within=["region"], digits=None).select("nation", "region", "decayed", "strength")
+    return profiles.strength(decayed.join(regions, "nation"), within=["region"]).select("nation", "region", "decayed", "strength")
 
 
 @query(f"""WITH {ROLLED}, a AS (SELECT entity, value_mean, value_std FROM r WHERE season = 2001), b AS (SELECT entity, value_mean, value_std FROM r WHERE season = 2000)
@@ -177,13 +180,13 @@ COMPS = f"""{ROLLED}, c AS (SELECT *, season - min(season) OVER (PARTITION BY en
 
 
 @query(f"""WITH {COMPS} SELECT entity, season, career_year,
-    list_reduce(list_prepend(0.0, list_transform(range(1, len(cw) + 1), lambda i: cw[i] * vs[i])), lambda a, b: a + b) / list_reduce(list_prepend(0.0, cw), lambda a, b: a + b) AS comparable,
+    {s_round("list_reduce(list_prepend(0.0, list_transform(range(1, len(cw) + 1), lambda i: cw[i] * vs[i])), lambda a, b: a + b) / list_reduce(list_prepend(0.0, cw), lambda a, b: a + b)", 1)} AS comparable,
     CAST(len(cw) AS INTEGER) AS n_comps, names FROM cap""")
 def comps_knn(spark, sf_dir):
     rows = _career(spark, sf_dir).select(*KEYS, "n", "value_mean", "value_sum", "career_year", "first_season")
     pool = comps.comparable_pool(rows.withColumn("segment", F.lit(1)), entity="entity", season="season", segment="segment", games="n", target="value_sum", least_games=4, first_from=1996)
     asked = rows.where("season = 2001 AND n >= 2")
-    return comps.nearest_comparables(asked, pool, segment=["career_year"], entity="entity", season="season", features=["n", "value_mean"], digits=None)
+    return comps.nearest_comparables(asked, pool, segment=["career_year"], entity="entity", season="season", features=["n", "value_mean"])
 
 
 @query(f"""WITH {ROLLED}, c AS (SELECT entity, season, value_sum, value_max, season - min(season) OVER (PARTITION BY entity) + 1 AS career_year FROM r)
@@ -255,10 +258,11 @@ def _match_sides(spark, sf_dir):
     return entities, opponents
 
 
-@query(f"""WITH {MATCH_PARTS}, {MATCH_SQL.format(rows="pe, po")} SELECT entity, opponent, expected, advantage, sm * o_man_fpdb + sz * o_zone_fpdb AS opponent_fpdb FROM md""")
+@query(f"""WITH {MATCH_PARTS}, {MATCH_SQL.format(rows="pe, po")} SELECT entity, opponent, {s_round("expected", 3)} AS expected, {s_round("advantage", 3)} AS advantage, {s_round("man - overall", 3)} AS man_adv, {s_round("zone - overall", 3)} AS zone_adv,
+    {s_round("sm * 100", 1)} AS man_pct, {s_round("sz * 100", 1)} AS zone_pct, {s_round("sm * o_man_fpdb + sz * o_zone_fpdb", 3)} AS opponent_fpdb FROM md""")
 def matchup_cross(spark, sf_dir):
     entities, opponents = _match_sides(spark, sf_dir)
-    return matchup.matchup_table(entities, opponents, entity=MATCH_ENTITY, opponent=MATCH_OPPONENT, digits=None).select("entity", "opponent", "expected", "advantage", "opponent_fpdb")
+    return matchup.matchup_table(entities, opponents, entity=MATCH_ENTITY, opponent=MATCH_OPPONENT).select("entity", "opponent", "expected", "advantage", "man_adv", "zone_adv", "man_pct", "zone_pct", "opponent_fpdb")
 
 
 @query(f"""WITH {MATCH_PARTS}, sched AS (SELECT n_nationkey AS unit, CAST(w AS INTEGER) AS week, (n_nationkey * 3 + w * 7) % 110 AS opponent FROM nation, range(1, 18) t(w)),
@@ -302,27 +306,29 @@ def scheme_ratio(spark, sf_dir):
 
 @query(f"""WITH {SCHEME}, s AS (SELECT entity, segment, CAST(sum(CAST(scheme AS DECIMAL(18,6))) AS DOUBLE) AS scheme, string_agg(DISTINCT label, ', ' ORDER BY label) AS labels FROM sm GROUP BY ALL),
     m AS (SELECT c_custkey AS entity, p.segment, CAST(0.1 AS DOUBLE) AS pct, 'balance' AS reason FROM customer JOIN (SELECT entity, max(segment) AS segment FROM o GROUP BY 1) p ON p.entity = c_custkey WHERE c_acctbal > 9000)
-    SELECT s.entity, s.segment, scheme, coalesce(pct, 0) AS manual, (1 + scheme) * (1 + coalesce(pct, 0)) - 1 AS total,
+    SELECT s.entity, s.segment, scheme, coalesce(pct, 0) AS manual, {s_round("(1 + scheme) * (1 + coalesce(pct, 0)) - 1", 4)} AS total,
         'Scheme: ' || labels || CASE WHEN reason IS NOT NULL THEN ' | Manual: ' || reason ELSE '' END AS note FROM s LEFT JOIN m ON m.entity = s.entity AND m.segment = s.segment""")
 def adjust_compound(spark, sf_dir):
     schemes = _schemes(spark, sf_dir)
     rich = table(spark, sf_dir, "customer").where("c_acctbal > 9000").select(F.col("c_custkey").alias("entity"), F.lit(0.1).alias("pct"), F.lit("balance").alias("reason"))
     manual = rich.join(orders(spark, sf_dir).groupBy("entity").agg(F.max("segment").alias("segment")), "entity")
-    return adjust.combine_adjustments(schemes, manual, keys=["entity", "segment"], digits=None)
+    return adjust.combine_adjustments(schemes, manual, keys=["entity", "segment"])
 
 
 @query(f"""WITH {ROLLED}, v AS (SELECT entity, max(segment) AS segment, {s_total("value")} AS value FROM o WHERE season = 2000 GROUP BY entity),
     a AS (SELECT c_custkey AS entity, c_acctbal / 100000 AS total FROM customer WHERE c_acctbal > 5000),
-    w AS (SELECT v.entity, segment, v.value, value * (1 + coalesce(total, 0)) AS adjusted FROM v LEFT JOIN a USING (entity))
-    SELECT *, CAST(rank() OVER (PARTITION BY segment ORDER BY adjusted DESC) AS INTEGER) AS segment_rank FROM w""")
+    w AS (SELECT v.entity, segment, v.value, {s_round("value * (1 + coalesce(total, 0))", 1)} AS adjusted, CASE WHEN v.entity % 11 = 0 THEN 'moved' ELSE 'unit ' || v.entity % 25 END AS unit FROM v LEFT JOIN a USING (entity))
+    SELECT *, CAST(rank() OVER (PARTITION BY segment ORDER BY adjusted DESC) AS INTEGER) AS segment_rank, CAST(rank() OVER (ORDER BY adjusted DESC) AS INTEGER) AS overall_rank FROM w""")
 def adjust_apply(spark, sf_dir):
     rows = orders(spark, sf_dir).where("season = 2000").groupBy("entity").agg(F.max("segment").alias("segment"), F.sum(F.col("value").cast("decimal(18,4)")).cast("double").alias("value"))
     adjustments = table(spark, sf_dir, "customer").where("c_acctbal > 5000").select(F.col("c_custkey").alias("entity"), (F.col("c_acctbal") / 100000).alias("total"))
-    return adjust.apply_adjustments(rows, adjustments, keys=["entity"], value="value", segment="segment", digits=None).drop("total")
+    rows = rows.withColumn("unit", F.concat(F.lit("unit "), (F.col("entity") % 25).cast("string")))
+    updates = table(spark, sf_dir, "customer").where("c_custkey % 11 = 0").select(F.col("c_custkey").alias("entity"), F.lit("moved").alias("new_unit"))
+    return adjust.apply_adjustments(rows, adjustments, keys=["entity"], value="value", segment="segment", updates=updates).drop("total")
 
 
-COMPARE = f"""{ORDERS}, a AS (SELECT lower(trim(c_name)) AS name_key, c_mktsegment AS segment, max(c_acctbal) AS v FROM customer WHERE c_custkey % 10 <> 0 GROUP BY ALL),
-    b AS (SELECT lower(trim(c_name)) AS name_key, c_mktsegment AS segment, max(t) AS v FROM customer JOIN (SELECT entity, {s_total("value")} AS t FROM o GROUP BY 1) ON entity = c_custkey WHERE c_custkey % 7 <> 0 GROUP BY ALL),
+COMPARE = f"""{ORDERS}, a AS (SELECT lower(trim(c_name)) AS name_key, c_mktsegment AS segment, max(c_acctbal) AS v FROM customer GROUP BY ALL),
+    b AS (SELECT lower(trim(c_name)) AS name_key, c_mktsegment AS segment, max(t) AS v FROM customer JOIN (SELECT entity, {s_total("value")} AS t FROM o GROUP BY 1) ON entity = c_custkey GROUP BY ALL),
     ra AS (SELECT *, CAST(rank() OVER (PARTITION BY segment ORDER BY v DESC) AS INTEGER) AS k FROM a), rb AS (SELECT *, CAST(rank() OVER (PARTITION BY segment ORDER BY v DESC) AS INTEGER) AS k FROM b),
     cmp AS (SELECT coalesce(ra.name_key, rb.name_key) AS name_key, coalesce(ra.segment, rb.segment) AS segment, ra.k AS our_rank, rb.k AS their_rank, rb.k - ra.k AS rank_diff,
         CASE WHEN rb.k IS NULL THEN 'only_ours' WHEN ra.k IS NULL THEN 'only_theirs' WHEN rb.k - ra.k >= 8 THEN 'higher' WHEN rb.k - ra.k <= -8 THEN 'lower' ELSE 'agree' END AS verdict
@@ -332,8 +338,8 @@ COMPARE = f"""{ORDERS}, a AS (SELECT lower(trim(c_name)) AS name_key, c_mktsegme
 def _compared(spark, sf_dir):
     customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("entity"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").alias("value"))
     spent = orders(spark, sf_dir).groupBy("entity").agg(F.sum(F.col("value").cast("decimal(18,4)")).cast("double").alias("value"))
-    theirs = customers.drop("value").where("entity % 7 != 0").join(spent, "entity")
-    return compare.compare_ranks(customers.where("entity % 10 != 0"), theirs, name="name", segment="segment", value="value")
+    theirs = customers.drop("value").join(spent, "entity")
+    return compare.compare_ranks(customers, theirs, name="name", segment="segment", value="value")
 
 
 @query(f"WITH {COMPARE} SELECT name_key, segment, our_rank, their_rank, rank_diff, verdict FROM cmp")
@@ -363,5 +369,131 @@ def name_resolve(spark, sf_dir):
     first, second = F.split_part(name, F.lit(" "), F.lit(1)), F.split_part(name, F.lit(" "), F.lit(2))
     asked = F.when(k == 0, F.upper(name)).when(k == 1, F.concat(name, F.lit(" Jr."))).when(k == 2, F.concat(second, F.lit(" "), first)).when(k == 3, "the boss").when(k == 4, "zzz nobody").otherwise(second)
     raw = part.select(F.col("p_partkey").alias("id"), asked.alias("raw_name"))
-    aliases = spark.createDataFrame([("The Boss", "red widget")], "alias string, canonical string")
+    aliases = spark.range(1).select(F.lit("The Boss").alias("alias"), F.lit("red widget").alias("canonical"))
     return compare.resolve_names(raw, part.select("p_name").distinct(), aliases, name="raw_name", known_name="p_name")
+
+
+@query(f"WITH {COMPARE} SELECT name_key, segment, our_rank, their_rank FROM cmp WHERE their_rank <= 24 AND (our_rank IS NULL OR our_rank > 24)")
+def missed_top(spark, sf_dir):
+    return compare.missed_top(_compared(spark, sf_dir)).select("name_key", "segment", "our_rank", "their_rank")
+
+
+@query(f"""WITH {COMPARE} SELECT name_key, segment, our_rank, their_rank, CAST(row_number() OVER (PARTITION BY segment ORDER BY our_rank, name_key) AS INTEGER) AS place FROM cmp WHERE our_rank IS NOT NULL AND their_rank IS NOT NULL QUALIFY place <= 12""")
+def agreement_top(spark, sf_dir):
+    return compare.agreement(_compared(spark, sf_dir), segment="segment").select("name_key", "segment", "our_rank", "their_rank", "place")
+
+
+@query(f"""SELECT l_suppkey AS draft, l_returnflag AS flag, count(*) AS n, {s_total("l_quantity")} AS quantity_sum, {s_total("l_extendedprice")} AS price_sum,
+    {s_total("l_extendedprice")} / nullif({s_total("l_quantity")}, 0) AS price_per_piece, {s_total("l_quantity")} / count(*) AS quantity_sum_per_game FROM lineitem GROUP BY ALL""")
+def derived_rates(spark, sf_dir):
+    facts = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("draft"), F.col("l_returnflag").alias("flag"), F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"))
+    rolled = seasons.season_rollup(facts, keys=["draft", "flag"], measures=["quantity", "price"])
+    out = seasons.derived_rates(rolled, rates={"price_per_piece": ("price_sum", "quantity_sum")}, games="n", per_game=["quantity_sum"])
+    return out.select("draft", "flag", "n", "quantity_sum", "price_sum", "price_per_piece", "quantity_sum_per_game")
+
+
+@query("""SELECT c_custkey AS id, list_aggregate(list_transform(string_split(lower(trim(regexp_replace(replace(replace(c_name, '#', ' '), '0', 'ab '), '\\s+', ' ', 'g'))), ' '), lambda w: upper(w[1]) || w[2:]), 'string_agg', ' ') AS name FROM customer""")
+def title_case_names(spark, sf_dir):
+    name = F.replace(F.replace("c_name", F.lit("#"), F.lit(" ")), F.lit("0"), F.lit("ab "))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), title_case(name).alias("name"))
+
+
+@query(f"""WITH {ROLLED}, c AS (SELECT entity, season, value_sum, value_max, season - min(season) OVER (PARTITION BY entity) + 1 AS career_year FROM r),
+    b AS (SELECT entity, career_year, {s_round("CASE career_year WHEN 1 THEN 0.6 * value_max + (1 - CAST(0.6 AS DOUBLE)) * value_sum WHEN 2 THEN 0.35 * value_max + (1 - CAST(0.35 AS DOUBLE)) * value_sum ELSE value_sum END", 1)} AS blended FROM c WHERE season = 2001)
+    SELECT *, CAST(row_number() OVER (PARTITION BY career_year ORDER BY blended DESC NULLS LAST, entity) AS INTEGER) AS place FROM b""")
+def blend_ranks(spark, sf_dir):
+    rows = _career(spark, sf_dir).where("season = 2001").select("entity", "career_year", "value_sum", "value_max")
+    mixed = comps.blended(rows, model="value_sum", comparable="value_max", career_year="career_year", weights={1: 0.60, 2: 0.35})
+    return profiles.ranked(mixed.select("entity", "career_year", "blended"), value="blended", tie=["entity"], within=["career_year"], ascending=False)
+
+
+@query(f"""WITH {MATCH_PARTS}, sched AS (SELECT n_nationkey AS unit, CAST(w AS INTEGER) AS week, (n_nationkey * 3 + w * 7) % 110 AS opponent FROM nation, range(1, 18) t(w)),
+    j AS (SELECT pe.*, week, opponent, coalesce(o_man, 0) AS o_man, coalesce(o_zone, 0) AS o_zone, coalesce(o_high1, 0) AS o_high1, coalesce(o_high2, 0) AS o_high2 FROM pe JOIN sched USING (unit) LEFT JOIN po USING (opponent)),
+    {MATCH_SQL.format(rows="j")} SELECT entity, week, opponent, advantage FROM md WHERE advantage >= 0.15 ORDER BY advantage DESC, entity, week, opponent LIMIT 10""")
+def best_matchups(spark, sf_dir):
+    """A top-k report: the ten best weeks from a threshold on."""
+    return weekly_matchup_projection(spark, sf_dir).where("advantage >= 0.15").orderBy(F.col("advantage").desc(), "entity", "week", "opponent").limit(10).select("entity", "week", "opponent", "advantage")
+
+
+# Decay and seasons looked back to, by segment.
+RULES = {"1-URGENT": (1.00, 1), "2-HIGH": (1.00, 4), "3-MEDIUM": (0.90, 3), "5-LOW": (0.60, 4)}
+RANKS = f"""{ORDERS}, {EVENTS}, ns AS (SELECT c_nationkey AS unit, season, segment, {s_mean("value")} AS value_mean FROM o JOIN customer ON c_custkey = entity GROUP BY ALL),
+    dw AS (SELECT unit, segment, {_seasons(4)} FROM ns GROUP BY ALL),
+    dc AS (SELECT unit, segment, CASE segment {" ".join(f"WHEN '{s}' THEN {_mean_of_seasons(*r)}" for s, r in RULES.items())} END AS points FROM dw WHERE v2001 IS NOT NULL AND segment IN ({", ".join(f"'{s}'" for s in RULES)})),
+    tg AS (SELECT entity % 25 AS unit, 'slot' AS segment, week, points FROM e WHERE points >= 10 UNION ALL SELECT entity % 25, 'wide', week, points FROM e WHERE points <= 10),
+    wk AS (SELECT unit, segment, week, {s_total("points")} AS points FROM tg GROUP BY ALL),
+    dr AS (SELECT *, CAST(row_number() OVER (PARTITION BY segment ORDER BY points, unit) AS INTEGER) AS place FROM (SELECT * FROM dc UNION ALL SELECT unit, segment, {s_mean("points")} FROM wk GROUP BY ALL)),
+    g AS (SELECT n.n_nationkey AS home, (n.n_nationkey + w) % 25 AS away, CAST(w AS INTEGER) AS week FROM nation n, range(1, 18) t(w)),
+    ed AS (SELECT home AS unit, away AS opponent, week FROM g UNION ALL SELECT away, home, week FROM g),
+    mx AS (SELECT ed.unit, segment, week, opponent, place AS opponent_rank FROM ed JOIN dr ON dr.unit = opponent)"""
+
+
+def _ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as units: four segments from the seasons of their customers' orders, two from the weeks of events."""
+    decayed = profiles.decayed_by_rule(nation_season(spark, sf_dir, "segment"), keys=["nation"], segment="segment", season="season", measure="value_mean", latest=2001, rules=RULES).withColumnRenamed("nation", "unit")
+    tagged = events(spark, sf_dir).select((F.col("entity") % 25).alias("unit"), "week", "points", F.explode(F.array_compact(F.array(F.when(F.col("points") >= 10, "slot"), F.when(F.col("points") <= 10, "wide")))).alias("segment"))
+    return profiles.segment_ranks(decayed, tagged, unit="unit", segment="segment", week="week", measure="points")
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, w = F.col("n_nationkey"), F.col("week")
+    games = table(spark, sf_dir, "nation").withColumn("week", F.explode(F.sequence(F.lit(1), F.lit(17)))).select(n.cast("bigint").alias("home"), ((n + w) % 25).cast("bigint").alias("away"), "week")
+    return schedule.both_directions(games, home="home", away="away", keep=["week"])
+
+
+@query(f"WITH {RANKS} SELECT unit, segment, points, place FROM dr")
+def segment_ranks(spark, sf_dir):
+    return _ranks(spark, sf_dir)
+
+
+@query(f"WITH {RANKS} SELECT unit, segment, points FROM dc")
+def decayed_by_rule(spark, sf_dir):
+    return _ranks(spark, sf_dir).where(F.col("segment").isin(list(RULES))).select("unit", "segment", "points")
+
+
+@query(f"WITH {RANKS} SELECT unit, segment, week, opponent, opponent_rank FROM mx")
+def rank_matrix(spark, sf_dir):
+    return schedule.rank_matrix(_edges(spark, sf_dir), _ranks(spark, sf_dir), segment="segment")
+
+
+@query(f"""WITH {RANKS} SELECT unit, segment, count(opponent_rank) AS games, {s_round(s_mean("opponent_rank"), 1)} AS season_mean, {s_round(s_mean("CASE WHEN week BETWEEN 14 AND 17 THEN opponent_rank END"), 1)} AS playoff_mean,
+    count(*) FILTER (opponent_rank >= 23) AS easy_games, count(*) FILTER (opponent_rank <= 10) AS tough_games FROM mx GROUP BY ALL""")
+def unit_strength(spark, sf_dir):
+    ranked = schedule.rank_matrix(_edges(spark, sf_dir), _ranks(spark, sf_dir), segment="segment")
+    return schedule.strength_summary(ranked, unit=["unit", "segment"], week="week", rank="opponent_rank", playoff=(14, 17), easy=23, tough=10)
+
+
+SEGMENT_OF = "CASE s_suppkey % 5 WHEN 0 THEN '1-URGENT' WHEN 1 THEN '2-HIGH' WHEN 2 THEN 'slot' WHEN 3 THEN 'wide' ELSE 'none' END"
+
+
+@query(f"""WITH {RANKS}, lg AS (SELECT segment, {s_mean("points")} AS league FROM dr GROUP BY segment), en AS (SELECT s_suppkey AS entity, s_nationkey AS unit, {SEGMENT_OF} AS segment FROM supplier)
+    SELECT entity, week, opponent, points AS opponent_points, place AS opponent_rank, points - league AS over_league, week BETWEEN 14 AND 17 AS is_playoff
+    FROM en JOIN ed USING (unit) LEFT JOIN (SELECT dr.unit AS u, dr.segment AS s, points, place, league FROM dr JOIN lg USING (segment)) ON u = opponent AND s = en.segment""")
+def schedule_view(spark, sf_dir):
+    entities = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("entity"), F.col("s_nationkey").cast("bigint").alias("unit"), F.expr(SEGMENT_OF).alias("segment"))
+    return schedule.schedule_view(entities, _edges(spark, sf_dir), _ranks(spark, sf_dir), segment="segment", playoff=(14, 17))
+
+
+@query(f"""WITH {ORDERS}, h AS (SELECT entity, season, min(segment) AS segment, c_nationkey AS unit FROM o JOIN customer ON c_custkey = entity GROUP BY ALL),
+    a AS (SELECT c_custkey AS entity, CASE WHEN c_custkey % 2 = 0 THEN c_nationkey ELSE (c_nationkey + 1) % 25 END AS unit FROM customer),
+    x AS (SELECT entity, unit, segment FROM h QUALIFY row_number() OVER (PARTITION BY entity, unit ORDER BY season DESC, segment) = 1), y AS (SELECT entity, segment FROM h QUALIFY row_number() OVER (PARTITION BY entity ORDER BY season DESC, segment) = 1)
+    SELECT a.entity, a.unit, coalesce(x.segment, y.segment, 'WR') AS segment FROM a LEFT JOIN x ON x.entity = a.entity AND x.unit = a.unit LEFT JOIN y ON y.entity = a.entity""")
+def resolve_segments(spark, sf_dir):
+    """Half of the customers are asked for at another unit, some have no order at all."""
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("entity"), F.col("c_nationkey").cast("bigint").alias("unit"))
+    history = orders(spark, sf_dir).groupBy("entity", "season").agg(F.min("segment").alias("segment")).join(customers, "entity")
+    asked = customers.select("entity", F.when(F.col("entity") % 2 == 0, F.col("unit")).otherwise((F.col("unit") + 1) % 25).alias("unit"))
+    return adjust.resolve_segments(asked, history, entity="entity", unit="unit", segment="segment", season="season")
+
+
+@query(f"""WITH {ORDERS}, ns AS (SELECT c_nationkey AS unit, season, segment, count(*) AS n, {s_mean("value")} AS value_mean FROM o JOIN customer ON c_custkey = entity GROUP BY ALL),
+    w AS (SELECT n_nationkey AS unit, CASE WHEN n_nationkey % 2 = 0 THEN 2000 ELSE 1999 END AS y FROM nation)
+    SELECT 'rule ' || unit AS profile, unit, segment, {s_total("value_mean * n")} / sum(n) AS value_mean FROM ns JOIN w USING (unit) WHERE season IN (y, y - 1) GROUP BY ALL""")
+def scheme_profiles(spark, sf_dir):
+    """Rules with seasons of their own."""
+    history = nation_season(spark, sf_dir, "segment").withColumnRenamed("nation", "unit")
+    n = F.col("n_nationkey")
+    year = F.when(n % 2 == 0, 2000).otherwise(1999)
+    segments = orders(spark, sf_dir).select("segment").distinct()
+    wanted = table(spark, sf_dir, "nation").crossJoin(F.broadcast(segments)).select(F.concat(F.lit("rule "), n.cast("string")).alias("profile"), n.alias("unit"), "segment", F.array(year, year - 1).alias("seasons"))  # a few segments
+    return adjust.scheme_profiles(history, wanted, unit="unit", segment="segment", season="season", measures=["value_mean"], games="n")

@@ -49,13 +49,13 @@ def _head(spark: SparkSession, path: str, key: str) -> tuple[list[list[str]], li
 def read_export(spark: SparkSession, path: str, *, key: str = "Name", names: list[str] | None = None, text: list[str] | None = None, file_name: bool = False) -> DataFrame:
     """A file, or files of one layout: snake-case columns by position (``names`` overrides them), numbers by try_cast
     except in ``text`` columns, which are trimmed. Group rows, header rows (repeated ones too) and rows without a key are
-    dropped. With ``file_name``, a column of that name."""
+    dropped. With ``file_name``, a column of that name holds the file's path."""
     head, header = _head(spark, path, key)
     columns = names or unique_names(header)
     key_column = columns[[c.strip() for c in header].index(key)]
     raw = spark.read.schema(T.StructType([T.StructField(c, T.StringType()) for c in columns])).csv(path, header=False, quote='"', escape='"', ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
     if file_name:
-        raw = raw.select(*columns, F.col("_metadata.file_name").alias("file_name"))
+        raw = raw.select(*columns, F.col("_metadata.file_path").alias("file_name"))
     rows = raw.where(F.col(key_column).isNotNull() & (F.trim(key_column) != "") & (F.trim(key_column) != key))
     for row in head[:-1]:  # group rows
         same = [F.coalesce(F.ltrim(F.col(c), F.lit("﻿")), F.lit("")) == v.strip() for c, v in zip(columns, row, strict=False)]
@@ -89,6 +89,11 @@ def weekly_facts(facts: DataFrame, *, positions: list[str] | None = None, requir
     return facts if positions is None else facts.where(F.col("pos").isin(positions))
 
 
+def weekly_opponents(facts: DataFrame) -> DataFrame:
+    """Weekly rows that have a week, points and an opponent."""
+    return weekly_facts(facts, required=("week", "fp", "opponent"))
+
+
 def all_positions(rushing: DataFrame | None, receiving: DataFrame | None, passing: DataFrame | None) -> DataFrame:
     """Weekly history of all positions without double counting: RB of rushing, WR and TE of receiving, QB of passing;
     a missing source is left out."""
@@ -175,7 +180,7 @@ def outside_ranking(spark: SparkSession, path: str, *, default_games: float = 15
 def draft_exports(spark: SparkSession, picks: str, standings: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Picks and standings of all drafts with their number as lobby ('(n)' of the file name, else 0), those of matched
     pairs only, and the unmatched numbers."""
-    lobby = F.coalesce(number(F.regexp_extract("file_name", r"(?:\(|%28)(\d+)(?:\)|%29)", 1), "int"), F.lit(0)).alias("lobby")
+    lobby = F.coalesce(number(F.regexp_extract("file_name", r"(?:\(|%28)(\d+)(?:\)|%29)[^/]*(?:/part-[^/]*)?$", 1), "int"), F.lit(0)).alias("lobby")
     sides = []
     for path, key, text in ((picks, "Player", ["player", "pos", "nfl_team", "my_pick"]), (standings, "Rank", ["my_team"])):
         df = read_export(spark, path, key=key, text=text, file_name=True)
@@ -188,6 +193,11 @@ def draft_exports(spark: SparkSession, picks: str, standings: str) -> tuple[Data
     return sides[0].join(both, "lobby", "left_semi"), sides[1].join(both, "lobby", "left_semi"), alone
 
 
+def read_projections(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A table that ``write_table`` wrote as CSV with a header, partition columns included."""
+    return spark.read.schema(schema).option("header", True).csv(path)
+
+
 def write_table(df: DataFrame, path: str, *, kind: str = "parquet", partition_by: list[str] | None = None, columns: list[str] | None = None, order: list | None = None) -> None:
     """A sink: the named columns that exist, sorted within files where an order is given, as parquet or csv."""
     out = df.select(*existing(df, columns)) if columns else df

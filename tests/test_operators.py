@@ -2,12 +2,13 @@
 
 import itertools
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tallyline.functions import stats
-from tallyline.operators import adjust, compare, comps, drafts, features, lineup, matchup, metrics, profiles, schedule, seasons, signals, tiers
+from tallyline.operators import adjust, compare, comps, drafts, features, lineup, matchup, metrics, profiles, ranks, schedule, seasons, signals, tiers
 
 
 def rows(df, *order):
@@ -260,3 +261,40 @@ def test_plans_use_no_python_and_no_stray_product(spark):
     for name in ("season_rollup", "comps_knn", "lineup_score", "name_resolve", "near_pick_band", "schedule_strength"):
         plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "CartesianProduct")), name
+
+
+def test_rank_min_against_plain_ranks(spark):
+    rng = random.Random(5)
+    data = [(k, rng.choice("xyz"), rng.choice([None, 1.0, 2.0, 2.5]) if k % 3 else rng.uniform(-5, 5)) for k in range(700)] + [(999, None, 3.0), (1000, "n", None)]
+    df = spark.createDataFrame(data, "k int, g string, v double")
+    for within in ([], ["g"]):
+        got = {r["k"]: r["rank"] for r in ranks.rank_min(df, value="v", within=within).collect()}
+        for k, g, v in data:
+            peers = [b for _, a, b in data if (not within or a == g) and b is not None]
+            assert got[k] == 1 + sum(b > v for b in peers) if v is not None else got[k] == 1 + len(peers)
+    assert ranks.rank_min(df.limit(0), value="v").count() == 0
+
+
+def test_sums_without_a_scale_keep_small_large_and_undefined_values(spark):
+    df = spark.createDataFrame([("s", 0.00004), ("s", 0.00002), ("l", 1e15), ("l", 3e15), ("n", float("nan"))], "g string, v double")
+    got = {r["g"]: r for r in df.groupBy("g").agg(stats.mean("v").alias("m"), stats.std_samp("v").alias("s"), stats.total("v").alias("t")).collect()}
+    assert got["s"]["m"] == pytest.approx(0.00003) and got["s"]["s"] == pytest.approx(0.00002 / math.sqrt(2))
+    assert got["l"]["t"] == 4e15 and math.isnan(got["n"]["m"])
+    with stats.exact_sums(2):
+        assert df.where("g = 's'").agg(stats.total("v")).first()[0] == 0.0
+    assert not stats.sums_are_exact()
+
+
+def test_need_candidates_fall_back_to_the_best(spark):
+    needed = spark.createDataFrame([("r", "QB", 1, 10), ("r", "RB", 0, 10), ("r", "TE", 2, 10)], "roster string, position string, need int, pick int")
+    pool = spark.createDataFrame([("r", "QB", "a", 200), ("r", "QB", "b", 3), ("r", "TE", "c", 12), ("r", "TE", "d", 1), ("r", "RB", "e", 10)], "roster string, position string, entity string, market int")
+    got = rows(drafts.need_candidates(needed, pool, roster="roster", position="position", pick="pick", market="market", entity="entity"), "position", "place")
+    assert got == [("r", "QB", "b", False, 1), ("r", "QB", "a", False, 2), ("r", "TE", "c", True, 1)]
+
+
+def test_marginal_value_of_weak_weeks(spark):
+    projections = spark.createDataFrame([(e, p, w, float(v), 0.0, None) for e, p, vs in (("q", "QB", [10, 20, 30]), ("c", "RB", [9, 1, 0])) for w, v in enumerate(vs, 1)], "entity string, position string, week int, points double, base double, bye int")
+    rosters = spark.createDataFrame([("r", "q")], "roster string, entity string")
+    free = spark.createDataFrame([("r", "c")], "roster string, entity string")
+    got = rows(lineup.marginal_values(rosters, free, projections, roster="roster", weeks=3, weak_weeks=1), "entity")
+    assert [(r[1], r[2], r[3]) for r in got] == [("c", 10.0, 9.0)]
