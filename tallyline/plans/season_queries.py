@@ -258,11 +258,10 @@ def _match_sides(spark, sf_dir):
     return entities, opponents
 
 
-@query(f"""WITH {MATCH_PARTS}, {MATCH_SQL.format(rows="pe, po")} SELECT entity, opponent, {s_round("expected", 3)} AS expected, {s_round("advantage", 3)} AS advantage, {s_round("man - overall", 3)} AS man_adv, {s_round("zone - overall", 3)} AS zone_adv,
-    {s_round("sm * 100", 1)} AS man_pct, {s_round("sz * 100", 1)} AS zone_pct, {s_round("sm * o_man_fpdb + sz * o_zone_fpdb", 3)} AS opponent_fpdb FROM md""")
+@query(f"""WITH {MATCH_PARTS}, {MATCH_SQL.format(rows="pe, po")} SELECT entity, opponent, expected, advantage, man - overall AS man_adv, zone - overall AS zone_adv, sm * 100 AS man_pct, sz * 100 AS zone_pct, sm * o_man_fpdb + sz * o_zone_fpdb AS opponent_fpdb FROM md""")
 def matchup_cross(spark, sf_dir):
     entities, opponents = _match_sides(spark, sf_dir)
-    return matchup.matchup_table(entities, opponents, entity=MATCH_ENTITY, opponent=MATCH_OPPONENT).select("entity", "opponent", "expected", "advantage", "man_adv", "zone_adv", "man_pct", "zone_pct", "opponent_fpdb")
+    return matchup.matchup_table(entities, opponents, entity=MATCH_ENTITY, opponent=MATCH_OPPONENT, digits=None).select("entity", "opponent", "expected", "advantage", "man_adv", "zone_adv", "man_pct", "zone_pct", "opponent_fpdb")
 
 
 @query(f"""WITH {MATCH_PARTS}, sched AS (SELECT n_nationkey AS unit, CAST(w AS INTEGER) AS week, (n_nationkey * 3 + w * 7) % 110 AS opponent FROM nation, range(1, 18) t(w)),
