@@ -62,7 +62,8 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_pieces, ids_crc32 (of the ids as decimal text, comma-joined), decoded_sha256 (of the text the ids give)."""
+    """doc_id, n_pieces, ids_crc32 (of the ids as decimal text, comma-joined), decoded_sha256 (of the text the ids give).
+    The model is a BPE model, so the lattice is read by the merge fold."""
     model = public_tokenizers.path("piece_bpe_32k.model")
     pieces = piece_table(spark, model)
     encoded = encode(table(spark, sf_dir, "documents"), pieces, model_path=model)

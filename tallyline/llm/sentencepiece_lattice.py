@@ -1,30 +1,45 @@
 """SentencePiece encoding and decoding as a relational lattice.
 
-Encoding: the distinct pre-tokens of the corpus are exploded into all substrings of piece length, equi-joined to the
-piece table, and the edges that match are grouped by pre-token: a lattice. A fold with Spark's higher-order aggregate
-then reads the pieces off it. There are two folds over the same lattice: Viterbi (the path with the highest sum of
-scores) for unigram tables, and for BPE tables, where the best path is not what the model means, the merge fold, which
-takes the best edge over two adjacent symbols until there is none. The pre-tokens' ids are joined back to the texts.
-
-No piece holds a space mark after another character, or a line feed (checked when the table is read), so that no merge
-and no edge crosses a pre-token.
+Encoding: texts are cut wherever two neighbouring characters stand together in no piece, since no merge and no edge can
+cross such a place. The distinct parts of the corpus are exploded into substrings of the lengths that pieces with the same
+head have, equi-joined to the piece table, and the edges that match are grouped by part: a lattice. A fold with Spark's
+higher-order aggregate then reads the pieces off it. There are two folds over the same lattice: Viterbi (the path with the
+highest sum of scores) for unigram tables, and for BPE tables, where the best path is not what the model means, the merge
+fold, which takes the best edge over two adjacent symbols until there is none.
+
+Texts meet the ids of their parts in blocks of BLOCK_BYTES: each block's distinct parts are joined to the lattice's result,
+and a block of texts, compressed, is grouped with its own small dictionary. Tokens are never rows of a shuffle.
+
+Decoding: the ids are replaced by the bytes of the piece table, whose size is that of a vocabulary.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 import sentencepiece
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, text_of
+from .common import bound_batches, kind_of, slices, text_of
 
 SPACE = "▁"
-#: Pre-tokens up to so many characters are folded in Spark; its cuts are bits of a number. Longer ones are given to the library.
-FOLDED_CHARS = 48
-PRE_TOKENS = rf"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+"
+#: Parts up to so many characters are folded in Spark: their cuts are the bits of one number. Longer stretches in which every
+#: two neighbours stand together in some piece are encoded by the library, which is the exact way for the rest.
+FOLDED_CHARS = 60
+#: Bytes of text in a block, about; a longer text is a block of its own.
+BLOCK_BYTES = 16 << 20
+#: Bytes of text that are taken into a block together, and what an empty text counts besides.
+SLICE_BYTES = 1 << 20
+ROW_BYTES = 64
+#: Characters of a substring's head, by which the lengths to be exploded are known.
+HEAD = 3
+RUNS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 
 def piece_table(spark: SparkSession, model_path: str) -> DataFrame:
@@ -42,38 +57,84 @@ def piece_table(spark: SparkSession, model_path: str) -> DataFrame:
     return spark.createDataFrame(pd.DataFrame(rows, columns=["id", "piece", "score", "hex", "is_byte"]), "id int, piece string, score double, hex string, is_byte boolean")
 
 
-def pre_tokens(text: Column) -> Column:
-    """array<string>: runs of space marks with the word after them; line feeds alone. The text gets a mark in front."""
-    marked = F.concat(F.lit(SPACE), F.replace(text, F.lit(" "), F.lit(SPACE)))
-    return F.when(text != "", F.regexp_extract_all(marked, F.lit(PRE_TOKENS), F.lit(0))).otherwise(F.array().cast("array<string>"))
-
-
-def lattice(words: DataFrame, pieces: DataFrame) -> DataFrame:
-    """word, n, edges array<struct<start, stop, id, score>> and merges of distinct ``words`` (column word)."""
-    longest = pieces.where("NOT is_byte").agg(F.max(F.length("piece"))).first()[0] or 1
-    starts = F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("start")
-    sizes = F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("word") - F.col("start")))).alias("size")
-    spans = words.select("word", starts).select("word", "start", sizes).withColumn("piece", F.expr("substring(word, start + 1, size)"))
-    table = F.broadcast(pieces.where("NOT is_byte").select("piece", "id", "score"))
-    edges = spans.join(table, "piece").select("word", F.struct("start", (F.col("start") + F.col("size")).alias("stop"), "id", "score").alias("edge"))
-    grouped = edges.groupBy("word").agg(F.collect_list("edge").alias("edges"), _merges(F.collect_list("edge")).alias("merges"))
-    none = F.array().cast("array<struct<start:int,stop:int,id:int,score:double>>")
-    # A word without any edge is all bytes.
-    return words.join(grouped, "word", "left").select("word", F.length("word").alias("n"), F.coalesce("edges", none).alias("edges"), "merges")
-
-
-def _merges(edges: Column) -> Column:
-    """Edges over two or more characters, best score first, then leftmost, as bit masks: ends (the bits of start and
-    stop) and inner (those between). In the order in which the merge fold prefers them."""
-    long = F.filter(edges, lambda e: (e["stop"] - e["start"] > 1) & (e["stop"] <= FOLDED_CHARS))
+class Vocabulary:
+    """The piece table as tasks use it: ids of pieces and bytes, bytes of ids, and the pairs of neighbours within pieces."""
+
+    def __init__(self, pieces: DataFrame):
+        rows = pieces.collect()
+        self.ids = {r["piece"]: r["id"] for r in rows if not r["is_byte"]}
+        self.byte_ids = {int(r["hex"], 16): r["id"] for r in rows if r["is_byte"]}
+        self.hexes = {r["id"]: bytes.fromhex(r["hex"]) for r in rows}
+        self.pairs = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+
+    def codes(self, symbols: Iterable[str]) -> bytes:
+        """Ids of symbols, little-endian unsigned 32-bit; those of its UTF-8 bytes for one without a piece."""
+        out: list[int] = []
+        for symbol in symbols:
+            if symbol in self.ids:
+                out.append(self.ids[symbol])
+            else:
+                out += [self.byte_ids[b] for b in symbol.encode()]
+        return np.array(out, dtype="<u4").tobytes()
+
+    def parts(self, chunk: str) -> list[str]:
+        """The chunk, cut between neighbours that no piece holds."""
+        pairs, out, at = self.pairs, [], 0
+        for i in range(1, len(chunk)):
+            if chunk[i - 1 : i + 1] not in pairs:
+                out.append(chunk[at:i])
+                at = i
+        return [*out, chunk[at:]]
+
+
+def chunks(text: str) -> list[str]:
+    """Runs of space marks with the word after them, and line feeds; some may be empty. The text gets a mark in front."""
+    if not text:
+        return []
+    out: list[str] = []
+    for n, line in enumerate(text.replace(SPACE, " ").split("\n")):
+        if n:
+            out.append("\n")
+        if "  " in line or not n and line[:1] == " ":
+            out += RUNS.findall((line if n else " " + line).replace(" ", SPACE))
+        else:
+            out += ((line if n else SPACE + line).replace(" ", " " + SPACE)).split(" ")
+    return out
+
+
+class ChunkIds(dict):
+    """Ids by chunk, made of those of its parts."""
+
+    def __init__(self, known: dict[str, bytes], vocabulary: Vocabulary):
+        super().__init__({"": b""})
+        self.known, self.vocabulary = known, vocabulary
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = b"".join([self.known[p] for p in self.vocabulary.parts(chunk)])
+        self[chunk] = ids
+        return ids
+
+
+def lattice(words: DataFrame, pieces: DataFrame, *, shortest: int = 1) -> DataFrame:
+    """(word, edge struct<start, stop, score>): the edges over ``shortest`` characters or more of distinct ``words``."""
+    table = pieces.where("NOT is_byte").where(F.length("piece") >= shortest)
+    heads = table.groupBy(F.substring("piece", 1, HEAD).alias("head")).agg(F.collect_set(F.length("piece")).alias("sizes"))
+    starts = words.where(F.length("word") >= shortest).select("word", F.explode(F.sequence(F.lit(0), F.length("word") - shortest)).alias("start"))
+    lengths = F.explode(F.filter(F.array(*[F.lit(n) for n in range(shortest, HEAD + 1)]), lambda n: F.col("start") + n <= F.length("word"))).alias("n")
+    begun = starts.select("word", "start", lengths).select("word", "start", F.expr("substring(word, start + 1, n)").alias("head"))
+    # Both tables are no larger than the vocabulary.
+    spans = begun.join(F.broadcast(heads), "head").select("word", "start", F.explode("sizes").alias("size")).where(F.col("start") + F.col("size") <= F.length("word"))
+    met = spans.select("word", "start", "size", F.expr("substring(word, start + 1, size)").alias("piece")).join(F.broadcast(table.select("piece", "score")), "piece")
+    return met.select("word", F.struct("start", (F.col("start") + F.col("size")).alias("stop"), "score").alias("edge"))
+
+
+def merge_of(edge: Column) -> Column:
+    """An edge as the merge fold takes it: cost and start in the order of preference, and as bits ``ends`` (start and stop) and
+    ``inner`` (the places between)."""
     one = F.lit(1).cast("bigint")
-
-    def bits(e: Column) -> Column:
-        below = lambda k: F.call_function("shiftleft", one, k)
-        inner = below(e["stop"]) - F.call_function("shiftleft", F.lit(2).cast("bigint"), e["start"])
-        return F.struct((-e["score"]).alias("cost"), e["start"].alias("start"), (below(e["start"]) + below(e["stop"])).alias("ends"), inner.alias("inner"))
-
-    return F.array_sort(F.transform(long, bits))
+    below = lambda k: F.call_function("shiftleft", one, k)
+    inner = below(edge["stop"]) - F.call_function("shiftleft", F.lit(2).cast("bigint"), edge["start"])
+    return F.struct((-edge["score"]).alias("cost"), edge["start"].alias("start"), (below(edge["start"]) + below(edge["stop"])).alias("ends"), inner.alias("inner"))
 
 
 def merge_fold(n: Column, merges: Column) -> Column:
@@ -110,65 +171,129 @@ def viterbi_fold(n: Column, edges: Column, *, unknown: float = -1e6) -> Column:
     return walk
 
 
-def _ids(word: Column, cuts: Column, edges: Column, first_byte: int) -> Column:
-    """array<int>: the pieces between the cuts; a symbol without a piece as its UTF-8 bytes."""
-    spans = F.transform(F.slice(cuts, F.lit(1), F.size(cuts) - 1), lambda c, k: F.struct(c.alias("start"), F.get(cuts, k + 1).alias("stop")))
+def segmented(words: DataFrame, pieces: DataFrame, *, fold: str) -> DataFrame:
+    """(word, cuts array<int>) of distinct ``words`` (column word), none longer than FOLDED_CHARS where ``fold`` is 'merge'."""
+    edges = lattice(words, pieces, shortest=2 if fold == "merge" else 1)
+    if fold == "merge":
+        grouped = edges.select("word", merge_of(F.col("edge")).alias("edge")).groupBy("word").agg(F.array_sort(F.collect_list("edge")).alias("edges"))
+        none = F.array().cast("array<struct<cost:double,start:int,ends:bigint,inner:bigint>>")
+    else:
+        grouped = edges.groupBy("word").agg(F.collect_list("edge").alias("edges"))
+        none = F.array().cast("array<struct<start:int,stop:int,score:double>>")
+    # A word without any edge is all single characters.
+    net = words.join(grouped, "word", "left").select("word", F.length("word").alias("n"), F.coalesce("edges", none).alias("edges"))
+    return net.select("word", (merge_fold if fold == "merge" else viterbi_fold)(F.col("n"), F.col("edges")).alias("cuts"))
 
-    def of(span: Column) -> Column:
-        hit = F.get(F.filter(edges, lambda e: (e["start"] == span["start"]) & (e["stop"] == span["stop"])), F.lit(0))
-        digits = F.hex(F.encode(word.substr(span["start"] + 1, span["stop"] - span["start"]), "UTF-8"))
-        parts = F.transform(F.sequence(F.lit(1), F.length(digits), F.lit(2)), lambda i: F.conv(digits.substr(i, F.lit(2)), 16, 10).cast("int") + first_byte)
-        return F.when(hit.isNotNull(), F.array(hit["id"])).otherwise(parts)
 
-    return F.flatten(F.transform(spans, of))
+def encode_words(words: DataFrame, pieces: DataFrame, vocabulary: Vocabulary, *, fold: str, model_path: str | None = None) -> DataFrame:
+    """(word, ids binary) of distinct parts. ``model_path`` is needed for BPE parts over FOLDED_CHARS."""
 
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [vocabulary.codes(word[i:j] for i, j in zip(cuts, cuts[1:], strict=False)) for word, cuts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["word", "ids"])
 
-def _by_library(words: DataFrame, model_path: str) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def by_library(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sentencepiece.SentencePieceProcessor(model_file=model_path)
-        first = model.encode("\n")  # the mark in front and the line feed
+        first = len(model.encode("\n"))  # the mark in front and the line feed
         for batch in batches:
-            # A pre-token that starts with a mark gets it from the library; others follow a line feed.
-            ids = [model.encode(w[1:].replace(SPACE, " ")) if w[0] == SPACE else model.encode("\n" + w)[len(first) :] for w in batch["word"]]
-            yield pd.DataFrame({"word": batch["word"], "ids": ids})
+            # A part that starts with a mark gets it from the library; others follow a line feed.
+            ids = [model.encode(w[1:].replace(SPACE, " ")) if w[0] == SPACE else model.encode("\n" + w)[first:] for w in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.array(x, dtype="<u4").tobytes() for x in ids], pa.binary())], names=["word", "ids"])
 
-    return words.mapInPandas(run, "word string, ids array<int>")
+    if fold != "merge":
+        return segmented(words, pieces, fold=fold).mapInArrow(coded, "word string, ids binary")
+    folded = segmented(words.where(F.length("word") <= FOLDED_CHARS), pieces, fold=fold).mapInArrow(coded, "word string, ids binary")
+    return folded.unionByName(words.where(F.length("word") > FOLDED_CHARS).mapInArrow(by_library, "word string, ids binary"))
 
 
-def encode_words(words: DataFrame, pieces: DataFrame, *, fold: str, model_path: str | None = None) -> DataFrame:
-    """word, ids of distinct pre-tokens. ``model_path`` is needed for BPE pre-tokens over FOLDED_CHARS."""
-    first_byte = pieces.where("is_byte").agg(F.min("id")).first()[0]
-    short = words.where(F.length("word") <= FOLDED_CHARS) if fold == "merge" else words
-    net = lattice(short, pieces)
-    cuts = merge_fold(F.col("n"), F.col("merges")) if fold == "merge" else viterbi_fold(F.col("n"), F.col("edges"))
-    folded = net.withColumn("cuts", cuts).select("word", _ids(F.col("word"), F.col("cuts"), F.col("edges"), first_byte if first_byte is not None else 0).alias("ids"))
-    if fold != "merge":
-        return folded
-    return folded.unionByName(_by_library(words.where(F.length("word") > FOLDED_CHARS), model_path))
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """(block, rows): the same each time a partition is read."""
+    base, held = TaskContext.get().partitionId() << 32, 0
+    for batch in slices(batches, "text", SLICE_BYTES):
+        yield base + held // BLOCK_BYTES, batch
+        held += batch.column("text").nbytes + ROW_BYTES * len(batch)
 
 
 def encode(docs: DataFrame, pieces: DataFrame, *, fold: str = "merge", model_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, ids array<int>.
 
     Null and empty texts have no ids. Texts are encoded whole, without begin or end. Null ids and repeated rows each
-    keep their row; other columns are ignored, whatever their names; an empty table gives an empty result. Frequent
-    pre-tokens meet the dictionary in a join of two exchanged sides, which adaptive execution may split.
+    keep their row; other columns are ignored, whatever their names; an empty table gives an empty result. ``docs`` is
+    read twice and must come in the same partitions and order both times, as tables in files do; a part that was not met
+    in the first reading raises. Blocks are dealt by number, so no text, word or source can make one large; frequent parts
+    meet the dictionary once for each block, in a join of two exchanged sides, which adaptive execution may split.
     """
-    rows = docs.select(F.col(id_col).alias("doc"), F.monotonically_increasing_id().alias("row_no"), text_of(text_col).alias("text"))
-    spread = rows.select("doc", "row_no", F.posexplode_outer(pre_tokens(F.col("text"))).alias("pos", "word"))
-    known = cut_lineage(encode_words(spread.select("word").where("word IS NOT NULL").distinct(), pieces, fold=fold, model_path=model_path))
-    known = known.select(F.xxhash64("word").alias("word_key"), F.col("word").alias("known_word"), "ids")
-    met = spread.withColumn("spread_key", F.xxhash64("word")).join(known, (F.col("spread_key") == F.col("word_key")) & (F.col("word") == F.col("known_word")), "left")
-    gathered = met.groupBy("row_no", "doc").agg(F.array_sort(F.collect_list(F.when(F.col("ids").isNotNull(), F.struct("pos", "ids")))).alias("parts"))
-    return gathered.select(F.col("doc").alias(id_col), F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"))
+    bound_batches(docs)
+    vocabulary = Vocabulary(pieces)
+    rows = docs.select(F.col(id_col).alias("doc"), text_of(text_col).alias("text"))
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(block: int, seen: set[str]) -> pa.RecordBatch:
+            words = {p for chunk in seen for p in vocabulary.parts(chunk)} - {""}
+            return pa.RecordBatch.from_arrays([pa.array([block] * len(words), pa.int64()), pa.array(sorted(words), pa.string())], names=["block", "word"])
+
+        at, seen = None, set()
+        for block, batch in _blocks(batches):
+            if block != at and seen:
+                yield found(at, seen)
+                seen = set()
+            at = block
+            for text in batch.column("text").to_pylist():
+                seen.update(chunks(text))
+        if seen:
+            yield found(at, seen)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def put(block: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                for batch in held:
+                    writer.write_batch(batch)
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "texts"])
+
+        at, held = None, []
+        for block, batch in _blocks(batches):
+            if block != at and held:
+                yield put(at, held)
+                held = []
+            at = block
+            held.append(batch)
+        if held:
+            yield put(at, held)
+
+    def encoded(left: pa.Table, right: pa.Table) -> pa.Table:
+        known = ChunkIds(dict(zip(right.column("word").to_pylist(), right.column("ids").to_pylist(), strict=True)), vocabulary)
+        out = []
+        for texts in left.column("texts").to_pylist():
+            for batch in pa.ipc.open_stream(texts):
+                ids = [b"".join(map(known.__getitem__, chunks(text))) for text in batch.column("text").to_pylist()]
+                ends = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), dtype="<u4").astype(np.int32)))
+                out.append(pa.RecordBatch.from_arrays([batch.column("doc"), lists], names=["doc", "ids"]))
+        return pa.Table.from_batches(out)
+
+    met = rows.mapInArrow(parts, "block bigint, word string")
+    known = encode_words(met.select("word").distinct(), pieces, vocabulary, fold=fold, model_path=model_path)
+    dictionaries = met.join(known, "word").select("block", "word", "ids")
+    blocks = rows.mapInArrow(packed, "block bigint, texts binary")
+    made = blocks.groupBy("block").cogroup(dictionaries.groupBy("block")).applyInArrow(encoded, f"doc {kind_of(docs, id_col)}, ids array<int>")
+    return made.withColumnRenamed("doc", id_col)
 
 
 def decode(encoded: DataFrame, pieces: DataFrame, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """One row per row of ``encoded``: id, text. Ids are exploded, joined to the piece table and put together as bytes;
-    unknown ids and control ids give nothing, null ids arrays an empty text, broken byte sequences U+FFFD."""
-    whole = encoded.select(F.col(id_col).alias("doc"), F.monotonically_increasing_id().alias("row_no"), F.col(ids_col).alias("all"))
-    rows = whole.select("doc", "row_no", F.posexplode_outer("all").alias("pos", "id"))
-    met = rows.join(F.broadcast(pieces.select("id", "hex")), "id", "left")
-    put = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("hex").isNotNull(), F.struct("pos", "hex")))), lambda p: p["hex"]), "")
-    text = F.replace(F.make_valid_utf8(F.unhex("digits").cast("string")), F.lit(SPACE), F.lit(" "))
-    return met.groupBy("row_no", "doc").agg(put.alias("digits")).select(F.col("doc").alias(id_col), F.regexp_replace(text, "^ ", "").alias("text"))
+    """One row per row of ``encoded``: id, text. Ids become the bytes of their pieces; unknown ids and control ids give
+    nothing, null ids arrays an empty text, broken byte sequences U+FFFD."""
+    known = Vocabulary(pieces).hexes
+
+    def text(ids: list[int] | None) -> str:
+        return b"".join([known.get(i, b"") for i in ids or ()]).decode("utf-8", "replace").replace(SPACE, " ").removeprefix(" ")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, len(batch), 100):
+                part = batch.slice(k, 100)
+                yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array([text(x) for x in part.column("ids").to_pylist()], pa.string())], names=["doc", "text"])
+
+    rows = encoded.select(F.col(id_col).alias("doc"), F.col(ids_col).alias("ids"))
+    return rows.mapInArrow(run, f"doc {kind_of(encoded, id_col)}, text string").withColumnRenamed("doc", id_col)

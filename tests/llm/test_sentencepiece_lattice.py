@@ -25,6 +25,22 @@ def test_ids_are_the_librarys_and_decode_back(spark, monkeypatch):
     assert lat.encode(docs.limit(0), pieces, model_path=MODEL).count() == 0
 
 
+def test_small_blocks_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr(lat, "BLOCK_BYTES", 40)
+    monkeypatch.setattr(lat, "SLICE_BYTES", 30)
+    monkeypatch.setattr(lat, "FOLDED_CHARS", 5)
+    texts = [f"words of text {k}  and mor\u00e9,\nlines" * (k % 3) for k in range(40)] + ["internationalisation" * 30, " x", "  x ", "a ", "\n\n"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3).cache()
+    got = {r["doc_id"]: list(r["ids"]) for r in lat.encode(docs, lat.piece_table(spark, MODEL), model_path=MODEL).collect()}
+    assert got == {k: LIBRARY.encode(t) for k, t in enumerate(texts)}
+
+
+def test_parts_are_cut_where_no_piece_goes(spark):
+    vocabulary = lat.Vocabulary(lat.piece_table(spark, MODEL))
+    assert "".join(vocabulary.parts("\u2581x9,abc\u6f22z")) == "\u2581x9,abc\u6f22z" and "9" in vocabulary.parts("\u2581x9,abc")
+    assert lat.chunks("") == [] and lat.chunks("a  b\nc d") == ["\u2581a", "\u2581\u2581b", "\n", "c", "\u2581d"]
+
+
 def test_viterbi_is_the_best_path(spark):
     rng = random.Random(2)
     table = {p: -rng.random() * 5 for p in ["▁", "a", "b", "ab", "ba", "aab", "▁a", "bab", "▁ab", "abab"]}
