@@ -16,6 +16,7 @@ Decoding: the ids are replaced by the bytes of the piece table, whose size is th
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, kind_of, slices, text_of
+from .common import bound_batches, kind_of, shared_dir, slices, text_of
 
 SPACE = "▁"
 #: Parts up to so many characters are folded in Spark: their cuts are the bits of one number. Longer stretches in which every
@@ -273,7 +274,10 @@ def encode(docs: DataFrame, pieces: DataFrame, *, fold: str = "merge", model_pat
                 out.append(pa.RecordBatch.from_arrays([batch.column("doc"), lists], names=["doc", "ids"]))
         return pa.Table.from_batches(out)
 
-    met = rows.mapInArrow(parts, "block bigint, word string")
+    # Written once: the parts are read for the lattice, for what is too long for it, and for the dictionaries.
+    spark, place = docs.sparkSession, f"{shared_dir(docs.sparkSession)}/parts-{uuid.uuid4().hex}"
+    rows.mapInArrow(parts, "block bigint, word string").write.option("compression", "zstd").parquet(place)
+    met = spark.read.schema("block bigint, word string").parquet(place)
     known = encode_words(met.select("word").distinct(), pieces, vocabulary, fold=fold, model_path=model_path)
     dictionaries = met.join(known, "word").select("block", "word", "ids")
     blocks = rows.mapInArrow(packed, "block bigint, texts binary")
