@@ -17,23 +17,17 @@ def rank_min(df: DataFrame, *, value: str, within: list[str] | None = None, name
     orders the distinct values of one range.
     """
     keys = within or []
-    sign = -1 if descending else 1
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, (F.col(value).cast("double") * sign).alias("__v")).agg(F.count("*").alias("__n"))
+    worth = F.coalesce(F.col(value).cast("double") * (-1 if descending else 1), F.lit(float("inf")))  # nulls behind all others
+    counts = df.groupBy(*keys, worth.alias("__v")).agg(F.count("*").alias("__n"))
     cuts = counts.agg(F.percentile_approx("__v", [k / RANGES for k in range(1, RANGES)], F.lit(10_000)).alias("__cuts"))  # one row
     placed = counts.crossJoin(F.broadcast(cuts)).withColumn("__range", F.size(F.filter("__cuts", lambda c: c < F.col("__v")))).drop("__cuts")
     better = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    names = [F.col(k).alias(f"__{k}") for k in keys]
     ranges = placed.groupBy(*keys, "__range").agg(F.sum("__n").alias("__total"))
-    offsets = ranges.select(*keys, "__range", F.coalesce(F.sum("__total").over(better), F.lit(0)).alias("__offset"))  # RANGES rows of a group
+    offsets = ranges.select(*names, F.col("__range").alias("__r"), F.coalesce(F.sum("__total").over(better), F.lit(0)).alias("__offset"))  # RANGES rows of a group
     inner = Window.partitionBy(*keys, "__range").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
     local = placed.withColumn("__before", F.coalesce(F.sum("__n").over(inner), F.lit(0)))
     on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
-    renamed = offsets.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__range").alias("__r"), "__offset")
-    met = local.join(F.broadcast(renamed), [*on, F.col("__range") == F.col("__r")])
-    ranks = met.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__v").alias("__key"), (F.col("__before") + F.col("__offset") + 1).cast("int").alias(name))
-    known = counts.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg((F.sum("__n") + 1).cast("int").alias("__last"))
-    out = df.withColumn("__v", F.col(value).cast("double") * sign).join(ranks, [*on, F.col("__v") == F.col("__key")], "left").drop("__v", "__key", *[f"__{k}" for k in keys])
-    if keys:
-        out = out.join(F.broadcast(known), on, "left").drop(*[f"__{k}" for k in keys])
-    else:
-        out = out.crossJoin(F.broadcast(known))
-    return out.withColumn(name, F.coalesce(F.col(name), "__last", F.lit(1))).drop("__last")
+    met = local.join(offsets, [*on, F.col("__range") == F.col("__r")])
+    ranks = met.select(*names, F.col("__v").alias("__key"), (F.col("__before") + F.col("__offset") + 1).cast("int").alias(name))
+    return df.withColumn("__v", worth).join(ranks, [*on, F.col("__v") == F.col("__key")]).drop("__v", "__key", *[f"__{k}" for k in keys])
