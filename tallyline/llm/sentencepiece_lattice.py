@@ -148,8 +148,8 @@ def merge_fold(n: Column, merges: Column) -> Column:
         best = F.get(F.filter(merges, lambda e: (cuts.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(cuts.bitwiseAND(e["inner"])) == 1)), F.lit(0))
         return F.coalesce(cuts.bitwiseAND(F.bitwise_not(best["inner"])), cuts)
 
-    left = F.aggregate(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), every, step)
-    return F.filter(F.sequence(F.lit(0), n), lambda i: F.getbit(left, i) == 1)
+    # The bits are read in the fold's finish: a filter over the fold itself would run it anew for every place.
+    return F.aggregate(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), every, step, lambda left: F.filter(F.sequence(F.lit(0), n), lambda i: F.getbit(left, i) == 1))
 
 
 def viterbi_fold(n: Column, edges: Column, *, unknown: float = -1e6) -> Column:
