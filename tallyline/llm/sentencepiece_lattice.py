@@ -22,6 +22,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -289,15 +290,23 @@ def decode(encoded: DataFrame, pieces: DataFrame, *, id_col: str = "doc_id", ids
     """One row per row of ``encoded``: id, text. Ids become the bytes of their pieces; unknown ids and control ids give
     nothing, null ids arrays an empty text, broken byte sequences U+FFFD."""
     known = Vocabulary(pieces).hexes
-
-    def text(ids: list[int] | None) -> str:
-        return b"".join([known.get(i, b"") for i in ids or ()]).decode("utf-8", "replace").replace(SPACE, " ").removeprefix(" ")
+    size = max(known, default=-1) + 1
+    table = pa.array([known.get(i, b"") for i in range(size + 1)], pa.large_binary())  # the last one for all other ids
+
+    def texts(ids: pa.ListArray) -> list[str]:
+        flat = ids.flatten().cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False)
+        pieces_of = table.take(pa.array(np.where((flat >= 0) & (flat < size), flat, size)))
+        _, starts, data = pieces_of.buffers()
+        rows_at = np.cumsum([0, *pc.list_value_length(ids).fill_null(0).to_pylist()])
+        cuts = np.frombuffer(starts, dtype=np.int64)[rows_at].tolist() if len(flat) else [0] * len(rows_at)
+        view = memoryview(data) if len(flat) and data else memoryview(b"")
+        return [str(view[i:j], "utf-8", "replace").replace(SPACE, " ").removeprefix(" ") for i, j in zip(cuts, cuts[1:], strict=False)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, len(batch), 100):
                 part = batch.slice(k, 100)
-                yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array([text(x) for x in part.column("ids").to_pylist()], pa.string())], names=["doc", "text"])
+                yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(texts(part.column("ids")), pa.string())], names=["doc", "text"])
 
     rows = encoded.select(F.col(id_col).alias("doc"), F.col(ids_col).alias("ids"))
     return rows.mapInArrow(run, f"doc {kind_of(encoded, id_col)}, text string").withColumnRenamed("doc", id_col)

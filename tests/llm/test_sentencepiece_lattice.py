@@ -64,3 +64,13 @@ def test_viterbi_is_the_best_path(spark):
         assert sum(table.get(p, -1e6) for i in got[k] for p, j in ids.items() if i == j) == sum(table.get(p, -1e6) for i in want for p, j in ids.items() if i == j), t
         assert len(got[k]) > 0
     assert {r["doc_id"]: r["text"] for r in lat.decode(lat.encode(docs, pieces, fold="viterbi"), pieces).collect()} == dict(enumerate(texts))
+
+
+def test_decode_of_unknown_and_null_ids(spark):
+    pieces = lat.piece_table(spark, MODEL)
+    hello = LIBRARY.encode("hello \u6f22")
+    rows = [(1, hello), (2, None), (3, []), (4, [-1, 2**31 - 1, 1, 2]), (5, [None, *hello, None]), (None, hello), (7, hello[:-1])]
+    got = {r["doc_id"]: r["text"] for r in lat.decode(spark.createDataFrame(rows, "doc_id bigint, ids array<int>"), pieces).collect()}
+    broken = b"".join(lat.Vocabulary(pieces).hexes[i] for i in hello[:-1]).decode("utf-8", "replace").replace(lat.SPACE, " ").removeprefix(" ")
+    assert got == {1: "hello \u6f22", 2: "", 3: "", 4: "", 5: "hello \u6f22", None: "hello \u6f22", 7: broken}
+    assert lat.decode(spark.createDataFrame([(1, [4])], "doc_id bigint, ids array<int>"), pieces.limit(0)).collect()[0]["text"] == ""
