@@ -7,8 +7,9 @@ higher-order aggregate then reads the pieces off it. There are two folds over th
 highest sum of scores) for unigram tables, and for BPE tables, where the best path is not what the model means, the merge
 fold, which takes the best edge over two adjacent symbols until there is none.
 
-Texts meet the ids of their parts in blocks of BLOCK_BYTES: each block's distinct parts are joined to the lattice's result,
-and a block of texts, compressed, is grouped with its own small dictionary. Tokens are never rows of a shuffle.
+Texts meet the ids of their parts in blocks of BLOCK_BYTES: a block numbers its distinct parts, and its texts become these
+numbers, compressed to a quarter of the text. The parts are joined to the lattice's result, and every block is grouped with
+the ids of its own numbers. Neither texts nor tokens are rows of a shuffle.
 
 Decoding: the ids are replaced by the bytes of the piece table, whose size is that of a vocabulary.
 """
@@ -34,8 +35,10 @@ SPACE = "▁"
 #: Parts up to so many characters are folded in Spark: their cuts are the bits of one number. Longer stretches in which every
 #: two neighbours stand together in some piece are encoded by the library, which is the exact way for the rest.
 FOLDED_CHARS = 60
-#: Bytes of text in a block, about; a longer text is a block of its own.
+#: Bytes of text in a block, about; a longer text is the last of its block.
 BLOCK_BYTES = 16 << 20
+#: Chunks of texts that are turned into ids together, about.
+GATHERED = 1 << 18
 #: Bytes of text that are taken into a block together, and what an empty text counts besides.
 SLICE_BYTES = 1 << 20
 ROW_BYTES = 64
@@ -104,17 +107,30 @@ def chunks(text: str) -> list[str]:
     return out
 
 
-class ChunkIds(dict):
-    """Ids by chunk, made of those of its parts."""
+class Numbers(dict):
+    """Numbers of keys in the order in which they are first asked for."""
 
-    def __init__(self, known: dict[str, bytes], vocabulary: Vocabulary):
-        super().__init__({"": b""})
-        self.known, self.vocabulary = known, vocabulary
+    def __missing__(self, key: str) -> int:
+        self[key] = number = len(self)
+        return number
 
-    def __missing__(self, chunk: str) -> bytes:
-        ids = b"".join([self.known[p] for p in self.vocabulary.parts(chunk)])
-        self[chunk] = ids
-        return ids
+
+def squeezed(numbers: np.ndarray) -> bytes:
+    """32-bit numbers as bytes of equal weight side by side, compressed."""
+    return pa.compress(np.ascontiguousarray(numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def unsqueezed(data: bytes, count: int) -> np.ndarray:
+    """The ``count`` numbers that ``squeezed`` took."""
+    planes = np.frombuffer(pa.decompress(data, decompressed_size=4 * count, codec="zstd", asbytes=True), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<i4").ravel()
+
+
+def lists_of(flat: np.ndarray, sizes: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(values, their counts) of the lists ``asked`` for by number, one after the other, of lists stored in ``flat``."""
+    starts, counts = np.cumsum(sizes) - sizes, sizes[asked]
+    ends = np.cumsum(counts)
+    return flat[np.repeat(starts[asked] - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)], counts
 
 
 def lattice(words: DataFrame, pieces: DataFrame, *, shortest: int = 1) -> DataFrame:
@@ -209,12 +225,44 @@ def encode_words(words: DataFrame, pieces: DataFrame, vocabulary: Vocabulary, *,
     return folded.unionByName(words.where(F.length("word") > FOLDED_CHARS).mapInArrow(by_library, "word string, ids binary"))
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
-    """(block, rows): the same each time a partition is read."""
-    base, held = TaskContext.get().partitionId() << 32, 0
-    for batch in slices(batches, "text", SLICE_BYTES):
-        yield base + held // BLOCK_BYTES, batch
-        held += batch.column("text").nbytes + ROW_BYTES * len(batch)
+class Block:
+    """Texts of a block as numbers of chunks, and its chunks as numbers of parts."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary, self.held = vocabulary, 0
+        self.chunks, self.numbers, self.sizes, self.docs = Numbers(), [], [], []
+
+    def take(self, batch: pa.RecordBatch) -> None:
+        texts = [[self.chunks[c] for c in chunks(text)] for text in batch.column("text").to_pylist()]
+        self.sizes += map(len, texts)
+        self.numbers += [np.array(t, dtype=np.int32) for t in texts]
+        self.docs.append(batch.column("doc"))
+        self.held += batch.column("text").nbytes + ROW_BYTES * len(batch)
+
+    def rows(self, number: int) -> Iterator[pa.RecordBatch]:
+        """The block's row, then one for each of its parts, in the schema STORED."""
+        parts = Numbers()
+        of_chunks = [[parts[p] for p in self.vocabulary.parts(c) if p] for c in self.chunks]
+        flat = np.array([p for chunk in of_chunks for p in chunk], dtype=np.int32)
+        docs = pa.chunked_array(self.docs)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, pa.schema([("doc", docs.type), ("size", pa.int32())]), options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+            writer.write_table(pa.table({"doc": docs, "size": pa.array(self.sizes, pa.int32())}))
+        stored = {
+            "docs": sink.getvalue().to_pybytes(), "texts": squeezed(np.concatenate(self.numbers)),
+            "sizes": squeezed(np.array([len(c) for c in of_chunks], dtype=np.int32)), "chunks": squeezed(flat),
+        }
+        yield pa.RecordBatch.from_pylist([{"block": number, "place": len(parts), "counts": [len(of_chunks), len(flat)], **stored}], schema=STORED)
+        words = list(parts)
+        for k in range(0, len(words), 10_000):
+            some = words[k : k + 10_000]
+            columns = {"block": pa.array([number] * len(some), pa.int64()), "place": pa.array(range(k, k + len(some)), pa.int32()), "word": pa.array(some, pa.string())}
+            yield pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(len(some), f.type)) for f in STORED], schema=STORED)
+
+
+#: A block (word is null, place is the count of its parts) or a part of one.
+STORED = pa.schema([("block", pa.int64()), ("place", pa.int32()), ("word", pa.string()), ("docs", pa.binary()), ("counts", pa.list_(pa.int32())), ("texts", pa.binary()), ("sizes", pa.binary()), ("chunks", pa.binary())])
+STORED_DDL = "block bigint, place int, word string, docs binary, counts array<int>, texts binary, sizes binary, chunks binary"
 
 
 def encode(docs: DataFrame, pieces: DataFrame, *, fold: str = "merge", model_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -222,66 +270,56 @@ def encode(docs: DataFrame, pieces: DataFrame, *, fold: str = "merge", model_pat
 
     Null and empty texts have no ids. Texts are encoded whole, without begin or end. Null ids and repeated rows each
     keep their row; other columns are ignored, whatever their names; an empty table gives an empty result. ``docs`` is
-    read twice and must come in the same partitions and order both times, as tables in files do; a part that was not met
-    in the first reading raises. Blocks are dealt by number, so no text, word or source can make one large; frequent parts
-    meet the dictionary once for each block, in a join of two exchanged sides, which adaptive execution may split.
+    read once; a part without ids raises. Blocks are dealt by number, so no text, word or source can make one large;
+    frequent parts meet the dictionary once for each block, in a join of two exchanged sides, which adaptive execution
+    may split.
     """
     bound_batches(docs)
     vocabulary = Vocabulary(pieces)
     rows = docs.select(F.col(id_col).alias("doc"), text_of(text_col).alias("text"))
 
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(block: int, seen: set[str]) -> pa.RecordBatch:
-            words = {p for chunk in seen for p in vocabulary.parts(chunk)} - {""}
-            return pa.RecordBatch.from_arrays([pa.array([block] * len(words), pa.int64()), pa.array(sorted(words), pa.string())], names=["block", "word"])
-
-        at, seen = None, set()
-        for block, batch in _blocks(batches):
-            if block != at and seen:
-                yield found(at, seen)
-                seen = set()
-            at = block
-            for text in batch.column("text").to_pylist():
-                seen.update(chunks(text))
-        if seen:
-            yield found(at, seen)
-
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def put(block: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-                for batch in held:
-                    writer.write_batch(batch)
-            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "texts"])
-
-        at, held = None, []
-        for block, batch in _blocks(batches):
-            if block != at and held:
-                yield put(at, held)
-                held = []
-            at = block
-            held.append(batch)
-        if held:
-            yield put(at, held)
+    def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, block = TaskContext.get().partitionId() << 32, Block(vocabulary)
+        for batch in slices(batches, "text", SLICE_BYTES):
+            block.take(batch)
+            if block.held >= BLOCK_BYTES:
+                yield from block.rows(number)
+                number, block = number + 1, Block(vocabulary)
+        if block.docs:
+            yield from block.rows(number)
 
     def encoded(left: pa.Table, right: pa.Table) -> pa.Table:
-        known = ChunkIds(dict(zip(right.column("word").to_pylist(), right.column("ids").to_pylist(), strict=True)), vocabulary)
         out = []
-        for texts in left.column("texts").to_pylist():
-            for batch in pa.ipc.open_stream(texts):
-                ids = [b"".join(map(known.__getitem__, chunks(text))) for text in batch.column("text").to_pylist()]
-                ends = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), dtype="<u4").astype(np.int32)))
-                out.append(pa.RecordBatch.from_arrays([batch.column("doc"), lists], names=["doc", "ids"]))
+        for row in left.to_pylist():
+            found = np.empty(row["place"], dtype=object)
+            found[right.column("place").to_numpy()] = right.column("ids").to_pylist()
+            sizes = np.array([len(x) // 4 for x in found], dtype=np.int64)  # raises where a part has no ids
+            flat, chunk_sizes = np.frombuffer(b"".join(found), dtype="<i4"), unsqueezed(row["sizes"], row["counts"][0])
+            part_numbers = unsqueezed(row["chunks"], row["counts"][1])
+            flat, sizes = lists_of(flat, sizes, part_numbers)
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            chunk_ends = np.concatenate([[0], np.cumsum(chunk_sizes, dtype=np.int64)])
+            sizes = np.diff(ends[chunk_ends])
+            table = pa.ipc.open_stream(row["docs"]).read_all()
+            text_ends = np.concatenate([[0], np.cumsum(table.column("size").to_numpy(), dtype=np.int64)])
+            texts, at = unsqueezed(row["texts"], int(text_ends[-1])), 0
+            while at < len(table):
+                to = max(at + 1, int(np.searchsorted(text_ends, text_ends[at] + GATHERED, side="right")) - 1)
+                ids, counts = lists_of(flat, sizes, texts[text_ends[at] : text_ends[to]])
+                offsets = np.concatenate([[0], np.cumsum(counts)])[text_ends[at : to + 1] - text_ends[at]]
+                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32)))
+                part = table.column("doc").slice(at, to - at).combine_chunks()
+                out.append(pa.RecordBatch.from_arrays([part.chunk(0) if isinstance(part, pa.ChunkedArray) else part, lists], names=["doc", "ids"]))
+                at = to
         return pa.Table.from_batches(out)
 
-    # Written once: the parts are read for the lattice, for what is too long for it, and for the dictionaries.
+    # Written once: the parts are read for the lattice and for the dictionaries, the blocks to meet these.
     spark, place = docs.sparkSession, f"{shared_dir(docs.sparkSession)}/parts-{uuid.uuid4().hex}"
-    rows.mapInArrow(parts, "block bigint, word string").write.option("compression", "zstd").parquet(place)
-    met = spark.read.schema("block bigint, word string").parquet(place)
+    rows.mapInArrow(stored, STORED_DDL).write.option("compression", "zstd").parquet(place)
+    met = spark.read.schema(STORED_DDL).parquet(place).where("word IS NOT NULL").select("block", "place", "word")
     known = encode_words(met.select("word").distinct(), pieces, vocabulary, fold=fold, model_path=model_path)
-    dictionaries = met.join(known, "word").select("block", "word", "ids")
-    blocks = rows.mapInArrow(packed, "block bigint, texts binary")
+    dictionaries = met.join(known, "word").select("block", "place", "ids")
+    blocks = spark.read.schema(STORED_DDL).parquet(place).where("word IS NULL").drop("word")
     made = blocks.groupBy("block").cogroup(dictionaries.groupBy("block")).applyInArrow(encoded, f"doc {kind_of(docs, id_col)}, ids array<int>")
     return made.withColumnRenamed("doc", id_col)
 
