@@ -57,12 +57,14 @@ BATCH_ROWS = 1000
 _BATCHES = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def bound_batches(df: DataFrame) -> None:
-    """Has the session cut Arrow batches at BATCH_ROWS rows, unless it asks for fewer already. Spark's default of 10,000
-    holds tens of megabytes of texts in the JVM and again in each Python worker; results don't depend on it."""
+def bound_batches(df: DataFrame, *, rows: int = BATCH_ROWS, size: int | None = None) -> None:
+    """Has the session cut Arrow batches at ``rows`` rows and ``size`` bytes, unless it asks for less already. Spark's default
+    of 10,000 rows holds tens of megabytes of texts in the JVM and again in each Python worker; results don't depend on it."""
     conf = df.sparkSession.conf
-    if not 0 < int(conf.get(_BATCHES)) <= BATCH_ROWS:
-        conf.set(_BATCHES, str(BATCH_ROWS))
+    if not 0 < int(conf.get(_BATCHES)) <= rows:
+        conf.set(_BATCHES, str(rows))
+    if size is not None:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -1,23 +1,25 @@
 """SentencePiece encoding and decoding as a relational lattice.
 
 Encoding: texts are cut wherever two neighbouring characters stand together in no piece, since no merge and no edge can
-cross such a place. The distinct parts of the corpus are exploded into substrings of the lengths that pieces with the same
-head have, equi-joined to the piece table, and the edges that match are grouped by part: a lattice. A fold with Spark's
-higher-order aggregate then reads the pieces off it. There are two folds over the same lattice: Viterbi (the path with the
-highest sum of scores) for unigram tables, and for BPE tables, where the best path is not what the model means, the merge
-fold, which takes the best edge over two adjacent symbols until there is none.
+cross such a place. The distinct parts of a block of texts are exploded into substrings of the lengths that pieces have,
+equi-joined to the piece table, and the edges that match are grouped by part: a lattice. A fold with Spark's higher-order
+aggregate then reads the pieces off it. There are two folds over the same lattice: Viterbi (the path with the highest sum of
+scores) for unigram tables, and for BPE tables, where the best path is not what the model means, the merge fold, which
+takes the best edge over two adjacent symbols until there is none.
 
-Texts meet the ids of their parts in blocks of BLOCK_BYTES: a block numbers its distinct parts, and its texts become these
-numbers, compressed to a quarter of the text. The parts are joined to the lattice's result, and every block is grouped with
-the ids of its own numbers. Neither texts nor tokens are rows of a shuffle.
+Nothing is shuffled. The piece table, no larger than the vocabulary, is broadcast, and the texts of a block follow its parts
+through the same task: numbers of chunks, compressed, in a row of their own after the parts. Explosion, broadcast join and
+projection keep the order of rows, so the edges of a part lie side by side and are grouped where they are; a row that is out
+of its order raises.
 
 Decoding: the ids are replaced by the bytes of the piece table, whose size is that of a vocabulary.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
-import uuid
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -25,25 +27,28 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import sentencepiece
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, kind_of, shared_dir, slices, text_of
+from .common import bound_batches, kind_of, slices, text_of
 
 SPACE = "▁"
 #: Parts up to so many characters are folded in Spark: their cuts are the bits of one number. Longer stretches in which every
 #: two neighbours stand together in some piece are encoded by the library, which is the exact way for the rest.
 FOLDED_CHARS = 60
 #: Bytes of text in a block, about; a longer text is the last of its block.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: Chunks of texts that are turned into ids together, about.
 GATHERED = 1 << 18
 #: Bytes of text that are taken into a block together, and what an empty text counts besides.
 SLICE_BYTES = 1 << 20
 ROW_BYTES = 64
-#: Characters of a substring's head, by which the lengths to be exploded are known.
-HEAD = 3
+#: Characters of a substring's head, by which the lengths to be exploded are known; a number no piece's length reaches.
+HEAD, WIDTH = 3, 1 << 10
+#: Rows and bytes of an Arrow batch: edges are short rows, texts long ones.
+BATCH_ROWS, BATCH_BYTES = 10_000, 4 << 20
+#: The bit of a number of cuts that tells that edges did not come in their order.
+LATE_BIT = 62
 RUNS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 
@@ -71,6 +76,8 @@ class Vocabulary:
         self.byte_ids = {int(r["hex"], 16): r["id"] for r in rows if r["is_byte"]}
         self.hexes = {r["id"]: bytes.fromhex(r["hex"]) for r in rows}
         self.pairs = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        if max(map(len, self.ids), default=0) >= WIDTH:
+            raise ValueError("a piece is longer than spans can say")
 
     def codes(self, symbols: Iterable[str]) -> bytes:
         """Ids of symbols, little-endian unsigned 32-bit; those of its UTF-8 bytes for one without a piece."""
@@ -80,7 +87,7 @@ class Vocabulary:
                 out.append(self.ids[symbol])
             else:
                 out += [self.byte_ids[b] for b in symbol.encode()]
-        return np.array(out, dtype="<u4").tobytes()
+        return array("I", out).tobytes()
 
     def parts(self, chunk: str) -> list[str]:
         """The chunk, cut between neighbours that no piece holds."""
@@ -133,40 +140,138 @@ def lists_of(flat: np.ndarray, sizes: np.ndarray, asked: np.ndarray) -> tuple[np
     return flat[np.repeat(starts[asked] - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)], counts
 
 
-def lattice(words: DataFrame, pieces: DataFrame, *, shortest: int = 1) -> DataFrame:
-    """(word, edge struct<start, stop, score>): the edges over ``shortest`` characters or more of distinct ``words``."""
-    table = pieces.where("NOT is_byte").where(F.length("piece") >= shortest)
-    heads = table.groupBy(F.substring("piece", 1, HEAD).alias("head")).agg(F.collect_set(F.length("piece")).alias("sizes"))
-    starts = words.where(F.length("word") >= shortest).select("word", F.explode(F.sequence(F.lit(0), F.length("word") - shortest)).alias("start"))
-    lengths = F.explode(F.filter(F.array(*[F.lit(n) for n in range(shortest, HEAD + 1)]), lambda n: F.col("start") + n <= F.length("word"))).alias("n")
-    begun = starts.select("word", "start", lengths).select("word", "start", F.expr("substring(word, start + 1, n)").alias("head"))
-    # Both tables are no larger than the vocabulary.
-    spans = begun.join(F.broadcast(heads), "head").select("word", "start", F.explode("sizes").alias("size")).where(F.col("start") + F.col("size") <= F.length("word"))
-    met = spans.select("word", "start", "size", F.expr("substring(word, start + 1, size)").alias("piece")).join(F.broadcast(table.select("piece", "score")), "piece")
-    return met.select("word", F.struct("start", (F.col("start") + F.col("size")).alias("stop"), "score").alias("edge"))
+def with_late(pieces: DataFrame) -> DataFrame:
+    """The pieces (piece, score, late) without bytes. A piece is late if it can be merged of two symbols of which one has no
+    higher score than itself: then it may come to fit after worse pieces have been merged."""
+    table = pieces.where("NOT is_byte").select("piece", "score").toPandas()
+    scores = dict(zip(table["piece"], table["score"], strict=True))
+    best = float("inf")  # a single character is there from the start
 
+    def late(piece: str, score: float) -> bool:
+        splits = ((piece[:i], piece[i:]) for i in range(1, len(piece)))
+        halves = ([best if len(h) == 1 else scores.get(h) for h in split] for split in splits)
+        return any(None not in pair and min(pair) <= score for pair in halves)
 
-def merge_of(edge: Column) -> Column:
-    """An edge as the merge fold takes it: cost and start in the order of preference, and as bits ``ends`` (start and stop) and
-    ``inner`` (the places between)."""
-    one = F.lit(1).cast("bigint")
-    below = lambda k: F.call_function("shiftleft", one, k)
-    inner = below(edge["stop"]) - F.call_function("shiftleft", F.lit(2).cast("bigint"), edge["start"])
-    return F.struct((-edge["score"]).alias("cost"), edge["start"].alias("start"), (below(edge["start"]) + below(edge["stop"])).alias("ends"), inner.alias("inner"))
+    table["late"] = [late(p, x) for p, x in scores.items()]
+    return pieces.sparkSession.createDataFrame(table, "piece string, score double, late boolean")
 
 
-def merge_fold(n: Column, merges: Column) -> Column:
-    """array<int>: the cuts of the BPE segmentation. Every step merges the two adjacent symbols whose joint edge has the
-    highest score, the leftmost of equals. The cuts are the bits of a number: an edge joins two symbols if its ends are
-    cuts and one cut lies between."""
-    every = F.call_function("shiftleft", F.lit(2).cast("bigint"), n) - 1
+class Spans(dict):
+    """By the HEAD characters from a place on: the sizes of pieces that may start there, ``shortest`` or more."""
+
+    def __init__(self, pieces: Iterable[str], shortest: int):
+        super().__init__()
+        self.shortest, self.sizes = shortest, {}
+        for piece in pieces:
+            self.sizes.setdefault(piece[:HEAD], set()).add(len(piece))
+
+    def __missing__(self, head: str) -> tuple[int, ...]:
+        self[head] = found = tuple(sorted({n for k in range(1, len(head) + 1) for n in self.sizes.get(head[:k], ()) if n >= self.shortest and (k == HEAD or n == k)}))
+        return found
+
+    def of(self, word: str, most_chars: int) -> list[int]:
+        """start * WIDTH + size of the substrings to be asked for, the first character's before all."""
+        n, out = len(word), [1]
+        if n <= most_chars:
+            for i in range(n):
+                out += [i * WIDTH + size for size in self[word[i : i + HEAD]] if i + size <= n and (i or size > 1)]
+        return out
+
+
+def candidates(parts: DataFrame, pieces: DataFrame) -> DataFrame:
+    """(k, word, block, start, size, score, late): the edges of every row of ``parts`` (k, word, spans, block), side by side.
+    The first one of a row is its first character, an edge or not; only it carries word and block."""
+    spans = parts.select("k", "word", "block", F.explode("spans").alias("span"))
+    cut = spans.select("k", "word", "block", F.expr(f"span div {WIDTH}").cast("int").alias("start"), (F.col("span") % WIDTH).alias("size"))
+    first = (F.col("start") == 0) & (F.col("size") == 1)
+    met = cut.withColumn("piece", F.expr("substring(word, start + 1, size)")).join(F.broadcast(pieces), "piece", "left").where(F.col("score").isNotNull() | first)
+    return met.select("k", F.when(first, F.col("word")).alias("word"), F.when(first, F.col("block")).alias("block"), "start", "size", "score", "late")
+
+
+GROUPED = {
+    "merge": "word string, block binary, edges array<struct<rank:int,ends:bigint,inner:bigint>>, late array<struct<rank:int,ends:bigint,inner:bigint>>",
+    "viterbi": "word string, block binary, edges array<struct<start:int,stop:int,score:double>>",
+}
+
+
+def lists(fields: dict[str, np.ndarray], owners: np.ndarray, count: int) -> pa.ListArray:
+    """Structs of ``fields``, one list for each of ``count`` owners; ``owners`` are in order."""
+    ends = np.concatenate([[0], np.cumsum(np.bincount(owners, minlength=count))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(v) for v in fields.values()], names=list(fields)))
+
+
+def grouped(edges: DataFrame, *, fold: str) -> DataFrame:
+    """One row for each row that ``candidates`` was given, in order: its edges, for the merge fold in the order of preference
+    and as bits ``ends`` (start and stop) and ``inner`` (the places between)."""
+
+    def group(t: pa.Table) -> pa.RecordBatch:
+        start, size = t.column("start").to_numpy().astype(np.int64), t.column("size").to_numpy().astype(np.int64)
+        firsts = np.flatnonzero((start == 0) & (size == 1))
+        owner = np.cumsum((start == 0) & (size == 1)) - 1
+        score = t.column("score").to_numpy()
+        if fold == "viterbi":
+            at = np.flatnonzero(~np.isnan(score))
+            made = [lists({"start": start[at].astype(np.int32), "stop": (start + size)[at].astype(np.int32), "score": score[at]}, owner[at], len(firsts))]
+        else:
+            at = np.flatnonzero(~np.isnan(score) & (size > 1))
+            at = at[np.lexsort((start[at], -score[at], owner[at]))]
+            low, high = np.left_shift(1, start[at]), np.left_shift(1, (start + size)[at])
+            fields = {"rank": np.arange(len(at), dtype=np.int32), "ends": low + high, "inner": high - 2 * low}
+            late = pc.fill_null(t.column("late"), False).to_numpy().astype(bool)[at]
+            made = [lists(fields, owner[at], len(firsts)), lists({n: v[late] for n, v in fields.items()}, owner[at][late], len(firsts))]
+        head = [t.column(c).take(pa.array(firsts)).combine_chunks() for c in ("word", "block")]
+        return pa.RecordBatch.from_arrays([*(h.chunk(0) if isinstance(h, pa.ChunkedArray) else h for h in head), *made], names=["word", "block", "edges", "late"][: 2 + len(made)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at = None, -1
+        for batch in batches:
+            k = batch.column("k").to_numpy()
+            steps = np.diff(k, prepend=k[:1] if at < 0 else at)
+            if np.any((steps < 0) & (k != 0)) or np.any(steps > 1):
+                raise RuntimeError("the edges of a block are not side by side")
+            at = int(k[-1]) if len(k) else at
+            table = pa.Table.from_batches([*(held.to_batches() if held is not None else []), batch])
+            firsts = np.flatnonzero((table.column("start").to_numpy() == 0) & (table.column("size").to_numpy() == 1))
+            last = int(firsts[-1]) if len(firsts) else 0
+            if last:
+                yield group(table.slice(0, last))
+            held = table.slice(last)
+        if held is not None and len(held):
+            yield group(held)
+
+    return edges.mapInArrow(run, GROUPED[fold])
+
+
+def fits(cuts: Column, edge: Column) -> Column:
+    """Whether an edge joins two symbols: its ends are cuts and one cut lies between."""
+    return (cuts.bitwiseAND(edge["ends"]) == edge["ends"]) & (F.bit_count(cuts.bitwiseAND(edge["inner"])) == 1)
+
+
+def every_cut(n: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(2).cast("bigint"), n) - 1
+
+
+def merge_pass(n: Column, edges: Column, late: Column) -> Column:
+    """bigint: the cuts of the BPE segmentation as bits, by one pass over the edges in the order of preference. It is right
+    unless a merge makes a better edge fit, which only those in ``late`` can come to; then LATE_BIT is set."""
+
+    def step(cuts: Column, edge: Column) -> Column:
+        merged = cuts.bitwiseAND(F.bitwise_not(edge["inner"]))
+        missed = F.exists(late, lambda e: (e["rank"] < edge["rank"]) & fits(merged, e))
+        return F.when(fits(cuts, edge), F.when(missed, merged.bitwiseOR(F.lit(1 << LATE_BIT))).otherwise(merged)).otherwise(cuts)
+
+    return F.aggregate(edges, every_cut(n), step)
+
+
+def merge_fold(n: Column, edges: Column) -> Column:
+    """bigint: the cuts of the BPE segmentation as bits. Every step merges the two adjacent symbols whose joint edge has the
+    highest score, the leftmost of equals."""
 
     def step(cuts: Column, _: Column) -> Column:
-        best = F.get(F.filter(merges, lambda e: (cuts.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(cuts.bitwiseAND(e["inner"])) == 1)), F.lit(0))
+        best = F.get(F.filter(edges, lambda e: fits(cuts, e)), F.lit(0))
         return F.coalesce(cuts.bitwiseAND(F.bitwise_not(best["inner"])), cuts)
 
-    # The bits are read in the fold's finish: a filter over the fold itself would run it anew for every place.
-    return F.aggregate(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), every, step, lambda left: F.filter(F.sequence(F.lit(0), n), lambda i: F.getbit(left, i) == 1))
+    return F.aggregate(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), every_cut(n), step)
 
 
 def viterbi_fold(n: Column, edges: Column, *, unknown: float = -1e6) -> Column:
@@ -189,47 +294,22 @@ def viterbi_fold(n: Column, edges: Column, *, unknown: float = -1e6) -> Column:
     return walk
 
 
-def segmented(words: DataFrame, pieces: DataFrame, *, fold: str) -> DataFrame:
-    """(word, cuts array<int>) of distinct ``words`` (column word), none longer than FOLDED_CHARS where ``fold`` is 'merge'."""
-    edges = lattice(words, pieces, shortest=2 if fold == "merge" else 1)
-    if fold == "merge":
-        grouped = edges.select("word", merge_of(F.col("edge")).alias("edge")).groupBy("word").agg(F.array_sort(F.collect_list("edge")).alias("edges"))
-        none = F.array().cast("array<struct<cost:double,start:int,ends:bigint,inner:bigint>>")
-    else:
-        grouped = edges.groupBy("word").agg(F.collect_list("edge").alias("edges"))
-        none = F.array().cast("array<struct<start:int,stop:int,score:double>>")
-    # A word without any edge is all single characters.
-    net = words.join(grouped, "word", "left").select("word", F.length("word").alias("n"), F.coalesce("edges", none).alias("edges"))
-    return net.select("word", (merge_fold if fold == "merge" else viterbi_fold)(F.col("n"), F.col("edges")).alias("cuts"))
-
-
-def encode_words(words: DataFrame, pieces: DataFrame, vocabulary: Vocabulary, *, fold: str, model_path: str | None = None) -> DataFrame:
-    """(word, ids binary) of distinct parts. ``model_path`` is needed for BPE parts over FOLDED_CHARS."""
-
-    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [vocabulary.codes(word[i:j] for i, j in zip(cuts, cuts[1:], strict=False)) for word, cuts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["word", "ids"])
-
-    def by_library(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sentencepiece.SentencePieceProcessor(model_file=model_path)
-        first = len(model.encode("\n"))  # the mark in front and the line feed
-        for batch in batches:
-            # A part that starts with a mark gets it from the library; others follow a line feed.
-            ids = [model.encode(w[1:].replace(SPACE, " ")) if w[0] == SPACE else model.encode("\n" + w)[first:] for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.array(x, dtype="<u4").tobytes() for x in ids], pa.binary())], names=["word", "ids"])
-
-    if fold != "merge":
-        return segmented(words, pieces, fold=fold).mapInArrow(coded, "word string, ids binary")
-    folded = segmented(words.where(F.length("word") <= FOLDED_CHARS), pieces, fold=fold).mapInArrow(coded, "word string, ids binary")
-    return folded.unionByName(words.where(F.length("word") > FOLDED_CHARS).mapInArrow(by_library, "word string, ids binary"))
+def segmented(lattice: DataFrame, *, fold: str) -> DataFrame:
+    """(word, cuts, block): the cuts of every word, as bits for the merge fold, an array for Viterbi; null without a word."""
+    n = F.length("word")
+    if fold == "viterbi":
+        return lattice.select("word", F.when(F.col("word").isNotNull(), viterbi_fold(n, F.col("edges"))).alias("cuts"), "block")
+    usable = n.between(1, FOLDED_CHARS)
+    once = lattice.withColumn("once", F.when(usable, merge_pass(n, F.col("edges"), F.col("late"))))
+    late = F.getbit("once", F.lit(LATE_BIT)) == 1
+    return once.select("word", F.when(late, merge_fold(n, F.col("edges"))).otherwise(F.col("once")).alias("cuts"), "block")
 
 
 class Block:
     """Texts of a block as numbers of chunks, and its chunks as numbers of parts."""
 
-    def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary, self.held = vocabulary, 0
+    def __init__(self, vocabulary: Vocabulary, spans: Spans, most_chars: int):
+        self.vocabulary, self.spans, self.most_chars, self.held = vocabulary, spans, most_chars, 0
         self.chunks, self.numbers, self.sizes, self.docs = Numbers(), [], [], []
 
     def take(self, batch: pa.RecordBatch) -> None:
@@ -239,30 +319,49 @@ class Block:
         self.docs.append(batch.column("doc"))
         self.held += batch.column("text").nbytes + ROW_BYTES * len(batch)
 
-    def rows(self, number: int) -> Iterator[pa.RecordBatch]:
-        """The block's row, then one for each of its parts, in the schema STORED."""
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        """One row for each of the block's parts, then its own, in the schema PARTS."""
         parts = Numbers()
         of_chunks = [[parts[p] for p in self.vocabulary.parts(c) if p] for c in self.chunks]
-        flat = np.array([p for chunk in of_chunks for p in chunk], dtype=np.int32)
+        flat, sizes = np.array([p for chunk in of_chunks for p in chunk], dtype=np.int32), np.array([len(c) for c in of_chunks], dtype=np.int32)
         docs = pa.chunked_array(self.docs)
         sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, pa.schema([("doc", docs.type), ("size", pa.int32())]), options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        with pa.ipc.new_stream(sink, pa.schema([("doc", docs.type), ("size", pa.int32())])) as writer:
             writer.write_table(pa.table({"doc": docs, "size": pa.array(self.sizes, pa.int32())}))
-        stored = {
-            "docs": sink.getvalue().to_pybytes(), "texts": squeezed(np.concatenate(self.numbers)),
-            "sizes": squeezed(np.array([len(c) for c in of_chunks], dtype=np.int32)), "chunks": squeezed(flat),
-        }
-        yield pa.RecordBatch.from_pylist([{"block": number, "place": len(parts), "counts": [len(of_chunks), len(flat)], **stored}], schema=STORED)
-        words = list(parts)
-        for k in range(0, len(words), 10_000):
-            some = words[k : k + 10_000]
-            columns = {"block": pa.array([number] * len(some), pa.int64()), "place": pa.array(range(k, k + len(some)), pa.int32()), "word": pa.array(some, pa.string())}
-            yield pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(len(some), f.type)) for f in STORED], schema=STORED)
-
-
-#: A block (word is null, place is the count of its parts) or a part of one.
-STORED = pa.schema([("block", pa.int64()), ("place", pa.int32()), ("word", pa.string()), ("docs", pa.binary()), ("counts", pa.list_(pa.int32())), ("texts", pa.binary()), ("sizes", pa.binary()), ("chunks", pa.binary())])
-STORED_DDL = "block bigint, place int, word string, docs binary, counts array<int>, texts binary, sizes binary, chunks binary"
+        words, count = list(parts), len(parts)
+        for k in range(0, count, BATCH_ROWS):
+            some = words[k : k + BATCH_ROWS]
+            spans = [self.spans.of(word, self.most_chars) for word in some]
+            ends = np.cumsum([0, *map(len, spans)], dtype=np.int32)
+            flat_spans = pa.array(np.array([x for one in spans for x in one], dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(range(k, k + len(some)), pa.int32()), pa.array(some, pa.string()), pa.ListArray.from_arrays(pa.array(ends), flat_spans), pa.nulls(len(some), pa.binary())], schema=PARTS)
+        block = pickle.dumps((count, sink.getvalue().to_pybytes(), len(sizes), len(flat), squeezed(np.concatenate(self.numbers)), squeezed(sizes), squeezed(flat)))
+        yield pa.RecordBatch.from_pylist([{"k": count, "spans": [1], "block": block}], schema=PARTS)
+
+
+#: A part of a block, or the block (word is null, k is the count of its parts).
+PARTS = pa.schema([("k", pa.int32()), ("word", pa.string()), ("spans", pa.list_(pa.int32())), ("block", pa.binary())])
+
+
+def texts_of(block: bytes, found: list[bytes]) -> Iterator[pa.RecordBatch]:
+    """(doc, ids) of a block's rows; ``found`` are the ids of its parts."""
+    count, docs, of_chunks, of_parts, texts, chunk_sizes, chunks_ = pickle.loads(block)
+    if len(found) != count:
+        raise RuntimeError("a block did not meet all its parts")
+    flat, sizes = np.frombuffer(b"".join(found), dtype="<i4"), np.array([len(x) // 4 for x in found], dtype=np.int64)
+    flat, sizes = lists_of(flat, sizes, unsqueezed(chunks_, of_parts))
+    ends, chunk_ends = np.concatenate([[0], np.cumsum(sizes)]), np.concatenate([[0], np.cumsum(unsqueezed(chunk_sizes, of_chunks), dtype=np.int64)])
+    sizes = np.diff(ends[chunk_ends])
+    table = pa.ipc.open_stream(docs).read_all()
+    text_ends = np.concatenate([[0], np.cumsum(table.column("size").to_numpy(), dtype=np.int64)])
+    numbers, at = unsqueezed(texts, int(text_ends[-1])), 0
+    while at < len(table):
+        to = max(at + 1, int(np.searchsorted(text_ends, text_ends[at] + GATHERED, side="right")) - 1)
+        ids, counts = lists_of(flat, sizes, numbers[text_ends[at] : text_ends[to]])
+        offsets = np.concatenate([[0], np.cumsum(counts)])[text_ends[at : to + 1] - text_ends[at]]
+        part = table.column("doc").slice(at, to - at).combine_chunks()
+        yield pa.RecordBatch.from_arrays([part.chunk(0) if isinstance(part, pa.ChunkedArray) else part, pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32)))], names=["doc", "ids"])
+        at = to
 
 
 def encode(docs: DataFrame, pieces: DataFrame, *, fold: str = "merge", model_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -270,57 +369,54 @@ def encode(docs: DataFrame, pieces: DataFrame, *, fold: str = "merge", model_pat
 
     Null and empty texts have no ids. Texts are encoded whole, without begin or end. Null ids and repeated rows each
     keep their row; other columns are ignored, whatever their names; an empty table gives an empty result. ``docs`` is
-    read once; a part without ids raises. Blocks are dealt by number, so no text, word or source can make one large;
-    frequent parts meet the dictionary once for each block, in a join of two exchanged sides, which adaptive execution
-    may split.
+    read once and nothing is shuffled, so no text, word or source can make one task large beyond its own input; a part
+    without ids raises. ``model_path`` is needed for BPE parts over FOLDED_CHARS.
     """
-    bound_batches(docs)
+    bound_batches(docs, rows=BATCH_ROWS, size=BATCH_BYTES)
     vocabulary = Vocabulary(pieces)
+    shortest, most_chars = (2, FOLDED_CHARS) if fold == "merge" else (1, 1 << 20)
     rows = docs.select(F.col(id_col).alias("doc"), text_of(text_col).alias("text"))
 
-    def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, block = TaskContext.get().partitionId() << 32, Block(vocabulary)
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spans = Spans(vocabulary.ids, shortest)
+        block = Block(vocabulary, spans, most_chars)
         for batch in slices(batches, "text", SLICE_BYTES):
             block.take(batch)
             if block.held >= BLOCK_BYTES:
-                yield from block.rows(number)
-                number, block = number + 1, Block(vocabulary)
+                yield from block.rows()
+                block = Block(vocabulary, spans, most_chars)
         if block.docs:
-            yield from block.rows(number)
-
-    def encoded(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
-        for row in left.to_pylist():
-            found = np.empty(row["place"], dtype=object)
-            found[right.column("place").to_numpy()] = right.column("ids").to_pylist()
-            sizes = np.array([len(x) // 4 for x in found], dtype=np.int64)  # raises where a part has no ids
-            flat, chunk_sizes = np.frombuffer(b"".join(found), dtype="<i4"), unsqueezed(row["sizes"], row["counts"][0])
-            part_numbers = unsqueezed(row["chunks"], row["counts"][1])
-            flat, sizes = lists_of(flat, sizes, part_numbers)
-            ends = np.concatenate([[0], np.cumsum(sizes)])
-            chunk_ends = np.concatenate([[0], np.cumsum(chunk_sizes, dtype=np.int64)])
-            sizes = np.diff(ends[chunk_ends])
-            table = pa.ipc.open_stream(row["docs"]).read_all()
-            text_ends = np.concatenate([[0], np.cumsum(table.column("size").to_numpy(), dtype=np.int64)])
-            texts, at = unsqueezed(row["texts"], int(text_ends[-1])), 0
-            while at < len(table):
-                to = max(at + 1, int(np.searchsorted(text_ends, text_ends[at] + GATHERED, side="right")) - 1)
-                ids, counts = lists_of(flat, sizes, texts[text_ends[at] : text_ends[to]])
-                offsets = np.concatenate([[0], np.cumsum(counts)])[text_ends[at : to + 1] - text_ends[at]]
-                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32)))
-                part = table.column("doc").slice(at, to - at).combine_chunks()
-                out.append(pa.RecordBatch.from_arrays([part.chunk(0) if isinstance(part, pa.ChunkedArray) else part, lists], names=["doc", "ids"]))
-                at = to
-        return pa.Table.from_batches(out)
-
-    # Written once: the parts are read for the lattice and for the dictionaries, the blocks to meet these.
-    spark, place = docs.sparkSession, f"{shared_dir(docs.sparkSession)}/parts-{uuid.uuid4().hex}"
-    rows.mapInArrow(stored, STORED_DDL).write.option("compression", "zstd").parquet(place)
-    met = spark.read.schema(STORED_DDL).parquet(place).where("word IS NOT NULL").select("block", "place", "word")
-    known = encode_words(met.select("word").distinct(), pieces, vocabulary, fold=fold, model_path=model_path)
-    dictionaries = met.join(known, "word").select("block", "place", "ids")
-    blocks = spark.read.schema(STORED_DDL).parquet(place).where("word IS NULL").drop("word")
-    made = blocks.groupBy("block").cogroup(dictionaries.groupBy("block")).applyInArrow(encoded, f"doc {kind_of(docs, id_col)}, ids array<int>")
+            yield from block.rows()
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = range(FOLDED_CHARS + 1)
+        model, first = None, 0
+
+        def by_library(word: str) -> bytes:
+            nonlocal model, first
+            if model is None:
+                model = sentencepiece.SentencePieceProcessor(model_file=model_path)
+                first = len(model.encode("\n"))  # the mark in front and the line feed
+            # A part that starts with a mark gets it from the library; others follow a line feed.
+            ids = model.encode(word[1:].replace(SPACE, " ")) if word[0] == SPACE else model.encode("\n" + word)[first:]
+            return np.array(ids, dtype="<u4").tobytes()
+
+        found: list[bytes] = []
+        for batch in batches:
+            for word, cuts, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if word is None:
+                    yield from texts_of(block, found)
+                    found = []
+                elif cuts is None:
+                    found.append(by_library(word))
+                else:
+                    if isinstance(cuts, int):
+                        cuts = [i for i in places[: len(word) + 1] if cuts >> i & 1]
+                    found.append(vocabulary.codes(word[i:j] for i, j in zip(cuts, cuts[1:], strict=False)))
+
+    parted = rows.mapInArrow(parts, "k int, word string, spans array<int>, block binary")
+    told = candidates(parted, with_late(pieces))
+    made = segmented(grouped(told, fold=fold), fold=fold).mapInArrow(encoded, f"doc {kind_of(docs, id_col)}, ids array<int>")
     return made.withColumnRenamed("doc", id_col)
 
 
