@@ -10,6 +10,8 @@ from .common import table
 from .embedding_dedup import embedding_links
 from .exact_dedup import exact_groups
 from .html_extract import extract_text, fit_extractor
+from .merkle import merkle_manifest, tamper_report
+from .oracle import merkle_sql
 from .packing import pack
 from .secrets import scan_secrets
 from .simhash import near_duplicates
@@ -82,6 +84,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path=public_tokenizers.path("word_bpe_49k.json"), end_id=2, length=4096)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tamper_report(merkle_manifest(table(spark, sf_dir, "documents"), rehearse=True))
+
+
 QUERIES = {
     "op1_html_extract": op1_html_extract,
     "op2_toxicity": op2_toxicity,
@@ -93,6 +99,7 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_secret_scan": op9_secret_scan,
     "op10_packing": op10_packing,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 _RULE_VALUES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
@@ -119,4 +126,5 @@ ORACLE_SQL = {
         SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,
                row_number() OVER w = 1 AS kept, text_sha256
         FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)""",
+    "op11_merkle_manifest": merkle_sql(),
 }
