@@ -55,3 +55,20 @@ def merkle_sql(levels: int = 8, group_levels: int = 3) -> str:
         {_climb("b", "b", "u", group_levels)}
         SELECT n.doc_id, n.leaf, t.h AS subroot, r.h AS root, sha256(b.proof) AS proof_sha256, b.f AS folded_root, b.f = r.h AS verified
         FROM numbered n JOIN b{group_levels} b ON b.key = n.key JOIN {last} t ON t.grp IS NOT DISTINCT FROM n.grp CROSS JOIN {top} r"""
+
+
+def mix_sql(turns: int = 60) -> str:
+    """Targets by ``turns`` rounds of resharing; what is taken of a source is a prefix of its shuffled stream, after whole passes."""
+    return rf"""
+        WITH RECURSIVE d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+        s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST(2 * sum(size) AS BIGINT) AS cap, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM d GROUP BY source),
+        level(turn, v) AS (
+            SELECT 0, 1.5::DOUBLE * sum(source_size) / sum(w) FROM s
+            UNION ALL
+            SELECT turn + 1, (1.5::DOUBLE * sum(source_size) - sum(CASE WHEN v * w > cap THEN cap ELSE 0 END)) / nullif(sum(CASE WHEN v * w > cap THEN 0 ELSE w END), 0)
+            FROM level, s WHERE turn < {turns} GROUP BY turn, v),
+        t AS (SELECT source, source_size, coalesce(least(CAST(cap AS DOUBLE), (SELECT max(v) FROM level) * w), cap) AS target FROM s),
+        p AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '')), doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM d)
+        SELECT p.doc_id, p.size, t.source_size, t.target,
+               CASE WHEN t.source_size = 0 THEN 0 ELSE CAST(CAST(floor(target) AS BIGINT) // t.source_size * p.size + greatest(0, least(p.size, CAST(floor(target) AS BIGINT) % t.source_size - p.start)) AS BIGINT) END AS taken
+        FROM p JOIN t ON t.source IS NOT DISTINCT FROM p.source"""

@@ -11,7 +11,8 @@ from .embedding_dedup import embedding_links
 from .exact_dedup import exact_groups
 from .html_extract import extract_text, fit_extractor
 from .merkle import merkle_manifest, tamper_report
-from .oracle import merkle_sql
+from .mixing import mix_sources
+from .oracle import merkle_sql, mix_sql
 from .packing import pack
 from .secrets import scan_secrets
 from .simhash import near_duplicates
@@ -88,6 +89,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tamper_report(merkle_manifest(table(spark, sf_dir, "documents"), rehearse=True))
 
 
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents")).documents.select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES = {
     "op1_html_extract": op1_html_extract,
     "op2_toxicity": op2_toxicity,
@@ -100,6 +105,7 @@ QUERIES = {
     "op9_secret_scan": op9_secret_scan,
     "op10_packing": op10_packing,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op13_source_mix": op13_source_mix,
 }
 
 _RULE_VALUES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
@@ -127,4 +133,5 @@ ORACLE_SQL = {
                row_number() OVER w = 1 AS kept, text_sha256
         FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)""",
     "op11_merkle_manifest": merkle_sql(),
+    "op13_source_mix": mix_sql(),
 }
