@@ -72,3 +72,20 @@ def mix_sql(turns: int = 60) -> str:
         SELECT p.doc_id, p.size, t.source_size, t.target,
                CASE WHEN t.source_size = 0 THEN 0 ELSE CAST(CAST(floor(target) AS BIGINT) // t.source_size * p.size + greatest(0, least(p.size, CAST(floor(target) AS BIGINT) % t.source_size - p.start)) AS BIGINT) END AS taken
         FROM p JOIN t ON t.source IS NOT DISTINCT FROM p.source"""
+
+
+def hard_negatives_sql() -> str:
+    """Every anchor against every row."""
+    return """
+        WITH v AS MATERIALIZED (
+            SELECT row_number() OVER () AS rn, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+            FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS MATERIALIZED (
+            SELECT a.rn AS arn, a.vec_id AS anchor_id, a.label AS own, b.rn, b.vec_id, b.label, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+            FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.rn <> b.rn),
+        p AS (SELECT arn, anchor_id, own, rn AS prn, vec_id AS positive_id, score AS positive_score FROM s WHERE label = own
+              QUALIFY row_number() OVER (PARTITION BY arn ORDER BY score DESC, vec_id, rn) <= 5),
+        n AS (SELECT p.anchor_id, p.positive_id, row_number() OVER (PARTITION BY p.arn, p.prn ORDER BY s.score DESC, s.vec_id, s.rn) AS rank, s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+              FROM p JOIN s ON s.arn = p.arn AND s.label <> p.own AND 80 * p.positive_score <= 100 * s.score AND s.score <= p.positive_score)
+        SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5"""

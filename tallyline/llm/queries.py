@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from .common import table
 from .embedding_dedup import embedding_links
 from .exact_dedup import exact_groups
+from .hard_negatives import mine_hard_negatives
 from .html_extract import extract_text, fit_extractor
 from .merkle import merkle_manifest, tamper_report
 from .mixing import mix_sources
-from .oracle import merkle_sql, mix_sql
+from .oracle import hard_negatives_sql, merkle_sql, mix_sql
 from .packing import pack
 from .secrets import scan_secrets
 from .simhash import near_duplicates
@@ -89,6 +90,12 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tamper_report(merkle_manifest(table(spark, sf_dir, "documents"), rehearse=True))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_hard_negatives(vectors.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
 def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).documents.select("doc_id", "size", "source_size", "target", "taken")
 
@@ -105,6 +112,7 @@ QUERIES = {
     "op9_secret_scan": op9_secret_scan,
     "op10_packing": op10_packing,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_source_mix": op13_source_mix,
 }
 
@@ -133,5 +141,6 @@ ORACLE_SQL = {
                row_number() OVER w = 1 AS kept, text_sha256
         FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)""",
     "op11_merkle_manifest": merkle_sql(),
+    "op12_hard_negatives": hard_negatives_sql(),
     "op13_source_mix": mix_sql(),
 }
