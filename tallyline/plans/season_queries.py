@@ -174,7 +174,7 @@ COMPS = f"""{ROLLED}, c AS (SELECT *, season - min(season) OVER (PARTITION BY en
     pairs AS (SELECT a.entity, a.season, a.career_year, z.entity AS ce, z.season AS cs, z.next_value, sqrt((a.z1 - z.z1) * (a.z1 - z.z1) + (a.z2 - z.z2) * (a.z2 - z.z2)) AS d
         FROM asked a JOIN z USING (career_year) WHERE a.entity <> z.entity OR a.season <> z.season),
     near AS (SELECT *, row_number() OVER (PARTITION BY entity, season, career_year ORDER BY d, ce, cs) AS k FROM pairs QUALIFY k <= 8),
-    raw AS (SELECT entity, season, career_year, list(1 / (d + 0.01) ORDER BY k) AS ws, list(next_value ORDER BY k) AS vs, string_agg(CAST(ce AS VARCHAR), ', ' ORDER BY k) AS names FROM near GROUP BY ALL),
+    raw AS (SELECT entity, season, career_year, list(1 / (d + 0.01) ORDER BY k) AS ws, list(next_value ORDER BY k) AS vs, string_agg(ce || ' (' || (cs + 1) || '): ' || CAST({s_round('next_value', 0)} AS BIGINT) || 'FP', ', ' ORDER BY k) AS names FROM near GROUP BY ALL),
     tot AS (SELECT *, list_reduce(list_prepend(0.0, ws), lambda a, b: a + b) AS total FROM raw),
     cap AS (SELECT *, list_transform(ws, lambda w: least(w, CAST(0.4 AS DOUBLE) * total)) AS cw FROM tot)"""
 
@@ -186,7 +186,7 @@ def comps_knn(spark, sf_dir):
     rows = _career(spark, sf_dir).select(*KEYS, "n", "value_mean", "value_sum", "career_year", "first_season")
     pool = comps.comparable_pool(rows.withColumn("segment", F.lit(1)), entity="entity", season="season", segment="segment", games="n", target="value_sum", least_games=4, first_from=1996)
     asked = rows.where("season = 2001 AND n >= 2")
-    return comps.nearest_comparables(asked, pool, segment=["career_year"], entity="entity", season="season", features=["n", "value_mean"])
+    return comps.nearest_comparables(asked, pool, segment=["career_year"], entity="entity", season="season", features=["n", "value_mean"]).drop("compared")
 
 
 @query(f"""WITH {ROLLED}, c AS (SELECT entity, season, value_sum, value_max, season - min(season) OVER (PARTITION BY entity) + 1 AS career_year FROM r)

@@ -142,6 +142,24 @@ def test_tiers_against_a_plain_fold(spark):
     assert [r[3] for r in got] == plain_tiers(values) and max(r[3] for r in got) <= 18
 
 
+def test_nearest_rows_are_those_of_all_pairs_and_few_are_measured(spark):
+    rng = random.Random(4)
+    pool = [(f"e{k:04d}", 2000 + k % 3, "hot" if k % 5 else f"s{k % 20}", float(k), [round(rng.gauss(0, 1), 1), rng.gauss(0, 1)] if k % 3 else [0.0, 0.0]) for k in range(4000)]
+    asked = [(e, s, g, z) for e, s, g, _, z in pool[::40]] + [("new", 2009, "hot", [9.0, -9.0]), ("none", 2009, "absent", [0.0, 0.0])]
+    df = spark.createDataFrame(pool, "comp_entity string, comp_season int, g string, next_value double, z array<double>")
+    got = comps.nearest_rows(spark.createDataFrame(asked, "e string, s int, g string, z array<double>"), df, key=["e", "s", "g"], segment=["g"], k=8, width=2).collect()
+    by = {(r["e"], r["s"], r["g"]): r for r in got}
+    of = {}
+    for row in pool:
+        of.setdefault(row[2], []).append(row)
+    assert len(by) == len(asked) - 1
+    for e, s, g, z in asked[:-1]:
+        near = sorted((math.sqrt((z[0] - q[0]) ** 2 + (z[1] - q[1]) ** 2), ce, cs, v) for ce, cs, _, v, q in of[g] if (ce, cs) != (e, s))[:8]
+        assert [tuple(x)[1:] for x in by[e, s, g]["near"]] == [x[1:] for x in near]
+        assert [x["distance"] for x in by[e, s, g]["near"]] == pytest.approx([x[0] for x in near])
+    assert sum(r["compared"] for r in got) < 0.1 * sum(len(of[g]) for _, _, g, _ in asked[:-1])
+
+
 def test_comparables_weights(spark):
     pool = spark.createDataFrame([(f"p{k}", 2020, 1, float(k), 10.0 * k) for k in range(6)], "e string, s int, seg int, f double, next_value double")
     asked = spark.createDataFrame([("q", 2024, 1, 2.0), ("z", 2024, 9, 2.0)], "e string, s int, seg int, f double")
@@ -149,7 +167,7 @@ def test_comparables_weights(spark):
     std = math.sqrt(sum((k - 2.5) ** 2 for k in range(6)) / 6)
     raw = [1 / 0.01, 1 / (1 / std + 0.01), 1 / (1 / std + 0.01)]
     cut = [min(w, 0.4 * sum(raw)) for w in raw]
-    assert len(got) == 1 and got[0][3] == pytest.approx(sum(w * v for w, v in zip(cut, [20, 10, 30], strict=True)) / sum(cut)) and got[0][5] == "p2, p1, p3"
+    assert len(got) == 1 and got[0][3] == pytest.approx(sum(w * v for w, v in zip(cut, [20, 10, 30], strict=True)) / sum(cut)) and got[0][5] == "p2 (2021): 20FP, p1 (2021): 10FP, p3 (2021): 30FP"
     blend = comps.blended(spark.createDataFrame([(1, 10.0, 20.0), (2, 10.0, None), (3, 10.0, 20.0)], "y int, m double, c double"), model="m", comparable="c", career_year="y", weights={1: 0.6, 2: 0.35})
     assert [r[3] for r in rows(blend, "y")] == [16.0, 10.0, 10.0]
 
