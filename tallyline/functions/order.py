@@ -15,6 +15,8 @@ from .shared import cut
 
 #: monotonically_increasing_id() keeps the partition above so many bits, the row's number in it below.
 _ROW_BITS = 33
+#: Rows of a chunk of an ordered group.
+CHUNK = 1 << 16
 
 
 def _arranged(df: DataFrame, keys: list[Column]) -> DataFrame:
@@ -53,3 +55,13 @@ def prefixed(df: DataFrame, *, order: Sequence[Column | str], within: Sequence[s
     new = {number: F.col("__place") + F.col("__shift")} if number else {}
     new |= {name: F.col(f"__l{k}") + F.col(f"__b{k}") for k, name in enumerate(sums)}
     return met.select(*[F.col(f"`{c}`") for c in df.columns if c not in new], *[c.alias(name) for name, c in new.items()])
+
+
+def chunked(numbered: DataFrame, *, number: str, halo: int, size: int | None = None) -> DataFrame:
+    """Adds __chunk, in which windows over an ordered group run instead of over all of it, and __own: each row in its own chunk,
+    and the last ``halo`` rows of a chunk again, not __own, in the next one, for windows that look back so far."""
+    size = size or CHUNK
+    at = F.col(number) - 1
+    chunk = F.floor(at / size)
+    chunks = F.when(at % size >= size - halo, F.array(chunk, chunk + 1)).otherwise(F.array(chunk))
+    return numbered.select("*", F.explode(chunks).alias("__chunk")).withColumn("__own", F.col("__chunk") == chunk)

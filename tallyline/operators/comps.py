@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.shared import cut
 from ..functions.stats import label, mean, rounded, std_pop
+from .ranks import numbered
 
 
 def comparable_pool(career: DataFrame, *, entity: str, season: str, segment: str, games: str, target: str, least_games: int = 8, first_from: int | None = None) -> DataFrame:
@@ -130,3 +131,9 @@ def blended(rows: DataFrame, *, model: str, comparable: str, career_year: str, w
         w = F.when(F.col(career_year) == year, F.lit(float(weight))).otherwise(w)
     mix = w * F.col(comparable) + (1 - w) * F.col(model)
     return rows.withColumn("blended", rounded(F.coalesce(mix, F.col(model)), digits))
+
+
+def final_ranks(rows: DataFrame, *, value: str, tie: list[str], segment: str) -> DataFrame:
+    """Adds segment_place and overall_place, 1 for the highest value, nulls last."""
+    within = numbered(rows, value=value, tie=tie, within=[segment], ascending=False, name="segment_place")
+    return numbered(within, value=value, tie=tie, ascending=False, name="overall_place")

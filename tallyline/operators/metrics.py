@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.order import prefixed
 from ..functions.stats import measure, safe_div, squared_deviations
 
 
@@ -24,19 +25,18 @@ def _by_score(rows: DataFrame, label: str, score: str, keys: list[str]) -> DataF
 
 
 def roc_auc(rows: DataFrame, *, label: str, score: str, within: list[str] | None = None) -> DataFrame:
-    """Area under the ROC curve (ties count half) by group; null without both classes. Runs over distinct scores."""
+    """Area under the ROC curve (ties count half) by group; null without both classes. Runs over distinct scores, whose
+    negatives below are added up by ranges."""
     keys = within or []
-    w = Window.partitionBy(*keys).orderBy("score")
-    steps = _by_score(rows, label, score, keys).withColumn("below", F.sum("neg").over(w) - F.col("neg"))
+    steps = prefixed(_by_score(rows, label, score, keys), within=keys, order=["score"], sums={"below": "neg"})
     wins = F.sum(F.col("pos") * (2 * F.col("below") + F.col("neg")))
     return steps.groupBy(*keys).agg(F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"), safe_div(wins, 2 * F.sum("pos") * F.sum("neg")).alias("auc"))
 
 
 def average_precision(rows: DataFrame, *, label: str, score: str, within: list[str] | None = None) -> DataFrame:
-    """Step sum of precision over recall steps by group; null without positives. Runs over distinct scores."""
+    """Step sum of precision over recall steps by group; null without positives. Runs over distinct scores, as ``roc_auc``."""
     keys = within or []
-    w = Window.partitionBy(*keys).orderBy(F.col("score").desc())
-    steps = _by_score(rows, label, score, keys).withColumns({"tp": F.sum("pos").over(w), "seen": F.sum(F.col("pos") + F.col("neg")).over(w)})
-    part = F.round(F.col("pos") * F.col("tp") / F.col("seen"), 9).cast("decimal(28,9)")
+    steps = prefixed(_by_score(rows, label, score, keys), within=keys, order=[F.col("score").desc()], sums={"tp": "pos", "fp": "neg"})
+    tp = F.col("tp") + F.col("pos")
+    part = F.round(F.col("pos") * tp / (tp + F.col("fp") + F.col("neg")), 9).cast("decimal(28,9)")
     return steps.groupBy(*keys).agg(F.sum("pos").alias("positives"), safe_div(F.sum(part), F.sum("pos")).alias("average_precision"))
-

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import decay_weight, mean, rounded, safe_div, total
+from .ranks import numbered
 
 
 def select_profile(facts: DataFrame, *, unit: str, season: str, seasons: list[int], measures: list[str]) -> DataFrame:
@@ -48,17 +49,11 @@ def _decayed(facts: DataFrame, w: Column, *, keys: list[str], season: str, measu
     return folded.select(*keys, safe_div(fold(lambda t: t["w"] * t["v"]), fold(lambda t: t["w"])).alias("decayed"))
 
 
-def ranked(df: DataFrame, *, value: str, tie: list[str], within: list[str] | None = None, ascending: bool = True, name: str = "place") -> DataFrame:
-    """Adds the position 1..n by value within each group (``within``), nulls last, ties by ``tie``."""
-    order = F.col(value).asc_nulls_last() if ascending else F.col(value).desc_nulls_last()
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*(within or [])).orderBy(order, *tie)))
-
-
 def segment_ranks(decayed: DataFrame, weekly: DataFrame, *, unit: str, segment: str, week: str, measure: str) -> DataFrame:
     """unit, segment, points, place (1: fewest points; ties by unit): decayed means of some segments (column decayed) and, of
     others, the mean over the weeks in which ``weekly`` has the unit."""
     weeks = weekly.groupBy(unit, segment, week).agg(total(measure).alias("points")).groupBy(unit, segment).agg(mean("points").alias("points"))
-    return ranked(decayed.select(unit, segment, F.col("decayed").alias("points")).unionByName(weeks), value="points", tie=[unit], within=[segment])
+    return numbered(decayed.select(unit, segment, F.col("decayed").alias("points")).unionByName(weeks), value="points", tie=[unit], within=[segment])
 
 
 def strength(decayed: DataFrame, *, within: list[str], value: str = "decayed", digits: int | None = 3) -> DataFrame:

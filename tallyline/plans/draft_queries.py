@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.stats import total
-from ..operators import drafts, profiles
+from ..operators import drafts, ranks
 from .base import EVENTS, LINES, events, lines, query, s_mean, s_round, s_total, table
 
 FLAGS = ["A", "N", "R"]
@@ -188,8 +188,7 @@ def board_parse(spark, sf_dir):
 def player_search(spark, sf_dir):
     names = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("entity"), F.col("p_name").alias("name"))
     found = market(spark, sf_dir).join(names, "entity").where(F.col("name").ilike("%red%") & F.col("position").isin("SMALL", "ECONOMY"))
-    found = found.select("entity", "name", "market", "position").withColumn("g", F.lit(0))
-    return profiles.ranked(found, value="market", tie=["entity"], within=["g"]).drop("g")  # a report of the few that are found
+    return ranks.numbered(found.select("entity", "name", "market", "position"), value="market", tie=["entity"])
 
 
 @query(f"""WITH {FLAGGED} SELECT draft, position, unit, count(*) AS held, count(DISTINCT entity) AS entities, CAST(min(market) AS INTEGER) AS best_market, 'no ' || min(market) || ' in round ' || min(round) AS label FROM f GROUP BY ALL""")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.stats import mean, std_samp, total
-from ..operators import features, lineup, matchup, profiles, schedule, signals
+from ..operators import features, lineup, matchup, ranks, schedule, signals
 from .base import EVENTS, events, query, s_mean, s_round, s_spread, s_total, table
 
 NEAR = "OVER (PARTITION BY entity, position ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)"
@@ -114,7 +114,7 @@ DAILY = f"""{EVENTS}, dw AS (SELECT entity, week, {s_total("points")} AS points
 
 def _daily_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     daily = events(spark, sf_dir).groupBy("entity", "week").agg(total("points").alias("points"))
-    return profiles.ranked(daily, value="points", tie=["entity"], within=["week"], name="rank").select("entity", "week", "rank")
+    return ranks.numbered(daily, value="points", tie=["entity"], within=["week"], name="rank").select("entity", "week", "rank")
 
 
 @query(f"""WITH {DAILY} SELECT entity, count(rank) AS games, {s_mean("rank")} AS season_mean, {s_mean("CASE WHEN week BETWEEN 14 AND 17 THEN rank END")} AS playoff_mean,

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.stats import mean, safe_div, title_case
-from ..operators import adjust, compare, comps, lineup, matchup, profiles, schedule, seasons, signals, tiers
+from ..operators import adjust, compare, comps, lineup, matchup, profiles, ranks, schedule, seasons, signals, tiers
 from .base import EVENTS, ORDERS, ROLLED, events, orders, query, s_mean, s_round, s_spread, s_total, table
 
 KEYS = ["entity", "season"]
@@ -99,7 +99,7 @@ def _decayed(decay: float, lookback: int) -> str:
 @query(f"WITH {NATION_SEASON}, {_decayed(0.6, 4)} SELECT nation, decayed, row_number() OVER (ORDER BY decayed, nation) AS place FROM d")
 def decayed_mean_rank(spark, sf_dir):
     decayed = profiles.decayed_mean(nation_season(spark, sf_dir), keys=["nation"], season="season", measure="value_mean", latest=2001, decay=0.6, lookback=4)
-    return profiles.ranked(decayed, value="decayed", tie=["nation"])  # a row for each nation
+    return ranks.numbered(decayed, value="decayed", tie=["nation"])  # a row for each nation
 
 
 @query(f"""WITH {NATION_SEASON}, {_decayed(0.9, 3)}, g AS (SELECT d.*, n_regionkey AS region FROM d JOIN nation ON n_nationkey = nation)
@@ -398,12 +398,14 @@ def title_case_names(spark, sf_dir):
 
 
 @query(f"""WITH {ROLLED}, c AS (SELECT entity, season, value_sum, value_max, season - min(season) OVER (PARTITION BY entity) + 1 AS career_year FROM r),
-    b AS (SELECT entity, career_year, {s_round("CASE career_year WHEN 1 THEN 0.6 * value_max + (1 - CAST(0.6 AS DOUBLE)) * value_sum WHEN 2 THEN 0.35 * value_max + (1 - CAST(0.35 AS DOUBLE)) * value_sum ELSE value_sum END", 1)} AS blended FROM c WHERE season = 2001)
-    SELECT *, CAST(row_number() OVER (PARTITION BY career_year ORDER BY blended DESC NULLS LAST, entity) AS INTEGER) AS place FROM b""")
+    p AS (SELECT entity, season, segment FROM (SELECT entity, season, segment, count(*) AS k FROM o GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY entity, season ORDER BY k DESC, segment) = 1),
+    b AS (SELECT entity, segment, career_year, {s_round("CASE career_year WHEN 1 THEN 0.6 * value_max + (1 - CAST(0.6 AS DOUBLE)) * value_sum WHEN 2 THEN 0.35 * value_max + (1 - CAST(0.35 AS DOUBLE)) * value_sum ELSE value_sum END", 1)} AS blended FROM c JOIN p USING (entity, season) WHERE season = 2001)
+    SELECT *, CAST(row_number() OVER (PARTITION BY segment ORDER BY blended DESC NULLS LAST, entity) AS INTEGER) AS segment_place, CAST(row_number() OVER (ORDER BY blended DESC NULLS LAST, entity) AS INTEGER) AS overall_place FROM b""")
 def blend_ranks(spark, sf_dir):
-    rows = _career(spark, sf_dir).where("season = 2001").select("entity", "career_year", "value_sum", "value_max")
+    segment = seasons.primary_category(orders(spark, sf_dir), keys=KEYS, category="segment").drop("n_rows")
+    rows = _career(spark, sf_dir).join(segment, KEYS).where("season = 2001").select("entity", "segment", "career_year", "value_sum", "value_max")
     mixed = comps.blended(rows, model="value_sum", comparable="value_max", career_year="career_year", weights={1: 0.60, 2: 0.35})
-    return profiles.ranked(mixed.select("entity", "career_year", "blended"), value="blended", tie=["entity"], within=["career_year"], ascending=False)
+    return comps.final_ranks(mixed.select("entity", "segment", "career_year", "blended"), value="blended", tie=["entity"], segment="segment")
 
 
 @query(f"""WITH {MATCH_PARTS}, sched AS (SELECT n_nationkey AS unit, CAST(w AS INTEGER) AS week, (n_nationkey * 3 + w * 7) % 110 AS opponent FROM nation, range(1, 18) t(w)),

@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -64,7 +65,7 @@ def test_profiles(spark):
     dec = rows(profiles.decayed_mean(df, keys=["u"], season="s", measure="x", latest=2025, decay=0.5, lookback=2), "u")
     assert dec == [("a", pytest.approx((20 + 0.5 * 10) / 1.5))]
     assert [r[0] for r in rows(profiles.decayed_mean(df, keys=["u"], season="s", measure="x", latest=2025, decay=0.5, lookback=2, in_latest=False), "u")] == ["a", "b", "c"]
-    placed = profiles.ranked(spark.createDataFrame([("a", 1.0), ("b", 1.0), ("c", None), ("d", 0.5)], "u string, v double"), value="v", tie=["u"])
+    placed = ranks.numbered(spark.createDataFrame([("a", 1.0), ("b", 1.0), ("c", None), ("d", 0.5)], "u string, v double"), value="v", tie=["u"])
     assert rows(placed.select("u", "place"), "place") == [("d", 1), ("a", 2), ("b", 3), ("c", 4)]
 
 
@@ -142,6 +143,42 @@ def test_tiers_against_a_plain_fold(spark):
     assert [r[3] for r in got] == plain_tiers(values) and max(r[3] for r in got) <= 18
 
 
+def test_tiers_in_chunks_with_null_segments_and_many_runs(spark):
+    rng = random.Random(8)
+    sets = {None: [rng.choice([5, 5, 40, 400, 0]) * rng.random() for _ in range(500)], "long": [100.0] * 150 + [99.0] * 90, "steps": [2000 - 40.0 * k for k in range(60)], "small": [7.0], "neg": [-1.0, -50.0, -51.0]}
+    data = [(g, k, v) for g, values in sets.items() for k, v in enumerate(sorted(values, reverse=True))]
+    df = spark.createDataFrame(data, "g string, k int, v double").repartition(5)
+    for chunk in (7, 64, None):
+        got = {(r["g"], r["k"]): r["tier"] for r in tiers.gap_tiers(df, segment=["g"], value="v", key="k", chunk=chunk).collect()}
+        assert got == {(g, k): t for g, values in sets.items() for k, t in enumerate(plain_tiers(sorted(values, reverse=True)))}
+    assert tiers.gap_tiers(df.limit(0), segment=["g"], value="v", key="k").collect() == []
+
+
+def test_tiers_of_a_million_rows_in_one_segment(spark):
+    df = spark.range(1_000_000).select(F.lit("s").alias("g"), F.col("id").alias("k"), (F.col("id") * 1e-4).alias("v"))
+    began = time.perf_counter()
+    counts = {r["tier"]: r["n"] for r in tiers.gap_tiers(df, segment=["g"], value="v", key="k").groupBy("tier").agg(F.count("*").alias("n")).collect()}
+    assert counts == {**{t: 8 for t in range(1, 6)}, **{t: 12 for t in range(6, 18)}, 18: 1_000_000 - 5 * 8 - 12 * 12}
+    assert time.perf_counter() - began < 60
+
+
+def test_final_ranks_and_curves_without_a_window_over_a_group(spark):
+    df = spark.createDataFrame([(f"e{k}", "ab"[k % 2], None if k == 5 else float(k // 3)) for k in range(20)], "e string, g string, v double")
+    got = {r["e"]: (r["segment_place"], r["overall_place"]) for r in comps.final_ranks(df, value="v", tie=["e"], segment="g").collect()}
+    order = sorted(range(20), key=lambda k: (k == 5, -(k // 3), f"e{k}"))
+    assert got == {f"e{k}": ([j for j in order if j % 2 == k % 2].index(k) + 1, order.index(k) + 1) for k in range(20)}
+    rng = random.Random(2)
+    rows_ = [(g, rng.randrange(2), round(rng.random(), 2)) for g in "xxxxy" for _ in range(200)] + [("z", 1, 0.5), ("z", None, 0.5), ("z", 0, None)]
+    scored = spark.createDataFrame(rows_, "g string, y int, s double")
+    auc = {r["g"]: r["auc"] for r in metrics.roc_auc(scored, label="y", score="s", within=["g"]).collect()}
+    ap = {r["g"]: r["average_precision"] for r in metrics.average_precision(scored, label="y", score="s", within=["g"]).collect()}
+    for g in "xy":
+        pos, neg = ([s for h, y, s in rows_ if h == g and y == k] for k in (1, 0))
+        assert auc[g] == pytest.approx(sum((p > n) + (p == n) / 2 for p in pos for n in neg) / len(pos) / len(neg))
+        assert ap[g] == pytest.approx(sum(pos.count(t) / len(pos) * sum(p >= t for p in pos) / sum(x >= t for x in pos + neg) for t in set(pos)))
+    assert auc["z"] is None and ap["z"] == 1.0
+
+
 def test_nearest_rows_are_those_of_all_pairs_and_few_are_measured(spark):
     rng = random.Random(4)
     pool = [(f"e{k:04d}", 2000 + k % 3, "hot" if k % 5 else f"s{k % 20}", float(k), [round(rng.gauss(0, 1), 1), rng.gauss(0, 1)] if k % 3 else [0.0, 0.0]) for k in range(4000)]
