@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.shared import cut
 from ..functions.stats import mean, rounded, safe_div
+from .ranks import numbered
 
 
 def both_directions(games: DataFrame, *, home: str, away: str, keep: list[str], swapped: dict[str, str] | None = None, drop_open: bool = False) -> DataFrame:
@@ -69,28 +73,77 @@ def grade_of(difference: Column, band: float) -> Column:
     return F.when(difference > band, "easy").when(difference < -band, "tough").otherwise("average")
 
 
+#: Places of a week's list that the first round of ``complements`` takes; each further round goes GROWTH times as deep.
+FIRST_PLACES = 64
+GROWTH = 4
+
+
 def complements(ranks: DataFrame, *, unit: str, week: str, rank: str, tough: int, easy: int, top: int, weight: int = 3) -> DataFrame:
     """For each unit the ``top`` others by mean rank in its tough weeks (rank <= tough) + weight x easy weeks there
-    (rank >= easy), weeks without a row left out: unit, other, tough_weeks, mean_rank, easy_weeks, score, place."""
-    mine = ranks.where(F.col(rank) <= tough).select(F.col(unit).alias("unit"), F.col(week).alias("at_week"))
-    theirs = ranks.select(F.col(unit).alias("other"), F.col(week).alias("at_week"), F.col(rank).alias("other_rank"))
-    pairs = mine.join(theirs, "at_week").where("unit != other")
-    scored = pairs.groupBy("unit", "other").agg(F.count("*").alias("tough_weeks"), mean("other_rank").alias("mean_rank"), F.count_if(F.col("other_rank") >= easy).alias("easy_weeks"))
-    scored = scored.withColumn("score", F.col("mean_rank") + weight * F.col("easy_weeks"))
-    w = Window.partitionBy("unit").orderBy(F.col("score").desc(), "other")
-    return scored.withColumn("place", F.row_number().over(w)).where(F.col("place") <= top)
+    (rank >= easy), weeks without a row left out: unit, other, tough_weeks, mean_rank, easy_weeks, score, place, looked_at (how
+    many others were scored for the unit). Expects one row of a unit and week at most; null ranks are left out.
+
+    A threshold search over the weeks' lists, sorted from the highest rank down. A round reads the next places of the lists of
+    a unit's tough weeks, by equality on week and place, and scores who stands there by all their weeks. Whoever was not met has at
+    most the rank at which each list stands, so at most the largest of these + weight x those that are easy: where the
+    ``top``-th score is above that, the unit is done. The others go on deeper, until the lists end.
+    """
+    rows = cut(ranks.where(F.col(rank).isNotNull()).select(F.col(unit).alias("other"), F.col(week).alias("week"), F.col(rank).alias("rank")))
+    lists = cut(numbered(rows, value="rank", tie=["other"], within=["week"], ascending=False, name="at"))
+    weeks_of = cut(rows.groupBy("other").agg(F.map_from_entries(F.collect_list(F.struct("week", "rank"))).alias("ranks")))  # a season's weeks
+    kind = dict(rows.dtypes)["other"]
+    none = F.array().cast(f"array<struct<low:double,other:{kind},tough_weeks:bigint,mean_rank:double,easy_weeks:bigint>>")
+    hard = F.map_keys(F.map_filter("ranks", lambda w, r: r <= tough))
+    pending = cut(weeks_of.select(F.col("other").alias("unit"), hard.alias("weeks"), none.alias("best"), F.lit(0).cast("bigint").alias("looked_at")).where("size(weeks) > 0"))
+
+    done, depth, to = [], 0, FIRST_PLACES
+    while True:
+        places = F.explode(F.sequence(F.lit(depth + 1), F.lit(to)))
+        asked = pending.select("unit", "weeks", F.explode("weeks").alias("week")).select("*", places.alias("at"))
+        met = asked.join(lists.select("week", "at", "other"), ["week", "at"]).where("other != unit").groupBy("unit", "other").agg(F.first("weeks").alias("weeks"))
+        there = F.filter(F.transform("weeks", lambda w: F.try_element_at("ranks", w)), lambda r: r.isNotNull())
+        scored = met.join(weeks_of, "other").withColumn("there", there)
+        counted = F.size("there").cast("bigint")
+        average = F.aggregate("there", F.lit(0.0), lambda a, r: a + r) / counted
+        scored = scored.select("unit", "other", counted.alias("tough_weeks"), average.alias("mean_rank"), F.size(F.filter("there", lambda r: r >= easy)).cast("bigint").alias("easy_weeks"))
+        scored = scored.withColumn("low", -(F.col("mean_rank") + weight * F.col("easy_weeks")))
+        first = scored.withColumn("no", F.row_number().over(Window.partitionBy("unit").orderBy("low", "other"))).withColumn("n", F.count("*").over(Window.partitionBy("unit")))
+        first = first.where(F.col("no") <= top).groupBy("unit").agg(F.collect_list(F.struct("low", "other", "tough_weeks", "mean_rank", "easy_weeks")).alias("new"), F.first("n").alias("n"))
+        stands = pending.select("unit", F.explode("weeks").alias("week")).join(lists.where(F.col("at") == to).select("week", "rank"), "week")
+        bound = stands.groupBy("unit").agg((F.max("rank") + weight * F.count_if(F.col("rank") >= easy)).alias("bound"))
+        best = F.slice(F.array_sort(F.array_distinct(F.concat("best", F.coalesce("new", none)))), 1, top)
+        after = pending.join(first, "unit", "left").join(bound, "unit", "left").select("unit", "weeks", best.alias("best"), (F.col("looked_at") + F.coalesce("n", F.lit(0))).alias("looked_at"), "bound")
+        after = cut(after.withColumn("ends", F.col("bound").isNull() | F.coalesce(-F.get("best", F.lit(top - 1))["low"] > F.col("bound"), F.lit(False))))
+        done.append(after.where("ends").select("unit", "looked_at", "best"))
+        pending = after.where("NOT ends").drop("bound", "ends")
+        if pending.isEmpty():
+            break
+        depth, to = to, to * GROWTH
+    found = reduce(DataFrame.unionByName, done).select("unit", "looked_at", F.posexplode("best").alias("no", "b"))
+    return found.select("unit", "b.other", "b.tough_weeks", "b.mean_rank", "b.easy_weeks", (F.col("b.mean_rank") + weight * F.col("b.easy_weeks")).alias("score"), (F.col("no") + 1).alias("place"), "looked_at")
+
+
+def week_bits(weeks: Column) -> Column:
+    """Bitmap of weeks 0 to 62; others raise."""
+    bit = F.when(weeks.between(0, 62), F.call_function("shiftleft", F.lit(1).cast("bigint"), weeks.cast("int"))).when(weeks.isNotNull(), F.raise_error(F.lit("weeks go from 0 to 62")).cast("bigint"))
+    return F.coalesce(F.bit_or(bit), F.lit(0).cast("bigint"))
 
 
 def best_pairing(candidates: DataFrame, roster: DataFrame, ranks: DataFrame, *, unit: str, week: str, rank: str, tough: int, easy: int) -> DataFrame:
     """For each candidate of a roster the rostered unit whose tough weeks it covers best: easy weeks there, then more
     tough weeks, then roster order. ``candidates``: roster, candidate; ``roster``: roster, unit, seat. A week without a
-    row of the candidate counts 0; units without tough weeks are left out."""
-    hard = roster.join(ranks.where(F.col(rank) <= tough).select(F.col(unit).alias("unit"), F.col(week).alias("at_week")), "unit")
-    theirs = ranks.select(F.col(unit).alias("candidate"), F.col(week).alias("at_week"), F.col(rank).alias("their_rank"))
-    met = candidates.join(hard, "roster").join(theirs, ["candidate", "at_week"], "left")
-    pairs = met.groupBy("roster", "candidate", "unit", "seat").agg(F.count("*").alias("tough_weeks"), F.count_if(F.col("their_rank") >= easy).alias("easy_weeks"))
-    best = F.min_by(F.struct("unit", "tough_weeks", "easy_weeks"), F.struct(-F.col("easy_weeks"), -F.col("tough_weeks"), "seat"))
-    return pairs.groupBy("roster", "candidate").agg(best.alias("best")).select("roster", "candidate", "best.*")
+    row of the candidate counts 0; units without tough weeks are left out. Weeks go from 0 to 62.
+
+    A unit's tough weeks and a candidate's easy ones are bitmaps, a roster is one row of its units' bitmaps, and a candidate
+    meets that row once; nothing is made for a pair of units or a week.
+    """
+    bits = cut(ranks.groupBy(F.col(unit).alias("u")).agg(week_bits(F.when(F.col(rank) <= tough, F.col(week))).alias("hard"), week_bits(F.when(F.col(rank) >= easy, F.col(week))).alias("soft")))
+    held = roster.join(bits.where("hard != 0"), F.col("unit") == F.col("u")).groupBy("roster").agg(F.collect_list(F.struct("unit", "seat", "hard")).alias("units"))
+    met = candidates.join(held, "roster").join(bits.select("u", "soft"), F.col("candidate") == F.col("u"), "left")
+    soft = F.coalesce("soft", F.lit(0).cast("bigint"))
+    weighed = F.transform("units", lambda x: F.struct((-F.bit_count(soft.bitwiseAND(x["hard"]))).alias("low"), (-F.bit_count(x["hard"])).alias("few"), x["seat"].alias("seat"), x["unit"].alias("unit")))
+    best = met.select("roster", "candidate", F.array_min(weighed).alias("best"))
+    return best.select("roster", "candidate", "best.unit", (-F.col("best.few")).cast("bigint").alias("tough_weeks"), (-F.col("best.low")).cast("bigint").alias("easy_weeks"))
 
 
 def conflicts(schedule: DataFrame, mine: DataFrame, available: DataFrame, *, week: str, weeks: tuple[int, int]) -> DataFrame:

@@ -127,7 +127,7 @@ def schedule_strength(spark, sf_dir):
         FROM k a JOIN k b ON a.week = b.week AND a.entity <> b.entity WHERE a.rank <= 13 GROUP BY ALL)
     SELECT *, mean_rank + 3 * easy_weeks AS score, CAST(row_number() OVER (PARTITION BY unit ORDER BY mean_rank + 3 * easy_weeks DESC, other) AS INTEGER) AS place FROM p QUALIFY place <= 5""")
 def complement_single(spark, sf_dir):
-    return schedule.complements(_daily_ranks(spark, sf_dir), unit="entity", week="week", rank="rank", tough=13, easy=21, top=5)
+    return schedule.complements(_daily_ranks(spark, sf_dir), unit="entity", week="week", rank="rank", tough=13, easy=21, top=5).drop("looked_at")
 
 
 @query(f"""WITH {DAILY}, ro AS (SELECT DISTINCT entity % 10 AS roster, entity AS unit, entity // 10 AS seat FROM e WHERE entity % 3 = 0), ca AS (SELECT DISTINCT r.roster, e.entity AS candidate FROM e, (SELECT DISTINCT roster FROM ro) r WHERE e.entity % 3 > 0),

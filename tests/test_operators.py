@@ -179,6 +179,28 @@ def test_final_ranks_and_curves_without_a_window_over_a_group(spark):
     assert auc["z"] is None and ap["z"] == 1.0
 
 
+def test_complements_equal_all_pairs_and_stop_early(spark, monkeypatch):
+    monkeypatch.setattr(schedule, "FIRST_PLACES", 8)
+    rng = random.Random(6)
+    at = {(u, w): rng.randrange(1, 33) for u in range(600) for w in range(1, 9) if rng.random() < 0.8}
+    df = spark.createDataFrame([(u, w, r) for (u, w), r in at.items()] + [(1000, 1, None)], "u int, w int, r int")
+    got = {}
+    looked = {}
+    for r in schedule.complements(df, unit="u", week="w", rank="r", tough=13, easy=21, top=3).collect():
+        got.setdefault(r["unit"], []).append((r["place"], r["other"], r["tough_weeks"], round(r["mean_rank"], 9), r["easy_weeks"]))
+        looked[r["unit"]] = r["looked_at"]
+    for u in range(600):
+        weeks = [w for w in range(1, 9) if at.get((u, w), 99) <= 13]
+        scores = []
+        for o in range(600):
+            there = [at[o, w] for w in weeks if (o, w) in at]
+            if o != u and there:
+                scores.append((-(sum(there) / len(there) + 3 * sum(r >= 21 for r in there)), o, len(there), round(sum(there) / len(there), 9), sum(r >= 21 for r in there)))
+        assert sorted(got.get(u, [])) == [(k, *x[1:]) for k, x in enumerate(sorted(scores)[:3], 1)]
+    assert sum(looked.values()) < 0.8 * 600 * 600
+    assert schedule.complements(df.limit(0), unit="u", week="w", rank="r", tough=13, easy=21, top=3).collect() == []
+
+
 def test_nearest_rows_are_those_of_all_pairs_and_few_are_measured(spark):
     rng = random.Random(4)
     pool = [(f"e{k:04d}", 2000 + k % 3, "hot" if k % 5 else f"s{k % 20}", float(k), [round(rng.gauss(0, 1), 1), rng.gauss(0, 1)] if k % 3 else [0.0, 0.0]) for k in range(4000)]
