@@ -78,7 +78,7 @@ def test_schedule(spark):
     assert rows(schedule.first_gap(weeks, unit="u", week="w", last=3), "u") == [("a", 2), ("b", None)]
     ranks = spark.createDataFrame([("a", 1, 5), ("a", 2, 10), ("b", 1, 25), ("c", 1, 22), ("c", 2, 30)], "u string, w int, r int")
     got = rows(schedule.complements(ranks, unit="u", week="w", rank="r", tough=13, easy=21, top=1).where("unit = 'a'"), "place")
-    assert got == [("a", "c", 2, 26.0, 2, 32.0, 1)]
+    assert got == [("a", "c", 2, 26.0, 2, 32.0, 1, 2)]
     roster = spark.createDataFrame([("r", "a", 1), ("r", "b", 2)], "roster string, unit string, seat int")
     cand = spark.createDataFrame([("r", "c"), ("r", "z")], "roster string, candidate string")
     best = rows(schedule.best_pairing(cand, roster, ranks, unit="u", week="w", rank="r", tough=13, easy=21), "candidate")
