@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.order import prefixed
+from ..functions.shared import cut
 from ..functions.stats import mean, right_closed, rounded, safe_div
+from .ranks import numbered
 
 
 def snake(pick: Column, teams: int) -> dict[str, Column]:
@@ -137,23 +140,67 @@ def needs(rosters: DataFrame, targets: DataFrame, *, roster: str, position: str)
     return every.join(have, [roster, position], "left").select(roster, position, F.coalesce("have", F.lit(0)).alias("have"), (F.col("target") - F.coalesce("have", F.lit(0))).alias("need"))
 
 
-def need_candidates(needed: DataFrame, pool: DataFrame, *, roster: str, position: str, pick: str, market: str, entity: str, before: int = 5, after: int = 18, top: int = 3) -> DataFrame:
-    """roster, position, entity, is_near, place: for each position that a roster still needs (need > 0) the ``top`` available
-    entities whose market rank is near its pick, by rank; where none is near, the best of the position."""
-    met = needed.where("need > 0").select(roster, position, pick).join(pool.select(roster, position, entity, market), [roster, position])
-    near = F.col(market).between(F.col(pick) - before, F.col(pick) + after)
-    every = Window.partitionBy(roster, position)
-    told = met.withColumn("is_near", near).withColumn("any_near", F.max("is_near").over(every)).where("is_near OR NOT any_near")
-    return told.withColumn("place", F.row_number().over(every.orderBy(F.col(market).asc_nulls_last(), entity))).where(F.col("place") <= top).select(roster, position, entity, "is_near", "place")
-
-
-def stack_targets(rosters: DataFrame, pool: DataFrame, *, roster: str, entity: str, unit: str, pick: str, market: str, band: int = 20) -> DataFrame:
-    """Available entities of the units that a roster holds, those near the pick first."""
+def _places(ranked: DataFrame, *, within: str, market: str, entity: str) -> DataFrame:
+    """within, entity, market, at: the sorted rank list of each group, written, since it is read several times."""
+    return cut(numbered(ranked.select(within, entity, market), value=market, tie=[entity], within=[within], name="at"))
+
+
+def _taken(picks: DataFrame, places: DataFrame, *, roster: str, within: str, entity: str) -> DataFrame:
+    """roster, within, taken: the places of each list that a roster has taken."""
+    return picks.select(roster, entity).distinct().join(places, entity).groupBy(roster, within).agg(F.collect_list("at").alias("taken"))
+
+
+def _free(first: Column, last: Column, n: Column | None = None) -> Column:
+    """The places from ``first`` to ``last`` that are not in the column taken, the first ``n`` of them."""
+    taken = F.coalesce("taken", F.array().cast("array<int>"))
+    if n is None:
+        return F.array_except(F.sequence(first, last), taken)
+    far = F.least(last, first + n + F.size(taken) - 1)  # so many places hold n free ones
+    return F.when(first <= far, F.slice(F.array_except(F.sequence(first, far), taken), 1, n)).otherwise(F.array().cast("array<int>"))
+
+
+def _list_bounds(places: DataFrame, asked: DataFrame, *, within: str, pick: str, market: str, before: int, after: int) -> DataFrame:
+    """within, pick, lo, hi: how many places of a list are below pick - before, and up to pick + after, counted in one order
+    of the list's ranks and the bands' ends."""
+    v = F.col(pick).cast("double")
+    ends = F.inline(F.array(F.struct((v - before).alias("v"), F.lit(0).alias("kind"), F.lit(0).alias("n")), F.struct((v + after).alias("v"), F.lit(2).alias("kind"), F.lit(0).alias("n"))))
+    points = asked.select(within, pick).distinct().select(within, pick, ends)
+    listed = places.where(F.col(market).isNotNull()).select(within, F.lit(None).cast(dict(asked.dtypes)[pick]).alias(pick), F.col(market).cast("double").alias("v"), F.lit(1).alias("kind"), F.lit(1).alias("n"))
+    counted = prefixed(points.unionByName(listed), within=[within], order=["v", "kind"], sums={"below": "n"}).where("kind != 1")
+    lo, hi = (F.max(F.when(F.col("kind") == k, F.col("below"))).cast("int") for k in (0, 2))
+    return counted.groupBy(within, pick).agg(lo.alias("lo"), hi.alias("hi"))
+
+
+def need_candidates(needed: DataFrame, ranked: DataFrame, picks: DataFrame, *, roster: str, position: str, pick: str, market: str, entity: str, before: int = 5, after: int = 18, top: int = 3) -> DataFrame:
+    """roster, position, entity, is_near, place: for each position that a roster still needs (need > 0) the ``top`` entities of
+    ``ranked`` that the roster's ``picks`` leave and whose market rank is near its pick, by rank; where none is near, the best of the position.
+
+    A position is one sorted list. A roster's picks are places taken of it, the band around a pick is a stretch of places, and
+    the first free ones of the stretch are told by number: no row is made for an entity that is not returned.
+    """
+    places = _places(ranked, within=position, market=market, entity=entity)
+    wanted = needed.where("need > 0").select(roster, position, pick)
+    bounds = _list_bounds(places, wanted, within=position, pick=pick, market=market, before=before, after=after)
+    sizes = places.groupBy(position).agg(F.count("*").cast("int").alias("n"))
+    taken = _taken(picks, places, roster=roster, within=position, entity=entity)
+    met = wanted.join(bounds, [position, pick]).join(sizes, position).join(taken, [roster, position], "left")
+    near, best = _free(F.col("lo") + 1, F.col("hi"), F.lit(top)), _free(F.lit(1), F.col("n"), F.lit(top))
+    chosen = met.withColumn("near", near).withColumn("is_near", F.size("near") > 0).withColumn("best", F.when(F.col("is_near"), F.col("near")).otherwise(best))
+    found = chosen.select(roster, position, "is_near", F.posexplode("best").alias("no", "at")).join(places.select(position, "at", entity), [position, "at"])
+    return found.select(roster, position, entity, "is_near", (F.col("no") + 1).alias("place"))
+
+
+def stack_targets(rosters: DataFrame, ranked: DataFrame, *, roster: str, entity: str, unit: str, pick: str, market: str, band: int = 20) -> DataFrame:
+    """roster, entity, unit, market, at_pick, mates, is_near, place: the entities of the units that a roster holds, less those
+    that it has, near its last pick of the unit first. They are told by their places in their unit's list, as in ``need_candidates``."""
+    places = _places(ranked, within=unit, market=market, entity=entity)
     held = rosters.groupBy(roster, unit).agg(F.max(pick).alias("at_pick"), F.count("*").alias("mates"))
-    met = pool.join(held, [roster, unit])
+    sizes = places.groupBy(unit).agg(F.count("*").cast("int").alias("n"))
+    met = held.join(sizes, unit).join(_taken(rosters, places, roster=roster, within=unit, entity=entity), [roster, unit], "left")
+    found = met.select(roster, unit, "at_pick", "mates", F.explode(_free(F.lit(1), F.col("n"))).alias("at")).join(places, [unit, "at"]).drop("at")
     near = F.abs(F.col(market) - F.col("at_pick")) <= band
     w = Window.partitionBy(roster).orderBy(near.desc(), market, entity)
-    return met.withColumns({"is_near": near, "place": F.row_number().over(w)})
+    return found.withColumns({"is_near": near, "place": F.row_number().over(w)})
 
 
 def fallen(pool: DataFrame, *, pick: str, market: str) -> DataFrame:

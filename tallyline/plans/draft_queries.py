@@ -144,7 +144,7 @@ def position_needs(spark, sf_dir):
     SELECT draft, entity, unit, mates, abs(market - at_pick) <= 20 AS is_near, CAST(row_number() OVER (PARTITION BY draft ORDER BY abs(market - at_pick) <= 20 DESC, market, entity) AS INTEGER) AS place FROM po JOIN h USING (draft, unit)""")
 def stack_targets(spark, sf_dir):
     held = flagged(spark, sf_dir).withColumn("pick", F.col("round") * 150)
-    out = drafts.stack_targets(held, _pool(spark, sf_dir), roster="draft", entity="entity", unit="unit", pick="pick", market="market")
+    out = drafts.stack_targets(held, market(spark, sf_dir), roster="draft", entity="entity", unit="unit", pick="pick", market="market")
     return out.select("draft", "entity", "unit", "mates", "is_near", "place")
 
 
@@ -223,4 +223,4 @@ def roster_composition(spark, sf_dir):
 def need_candidates(spark, sf_dir):
     targets = table(spark, sf_dir, "part").select(F.col("p_type").alias("position")).distinct().withColumn("target", F.lit(110))
     needed = drafts.needs(flagged(spark, sf_dir), targets, roster="draft", position="position").withColumn("pick", F.col("draft") * 37 % 3000 + 1)
-    return drafts.need_candidates(needed, _pool(spark, sf_dir), roster="draft", position="position", pick="pick", market="market", entity="entity")
+    return drafts.need_candidates(needed, market(spark, sf_dir), lines(spark, sf_dir), roster="draft", position="position", pick="pick", market="market", entity="entity")

@@ -364,9 +364,35 @@ def test_sums_without_a_scale_keep_small_large_and_undefined_values(spark):
 
 def test_need_candidates_fall_back_to_the_best(spark):
     needed = spark.createDataFrame([("r", "QB", 1, 10), ("r", "RB", 0, 10), ("r", "TE", 2, 10)], "roster string, position string, need int, pick int")
-    pool = spark.createDataFrame([("r", "QB", "a", 200), ("r", "QB", "b", 3), ("r", "TE", "c", 12), ("r", "TE", "d", 1), ("r", "RB", "e", 10)], "roster string, position string, entity string, market int")
-    got = rows(drafts.need_candidates(needed, pool, roster="roster", position="position", pick="pick", market="market", entity="entity"), "position", "place")
-    assert got == [("r", "QB", "b", False, 1), ("r", "QB", "a", False, 2), ("r", "TE", "c", True, 1)]
+    ranked = spark.createDataFrame([("QB", "a", 200), ("QB", "b", 3), ("TE", "c", 12), ("TE", "d", 1), ("RB", "e", 10), ("QB", "f", 2), ("QB", "g", None)], "position string, entity string, market int")
+    picks = spark.createDataFrame([("r", "f"), ("r", "unknown"), ("s", "b")], "roster string, entity string")
+    got = rows(drafts.need_candidates(needed, ranked, picks, roster="roster", position="position", pick="pick", market="market", entity="entity"), "position", "place")
+    assert got == [("r", "QB", "b", False, 1), ("r", "QB", "a", False, 2), ("r", "QB", "g", False, 3), ("r", "TE", "c", True, 1)]
+
+
+def test_candidates_and_stacks_equal_the_pool_searched_whole(spark):
+    rng = random.Random(9)
+    ranked = [(f"e{k:03d}", f"p{k % 4}", f"u{k % 7}", rng.choice([None, *range(1, 90)] if k % 9 == 0 else range(1, 90))) for k in range(300)]
+    picks = sorted({(r, f"e{rng.randrange(300):03d}") for r in range(12) for _ in range(60)})
+    needed = [(r, f"p{p}", rng.choice([0, 1, 2]), rng.choice([1, 20, 45, 400, -50])) for r in range(12) for p in range(4)]
+    lists = spark.createDataFrame(ranked, "entity string, position string, unit string, market int")
+    taken = spark.createDataFrame(picks, "roster int, entity string")
+    got = rows(drafts.need_candidates(spark.createDataFrame(needed, "roster int, position string, need int, pick int"), lists, taken, roster="roster", position="position", pick="pick", market="market", entity="entity", before=3, after=4), "roster", "position", "place")
+    want = []
+    for r, p, need, pick in sorted(needed):
+        pool = sorted(((m is None, m or 0, e) for e, q, _, m in ranked if q == p and (r, e) not in picks))
+        near = [x for x in pool if not x[0] and pick - 3 <= x[1] <= pick + 4]
+        want += [(r, p, e, bool(near), k) for k, (_, _, e) in enumerate((near or pool)[:3], 1) if need > 0]
+    assert got == want and len({w[3] for w in want}) == 2
+    held = taken.join(lists, "entity").withColumn("pick", F.length("entity") * 10 + F.col("roster"))
+    got = {(r["roster"], r["entity"]): (r["unit"], r["mates"], r["place"]) for r in drafts.stack_targets(held, lists, roster="roster", entity="entity", unit="unit", pick="pick", market="market").collect()}
+    info = {e: (u, m) for e, _, u, m in ranked}
+    for r in range(12):
+        units = [info[e][0] for s, e in picks if s == r]
+        free = [e for e, (u, _) in info.items() if u in units and (r, e) not in picks]
+        assert {e for s, e in got if s == r} == set(free)
+        assert all(got[r, e][:2] == (info[e][0], units.count(info[e][0])) for e in free)
+        assert sorted(got[r, e][2] for e in free) == list(range(1, len(free) + 1))
 
 
 def test_marginal_value_of_weak_weeks(spark):
