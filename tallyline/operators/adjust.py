@@ -60,3 +60,36 @@ def scheme_profiles(history: DataFrame, wanted: DataFrame, *, unit: str, segment
     w = F.greatest(F.coalesce(F.col(games), F.lit(0)), F.lit(1))
     means = [(F.sum(measure(F.coalesce(F.col(m), F.lit(0.0)) * w)).cast("double") / F.sum(w)).alias(m) for m in measures]
     return years.join(history, [unit, segment, season]).groupBy("profile", unit, segment).agg(*means)
+
+
+def resolve_as_of(asked: DataFrame, history: DataFrame, *, entity: str, unit: str, segment: str, season: str, default: str = "WR") -> DataFrame:
+    """``asked`` (entity, unit, as_of and further columns) with the segment in which the history (entity, unit, season, segment)
+    last has the entity by season ``as_of``: at that unit, else at any unit, else ``default``. A null ``as_of`` asks for the latest of all."""
+    past = history.select(F.col(entity).alias("__e"), F.col(unit).alias("__u"), F.col(season).alias("__s"), F.col(segment).alias("__g"))
+    met = asked.join(past, (F.col(entity) == F.col("__e")) & (F.col("as_of").isNull() | (F.col("__s") <= F.col("as_of"))), "left")
+    order = F.struct(~F.col("__u").eqNullSafe(F.col(unit)), -F.col("__s"), F.col("__g"))
+    best = F.min_by("__g", F.when(F.col("__s").isNotNull(), order))
+    return met.groupBy(*asked.columns).agg(F.coalesce(best, F.lit(default)).alias(segment))
+
+
+def rule_adjustments(rules: DataFrame, weights: DataFrame, history: DataFrame, *, entity: str, unit: str, segment: str, season: str, measures: tuple[str, str], games: str, digits: int | None = 4) -> DataFrame:
+    """label, entity, segment, unit, scheme: the whole way from rules to adjustments.
+
+    ``rules``: label, from_unit, from_years, to_unit, prior_years (arrays of seasons), translation, is_move, as_of. ``weights``:
+    label, entity, weight; those above 0 take part. ``history``: entity, unit, season, segment, two measures (a rate and points), games.
+    An entity's segment is resolved as of the rule's season, at the unit it comes from where it moves itself, else at the unit
+    that the coach comes to. Profiles of both units over their own lists of seasons are compared there: the new unit's over the old one's
+    for a move, else the coach's origin over his destination. An unknown profile changes nothing.
+    """
+    rate, points = measures
+    named = weights.where(F.col("weight") > 0).select("label", entity, "weight").join(rules, "label")
+    asked = named.select("label", entity, "weight", "as_of", F.when(F.col("is_move"), F.col("from_unit")).otherwise(F.col("to_unit")).alias(unit))
+    resolved = resolve_as_of(asked, history, entity=entity, unit=unit, segment=segment, season=season).select("label", entity, "weight", segment)
+    both = resolved.select("label", segment).distinct().join(rules, "label")
+    sides = F.inline(F.array(*[F.struct(F.concat(F.lit(f"{side}:"), "label").alias("profile"), F.col(u).alias(unit), F.col(years).alias("seasons")) for side, u, years in (("from", "from_unit", "from_years"), ("to", "to_unit", "prior_years"))]))
+    found = scheme_profiles(history, both.select(segment, sides), unit=unit, segment=segment, season=season, measures=[rate, points], games=games)
+    side = {n: found.where(F.col("profile").startswith(f"{n}:")).select(F.expr(f"substr(profile, {len(n) + 2})").alias("label"), segment, F.col(rate).alias(f"{n}_rate"), F.col(points).alias(f"{n}_points")) for n in ("from", "to")}
+    met = resolved.join(rules, "label").join(side["from"], ["label", segment], "left").join(side["to"], ["label", segment], "left")
+    over, under = [[F.when(F.col("is_move"), F.col(f"{a}_{m}")).otherwise(F.col(f"{b}_{m}")) for m in ("rate", "points")] for a, b in (("to", "from"), ("from", "to"))]
+    multiplier = ratio_multiplier(over[0], under[0], over[1], under[1], translation=F.col("translation"))
+    return met.select("label", entity, segment, F.col("to_unit").alias(unit), rounded((multiplier - 1) * F.col("weight"), digits).alias("scheme"))

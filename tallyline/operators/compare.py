@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.shared import cut
 from ..functions.stats import name_key
 from .lineup import top_of_each
 from .ranks import rank_min
@@ -41,30 +42,58 @@ def verdict_counts(compared: DataFrame, *, segment: str) -> DataFrame:
     return compared.groupBy(segment).pivot("verdict", ["agree", "higher", "lower", "only_ours", "only_theirs"]).count().fillna(0)
 
 
+# Words that are no part of a name, with or without dots behind them.
+SUFFIXES = ["jr", "sr", "ii", "iii", "iv", "v"]
+
+
+def alias_ends(aliases: DataFrame) -> DataFrame:
+    """raw_key, alias_key: where each alias (lower case, trimmed; of several canonicals the smallest) ends when canonicals that are
+    aliases themselves are followed. Each round doubles the steps of all pointers. What leads into a cycle has no end and is left out."""
+    links = aliases.groupBy(F.lower(F.trim("alias")).alias("raw_key")).agg(F.lower(F.trim(F.min("canonical"))).alias("alias_key"))
+    links, steps = cut(links.where("raw_key != '' AND alias_key IS NOT NULL")), 1
+    n = links.count()
+    while True:
+        on = links.select(F.col("raw_key").alias("k"), F.col("alias_key").alias("further"))
+        open_ends = links.join(on.select("k"), F.col("alias_key") == F.col("k"), "left_semi")
+        if open_ends.isEmpty():
+            return links
+        if steps > n:
+            return links.join(on.select("k"), F.col("alias_key") == F.col("k"), "left_anti")
+        links = cut(links.join(on, F.col("alias_key") == F.col("k"), "left").select("raw_key", F.coalesce("further", "alias_key").alias("alias_key")))
+        steps *= 2
+
+
+def _grams(word: Column, n: int) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(word) - n + 1, F.lit(1))), lambda i: F.substring(word, i, n))
+
+
 def resolve_names(raw: DataFrame, known: DataFrame, aliases: DataFrame, *, name: str, known_name: str) -> DataFrame:
-    """Adds resolved and stage: alias, exact, suffix (jr, sr, ii-v cut), words (all longer words are in exactly one known
-    name), else the name unchanged.
+    """Adds resolved and stage: alias (chains are followed, see ``alias_ends``), exact, suffix (SUFFIXES dropped anywhere), words (all longer
+    words are in exactly one known name), else the name unchanged.
 
     Stages are joins on distinct names, so a name that many rows share is looked up once. Only the names that no
-    equality resolves are compared by words, by an equi-join on their longest word's first three letters' positions:
-    known names are exploded into three-letter grams, and a name joins on a gram of its longest word.
+    equality resolves are compared by words: known names are filed under their pieces of three letters, and two; a name must hold
+    all pieces of its words, so it is met by the one that the fewest known names have, and not at all where one is in none.
     """
     clean = F.lower(F.trim(F.col(name)))
     distinct = raw.select(clean.alias("raw_key")).where("raw_key != ''").distinct()
-    alias = aliases.groupBy(F.lower(F.trim("alias")).alias("raw_key")).agg(F.lower(F.trim(F.min("canonical"))).alias("alias_key"))
     names = known.groupBy(F.lower(F.trim(F.col(known_name))).alias("known_key")).agg(F.min(known_name).alias("known"))
-    suffix = r"[ ]+(jr|sr|ii|iii|iv|v)\.?$"
-    step = distinct.join(alias, "raw_key", "left").withColumn("asked", F.coalesce("alias_key", "raw_key"))
+    names = cut(names.where("known_key != ''"))
+    step = distinct.join(alias_ends(aliases), "raw_key", "left").withColumn("asked", F.coalesce("alias_key", "raw_key"))
     step = step.join(names.withColumnRenamed("known_key", "asked").withColumnRenamed("known", "exact"), "asked", "left")
-    step = step.withColumn("short", F.regexp_replace("asked", suffix, ""))
-    step = step.join(names.withColumnRenamed("known_key", "short").withColumnRenamed("known", "by_suffix"), "short", "left")
+    core = F.filter(F.split(F.trim("asked"), r"\s+"), lambda w: ~F.regexp_replace(w, r"\.+$", "").isin(SUFFIXES))
+    step = step.withColumn("short", F.array_join(core, " "))
+    step = cut(step.join(names.withColumnRenamed("known_key", "short").withColumnRenamed("known", "by_suffix"), "short", "left"))
     by_equality = F.coalesce("exact", "by_suffix")
 
-    words = F.filter(F.split("short", r"\s+"), lambda w: F.length(w) > 1)
-    longest = F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    rest = step.where(by_equality.isNull()).select("raw_key", words.alias("words"), F.substring(longest, 1, 3).alias("gram")).where("size(words) > 0")
-    grams = F.explode(F.array_distinct(F.flatten(F.transform(F.array(F.lit(2), F.lit(3)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("known_key") - n + 1, F.lit(1))), lambda i: F.substring(F.col("known_key"), i, n))))))
-    met = rest.join(names.select("known_key", "known", grams.alias("gram")), "gram").where(F.forall("words", lambda w: F.contains(F.col("known_key"), w)))
+    words = F.filter(F.split("short", " "), lambda w: F.length(w) > 1)
+    rest = step.where(by_equality.isNull()).select("raw_key", words.alias("words")).where("size(words) > 0")
+    pieces = F.array_distinct(F.flatten(F.transform("words", lambda w: F.when(F.length(w) > 2, _grams(w, 3)).otherwise(F.array(w)))))
+    filed = names.select("known_key", "known", F.explode(F.array_distinct(F.concat(_grams(F.col("known_key"), 2), _grams(F.col("known_key"), 3)))).alias("gram"))
+    counts = filed.groupBy("gram").agg(F.count("*").alias("n"))
+    asked = rest.select("raw_key", "words", F.explode(pieces).alias("gram")).join(counts, "gram", "left")
+    rarest = asked.groupBy("raw_key").agg(F.first("words").alias("words"), F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.count_if(F.col("n").isNull()).alias("unknown")).where("unknown = 0")
+    met = rarest.join(filed, "gram").where(F.forall("words", lambda w: F.contains(F.col("known_key"), w)))
     single = met.groupBy("raw_key").agg(F.count("*").alias("hits"), F.min("known").alias("by_words")).where("hits = 1")
     found = step.join(single, "raw_key", "left").select("raw_key", "alias_key", "exact", "by_suffix", "by_words")
     stage = F.when(F.col("exact").isNotNull() & F.col("alias_key").isNotNull(), "alias").when(F.col("exact").isNotNull(), "exact").when(F.col("by_suffix").isNotNull(), "suffix").when(F.col("by_words").isNotNull(), "words").otherwise("none")

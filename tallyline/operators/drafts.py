@@ -45,6 +45,18 @@ def winners(picks: DataFrame, table: DataFrame, *, draft: str, roster: str, scor
     return picks.join(best, [draft, roster])
 
 
+def draft_summaries(picks: DataFrame, table: DataFrame, *, draft: str, roster: str, score: str, mine: str, digits: int | None = 1) -> DataFrame:
+    """draft, win_roster, win_score, my_rank (of the best roster for which ``mine`` is true, else null), n_rosters, n_picks (of the
+    winner). Places by score, then roster; a draft's rosters are few."""
+    places = F.row_number().over(Window.partitionBy(draft).orderBy(F.col(score).desc_nulls_last(), roster))
+    won = F.col("place") == 1
+    told = table.withColumn("place", places).groupBy(draft).agg(
+        F.max(F.when(won, F.col(roster))).alias("win_roster"), rounded(F.max(F.when(won, F.col(score))), digits).alias("win_score"), F.min(F.when(F.col(mine), F.col("place"))).alias("my_rank"), F.count("*").alias("n_rosters")
+    )
+    held = picks.groupBy(draft, F.col(roster).alias("win_roster")).agg(F.count("*").alias("n_picks"))
+    return told.join(held, [draft, "win_roster"], "left").withColumn("n_picks", F.coalesce("n_picks", F.lit(0)))
+
+
 def top_entities(rows: DataFrame, *, entity: str, draft: str, labels: list[str], measures: list[str], top: int, order: str = "pick") -> DataFrame:
     """Entities by the number of drafts that hold them: first known labels by ``order``, mean measures; the ``top`` ones."""
     first = [F.min_by(c, F.when(F.col(c).isNotNull(), F.struct(order, draft))).alias(c) for c in labels]

@@ -152,3 +152,13 @@ def conflicts(schedule: DataFrame, mine: DataFrame, available: DataFrame, *, wee
     met = available.join(games, "unit")
     text = F.array_join(F.transform(F.array_sort(F.collect_set(F.struct(F.col(week), F.col("opponent")))), lambda s: F.format_string("W%s vs %s", s[week].cast("string"), s["opponent"].cast("string"))), ", ")
     return met.groupBy("entity").agg(text.alias("meetings"))
+
+
+def opponents_best(schedule: DataFrame, entities: DataFrame, *, entity: str, rank: str, week: str, weeks: tuple[int, int], top: int = 4) -> DataFrame:
+    """unit, week, opponent, place, entity, rank: the ``top`` entities of each unit's opponents in the given weeks, by rank (nulls
+    last), then entity; opponents without entities give nothing. ``entities``: entity, unit, rank. Spark keeps ``top`` of a unit
+    in each task before it exchanges them, and the games meet them as one short array."""
+    best = entities.withColumn("place", F.row_number().over(Window.partitionBy("unit").orderBy(F.col(rank).asc_nulls_last(), entity))).where(F.col("place") <= top)
+    lists = best.groupBy(F.col("unit").alias("opponent")).agg(F.array_sort(F.collect_list(F.struct("place", entity, rank))).alias("best"))
+    games = schedule.where(F.col(week).between(*weeks)).select("unit", "opponent", week).distinct()
+    return games.join(lists, "opponent").select("unit", week, "opponent", F.inline("best"))

@@ -103,6 +103,16 @@ def winner_rosters(spark, sf_dir):
     return drafts.winners(picks.select("draft", "roster", "pick", "entity"), scores, draft="draft", roster="roster", score="score")
 
 
+@query(f"""WITH {LINES}, t AS (SELECT draft, roster, {s_total("price")} AS score FROM l GROUP BY ALL), k AS (SELECT *, CAST(row_number() OVER (PARTITION BY draft ORDER BY score DESC, roster) AS INTEGER) AS place FROM t)
+    SELECT draft, max(CASE WHEN place = 1 THEN roster END) AS win_roster, {s_round("max(CASE WHEN place = 1 THEN score END)", 1)} AS win_score, min(CASE WHEN roster = draft % 15 THEN place END) AS my_rank, count(*) AS n_rosters,
+        (SELECT count(*) FROM l JOIN k w USING (draft, roster) WHERE w.draft = k.draft AND w.place = 1) AS n_picks FROM k GROUP BY draft""")
+def draft_summaries(spark, sf_dir):
+    """My roster is the one numbered draft modulo 15, which some drafts have not."""
+    picks = lines(spark, sf_dir)
+    scores = picks.groupBy("draft", "roster").agg(total("price").alias("score")).withColumn("mine", F.col("roster") == F.col("draft") % 15)
+    return drafts.draft_summaries(picks, scores, draft="draft", roster="roster", score="score", mine="mine")
+
+
 @query(f"""WITH {LINES}, a AS (SELECT DISTINCT orderkey FROM l WHERE flag = 'A'), b AS (SELECT DISTINCT orderkey FROM l WHERE flag = 'R')
     SELECT orderkey, 'left' AS only_in FROM a WHERE orderkey NOT IN (SELECT orderkey FROM b) UNION ALL SELECT orderkey, 'right' FROM b WHERE orderkey NOT IN (SELECT orderkey FROM a)""")
 def unmatched_exports(spark, sf_dir):

@@ -152,6 +152,18 @@ def playoff_conflicts(spark, sf_dir):
     return schedule.conflicts(games, every.where("unit % 5 = 0"), users.where("entity % 5 != 0").select("entity", F.col("entity").alias("unit")), week="week", weeks=(15, 17))
 
 
+@query(f"""WITH {EVENTS}, g AS (SELECT DISTINCT entity AS unit, (entity * 7 + week * 3) % 150 AS opponent, week FROM e WHERE week BETWEEN 15 AND 17),
+    r AS (SELECT c_custkey AS entity, c_custkey % 150 AS unit, CASE WHEN c_custkey % 9 > 0 THEN CAST(c_custkey * 7 % 1000 AS INTEGER) END AS rank FROM customer),
+    b AS (SELECT *, CAST(row_number() OVER (PARTITION BY unit ORDER BY rank NULLS LAST, entity) AS INTEGER) AS place FROM r QUALIFY place <= 4)
+    SELECT g.unit, week, opponent, place, b.entity, rank FROM g JOIN b ON b.unit = g.opponent""")
+def playoff_opponents(spark, sf_dir):
+    """The four best of each opponent in weeks 15 to 17."""
+    e, k = events(spark, sf_dir), F.col("c_custkey")
+    games = e.select(F.col("entity").alias("unit"), ((F.col("entity") * 7 + F.col("week") * 3) % 150).alias("opponent"), "week")
+    ranked = table(spark, sf_dir, "customer").select(k.alias("entity"), (k % 150).alias("unit"), F.when(k % 9 > 0, (k * 7 % 1000).cast("int")).alias("rank"))
+    return schedule.opponents_best(games, ranked, entity="entity", rank="rank", week="week", weeks=(15, 17))
+
+
 FACTORS = f"""{EVENTS}, al AS (SELECT entity AS opponent, position AS segment, {s_total("points")} AS points FROM e GROUP BY ALL), lg AS (SELECT segment, {s_mean("points")} AS league FROM al GROUP BY segment),
     sc AS (SELECT DISTINCT entity AS unit, (entity * 7 + week * 3) % 160 AS opponent, week FROM e WHERE week <= 17),
     fa AS (SELECT unit, lg.segment, week, coalesce(points / nullif(league, 0), 1) AS factor FROM sc CROSS JOIN lg LEFT JOIN al ON al.opponent = sc.opponent AND al.segment = lg.segment)"""
@@ -246,11 +258,16 @@ def week_status(spark, sf_dir):
     tp AS (SELECT *, row_number() OVER (PARTITION BY cr, ce, week, position ORDER BY points DESC, entity) AS place FROM tw),
     ts AS (SELECT *, place <= CASE position WHEN 'QB' THEN 1 WHEN 'RB' THEN 2 WHEN 'WR' THEN 3 ELSE 1 END AS starts FROM tp),
     tl AS (SELECT cr, ce, week, CAST(coalesce(sum(CAST(points AS DECIMAL(18,4))) FILTER (starts), 0) + coalesce(max(CAST(points AS DECIMAL(18,4))) FILTER (NOT starts AND position <> 'QB'), 0) AS DOUBLE) AS wps FROM ts GROUP BY ALL),
-    g AS (SELECT cr AS roster, ce AS entity, CAST(sum(CAST(wps AS DECIMAL(18,4)) - CAST(coalesce(week_points, 0) AS DECIMAL(18,4))) AS DOUBLE) AS gain FROM tl LEFT JOIN lw ON lw.roster = cr AND lw.week = tl.week GROUP BY ALL)
-    SELECT roster, entity, gain FROM g WHERE gain > 0""")
+    fr AS (SELECT DISTINCT roster, bye AS week FROM kn JOIN (SELECT DISTINCT entity, roster FROM wp WHERE usr % 3 > 0) USING (entity)),
+    us AS (SELECT lw.roster, lw.week, week_points, row_number() OVER (PARTITION BY lw.roster ORDER BY week_points, lw.week) AS place, {s_spread("week_points", "OVER (PARTITION BY lw.roster)", less=0)} AS spread
+        FROM lw LEFT JOIN fr ON fr.roster = lw.roster AND fr.week = lw.week WHERE fr.week IS NULL AND week_points > 0),
+    g AS (SELECT cr AS roster, ce AS entity, CAST(sum(CAST(wps AS DECIMAL(18,4)) - CAST(coalesce(lw.week_points, 0) AS DECIMAL(18,4))) AS DOUBLE) AS gain,
+        coalesce(CAST(sum(CAST({s_round("wps", 1)} AS DECIMAL(18,4)) - CAST({s_round("lw.week_points", 1)} AS DECIMAL(18,4))) FILTER (us.spread >= 2 AND us.place <= 5) AS DOUBLE), 0) AS weak_gain
+        FROM tl LEFT JOIN lw ON lw.roster = cr AND lw.week = tl.week LEFT JOIN us ON us.roster = cr AND us.week = tl.week GROUP BY ALL)
+    SELECT roster, entity, gain, weak_gain FROM g WHERE gain > 0""")
 def marginal_value(spark, sf_dir):
     projections, rosters, free = _rosters(spark, sf_dir)
-    return lineup.marginal_values(rosters, free, projections, roster="roster", digits=None).select("roster", "entity", "gain")
+    return lineup.marginal_values(rosters, free, projections, roster="roster", digits=None).select("roster", "entity", "gain", "weak_gain")
 
 
 @query(f"""WITH {ROSTER}, x AS (SELECT roster, entity, position, CAST(sum(CAST(points AS DECIMAL(18,4))) AS DOUBLE) AS value FROM wp WHERE usr % 3 = 0 GROUP BY ALL),

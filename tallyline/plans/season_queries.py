@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.stats import mean, safe_div, title_case
+from ..functions.stats import mean, safe_div, title_case, total
 from ..operators import adjust, compare, comps, lineup, matchup, profiles, ranks, schedule, seasons, signals, tiers
 from .base import EVENTS, ORDERS, ROLLED, events, orders, query, s_mean, s_round, s_spread, s_total, table
 
@@ -352,23 +352,28 @@ def verdict_counts(spark, sf_dir):
     return compare.verdict_counts(_compared(spark, sf_dir), segment="segment")
 
 
-@query("""WITH known AS (SELECT DISTINCT p_name AS name FROM part),
-    raw AS (SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN upper(p_name) WHEN 1 THEN p_name || ' Jr.' WHEN 2 THEN split_part(p_name, ' ', 2) || ' ' || split_part(p_name, ' ', 1)
-        WHEN 3 THEN 'the boss' WHEN 4 THEN 'zzz nobody' ELSE split_part(p_name, ' ', 2) END AS raw_name FROM part),
-    k AS (SELECT *, lower(trim(raw_name)) AS rk FROM raw), a AS (SELECT *, CASE WHEN rk = 'the boss' THEN 'red widget' ELSE rk END AS asked, rk = 'the boss' AS aliased FROM k),
-    s AS (SELECT *, regexp_replace(asked, '[ ]+(jr|sr|ii|iii|iv|v)\\.?$', '') AS short FROM a),
+@query("""WITH RECURSIVE known AS (SELECT DISTINCT p_name AS name FROM part),
+    raw AS (SELECT p_partkey AS id, CASE p_partkey % 8 WHEN 0 THEN upper(p_name) WHEN 1 THEN p_name || ' Jr.' WHEN 2 THEN split_part(p_name, ' ', 2) || ' ' || split_part(p_name, ' ', 1)
+        WHEN 3 THEN 'the boss' WHEN 4 THEN 'zzz nobody' WHEN 5 THEN split_part(p_name, ' ', 1) || ' II ' || split_part(p_name, ' ', 2) WHEN 6 THEN 'Round Robin' ELSE split_part(p_name, ' ', 2) END AS raw_name FROM part),
+    al(a, c) AS (VALUES ('the boss', 'the chief'), ('the chief', 'old red'), ('old red', 'red widget'), ('round robin', 'robin round'), ('robin round', 'round robin')),
+    ch(a, c, n) AS (SELECT a, c, 1 FROM al UNION ALL SELECT ch.a, al.c, n + 1 FROM ch JOIN al ON al.a = ch.c WHERE n < 6), en AS (SELECT a, c FROM ch WHERE c NOT IN (SELECT a FROM al)),
+    k AS (SELECT *, lower(trim(raw_name)) AS rk FROM raw), a AS (SELECT k.*, coalesce(en.c, rk) AS asked, en.c IS NOT NULL AS aliased FROM k LEFT JOIN en ON en.a = rk),
+    s AS (SELECT *, array_to_string(list_filter(string_split(asked, ' '), lambda w: rtrim(w, '.') NOT IN ('jr', 'sr', 'ii', 'iii', 'iv', 'v')), ' ') AS short FROM a),
     e AS (SELECT s.*, x.name AS exact, y.name AS by_suffix FROM s LEFT JOIN known x ON lower(x.name) = asked LEFT JOIN known y ON lower(y.name) = short),
     w AS (SELECT e.id, count(*) AS hits, min(n.name) AS by_words FROM e JOIN known n ON list_bool_and(list_transform(list_filter(string_split(short, ' '), lambda t: length(t) > 1), lambda t: contains(lower(n.name), t)))
         WHERE exact IS NULL AND by_suffix IS NULL GROUP BY e.id)
     SELECT e.id, raw_name, coalesce(exact, by_suffix, CASE WHEN hits = 1 THEN by_words END, raw_name) AS resolved,
         CASE WHEN exact IS NOT NULL AND aliased THEN 'alias' WHEN exact IS NOT NULL THEN 'exact' WHEN by_suffix IS NOT NULL THEN 'suffix' WHEN hits = 1 THEN 'words' ELSE 'none' END AS stage FROM e LEFT JOIN w USING (id)""")
 def name_resolve(spark, sf_dir):
+    """Raw names of eight kinds: among them an alias of three steps, two that lead to each other, and a suffix in the middle."""
     part = table(spark, sf_dir, "part")
-    k, name = F.col("p_partkey") % 6, F.col("p_name")
+    k, name = F.col("p_partkey") % 8, F.col("p_name")
     first, second = F.split_part(name, F.lit(" "), F.lit(1)), F.split_part(name, F.lit(" "), F.lit(2))
-    asked = F.when(k == 0, F.upper(name)).when(k == 1, F.concat(name, F.lit(" Jr."))).when(k == 2, F.concat(second, F.lit(" "), first)).when(k == 3, "the boss").when(k == 4, "zzz nobody").otherwise(second)
+    asked = F.when(k == 0, F.upper(name)).when(k == 1, F.concat(name, F.lit(" Jr."))).when(k == 2, F.concat(second, F.lit(" "), first)).when(k == 3, "the boss").when(k == 4, "zzz nobody")
+    asked = asked.when(k == 5, F.concat(first, F.lit(" II "), second)).when(k == 6, "Round Robin").otherwise(second)
     raw = part.select(F.col("p_partkey").alias("id"), asked.alias("raw_name"))
-    aliases = spark.range(1).select(F.lit("The Boss").alias("alias"), F.lit("red widget").alias("canonical"))
+    pairs = [("The Boss", "the chief"), ("the chief", "Old Red"), ("old red", "red widget"), ("round robin", "robin round"), ("robin round", "round robin")]
+    aliases = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(a).alias("alias"), F.lit(c).alias("canonical")) for a, c in pairs])))
     return compare.resolve_names(raw, part.select("p_name").distinct(), aliases, name="raw_name", known_name="p_name")
 
 
@@ -498,3 +503,28 @@ def scheme_profiles(spark, sf_dir):
     segments = orders(spark, sf_dir).select("segment").distinct()
     wanted = table(spark, sf_dir, "nation").crossJoin(F.broadcast(segments)).select(F.concat(F.lit("rule "), n.cast("string")).alias("profile"), n.alias("unit"), "segment", F.array(year, year - 1).alias("seasons"))  # a few segments
     return adjust.scheme_profiles(history, wanted, unit="unit", segment="segment", season="season", measures=["value_mean"], games="n")
+
+
+@query(f"""WITH {ORDERS}, h AS (SELECT entity, c_nationkey AS unit, season, min(segment) AS segment, count(*) AS n, {s_mean("value")} AS rate, {s_total("value")} AS points FROM o JOIN customer ON c_custkey = entity GROUP BY ALL),
+    ru AS (SELECT 'rule ' || n_nationkey AS label, n_nationkey AS fu, (n_nationkey + 7) % 25 AS tu, [1999, 2000 - n_nationkey % 2] AS fy, [2000, 2001] AS py, n_nationkey % 4 = 0 AS mv, 1996 + n_nationkey % 5 AS as_of FROM nation),
+    wt AS (SELECT 'rule ' || c_custkey * 3 % 25 AS label, c_custkey AS entity, (c_custkey % 5) / 4.0::DOUBLE AS weight FROM customer),
+    rs AS (SELECT wt.label, wt.entity, weight, fu, tu, fy, py, mv, coalesce(h.segment, 'WR') AS segment FROM wt JOIN ru USING (label) LEFT JOIN h ON h.entity = wt.entity AND h.season <= as_of WHERE weight > 0
+        QUALIFY row_number() OVER (PARTITION BY wt.label, wt.entity ORDER BY coalesce(h.unit <> CASE WHEN mv THEN fu ELSE tu END, true), h.season DESC NULLS LAST, h.segment) = 1),
+    pf AS (SELECT label, segment, {s_total("rate * n")} / sum(n) AS r, {s_total("points * n")} / sum(n) AS p FROM ru JOIN h ON h.unit = fu AND list_contains(fy, h.season) GROUP BY ALL),
+    pt AS (SELECT label, segment, {s_total("rate * n")} / sum(n) AS r, {s_total("points * n")} / sum(n) AS p FROM ru JOIN h ON h.unit = tu AND list_contains(py, h.season) GROUP BY ALL),
+    mx AS (SELECT label, entity, segment, tu, weight, CASE WHEN mv THEN CAST(0.7 AS DOUBLE) * (pt.r / pf.r) + CAST(0.3 AS DOUBLE) * (pt.p / pf.p) ELSE CAST(0.7 AS DOUBLE) * (pf.r / pt.r) + CAST(0.3 AS DOUBLE) * (pf.p / pt.p) END AS ratio
+        FROM rs LEFT JOIN pf USING (label, segment) LEFT JOIN pt USING (label, segment))
+    SELECT label, entity, segment, tu AS unit, {s_round("CASE WHEN ratio IS NULL THEN 0 ELSE (1 + least(greatest((ratio - 1) * CAST(0.5 AS DOUBLE), CAST(-0.4 AS DOUBLE)), CAST(0.4 AS DOUBLE)) - 1) * weight END", 4)} AS scheme FROM mx""")
+def rule_adjustments(spark, sf_dir):
+    """Rules of nations with lists of seasons and weights of their own, each as of its season."""
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("entity"), F.col("c_nationkey").alias("unit"))
+    facts = orders(spark, sf_dir).join(customers, "entity").groupBy("entity", "unit", "season")
+    history = facts.agg(F.min("segment").alias("segment"), F.count("*").alias("n"), mean("value").alias("rate"), total("value").alias("points"))
+    n, k = F.col("n_nationkey"), F.col("c_custkey")
+    name = lambda x: F.concat(F.lit("rule "), x.cast("string"))
+    rules = table(spark, sf_dir, "nation").select(
+        name(n).alias("label"), n.alias("from_unit"), ((n + 7) % 25).alias("to_unit"), F.array(F.lit(1999), (2000 - n % 2).cast("int")).alias("from_years"), F.array(F.lit(2000), F.lit(2001)).alias("prior_years"),
+        F.lit(0.5).alias("translation"), (n % 4 == 0).alias("is_move"), (1996 + n % 5).cast("int").alias("as_of"),
+    )
+    weights = table(spark, sf_dir, "customer").select(name(k * 3 % 25).alias("label"), k.alias("entity"), (k % 5 / F.lit(4.0)).alias("weight"))
+    return adjust.rule_adjustments(rules, weights, history, entity="entity", unit="unit", segment="segment", season="season", measures=("rate", "points"), games="n")

@@ -401,3 +401,39 @@ def test_marginal_value_of_weak_weeks(spark):
     free = spark.createDataFrame([("r", "c")], "roster string, entity string")
     got = rows(lineup.marginal_values(rosters, free, projections, roster="roster", weeks=3, weak_weeks=1), "entity")
     assert [(r[1], r[2], r[3]) for r in got] == [("c", 10.0, 9.0)]
+
+
+def test_alias_chains_cycles_and_suffixes_anywhere(spark):
+    aliases = spark.createDataFrame([("A", "b"), ("b", "C "), ("c", "anna lee"), ("x", "y"), ("y", "x"), ("into", "x"), ("self", "self"), ("", "q")], "alias string, canonical string")
+    ends = {r["raw_key"]: r["alias_key"] for r in compare.alias_ends(aliases).collect()}
+    assert ends == {"a": "anna lee", "b": "anna lee", "c": "anna lee"}
+    known = spark.createDataFrame([("Anna Lee",), ("Bo Ray Cox",), ("Bo Ray Fox",), ("Al Vu",)], "n string")
+    raw = spark.createDataFrame([(k, n) for k, n in enumerate(["a", "X", "anna Jr. lee", "bo cox", "ray", "Al V. Vu", "lee", "al", "zz", "", None, "  ANNA   lee III"])], "id int, raw string")
+    got = {r["id"]: (r["resolved"], r["stage"]) for r in compare.resolve_names(raw, known, aliases, name="raw", known_name="n").collect()}
+    assert got[0] == ("Anna Lee", "alias") and got[1] == ("X", "none") and got[2] == ("Anna Lee", "suffix") and got[11] == ("Anna Lee", "suffix")
+    assert got[3] == ("Bo Ray Cox", "words") and got[4] == ("ray", "none") and got[5] == ("Al Vu", "suffix") and got[6] == ("Anna Lee", "words") and got[7] == ("Al Vu", "words")
+    assert got[8] == ("zz", "none") and got[9] == ("", "none") and got[10] == (None, "none")
+
+
+def test_draft_summaries_and_opponents_best(spark):
+    table = spark.createDataFrame([("d", 1, 10.0, False), ("d", 2, 12.04, False), ("d", 3, 11.0, True), ("e", 1, 1.0, False)], "draft string, slot int, score double, mine boolean")
+    picks = spark.createDataFrame([("d", 2), ("d", 2), ("d", 1)], "draft string, slot int")
+    assert rows(drafts.draft_summaries(picks, table, draft="draft", roster="slot", score="score", mine="mine"), "draft") == [("d", 2, 12.0, 2, 3, 2), ("e", 1, 1.0, None, 1, 0)]
+    games = spark.createDataFrame([("u", "v", 15), ("u", "w", 16), ("u", "v", 18), ("u", "none", 17)], "unit string, opponent string, week int")
+    ents = spark.createDataFrame([("a", "v", 3), ("b", "v", None), ("c", "v", 1), ("d", "w", 5)], "entity string, unit string, rank int")
+    got = rows(schedule.opponents_best(games, ents, entity="entity", rank="rank", week="week", weeks=(15, 17), top=2), "week", "place")
+    assert got == [("u", 15, "v", 1, "c", 1), ("u", 15, "v", 2, "a", 3), ("u", 16, "w", 1, "d", 5)]
+
+
+def test_rules_resolve_as_of_their_season(spark):
+    history = spark.createDataFrame(
+        [("p", "new", 2018, "TE", 1.0, 10.0, 4), ("p", "new", 2020, "RB", 2.0, 20.0, 4), ("p", "old", 2021, "WR", 3.0, 30.0, 4), ("q", "old", 2020, "RB", 4.0, 40.0, 4), ("r", "new", 2023, "WR", 1.0, 1.0, 1)],
+        "e string, u string, s int, g string, rate double, points double, n int",
+    )
+    asked = spark.createDataFrame([("p", "new", 2022), ("p", "new", 2019), ("p", "old", 2020), ("p", "new", None), ("z", "new", 2022)], "e string, u string, as_of int")
+    got = {(r["e"], r["u"], r["as_of"]): r["g"] for r in adjust.resolve_as_of(asked, history, entity="e", unit="u", segment="g", season="s").collect()}
+    assert got == {("p", "new", 2022): "RB", ("p", "new", 2019): "TE", ("p", "old", 2020): "RB", ("p", "new", None): "RB", ("z", "new", 2022): "WR"}
+    rules = spark.createDataFrame([("c", "old", [2020], "new", [2020], 0.5, False, 2021), ("m", "old", [2020], "new", [2020], 0.5, True, 2020)], "label string, from_unit string, from_years array<int>, to_unit string, prior_years array<int>, translation double, is_move boolean, as_of int")
+    weights = spark.createDataFrame([("c", "p", 0.5), ("m", "q", 1.0), ("c", "z", 1.0), ("c", "q", 0.0)], "label string, e string, weight double")
+    out = rows(adjust.rule_adjustments(rules, weights, history, entity="e", unit="u", segment="g", season="s", measures=("rate", "points"), games="n"), "label", "e")
+    assert out == [("c", "p", "RB", "new", 0.2), ("c", "z", "WR", "new", 0.0), ("m", "q", "RB", "new", -0.25)]
