@@ -2,10 +2,11 @@
 
 Two codebooks, one for each half of the unit vectors, form a product grid of cells; every vector is filed in its cell.
 A vector visits the cells nearest to it in multi-sequence order (by the sum of its distances to the two codewords); how
-many is measured, so that the visits hold TARGET_RECALL of the true links of vectors that are compared with all, as many as
-LEAST_LINKS links take; where the sample has fewer, PLANTED_RECALL of partners planted at the least cosine are met too.
-Visits are then verified in double precision. The codebooks are fitted on a bounded sample; all vectors are filed and
-all vectors visit.
+many is measured, and the largest of these answers decides: TARGET_RECALL of the true links of vectors that are compared with
+all, as many as LEAST_LINKS links take; the same within each band of cosines that has BAND_LINKS of them, so that a large group
+of near copies doesn't speak for the others; and PLANTED_RECALL of pairs planted at the least cosine. The vectors measured are not
+among those that the codebooks are fitted on. Visits are then verified in double precision. The codebooks are fitted on a bounded
+sample; all vectors are filed and all vectors visit.
 
 Equal vectors are one class from the start. Cells with many members, or many visitors, are dealt out in blocks of
 bounded size. Pairs are never emitted: a block gives the links it found by vector, summed, and the edges of a spanning
@@ -37,7 +38,11 @@ SAMPLE_NUMBERS = 1 << 23
 QUERIES = 192
 LEAST_LINKS = 1000
 TARGET_RECALL = 0.999
-#: Partners planted where the sample has fewer links, and the share of them to be met; all are as far as links can be.
+#: Cosines that part the links into bands, and the links from which a band is held to the recall by itself.
+BANDS = (0.96, 0.97, 0.98, 0.99)
+BAND_LINKS = 100
+#: Vectors kept from the fit, a quarter of the sample at most, each given a partner as far as links can be, and the share of these
+#: pairs to be met from either side.
 PLANTED = 1024
 PLANTED_RECALL = 0.98
 #: Cells visited at least.
@@ -119,19 +124,24 @@ def _fit(classes: DataFrame, total: int, width: int) -> tuple[MultiIndex, pd.Dat
     sample = hash_sample(classes.select("cid", "size", "vector"), "cid", total, max(1, min(max(SAMPLE, SAMPLE_OF_CODEWORD * wanted), SAMPLE_NUMBERS // width))).toPandas()
     half = (width + 1) // 2
     index = MultiIndex(width, np.zeros((1, half)), np.zeros((1, width - half)))
-    unit = index.unit(sample["vector"].tolist())
+    unit = index.unit(sample["vector"].iloc[_measured(sample) :].tolist())
     k = max(1, min(wanted, len(unit)))
     return MultiIndex(width, _codebook(unit[:, :half], k), _codebook(unit[:, half:], k)), sample
 
 
+def _measured(sample: pd.DataFrame) -> int:
+    """How many vectors at the head of the sample are kept from the fit."""
+    return min(PLANTED, len(sample) // 4)
+
+
 def _before(index: MultiIndex, one: np.ndarray, two: np.ndarray, cell: int) -> int:
     """Cells that a vector at distances ``one`` and ``two`` to the codewords visits before ``cell``."""
     a, b = divmod(int(cell), len(index.second))
     return int((one[:, None] + two[None, :] < one[a] + two[b]).sum())
 
 
-def _link_ranks(classes: DataFrame, index: MultiIndex, asked: pd.DataFrame, least: float) -> list[tuple[int, int]]:
-    """(cells before the link's, links) of the true links of ``asked``, found by brute force over all classes."""
+def _link_ranks(classes: DataFrame, index: MultiIndex, asked: pd.DataFrame, least: float) -> list[tuple[int, int, int]]:
+    """(band, cells before the link's, links) of the true links of ``asked``, found by brute force over all classes."""
     queries, ids = index.unit(asked["vector"].tolist()), asked["cid"].to_numpy()
     one, two = index.distances(queries)
 
@@ -140,27 +150,32 @@ def _link_ranks(classes: DataFrame, index: MultiIndex, asked: pd.DataFrame, leas
             for k in range(0, len(batch), 512):
                 part = batch.iloc[k : k + 512]
                 unit = index.unit(part["vector"].tolist())
-                q, v = np.nonzero((queries @ unit.T >= least) & (ids[:, None] != part["cid"].to_numpy()[None, :]))
-                met, links = np.unique(np.stack([q, index.own_cells(unit)[v]], axis=1), axis=0, return_counts=True)
-                before = [_before(index, one[i], two[i], cell) for i, cell in met]
-                yield pd.DataFrame({"before": np.array(before, dtype=np.int64), "links": links.astype(np.int64)})
+                cosines = queries @ unit.T
+                q, v = np.nonzero((cosines >= least) & (ids[:, None] != part["cid"].to_numpy()[None, :]))
+                met, links = np.unique(np.stack([q, index.own_cells(unit)[v], np.searchsorted(BANDS, cosines[q, v], side="right")], axis=1), axis=0, return_counts=True)
+                before = [_before(index, one[i], two[i], cell) for i, cell, _ in met]
+                yield pd.DataFrame({"band": met[:, 2], "before": np.array(before, dtype=np.int64), "links": links.astype(np.int64)})
 
-    # A row for each rank at most: no more than the grid has cells.
-    return [tuple(r) for r in classes.select("cid", "vector").mapInPandas(run, "before long, links long").groupBy("before").agg(F.sum("links")).collect()]
+    # A row for each band and rank at most: no more than the grid has cells, five times.
+    found = classes.select("cid", "vector").mapInPandas(run, "band long, before long, links long")
+    return [tuple(r) for r in found.groupBy("band", "before").agg(F.sum("links")).collect()]
 
 
-def _planted_ranks(index: MultiIndex, sample: pd.DataFrame, least: float) -> list[tuple[int, int]]:
-    """The same of partners at a cosine of just ``least``, the farthest that link, made for vectors of the sample: by turns
-    in a random direction and towards another vector of the sample."""
+def _planted_ranks(index: MultiIndex, fresh: pd.DataFrame, least: float) -> list[tuple[int, int]]:
+    """(cells before the partner's, 1) of partners at a cosine of just ``least``, the farthest that link, made for vectors that the
+    codebooks have not seen: by turns in a random direction and towards another of them. A pair is met from either side."""
     rng = np.random.default_rng(_SEED)
-    unit = index.unit(sample["vector"].iloc[:PLANTED].tolist())
+    unit = index.unit(fresh["vector"].tolist())
     aim = rng.normal(size=unit.shape)
     aim[::2] = unit[rng.permutation(len(unit))][::2]
     aim -= (aim * unit).sum(axis=1, keepdims=True) * unit
     norm = np.linalg.norm(aim, axis=1, keepdims=True)
     partner = least * unit + math.sqrt(1 - least * least) * aim / np.maximum(norm, 1e-300)
-    one, two = index.distances(unit)
-    return [(_before(index, one[i], two[i], cell), 1) for i, cell in enumerate(index.own_cells(partner)) if norm[i] > 1e-9]
+    ranks = []
+    for a, b in ((unit, partner), (partner, unit)):
+        one, two = index.distances(a)
+        ranks.append([_before(index, one[i], two[i], cell) for i, cell in enumerate(index.own_cells(b))])
+    return [(min(pair), 1) for i, pair in enumerate(zip(*ranks, strict=True)) if norm[i] > 1e-9]
 
 
 def _visits_for(ranks: list[tuple[int, int]], recall: float) -> int:
@@ -174,17 +189,21 @@ def _visits_for(ranks: list[tuple[int, int]], recall: float) -> int:
 
 
 def _measured_visits(classes: DataFrame, index: MultiIndex, sample: pd.DataFrame, least: float) -> int:
-    """Cells to visit so that TARGET_RECALL of the queries' true links are met. Queries are added until they hold
-    LEAST_LINKS links or the sample ends; with fewer links, partners planted at ``least`` are to be met as well."""
+    """Cells to visit, as the head of this module says. Queries are added until they hold LEAST_LINKS links or the sample ends."""
     ranks, start, stop = [], 0, QUERIES
-    while start < len(sample) and sum(n for _, n in ranks) < LEAST_LINKS:
+    while start < len(sample) and sum(n for *_, n in ranks) < LEAST_LINKS:
         ranks += _link_ranks(classes, index, sample.iloc[start:stop], least)
         start, stop = stop, 4 * stop
-    count, links = _visits_for(ranks, TARGET_RECALL), sum(n for _, n in ranks)
-    planted = _planted_ranks(index, sample, least) if links < LEAST_LINKS else []
-    count = max(min(LEAST_VISITS, index.cells), count, _visits_for(planted, PLANTED_RECALL))
-    met = sum(n for before, n in ranks if before < count)
-    _LOG.info("%d of %d cells are visited: %d of %d links of %d queries met, %d of %d planted ones", count, index.cells, met, links, min(start, len(sample)), sum(before < count for before, _ in planted), len(planted))
+    bands = {band: [r[1:] for r in ranks if r[0] == band] for band in range(len(BANDS) + 1)}
+    large = [r for r in bands.values() if sum(n for _, n in r) >= BAND_LINKS]
+    planted = _planted_ranks(index, sample.iloc[: max(_measured(sample), min(len(sample), QUERIES))], least)
+    count = max(min(LEAST_VISITS, index.cells), _visits_for([r[1:] for r in ranks], TARGET_RECALL), _visits_for(planted, PLANTED_RECALL), *[_visits_for(r, TARGET_RECALL) for r in large])
+
+    def told(r: list[tuple[int, int]]) -> str:
+        return f"{sum(n for before, n in r if before < count)} of {sum(n for _, n in r)}"
+
+    edges = (least, *BANDS)
+    _LOG.info("%d of %d cells are visited; links met of %d queries: %s; planted: %s", count, index.cells, min(start, len(sample)), ", ".join(f"{told(r)} from {edges[band]:g}" for band, r in bands.items()), told(planted))
     return count
 
 

@@ -91,14 +91,20 @@ def test_double_vectors_are_compared_as_they_are(spark):
         assert [r["n_links"] for r in ed.embedding_links(df).collect()] == [links, links]
 
 
-def test_recall_of_planted_pairs_among_many_vectors(spark):
+@pytest.mark.parametrize("group", [0, 1000])
+def test_recall_of_planted_pairs_among_many_vectors(spark, group):
+    """Also beside one large group of near copies, whose many links say nothing of rarer and farther ones."""
     rng = np.random.default_rng(11)
     base = rng.normal(size=(50_000, 64))
     base /= np.linalg.norm(base, axis=1, keepdims=True)
-    aim = rng.normal(size=(200, 64))
-    aim -= (aim * base[:200]).sum(axis=1, keepdims=True) * base[:200]
-    near = 0.955 * base[:200] + np.sqrt(1 - 0.955**2) * aim / np.linalg.norm(aim, axis=1, keepdims=True)
-    vectors = np.concatenate([base, near]).astype(np.float32)
+
+    def at(cosine, of):
+        aim = rng.normal(size=of.shape)
+        aim -= (aim * of).sum(axis=1, keepdims=True) * of
+        return cosine * of + np.sqrt(1 - cosine**2) * aim / np.linalg.norm(aim, axis=1, keepdims=True)
+
+    vectors = np.concatenate([base, at(0.955, base[:200]), at(0.995, np.repeat(base[-1:], group, axis=0))]).astype(np.float32)
     df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(vectors)), "embedding": vectors.tolist()}), "vec_id bigint, embedding array<float>")
     got = {r["vec_id"]: r["component_id"] for r in ed.embedding_links(df).where("vec_id >= 50000").collect()}
     assert sum(got[50_000 + i] == i for i in range(200)) >= 190
+    assert all(got[50_200 + i] == 49_999 for i in range(group))
