@@ -10,7 +10,7 @@ from .base import events, orders, query, table
 from .season_queries import rolled
 
 FEATURES = ["n", "value_sum", "value_mean", "value_std", "value_max"]
-TREES = 8  # of the queries' models; the operators' own defaults are larger
+TREES, BOOM_TREES = 8, 4  # of the queries' models; the operators' own defaults are larger
 
 
 @query("""SELECT count(*) AS n, CAST(sum(abs(CAST(n_chars AS DECIMAL(18,4)) - CAST(length(text) AS DECIMAL(18,4)))) AS DOUBLE) / count(*) AS mae, CAST(1 AS DOUBLE) AS r2 FROM documents""")
@@ -51,18 +51,22 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seasons.yoy_pairs(rolled(spark, sf_dir), entity=["entity"], season="season", games="n", target="value_sum", least_games=2, short_games=3, season_games=4)
 
 
+def _segment_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the segment in which a customer has most orders of the season."""
+    segment = seasons.primary_category(orders(spark, sf_dir), keys=["entity", "season"], category="segment").drop("n_rows")
+    return _pairs(spark, sf_dir).join(segment, ["entity", "season"])
+
+
 @query()
 def gbt_cv(spark, sf_dir):
-    """Mean absolute error and R2 by left-out season."""
-    predicted = models.cv_predictions(_pairs(spark, sf_dir), features=FEATURES, target="adjusted_target", fold="season", trees=TREES)
+    """Mean absolute error and R2 by left-out season, of a model for each segment and season."""
+    predicted = models.cv_predictions(_segment_pairs(spark, sf_dir), features=FEATURES, target="adjusted_target", fold="season", segment="segment", trees=TREES)
     return models.cv_metrics(predicted, target="adjusted_target", fold="season")
 
 
 @query()
 def feature_importance(spark, sf_dir):
-    """By segment: the one in which a customer has most orders of the season."""
-    segment = seasons.primary_category(orders(spark, sf_dir), keys=["entity", "season"], category="segment").drop("n_rows")
-    return models.importances(_pairs(spark, sf_dir).join(segment, ["entity", "season"]), features=FEATURES, target="adjusted_target", segment="segment", trees=TREES)
+    return models.importances(_segment_pairs(spark, sf_dir), features=FEATURES, target="adjusted_target", segment="segment", trees=TREES)
 
 
 def _weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,13 +80,13 @@ LAGGED = ["points_roll", "points_roll_std", "points_past", "points_past_std"]
 
 @query()
 def boom_calibrated(spark, sf_dir):
-    """ROC AUC and average precision by left-out fold of calibrated probabilities."""
-    predicted = models.boom_predictions(_weekly(spark, sf_dir), features=LAGGED, label="boom", fold="fold", trees=4)
+    """ROC AUC and average precision by left-out fold of calibrated probabilities, of models of each position."""
+    predicted = models.boom_predictions(_weekly(spark, sf_dir), features=LAGGED, label="boom", fold="fold", segment="position", trees=BOOM_TREES)
     return models.boom_metrics(predicted, label="boom", fold="fold")
 
 
 @query()
 def boom_back_test(spark, sf_dir):
     """Probabilities of one fold by a model of the others for each position, summed up by entity."""
-    scored = models.back_test(_weekly(spark, sf_dir), features=LAGGED, label="boom", fold="fold", year=0, segment="position", trees=4)
+    scored = models.back_test(_weekly(spark, sf_dir), features=LAGGED, label="boom", fold="fold", year=0, segment="position", trees=BOOM_TREES)
     return features.boom_summary(scored, keys=["entity"], probability="prob", actual="boom", points="points")
