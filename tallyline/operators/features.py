@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import clip, mean, rounded, safe_div, std_samp, total0
+from ..functions.order import chunked, prefixed
+from ..functions.stats import clip, mean, measure, rounded, safe_div, std_samp, sums_are_exact, total0
 
 
 def lagged(facts: DataFrame, *, keys: list[str], order: list[str], measures: list[str], window: int = 3) -> DataFrame:
@@ -19,6 +20,32 @@ def lagged(facts: DataFrame, *, keys: list[str], order: list[str], measures: lis
     return facts.withColumns(added)
 
 
+def lagged_of_large_keys(facts: DataFrame, *, keys: list[str], order: list[str], measures: list[str], window: int = 3, chunk: int | None = None) -> DataFrame:
+    """``lagged`` for keys that hold more rows than a task should: rows are numbered by ranges, the near rows are looked at in chunks
+    of a key, each with the last ``window`` rows before it, and counts, sums and squares of all rows before are prefix sums.
+
+    Where sums aren't exact, squares are taken of the distance to the measure's overall mean, so that a key's deviation keeps its
+    digits unless its mean is very far from that.
+    """
+    exact = sums_are_exact()
+    middle = [0.0] * len(measures) if exact else [x or 0.0 for x in facts.agg(*[F.avg(F.col(m).cast("double")) for m in measures]).first()]
+    added, sums = {}, {}
+    for k, (m, c) in enumerate(zip(measures, middle, strict=True)):
+        x = measure(m) if exact else F.col(m).cast("double") - c
+        added |= {f"__x{k}": x, f"__q{k}": x * x, f"__c{k}": F.col(m).isNotNull().cast("int")}
+        sums |= {f"__s{part}{k}": f"__{part}{k}" for part in "xqc"}
+    numbered = prefixed(facts.withColumns(added), within=keys, order=order, number="__n", sums=sums)
+
+    near = Window.partitionBy(*keys, "__chunk").orderBy("__n").rowsBetween(-window, -1)
+    out = {}
+    for k, (m, c) in enumerate(zip(measures, middle, strict=True)):
+        n, s, q = F.col(f"__sc{k}"), F.col(f"__sx{k}").cast("double"), F.col(f"__sq{k}").cast("double")
+        spread = F.when(n >= 2, F.sqrt(F.greatest(q - s * s / n, F.lit(0.0)) / (n - 1)))
+        out |= {f"{m}_roll": mean(m, near), f"{m}_roll_std": std_samp(m, near), f"{m}_past": safe_div(s, n) if exact else safe_div(s, n) + c, f"{m}_past_std": spread}
+    told = chunked(numbered, number="__n", halo=window, size=chunk).withColumns(out).where("__own")
+    return told.select(*facts.columns, *out)
+
+
 def threshold_of(segment: str, thresholds: dict[str, float]) -> Column:
     """The segment's threshold; null for a segment without one."""
     out = F.lit(None).cast("double")

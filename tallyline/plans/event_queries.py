@@ -28,6 +28,14 @@ def lagged_expanding(spark, sf_dir):
     return _lagged(spark, sf_dir).select("event_id", "points_past", "points_past_std")
 
 
+@query(f"""WITH {EVENTS} SELECT event_id, {s_mean('points', NEAR.replace("entity, ", ""))} AS points_roll, {s_spread('points', NEAR.replace("entity, ", ""))} AS points_roll_std,
+    {s_mean('points', PAST.replace("entity, ", ""))} AS points_past, {s_spread('points', PAST.replace("entity, ", ""))} AS points_past_std FROM e""")
+def lagged_by_type(spark, sf_dir):
+    """Over the few event types, each of which has a large share of all rows."""
+    out = features.lagged_of_large_keys(events(spark, sf_dir), keys=["position"], order=["ts", "event_id"], measures=["points"])
+    return out.select("event_id", "points_roll", "points_roll_std", "points_past", "points_past_std")
+
+
 BOOM = f"""{EVENTS}, b AS (SELECT *, CASE WHEN points >= CASE position WHEN 'click' THEN 20 WHEN 'view' THEN 12.5 WHEN 'purchase' THEN 40 END THEN 1 ELSE 0 END AS boom,
     least(points / 100, 1.0) AS prob FROM e WHERE week > 1)"""
 

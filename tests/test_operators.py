@@ -437,3 +437,18 @@ def test_rules_resolve_as_of_their_season(spark):
     weights = spark.createDataFrame([("c", "p", 0.5), ("m", "q", 1.0), ("c", "z", 1.0), ("c", "q", 0.0)], "label string, e string, weight double")
     out = rows(adjust.rule_adjustments(rules, weights, history, entity="e", unit="u", segment="g", season="s", measures=("rate", "points"), games="n"), "label", "e")
     assert out == [("c", "p", "RB", "new", 0.2), ("c", "z", "WR", "new", 0.0), ("m", "q", "RB", "new", -0.25)]
+
+
+def test_lagged_of_large_keys_equals_the_windows(spark):
+    rng = random.Random(7)
+    data = [(None if k % 50 == 0 else "hot" if k % 10 else f"g{k % 3}", k, None if rng.random() < 0.1 else round(rng.uniform(-5, 400), 2)) for k in range(3000)]
+    df = spark.createDataFrame(data, "e string, w int, v double").repartition(5)
+    for places in (2, None):
+        with stats.exact_sums(places):
+            want = {r["w"]: r for r in features.lagged(df, keys=["e"], order=["w"], measures=["v"]).collect()}
+            got = features.lagged_of_large_keys(df, keys=["e"], order=["w"], measures=["v"], chunk=64)
+            assert got.columns == [*df.columns, "v_roll", "v_roll_std", "v_past", "v_past_std"]
+            for r in got.collect():
+                for c in ("v_roll", "v_roll_std", "v_past", "v_past_std"):
+                    assert (r[c] is None) == (want[r["w"]][c] is None) and (r[c] is None or r[c] == pytest.approx(want[r["w"]][c], rel=1e-9, abs=1e-9)), (r, c)
+    assert features.lagged_of_large_keys(df.limit(0), keys=["e"], order=["w"], measures=["v"]).collect() == []
