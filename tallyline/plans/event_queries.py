@@ -320,11 +320,12 @@ def season_totals(spark, sf_dir):
     return out.withColumn("grade", schedule.grade_of(F.col("difference"), F.col("league_mean") * 0.1))
 
 
-@query(f"""WITH {EVENTS}, a AS (SELECT DISTINCT entity FROM e WHERE position = 'purchase' AND week <= 5), b AS (SELECT DISTINCT entity FROM e WHERE position = 'signup' AND week <= 5)
+@query(f"""WITH {EVENTS}, a AS (SELECT entity FROM e WHERE position = 'purchase' GROUP BY entity HAVING max(points) >= 40), b AS (SELECT entity FROM e WHERE position = 'signup' GROUP BY entity HAVING max(points) >= 40)
     SELECT entity, 'both' AS side FROM a INTERSECT SELECT entity, 'both' FROM b UNION ALL SELECT entity, 'first' FROM a WHERE entity NOT IN (SELECT entity FROM b)""")
 def set_operations(spark, sf_dir):
-    e = events(spark, sf_dir).where("week <= 5")
-    a, b = (e.where(F.col("position") == p).select("entity").distinct() for p in ("purchase", "signup"))
+    """Users whose best purchase, or best signup, reaches 40."""
+    best = events(spark, sf_dir).groupBy("entity", "position").agg(F.max("points").alias("best")).where("best >= 40")
+    a, b = (best.where(F.col("position") == p).select("entity") for p in ("purchase", "signup"))
     return a.intersect(b).withColumn("side", F.lit("both")).unionByName(a.join(b, "entity", "left_anti").withColumn("side", F.lit("first")))
 
 
@@ -342,11 +343,11 @@ def consistency_share(spark, sf_dir):
     return features.consistency(events(spark, sf_dir), keys=["entity"], measure="points", share="week", digits=(2, 1))
 
 
-@query(f"""WITH {EVENTS}, a AS (SELECT entity, {s_mean("points")} / 50 AS signal FROM e WHERE position = 'click' GROUP BY entity), b AS (SELECT entity, {s_mean("points")} / 40 AS signal FROM e WHERE position = 'view' AND week > 15 GROUP BY entity)
+@query(f"""WITH {EVENTS}, a AS (SELECT entity, {s_mean("points")} / 50 AS signal FROM e WHERE position = 'click' GROUP BY entity), b AS (SELECT entity, {s_mean("points")} / 40 AS signal FROM e WHERE position = 'view' GROUP BY entity)
     SELECT coalesce(b.entity, a.entity) AS entity, coalesce(b.signal, a.signal) AS signal FROM a FULL JOIN b ON a.entity = b.entity""")
 def later_signal(spark, sf_dir):
     e = events(spark, sf_dir)
-    parts = [e.where(c).groupBy("entity").agg((mean("points") / d).alias("signal")) for c, d in (("position = 'click'", 50), ("position = 'view' AND week > 15", 40))]
+    parts = [e.where(c).groupBy("entity").agg((mean("points") / d).alias("signal")) for c, d in (("position = 'click'", 50), ("position = 'view'", 40))]
     return signals.later_wins(parts, key=["entity"])
 
 

@@ -146,10 +146,11 @@ def share(spark, sf_dir):
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_extendedprice, coalesce(o_orderstatus, '?') AS status, CAST(coalesce(o_totalprice, 0) AS DOUBLE) AS order_value
-    FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey AND o_totalprice >= 250000""")
+    FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey * 2""")
 def enrich_left(spark, sf_dir):
-    large = table(spark, sf_dir, "orders").where("o_totalprice >= 250000").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus", "o_totalprice")
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice").join(large, "l_orderkey", "left")
+    """Lines with the order of twice their number, which half of them have not."""
+    twice = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("twice"), "o_orderstatus", "o_totalprice")
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice").join(twice, F.col("l_orderkey") * 2 == F.col("twice"), "left")
     return rows.select("l_orderkey", "l_linenumber", "l_extendedprice", F.coalesce("o_orderstatus", F.lit("?")).alias("status"), F.coalesce("o_totalprice", F.lit(0.0)).alias("order_value"))
 
 
@@ -304,23 +305,24 @@ def scheme_ratio(spark, sf_dir):
 
 
 @query(f"""WITH {SCHEME}, s AS (SELECT entity, segment, CAST(sum(CAST(scheme AS DECIMAL(18,6))) AS DOUBLE) AS scheme, string_agg(DISTINCT label, ', ' ORDER BY label) AS labels FROM sm GROUP BY ALL),
-    m AS (SELECT c_custkey AS entity, p.segment, CAST(0.1 AS DOUBLE) AS pct, 'balance' AS reason FROM customer JOIN (SELECT entity, max(segment) AS segment FROM o GROUP BY 1) p ON p.entity = c_custkey WHERE c_acctbal > 9000)
+    m AS (SELECT c_custkey AS entity, p.segment, c_acctbal / 100000 AS pct, 'balance' AS reason FROM customer JOIN (SELECT entity, max(segment) AS segment FROM o GROUP BY 1) p ON p.entity = c_custkey)
     SELECT s.entity, s.segment, scheme, coalesce(pct, 0) AS manual, {s_round("(1 + scheme) * (1 + coalesce(pct, 0)) - 1", 4)} AS total,
         'Scheme: ' || labels || CASE WHEN reason IS NOT NULL THEN ' | Manual: ' || reason ELSE '' END AS note FROM s LEFT JOIN m ON m.entity = s.entity AND m.segment = s.segment""")
 def adjust_compound(spark, sf_dir):
     schemes = _schemes(spark, sf_dir)
-    rich = table(spark, sf_dir, "customer").where("c_acctbal > 9000").select(F.col("c_custkey").alias("entity"), F.lit(0.1).alias("pct"), F.lit("balance").alias("reason"))
-    manual = rich.join(orders(spark, sf_dir).groupBy("entity").agg(F.max("segment").alias("segment")), "entity")
+    balances = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("entity"), (F.col("c_acctbal") / 100000).alias("pct"), F.lit("balance").alias("reason"))
+    manual = balances.join(orders(spark, sf_dir).groupBy("entity").agg(F.max("segment").alias("segment")), "entity")
     return adjust.combine_adjustments(schemes, manual, keys=["entity", "segment"])
 
 
-@query(f"""WITH {ROLLED}, v AS (SELECT entity, max(segment) AS segment, {s_total("value")} AS value FROM o WHERE season = 2000 GROUP BY entity),
-    a AS (SELECT c_custkey AS entity, c_acctbal / 100000 AS total FROM customer WHERE c_acctbal > 5000),
-    w AS (SELECT v.entity, segment, v.value, {s_round("value * (1 + coalesce(total, 0))", 1)} AS adjusted, CASE WHEN v.entity % 11 = 0 THEN 'moved' ELSE 'unit ' || v.entity % 25 END AS unit FROM v LEFT JOIN a USING (entity))
+@query(f"""WITH {ROLLED}, v AS (SELECT entity, season, max(segment) AS segment, {s_total("value")} AS value FROM o GROUP BY entity, season),
+    a AS (SELECT c_custkey AS entity, c_acctbal / 100000 AS total FROM customer),
+    w AS (SELECT v.entity, season, segment, v.value, {s_round("value * (1 + coalesce(total, 0))", 1)} AS adjusted, CASE WHEN v.entity % 11 = 0 THEN 'moved' ELSE 'unit ' || v.entity % 25 END AS unit FROM v LEFT JOIN a USING (entity))
     SELECT *, CAST(rank() OVER (PARTITION BY segment ORDER BY adjusted DESC) AS INTEGER) AS segment_rank, CAST(rank() OVER (ORDER BY adjusted DESC) AS INTEGER) AS overall_rank FROM w""")
 def adjust_apply(spark, sf_dir):
-    rows = orders(spark, sf_dir).where("season = 2000").groupBy("entity").agg(F.max("segment").alias("segment"), F.sum(F.col("value").cast("decimal(18,4)")).cast("double").alias("value"))
-    adjustments = table(spark, sf_dir, "customer").where("c_acctbal > 5000").select(F.col("c_custkey").alias("entity"), (F.col("c_acctbal") / 100000).alias("total"))
+    """Every season of every customer."""
+    rows = orders(spark, sf_dir).groupBy("entity", "season").agg(F.max("segment").alias("segment"), F.sum(F.col("value").cast("decimal(18,4)")).cast("double").alias("value"))
+    adjustments = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("entity"), (F.col("c_acctbal") / 100000).alias("total"))
     rows = rows.withColumn("unit", F.concat(F.lit("unit "), (F.col("entity") % 25).cast("string")))
     updates = table(spark, sf_dir, "customer").where("c_custkey % 11 = 0").select(F.col("c_custkey").alias("entity"), F.lit("moved").alias("new_unit"))
     return adjust.apply_adjustments(rows, adjustments, keys=["entity"], value="value", segment="segment", updates=updates).drop("total")
