@@ -99,6 +99,8 @@ def drop_exact_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     once = without(docs, gone, id_col)
     groups = exact_groups(docs, id_col=id_col, text_col=text_col, hash_all=True)
     keep = groups.where("kept").select(F.col(id_col).alias("told_id"), F.col("full_hash").alias("told_hash")).distinct()
-    hashed = docs.withColumn("__hash", F.sha2(normalised(text_of(text_col)), 256)).join(mixed, F.col(id_col).eqNullSafe(F.col("told_id")), "left_semi")
-    settled = hashed.join(keep, F.col(id_col).eqNullSafe(F.col("told_id")) & (F.col("__hash") == F.col("told_hash")), "left_semi")
-    return once.unionByName(settled.dropDuplicates([id_col, "__hash"]).drop("__hash"))
+    inner = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])  # no clash with our own names
+    own_id, text = (f"c{docs.columns.index(c)}" for c in (id_col, text_col))
+    hashed = inner.withColumn("hash", F.sha2(normalised(text_of(text)), 256)).join(mixed, F.col(own_id).eqNullSafe(F.col("told_id")), "left_semi")
+    settled = hashed.join(keep, F.col(own_id).eqNullSafe(F.col("told_id")) & (F.col("hash") == F.col("told_hash")), "left_semi")
+    return once.unionByName(settled.dropDuplicates([own_id, "hash"]).drop("hash").toDF(*docs.columns))

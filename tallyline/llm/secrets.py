@@ -178,11 +178,14 @@ def redact_secrets(docs: DataFrame, *, text_col: str = "text", chars_col: str |
     def clean(texts: pd.Series) -> pd.Series:
         return pd.Series([None if x is None else redacted(x.encode(), sealed).decode() for x in texts], dtype=object)
 
-    new = docs.withColumn("__clean", clean(F.col(text_col)))
-    changed = F.col("__clean") != F.col(text_col)
+    made = "clean"
+    while made in docs.columns:
+        made += "_"
+    new = docs.withColumn(made, clean(F.col(text_col)))
+    changed = F.col(made) != F.col(text_col)
     out = [
-        F.col("__clean").alias(c) if c == text_col
-        else F.when(changed, F.length("__clean").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == chars_col
+        F.col(made).alias(c) if c == text_col
+        else F.when(changed, F.length(made).cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == chars_col
         else F.col(f"`{c}`")
         for c in docs.columns
     ]

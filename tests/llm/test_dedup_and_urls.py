@@ -40,6 +40,13 @@ def test_drop_keeps_one_of_each(spark):
     assert drop_exact_copies(docs.limit(0)).count() == 0
 
 
+def test_drop_with_clashing_columns(spark):
+    docs = spark.createDataFrame([(*r, 1, "h") for r in ROWS], SCHEMA.replace("full_hash", "told_id") + ", __hash int, hash string").repartition(2)
+    kept = drop_exact_copies(docs)
+    assert kept.columns == docs.columns and kept.count() == drop_exact_copies(docs.select("doc_id", "text")).count()
+    assert {r["hash"] for r in kept.collect()} == {"h"} and {r["__hash"] for r in kept.collect()} == {1}
+
+
 def test_url_rules(spark):
     urls = {
         "http://example.com/en/x": ("example.com", "/en/x", "example.com/en/", "block"),

@@ -55,3 +55,9 @@ def test_redaction_leaves_no_secret_and_touches_nothing_else(spark):
     assert got[1] == ("a [REDACTED] b", 14) and got[2] == (None, 0) and got[3] == ("clean é", 99)
     assert got[4] == ("[REDACTED] [REDACTED] z", 23)
     assert all(secrets.byte_spans((t or "").encode()) == [] for t, _ in got.values())
+
+
+def test_redaction_with_clashing_columns(spark):
+    docs = spark.createDataFrame([("password = abcdef123", 3, "x", "y")], "text string, n_chars int, clean string, __clean string")
+    got = secrets.redact_secrets(docs).collect()[0]
+    assert (got["clean"], got["__clean"]) == ("x", "y") and "abcdef123" not in got["text"] and got["n_chars"] == len(got["text"])
