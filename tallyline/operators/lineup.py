@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.shared import cut
 from ..functions.stats import measure, measure_type, rounded, std_pop, total
 
 #: Starters by position, and the positions that may fill the one flexible place.
@@ -26,17 +29,23 @@ def weekly_points(rosters: DataFrame, projections: DataFrame, *, roster: list[st
     return met.select(*roster, "entity", "seat", "position", "week", F.coalesce("points", "base").alias("points"))
 
 
+def _places(starters: dict[str, int], flex: tuple[str, ...]) -> dict[str, int]:
+    """Starting places by position, 0 for those that can only fill the flexible one."""
+    return starters | {p: 0 for p in flex if p not in starters}
+
+
+def _sorted_points(positions: Iterable[str]) -> list[Column]:
+    """of_<position>: the points of a group's entities there, high to low."""
+    return [F.reverse(F.array_sort(F.collect_list(F.when(F.col("position") == p, measure("points"))))).alias(f"of_{p}") for p in positions]
+
+
 def lineup_weeks(points: DataFrame, *, roster: list[str], starters: dict[str, int] | None = None, flex: tuple[str, ...] = FLEX) -> DataFrame:
-    """roster..., week, week_points: the best starters of each position and the best other for the flexible place."""
+    """roster..., week, week_points: the best starters of each position and the best other for the flexible place. A roster's week
+    is one group, as long as the roster."""
     starters = starters or LINEUP
-    w = Window.partitionBy(*roster, "week", "position").orderBy(F.col("points").desc(), "entity", "seat")
-    limit = F.lit(0)
-    for position, n in starters.items():
-        limit = F.when(F.col("position") == position, n).otherwise(limit)
-    placed = points.withColumn("place", F.row_number().over(w)).withColumn("starts", F.col("place") <= limit)
-    starting = F.coalesce(F.sum(F.when(F.col("starts"), measure("points"))), F.lit(0))
-    best = F.coalesce(F.max(F.when(~F.col("starts") & F.col("position").isin(*flex), measure("points"))), F.lit(0))
-    return placed.groupBy(*roster, "week").agg((starting + best).cast("double").alias("week_points"))
+    positions = _places(starters, flex)
+    held = points.groupBy(*roster, "week").agg(*_sorted_points(positions))
+    return held.select(*roster, "week", _score({p: F.col(f"of_{p}") for p in positions}, starters, flex).alias("week_points"))
 
 
 def lineup_scores(rosters: DataFrame, projections: DataFrame, *, roster: list[str], weeks: int = 14, starters: dict[str, int] | None = None, flex: tuple[str, ...] = FLEX, digits: int | None = 1) -> DataFrame:
@@ -55,7 +64,7 @@ def _score(by_position: dict[str, Column], starters: dict[str, int], flex: tuple
 
     out = F.lit(0).cast(kind)
     rest = []
-    for position, n in starters.items():
+    for position, n in _places(starters, flex).items():
         out = out + added(F.slice(by_position[position], 1, n))
         if position in flex:
             rest.append(F.coalesce(F.try_element_at(by_position[position], F.lit(n + 1)), zero))
@@ -73,13 +82,13 @@ def marginal_values(rosters: DataFrame, candidates: DataFrame, projections: Data
     """
     starters = starters or LINEUP
     mine = weekly_points(rosters, projections, roster=[roster], weeks=weeks)
-    held = mine.select(roster, "week", "position", measure("points").alias("points"))
-    arrays = [F.reverse(F.array_sort(F.collect_list(F.when(F.col("position") == p, F.col("points"))))).alias(f"of_{p}") for p in starters]
+    positions = _places(starters, flex)
+    held = mine.groupBy(roster, "week").agg(*_sorted_points(positions))
     every = rosters.select(roster).unionByName(candidates.select(roster)).distinct()  # also rosters without an entity yet
     frame = every.withColumn("week", F.explode(F.sequence(F.lit(1), F.lit(weeks))))
     empty = F.array().cast(f"array<{measure_type()}>")
-    base = frame.join(held.groupBy(roster, "week").agg(*arrays), [roster, "week"], "left").select(roster, "week", *[F.coalesce(f"of_{p}", empty).alias(f"of_{p}") for p in starters])
-    base = base.withColumn("now", _score({p: F.col(f"of_{p}") for p in starters}, starters, flex))
+    base = frame.join(held, [roster, "week"], "left").select(roster, "week", *[F.coalesce(f"of_{p}", empty).alias(f"of_{p}") for p in positions])
+    base = cut(base.withColumn("now", _score({p: F.col(f"of_{p}") for p in positions}, starters, flex)))  # read twice
     byes = rosters.join(projections.groupBy("entity").agg(F.max("bye").alias("week")), "entity").where("week IS NOT NULL").select(roster, F.col("week").cast("int").alias("week"), F.lit(True).alias("is_bye")).distinct()
     usable = base.select(roster, "week", "now").join(byes, [roster, "week"], "left").where("is_bye IS NULL AND now > 0")
     low = usable.withColumns({"spread": std_pop("now", Window.partitionBy(roster)), "place": F.row_number().over(Window.partitionBy(roster).orderBy("now", "week"))})
@@ -87,7 +96,7 @@ def marginal_values(rosters: DataFrame, candidates: DataFrame, projections: Data
     base = base.join(weak, [roster, "week"], "left")
     theirs = weekly_points(candidates, projections, roster=[roster], weeks=weeks).select(roster, "week", "entity", "position", measure("points").alias("points"))
     tried = theirs.join(base, [roster, "week"])
-    with_it = {p: F.when(F.col("position") == p, F.reverse(F.array_sort(F.array_append(F.col(f"of_{p}"), F.col("points"))))).otherwise(F.col(f"of_{p}")) for p in starters}
+    with_it = {p: F.when(F.col("position") == p, F.reverse(F.array_sort(F.array_append(F.col(f"of_{p}"), F.col("points"))))).otherwise(F.col(f"of_{p}")) for p in positions}
     tried = tried.withColumn("then", _score(with_it, starters, flex))
     change = measure(F.col("then") - F.col("now"))
     weak_change = measure(F.round("then", 1) - F.round("now", 1))
