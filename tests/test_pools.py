@@ -26,3 +26,11 @@ def test_available_pool_streams_its_rows(spark):
     assert sorted((tuple(r) for r in got.collect()), key=key) == sorted(want, key=key)
     text = plan(got)
     assert "Cartesian" not in text and "NestedLoop" not in text and "LeftAnti" not in text  # no product that is exchanged again
+
+
+def test_fallen_streams_the_pool(spark):
+    lists, taken, want = pool_of(spark)
+    got = drafts.fallen(drafts.available(lists, taken, draft="draft", entity="entity").withColumn("pick", F.lit(30)), pick="pick", market="market")
+    told = [(*w, 30 - w[2] if w[2] is not None and w[2] < 30 else None) for w in want]
+    assert sorted((tuple(r) for r in got.select("draft", "entity", "market", "fell").collect()), key=key) == sorted(told, key=key)
+    assert "Exchange" not in plan(got).split("ShuffledHashJoin")[0] and "ShuffledHashJoin" in plan(got)
