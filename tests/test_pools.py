@@ -34,3 +34,17 @@ def test_fallen_streams_the_pool(spark):
     told = [(*w, 30 - w[2] if w[2] is not None and w[2] < 30 else None) for w in want]
     assert sorted((tuple(r) for r in got.select("draft", "entity", "market", "fell").collect()), key=key) == sorted(told, key=key)
     assert "Exchange" not in plan(got).split("ShuffledHashJoin")[0] and "ShuffledHashJoin" in plan(got)
+
+
+def test_near_picks_look_up_the_first_of_a_band(spark):
+    ranked = [(f"e{k:03d}", (k * 13) % 40 if k % 7 else None) for k in range(160)]
+    picks = [(d, (d * 11) % 60) for d in range(25)] + [(3, 33), (3, 33), (99, None), (100, 500), (101, -30)]
+    lists, asked = spark.createDataFrame(ranked, "entity string, market int"), spark.createDataFrame(picks, "draft int, pick int")
+    got = drafts.near_picks(asked, lists, pick="pick", market="market", before=3, after=4, top=6)
+    want = []
+    for d, p in sorted({x for x in picks if x[1] is not None}):
+        band = sorted((m, e) for e, m in ranked if m is not None and p - 3 <= m <= p + 4)
+        want += [(d, p, e, m, k) for k, (m, e) in enumerate([x for x in band for _ in range(picks.count((d, p)))][:6], 1)]
+    assert got.columns == ["draft", "pick", "entity", "market", "place"]
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    assert "block#" not in plan(got)  # no row for every entity of a band
