@@ -39,12 +39,20 @@ def _sorted_points(positions: Iterable[str]) -> list[Column]:
     return [F.reverse(F.array_sort(F.collect_list(F.when(F.col("position") == p, measure("points"))))).alias(f"of_{p}") for p in positions]
 
 
+def _sorted_weeks(points: DataFrame, *, roster: list[str], starters: dict[str, int], flex: tuple[str, ...]) -> DataFrame:
+    """roster..., week, of_<position>: the points that can count in a week's score, a position's starters and the best after them, high
+    to low. The others of a position are dropped before and after they are exchanged, so a group is as long as a lineup."""
+    positions = _places(starters, flex)
+    order = Window.partitionBy(*roster, "week", "position").orderBy(measure("points").desc_nulls_last())
+    best = points.withColumn("__no", F.row_number().over(order)).where(F.col("__no") <= max(positions.values()) + 1)
+    return best.groupBy(*roster, "week").agg(*_sorted_points(positions))
+
+
 def lineup_weeks(points: DataFrame, *, roster: list[str], starters: dict[str, int] | None = None, flex: tuple[str, ...] = FLEX) -> DataFrame:
-    """roster..., week, week_points: the best starters of each position and the best other for the flexible place. A roster's week
-    is one group, as long as the roster."""
+    """roster..., week, week_points: the best starters of each position and the best other for the flexible place."""
     starters = starters or LINEUP
     positions = _places(starters, flex)
-    held = points.groupBy(*roster, "week").agg(*_sorted_points(positions))
+    held = _sorted_weeks(points, roster=roster, starters=starters, flex=flex)
     return held.select(*roster, "week", _score({p: F.col(f"of_{p}") for p in positions}, starters, flex).alias("week_points"))
 
 
@@ -77,13 +85,13 @@ def marginal_values(rosters: DataFrame, candidates: DataFrame, projections: Data
 
     ``candidates``: roster, entity (available to that roster). Weak weeks: of the weeks with points and without a
     rostered bye, the lowest ``weak_weeks`` (ties by week), if their deviation reaches ``least_spread``. A roster's week
-    is one row of sorted arrays by position; a candidate is inserted into its array and the week scored again, so the
-    roster's rows are never repeated for a candidate.
+    is one row of sorted arrays by position, each as long as can count with one more; a candidate is inserted into its array and the week
+    scored again, so the roster's rows are never repeated for a candidate.
     """
     starters = starters or LINEUP
     mine = weekly_points(rosters, projections, roster=[roster], weeks=weeks)
     positions = _places(starters, flex)
-    held = mine.groupBy(roster, "week").agg(*_sorted_points(positions))
+    held = _sorted_weeks(mine, roster=[roster], starters=starters, flex=flex)
     every = rosters.select(roster).unionByName(candidates.select(roster)).distinct()  # also rosters without an entity yet
     frame = every.withColumn("week", F.explode(F.sequence(F.lit(1), F.lit(weeks))))
     empty = F.array().cast(f"array<{measure_type()}>")

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tallyline.operators import drafts
+from tallyline.operators import drafts, lineup
 
 
 def plan(df):
@@ -48,3 +48,16 @@ def test_near_picks_look_up_the_first_of_a_band(spark):
     assert got.columns == ["draft", "pick", "entity", "market", "place"]
     assert sorted(tuple(r) for r in got.collect()) == sorted(want)
     assert "block#" not in plan(got)  # no row for every entity of a band
+
+
+def test_lineup_weeks_hold_what_can_count_only(spark):
+    points = spark.range(5000).select((F.col("id") % 2).alias("roster"), F.col("id").alias("entity"), F.lit(1).alias("week"), F.element_at(F.array(*map(F.lit, ("QB", "RB", "WR", "TE"))), (F.col("id") % 4 + 1).cast("int")).alias("position"), ((F.col("id") * 7919) % 5003).cast("double").alias("points"))
+    held = lineup._sorted_weeks(points, roster=["roster"], starters=lineup.LINEUP, flex=lineup.FLEX)
+    assert all(len(r[f"of_{p}"]) <= 4 for r in held.collect() for p in lineup.LINEUP)
+    want = {}
+    for r in points.collect():
+        want.setdefault(r["roster"], {}).setdefault(r["position"], []).append(r["points"])
+    for r in lineup.lineup_weeks(points, roster=["roster"]).collect():
+        best = {p: sorted(v, reverse=True) for p, v in want[r["roster"]].items()}
+        rest = max(best[p][n] for p, n in lineup.LINEUP.items() if p in best and p in lineup.FLEX)
+        assert r["week_points"] == sum(sum(v[: lineup.LINEUP[p]]) for p, v in best.items()) + rest
