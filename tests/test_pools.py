@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tallyline.operators import drafts, lineup
+from tallyline.operators import drafts, lineup, matchup
 
 
 def plan(df):
@@ -61,3 +61,12 @@ def test_lineup_weeks_hold_what_can_count_only(spark):
         best = {p: sorted(v, reverse=True) for p, v in want[r["roster"]].items()}
         rest = max(best[p][n] for p, n in lineup.LINEUP.items() if p in best and p in lineup.FLEX)
         assert r["week_points"] == sum(sum(v[: lineup.LINEUP[p]]) for p, v in best.items()) + rest
+
+
+def test_a_matchup_of_one_file_is_dealt_to_all_tasks(spark):
+    names = ["overall", "man", "zone", "high1", "high2"]
+    entities = spark.range(20, numPartitions=1).select(F.col("id").alias("entity"), *[F.lit(k + 0.5).alias(n) for k, n in enumerate(names)])
+    sides = ["man", "zone", "high1", "high2", "man_fpdb", "zone_fpdb"]
+    opponents = spark.range(3, numPartitions=1).select(F.col("id").alias("opponent"), *[F.lit(10.0 + k).alias(f"o_{n}") for k, n in enumerate(sides)])
+    out = matchup.matchup_table(entities, opponents, entity={n: n for n in names}, opponent={n: f"o_{n}" for n in sides})
+    assert out.rdd.getNumPartitions() == 4 and out.select("entity", "opponent").distinct().count() == 60
