@@ -70,3 +70,21 @@ def test_a_matchup_of_one_file_is_dealt_to_all_tasks(spark):
     opponents = spark.range(3, numPartitions=1).select(F.col("id").alias("opponent"), *[F.lit(10.0 + k).alias(f"o_{n}") for k, n in enumerate(sides)])
     out = matchup.matchup_table(entities, opponents, entity={n: n for n in names}, opponent={n: f"o_{n}" for n in sides})
     assert out.rdd.getNumPartitions() == 4 and out.select("entity", "opponent").distinct().count() == 60
+
+
+def test_stack_targets_neither_sort_nor_exchange_their_rows(spark, monkeypatch):
+    monkeypatch.setattr(drafts, "STRETCH", 16)
+    ranked = [(f"e{k:03d}", f"u{k % 7}" if k % 13 else None, (k * 17) % 60 if k % 10 else None) for k in range(150)]
+    held = [(r, f"e{(r * 31 + k * 3) % 150:03d}", r + 5 * k) for r in range(8) for k in range(12)]
+    lists = spark.createDataFrame(ranked, "entity string, unit string, market int")
+    rosters = spark.createDataFrame(held, "roster int, entity string, pick int").join(lists, "entity")
+    got = drafts.stack_targets(rosters, lists, roster="roster", entity="entity", unit="unit", pick="pick", market="market", band=6)
+    want, units = [], {e: u for e, u, _ in ranked}
+    for r in range(8):
+        mine = [(units[e], p, e) for q, e, p in held if q == r and units[e]]
+        last = {u: max(p for v, p, _ in mine if v == u) for u, _, _ in mine}
+        pool = [(None if m is None else abs(m - last[u]) <= 6, m, e, u) for e, u, m in ranked if u in last and e not in {e for _, _, e in mine}]
+        pool.sort(key=lambda x: ({True: 0, False: 1, None: 2}[x[0]], x[1] or 0, x[2]))
+        want += [(r, e, u, near, k) for k, (near, _, e, u) in enumerate(pool, 1)]
+    assert sorted(tuple(x) for x in got.select("roster", "entity", "unit", "is_near", "place").collect()) == sorted(want)
+    assert "Window" not in plan(got) and "SortMergeJoin" not in plan(got)
