@@ -1,3 +1,4 @@
+from tallyline.operators import models
 from tallyline.plans import model_queries
 
 SF = "/root/testdata/sf0.001"
@@ -8,3 +9,22 @@ def test_gbt_cv_holds_out_every_season(spark, monkeypatch):
     target = model_queries._pairs(spark, SF).where("adjusted_target IS NOT NULL")
     want = {r["season"] for r in target.select("season").distinct().collect()}
     assert {r["season"] for r in model_queries.gbt_cv(spark, SF).collect()} == want | {None} and min(want) < 1998
+
+
+def test_model_rows_hold_what_the_models_read(spark):
+    rows = model_queries._segment_pairs(spark, SF)
+    assert rows.columns == ["entity", "season", *model_queries.FEATURES, "adjusted_target", "segment"]
+    assert "percentile" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_metrics_of_folds_make_the_predictions_once(spark):
+    met = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            met.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(60).selectExpr("CAST(id % 3 AS INT) AS season", "CAST(id AS DOUBLE) AS target", "CAST(id + 1 AS DOUBLE) AS prediction")
+    got = models.cv_metrics(rows.mapInArrow(seen, rows.schema), target="target", fold="season").collect()
+    assert {(r["season"], r["n"], r["mae"]) for r in got} == {(0, 20, 1.0), (1, 20, 1.0), (2, 20, 1.0), (None, 60, 1.0)} and met.value == 60
