@@ -7,8 +7,10 @@ higher-order aggregate then reads the pieces off it. There are two folds over th
 highest sum of scores) for unigram tables, and for BPE tables, where the best path is not what the model means, the merge
 fold, which takes the best edge over two adjacent symbols until there is none.
 
-Texts meet the ids of their parts in blocks of BLOCK_BYTES: each block's distinct parts are joined to the lattice's result,
-and a block of texts, compressed, is grouped with its own small dictionary. Tokens are never rows of a shuffle.
+Texts meet the cuts of their parts in blocks of BLOCK_BYTES. A block's distinct parts are numbered in their order and exchanged
+once, by part; the places (block, number) of a part go with it through the lattice, and what comes back to a block, compressed
+and grouped with it, is a number and a cut. The block finds its parts again and needs neither their text nor ids. Tokens are never rows
+of a shuffle.
 
 Decoding: the ids are replaced by the bytes of the piece table, whose size is that of a vocabulary.
 """
@@ -16,8 +18,7 @@ Decoding: the ids are replaced by the bytes of the piece table, whose size is th
 from __future__ import annotations
 
 import re
-import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, kind_of, shared_dir, slices, text_of
+from .common import bound_batches, kind_of, slices, text_of
 
 SPACE = "▁"
 #: Parts up to so many characters are folded in Spark: their cuts are the bits of one number. Longer stretches in which every
@@ -67,17 +68,15 @@ class Vocabulary:
         self.ids = {r["piece"]: r["id"] for r in rows if not r["is_byte"]}
         self.byte_ids = {int(r["hex"], 16): r["id"] for r in rows if r["is_byte"]}
         self.hexes = {r["id"]: bytes.fromhex(r["hex"]) for r in rows}
+        self.code = {p: i.to_bytes(4, "little") for p, i in self.ids.items()}
         self.pairs = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
 
     def codes(self, symbols: Iterable[str]) -> bytes:
         """Ids of symbols, little-endian unsigned 32-bit; those of its UTF-8 bytes for one without a piece."""
-        out: list[int] = []
-        for symbol in symbols:
-            if symbol in self.ids:
-                out.append(self.ids[symbol])
-            else:
-                out += [self.byte_ids[b] for b in symbol.encode()]
-        return np.array(out, dtype="<u4").tobytes()
+        return b"".join([self.code[s] if s in self.code else self.of_bytes(s) for s in symbols])
+
+    def of_bytes(self, symbol: str) -> bytes:
+        return np.array([self.byte_ids[b] for b in symbol.encode()], dtype="<u4").tobytes()
 
     def parts(self, chunk: str) -> list[str]:
         """The chunk, cut between neighbours that no piece holds."""
@@ -105,29 +104,36 @@ def chunks(text: str) -> list[str]:
 
 
 class ChunkIds(dict):
-    """Ids by chunk, made of those of its parts."""
+    """Ids by chunk, made of those of its parts; parts that are not known are told by ``other``."""
 
-    def __init__(self, known: dict[str, bytes], vocabulary: Vocabulary):
+    def __init__(self, known: dict[str, bytes], vocabulary: Vocabulary, other: Callable[[str], bytes]):
         super().__init__({"": b""})
-        self.known, self.vocabulary = known, vocabulary
+        self.known, self.vocabulary, self.other = known, vocabulary, other
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = b"".join([self.known[p] for p in self.vocabulary.parts(chunk)])
+        ids = b"".join([self.known[p] if p in self.known else self.other(p) for p in self.vocabulary.parts(chunk)])
         self[chunk] = ids
         return ids
 
 
 def lattice(words: DataFrame, pieces: DataFrame, *, shortest: int = 1) -> DataFrame:
-    """(word, edge struct<start, stop, score>): the edges over ``shortest`` characters or more of distinct ``words``."""
+    """(word, at, edge struct<start, stop, score>): the edges over ``shortest`` characters or more (2 at most) of distinct ``words``
+    (word, at), and for each word a row of its own that has ``at`` and no edge: start -1, the empty head and piece."""
     table = pieces.where("NOT is_byte").where(F.length("piece") >= shortest)
     heads = table.groupBy(F.substring("piece", 1, HEAD).alias("head")).agg(F.collect_set(F.length("piece")).alias("sizes"))
-    starts = words.where(F.length("word") >= shortest).select("word", F.explode(F.sequence(F.lit(0), F.length("word") - shortest)).alias("start"))
-    lengths = F.explode(F.filter(F.array(*[F.lit(n) for n in range(shortest, HEAD + 1)]), lambda n: F.col("start") + n <= F.length("word"))).alias("n")
-    begun = starts.select("word", "start", lengths).select("word", "start", F.expr("substring(word, start + 1, n)").alias("head"))
+    own = pieces.sparkSession.range(1)
+    heads = heads.unionByName(own.select(F.lit("").alias("head"), F.array(F.lit(0)).alias("sizes")))
+    scores = table.select("piece", "score").unionByName(own.select(F.lit("").alias("piece"), F.lit(None).cast("double").alias("score")))
+    starts = words.select("word", "at", F.explode(F.sequence(F.lit(-1), F.length("word") - shortest)).alias("start"))
+    starts = starts.select("word", "start", F.when(F.col("start") < 0, F.col("at")).alias("at"))
+    within = F.filter(F.array(*[F.lit(n) for n in range(shortest, HEAD + 1)]), lambda n: F.col("start") + n <= F.length("word"))
+    begun = starts.select("word", "at", "start", F.explode(F.when(F.col("start") < 0, F.array(F.lit(0))).otherwise(within)).alias("n"))
+    begun = begun.select("word", "at", "start", F.expr("substring(word, start + 1, n)").alias("head"))
     # Both tables are no larger than the vocabulary.
-    spans = begun.join(F.broadcast(heads), "head").select("word", "start", F.explode("sizes").alias("size")).where(F.col("start") + F.col("size") <= F.length("word"))
-    met = spans.select("word", "start", "size", F.expr("substring(word, start + 1, size)").alias("piece")).join(F.broadcast(table.select("piece", "score")), "piece")
-    return met.select("word", F.struct("start", (F.col("start") + F.col("size")).alias("stop"), "score").alias("edge"))
+    spans = begun.join(F.broadcast(heads), "head").select("word", "at", "start", F.explode("sizes").alias("size")).where(F.col("start") + F.col("size") <= F.length("word"))
+    met = spans.select("word", "at", "start", "size", F.expr("substring(word, start + 1, size)").alias("piece")).join(F.broadcast(scores), "piece")
+    edge = F.when(F.col("start") >= 0, F.struct("start", (F.col("start") + F.col("size")).alias("stop"), "score"))
+    return met.select("word", "at", edge.alias("edge"))
 
 
 def merge_of(edge: Column) -> Column:
@@ -140,7 +146,7 @@ def merge_of(edge: Column) -> Column:
 
 
 def merge_fold(n: Column, merges: Column) -> Column:
-    """array<int>: the cuts of the BPE segmentation. Every step merges the two adjacent symbols whose joint edge has the
+    """bigint: the cuts of the BPE segmentation, as bits. Every step merges the two adjacent symbols whose joint edge has the
     highest score, the leftmost of equals. The cuts are the bits of a number: an edge joins two symbols if its ends are
     cuts and one cut lies between."""
     every = F.call_function("shiftleft", F.lit(2).cast("bigint"), n) - 1
@@ -149,8 +155,7 @@ def merge_fold(n: Column, merges: Column) -> Column:
         best = F.get(F.filter(merges, lambda e: (cuts.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(cuts.bitwiseAND(e["inner"])) == 1)), F.lit(0))
         return F.coalesce(cuts.bitwiseAND(F.bitwise_not(best["inner"])), cuts)
 
-    # The bits are read in the fold's finish: a filter over the fold itself would run it anew for every place.
-    return F.aggregate(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), every, step, lambda left: F.filter(F.sequence(F.lit(0), n), lambda i: F.getbit(left, i) == 1))
+    return F.aggregate(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), every, step)
 
 
 def viterbi_fold(n: Column, edges: Column, *, unknown: float = -1e6) -> Column:
@@ -174,39 +179,21 @@ def viterbi_fold(n: Column, edges: Column, *, unknown: float = -1e6) -> Column:
 
 
 def segmented(words: DataFrame, pieces: DataFrame, *, fold: str) -> DataFrame:
-    """(word, cuts array<int>) of distinct ``words`` (column word), none longer than FOLDED_CHARS where ``fold`` is 'merge'."""
+    """(at, cuts) of distinct ``words`` (word, at), none longer than FOLDED_CHARS where ``fold`` is 'merge': bits of a
+    bigint there, else an array<int>. Where ``words`` are partitioned by word, nothing is exchanged."""
     edges = lattice(words, pieces, shortest=2 if fold == "merge" else 1)
-    if fold == "merge":
-        grouped = edges.select("word", merge_of(F.col("edge")).alias("edge")).groupBy("word").agg(F.array_sort(F.collect_list("edge")).alias("edges"))
-        none = F.array().cast("array<struct<cost:double,start:int,ends:bigint,inner:bigint>>")
-    else:
-        grouped = edges.groupBy("word").agg(F.collect_list("edge").alias("edges"))
-        none = F.array().cast("array<struct<start:int,stop:int,score:double>>")
-    # A word without any edge is all single characters.
-    net = words.join(grouped, "word", "left").select("word", F.length("word").alias("n"), F.coalesce("edges", none).alias("edges"))
-    return net.select("word", (merge_fold if fold == "merge" else viterbi_fold)(F.col("n"), F.col("edges")).alias("cuts"))
-
-
-def encode_words(words: DataFrame, pieces: DataFrame, vocabulary: Vocabulary, *, fold: str, model_path: str | None = None) -> DataFrame:
-    """(word, ids binary) of distinct parts. ``model_path`` is needed for BPE parts over FOLDED_CHARS."""
-
-    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [vocabulary.codes(word[i:j] for i, j in zip(cuts, cuts[1:], strict=False)) for word, cuts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["word", "ids"])
+    edge = F.when(F.col("edge").isNotNull(), merge_of(F.col("edge"))) if fold == "merge" else F.col("edge")
+    found = F.array_sort(F.collect_list(edge)) if fold == "merge" else F.collect_list(edge)
+    net = edges.groupBy("word").agg(found.alias("edges"), F.first("at", ignorenulls=True).alias("at"))
+    return net.select("at", (merge_fold if fold == "merge" else viterbi_fold)(F.length("word"), F.col("edges")).alias("cuts"))
 
-    def by_library(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sentencepiece.SentencePieceProcessor(model_file=model_path)
-        first = len(model.encode("\n"))  # the mark in front and the line feed
-        for batch in batches:
-            # A part that starts with a mark gets it from the library; others follow a line feed.
-            ids = [model.encode(w[1:].replace(SPACE, " ")) if w[0] == SPACE else model.encode("\n" + w)[first:] for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.array(x, dtype="<u4").tobytes() for x in ids], pa.binary())], names=["word", "ids"])
 
-    if fold != "merge":
-        return segmented(words, pieces, fold=fold).mapInArrow(coded, "word string, ids binary")
-    folded = segmented(words.where(F.length("word") <= FOLDED_CHARS), pieces, fold=fold).mapInArrow(coded, "word string, ids binary")
-    return folded.unionByName(words.where(F.length("word") > FOLDED_CHARS).mapInArrow(by_library, "word string, ids binary"))
+def _symbols(word: str, cuts: int | list[int]) -> list[str]:
+    """The word, cut at the places that ``segmented`` gives."""
+    ends = [i for i in range(len(word) + 1) if cuts >> i & 1] if isinstance(cuts, int) else cuts
+    if not ends or ends[-1] != len(word):
+        raise ValueError("the texts have changed between two readings")
+    return [word[i:j] for i, j in zip(ends, ends[1:], strict=False)]
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
@@ -222,18 +209,24 @@ def encode(docs: DataFrame, pieces: DataFrame, *, fold: str = "merge", model_pat
 
     Null and empty texts have no ids. Texts are encoded whole, without begin or end. Null ids and repeated rows each
     keep their row; other columns are ignored, whatever their names; an empty table gives an empty result. ``docs`` is
-    read twice and must come in the same partitions and order both times, as tables in files do; a part that was not met
-    in the first reading raises. Blocks are dealt by number, so no text, word or source can make one large; frequent parts
-    meet the dictionary once for each block, in a join of two exchanged sides, which adaptive execution may split.
+    read twice and must come in the same partitions and order both times, as tables in files do; a block whose parts are
+    not as many or as long as in the first reading raises. Blocks are dealt by number, so no text, word or source can make one
+    large; a frequent part is a row for each block, and has as many places. ``model_path`` is needed for BPE parts over FOLDED_CHARS.
     """
     bound_batches(docs)
     vocabulary = Vocabulary(pieces)
     rows = docs.select(F.col(id_col).alias("doc"), text_of(text_col).alias("text"))
 
+    longest = FOLDED_CHARS if fold == "merge" else None
+
+    def words_of(seen: set[str]) -> list[str]:
+        """The parts of a block's chunks that are folded, in the order of their numbers."""
+        return sorted({p for chunk in seen for p in vocabulary.parts(chunk) if p and (longest is None or len(p) <= longest)})
+
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(block: int, seen: set[str]) -> pa.RecordBatch:
-            words = {p for chunk in seen for p in vocabulary.parts(chunk)} - {""}
-            return pa.RecordBatch.from_arrays([pa.array([block] * len(words), pa.int64()), pa.array(sorted(words), pa.string())], names=["block", "word"])
+            words = words_of(seen)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(words), block)), pa.array(np.arange(len(words), dtype=np.int32)), pa.array(words, pa.string())], names=["block", "no", "word"])
 
         at, seen = None, set()
         for block, batch in _blocks(batches):
@@ -249,7 +242,7 @@ def encode(docs: DataFrame, pieces: DataFrame, *, fold: str = "merge", model_pat
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def put(block: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=5))) as writer:
                 for batch in held:
                     writer.write_batch(batch)
             return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "texts"])
@@ -264,23 +257,47 @@ def encode(docs: DataFrame, pieces: DataFrame, *, fold: str = "merge", model_pat
         if held:
             yield put(at, held)
 
+    def by_library() -> Callable[[str], bytes]:
+        """The exact way for a part that is not folded."""
+        held: list = []
+
+        def ids(word: str) -> bytes:
+            if not held:
+                model = sentencepiece.SentencePieceProcessor(model_file=model_path)
+                held.extend([model, len(model.encode("\n"))])  # the mark in front and the line feed
+            model, first = held
+            # A part that starts with a mark gets it from the library; others follow a line feed.
+            return np.array(model.encode(word[1:].replace(SPACE, " ")) if word[0] == SPACE else model.encode("\n" + word)[first:], dtype="<u4").tobytes()
+
+        return ids
+
     def encoded(left: pa.Table, right: pa.Table) -> pa.Table:
-        known = ChunkIds(dict(zip(right.column("word").to_pylist(), right.column("ids").to_pylist(), strict=True)), vocabulary)
+        texts = [batch for x in left.column("texts").to_pylist() for batch in pa.ipc.open_stream(x)]
+        seen: set[str] = set()
+        for batch in texts:
+            for text in batch.column("text").to_pylist():
+                seen.update(chunks(text))
+        words = words_of(seen)
+        order = np.argsort(right.column("no").to_numpy())
+        cuts = right.column("cuts").take(pa.array(order)).to_pylist()
+        if len(words) != len(cuts):
+            raise ValueError("the texts have changed between two readings")
+        del seen, order
+        known = ChunkIds({w: vocabulary.codes(_symbols(w, c)) for w, c in zip(words, cuts, strict=True)}, vocabulary, by_library())
+        del words, cuts
         out = []
-        for texts in left.column("texts").to_pylist():
-            for batch in pa.ipc.open_stream(texts):
-                ids = [b"".join(map(known.__getitem__, chunks(text))) for text in batch.column("text").to_pylist()]
-                ends = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), dtype="<u4").astype(np.int32)))
-                out.append(pa.RecordBatch.from_arrays([batch.column("doc"), lists], names=["doc", "ids"]))
+        for batch in texts:
+            ids = [b"".join(map(known.__getitem__, chunks(text))) for text in batch.column("text").to_pylist()]
+            ends = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), dtype="<u4").astype(np.int32)))
+            out.append(pa.RecordBatch.from_arrays([batch.column("doc"), lists], names=["doc", "ids"]))
         return pa.Table.from_batches(out)
 
-    # Written once: the parts are read for the lattice, for what is too long for it, and for the dictionaries.
-    spark, place = docs.sparkSession, f"{shared_dir(docs.sparkSession)}/parts-{uuid.uuid4().hex}"
-    rows.mapInArrow(parts, "block bigint, word string").write.option("compression", "zstd").parquet(place)
-    met = spark.read.schema("block bigint, word string").parquet(place)
-    known = encode_words(met.select("word").distinct(), pieces, vocabulary, fold=fold, model_path=model_path)
-    dictionaries = met.join(known, "word").select("block", "word", "ids")
+    # Exchanged by part first: a part has few places, so counting them before would sort for nothing.
+    met = rows.mapInArrow(parts, "block bigint, no int, word string").repartition("word")
+    words = met.groupBy("word").agg(F.collect_list(F.struct("block", "no")).alias("at"))
+    known = segmented(words, pieces, fold=fold)
+    dictionaries = known.select(F.explode("at").alias("at"), "cuts").select("at.block", "at.no", "cuts")
     blocks = rows.mapInArrow(packed, "block bigint, texts binary")
     made = blocks.groupBy("block").cogroup(dictionaries.groupBy("block")).applyInArrow(encoded, f"doc {kind_of(docs, id_col)}, ids array<int>")
     return made.withColumnRenamed("doc", id_col)
