@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable, Iterator
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -80,12 +81,11 @@ class Vocabulary:
 
     def parts(self, chunk: str) -> list[str]:
         """The chunk, cut between neighbours that no piece holds."""
-        pairs, out, at = self.pairs, [], 0
-        for i in range(1, len(chunk)):
-            if chunk[i - 1 : i + 1] not in pairs:
-                out.append(chunk[at:i])
-                at = i
-        return [*out, chunk[at:]]
+        pairs = self.pairs
+        if pairs.issuperset(map(add, chunk, chunk[1:])):
+            return [chunk]
+        cuts = [0, *(i for i, pair in enumerate(map(add, chunk, chunk[1:]), 1) if pair not in pairs), len(chunk)]
+        return [chunk[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
 
 
 def chunks(text: str) -> list[str]:
@@ -190,7 +190,13 @@ def segmented(words: DataFrame, pieces: DataFrame, *, fold: str) -> DataFrame:
 
 def _symbols(word: str, cuts: int | list[int]) -> list[str]:
     """The word, cut at the places that ``segmented`` gives."""
-    ends = [i for i in range(len(word) + 1) if cuts >> i & 1] if isinstance(cuts, int) else cuts
+    if isinstance(cuts, int):
+        ends, left = [], cuts
+        while left:  # from the lowest bit on
+            ends.append((left & -left).bit_length() - 1)
+            left &= left - 1
+    else:
+        ends = cuts
     if not ends or ends[-1] != len(word):
         raise ValueError("the texts have changed between two readings")
     return [word[i:j] for i, j in zip(ends, ends[1:], strict=False)]

@@ -74,3 +74,19 @@ def test_decode_of_unknown_and_null_ids(spark):
     broken = b"".join(lat.Vocabulary(pieces).hexes[i] for i in hello[:-1]).decode("utf-8", "replace").replace(lat.SPACE, " ").removeprefix(" ")
     assert got == {1: "hello \u6f22", 2: "", 3: "", 4: "", 5: "hello \u6f22", None: "hello \u6f22", 7: broken}
     assert lat.decode(spark.createDataFrame([(1, [4])], "doc_id bigint, ids array<int>"), pieces.limit(0)).collect()[0]["text"] == ""
+
+
+def test_parts_are_exchanged_once_and_joined_to_nothing_large(spark):
+    docs = spark.createDataFrame([(k, f"words of text {k}") for k in range(9)], "doc_id bigint, text string")
+    text = lat.encode(docs, lat.piece_table(spark, MODEL), model_path=MODEL)._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning(word") == 1 and "SortMergeJoin" not in text and "ShuffledHashJoin" not in text
+
+
+def test_a_changed_text_raises():
+    assert lat._symbols("abcd", 0b10101) == ["ab", "cd"] and lat._symbols("abcd", [0, 1, 4]) == ["a", "bcd"]
+    for word, cuts in (("abc", 0b10101), ("abcd", 0b101), ("a", 0)):
+        try:
+            lat._symbols(word, cuts)
+        except ValueError:
+            continue
+        raise AssertionError(word)
