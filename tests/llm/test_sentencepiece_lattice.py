@@ -1,6 +1,8 @@
 import random
+import re
 
 import public_tokenizers
+import pyarrow as pa
 import sentencepiece
 
 from tallyline.llm import sentencepiece_lattice as lat
@@ -90,3 +92,41 @@ def test_a_changed_text_raises():
         except ValueError:
             continue
         raise AssertionError(word)
+
+
+def test_one_pass_where_it_is_proved_and_the_merge_fold_elsewhere(spark):
+    rng = random.Random(8)
+    vocabulary = lat.Vocabulary(lat.piece_table(spark, MODEL))
+    assert len(vocabulary.ranks) > vocabulary.ordered() > 0.99 * len(vocabulary.ranks)
+    # "bcd" comes to join two symbols only after its turn, "aa" and "dd" have one score.
+    table = {p: -float(k) for k, p in enumerate(["a", "b", "c", "d", "\u2581", "ab", "bcd", "cd", "aa", "da"])} | {"dd": -8.0}
+    rows = [(i, f"<0x{i:02X}>", None, f"{i:02x}", True) for i in range(256)] + [(256 + k, p, s, p.encode().hex(), False) for k, (p, s) in enumerate(table.items())]
+    pieces = spark.createDataFrame(rows, "id int, piece string, score double, hex string, is_byte boolean")
+    own = lat.Vocabulary(pieces)
+    assert own.ordered() == own.ranks["bcd"] == 6
+    texts = ["bcd", "abcd", "ab", *("".join(rng.choice("abcd e") for _ in range(rng.randint(1, 20))) for _ in range(80))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+
+    def merged(text):
+        at = list("\u2581" + text.replace(" ", "\u2581"))
+        while ways := [(-table[x + y], i) for i, (x, y) in enumerate(zip(at, at[1:], strict=False)) if x + y in table]:
+            i = min(ways)[1]
+            at[i : i + 2] = [at[i] + at[i + 1]]
+        return at
+
+    names = {r[0]: r[1] for r in rows}
+    got = {r["doc_id"]: [names[i] for i in r["ids"]] for r in lat.encode(docs, pieces).collect()}
+    assert got == {k: ["<0x65>" if s == "e" else s for s in merged(t)] for k, t in enumerate(texts)}
+
+
+def test_chunks_of_many_texts_are_those_of_each():
+    rng = random.Random(3)
+    texts = ["", "", " ", "a ", "", "\n", "b\n", " \u00e9", *("".join(rng.choice(["a", " ", "  ", "\n", "\u6f22", "\u2581"]) for _ in range(rng.randint(0, 9))) for _ in range(300)), ""]
+
+    def plain(text):
+        marked = text.replace("\u2581", " ")
+        return re.findall("\n| +[^ \n]*|[^ \n]+", " " + marked) if marked else []
+
+    for some in (texts, texts[:2], [], [""]):
+        found, ends = lat.chunks_of(pa.array(some, pa.string()))
+        assert [found[i:j].to_pylist() for i, j in zip(ends, ends[1:], strict=False)] == [plain(t) for t in some]
