@@ -28,6 +28,13 @@ def test_available_pool_streams_its_rows(spark):
     assert "Cartesian" not in text and "NestedLoop" not in text and "LeftAnti" not in text  # no product that is exchanged again
 
 
+def test_a_pool_exchanges_its_picks_once(spark):
+    lists, taken, _ = pool_of(spark)
+    text = plan(drafts.available(lists, taken, draft="draft", entity="entity"))
+    by = [line.split("Exchange hashpartitioning(")[1].split("#")[0] for line in text.split("\n") if "Exchange hashpartitioning(" in line]
+    assert sorted(by) == ["__key", "__key", "draft"]  # the picks, the entities, and the drafts' names
+
+
 def test_fallen_streams_the_pool(spark):
     lists, taken, want = pool_of(spark)
     got = drafts.fallen(drafts.available(lists, taken, draft="draft", entity="entity").withColumn("pick", F.lit(30)), pick="pick", market="market")
