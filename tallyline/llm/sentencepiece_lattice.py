@@ -139,10 +139,13 @@ class Vocabulary:
         """(parts, ends): the chunks, cut between neighbours that no piece holds, and each chunk's places among the parts."""
         ends, data = _bytes(chunks)
         first = _chars(data)
-        points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), "<u4").astype(np.int64)
+        points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), "<u4")
         begin = np.searchsorted(first, ends)
         cut = np.ones(len(first), bool)
-        cut[1:-1] = ~pc.is_in(pa.array(points[:-1] << 21 | points[1:]), value_set=self.pairs).to_numpy(zero_copy_only=False)
+        pairs = points[:-1].astype(np.int64)
+        pairs <<= 21
+        pairs |= points[1:]
+        cut[1:-1] = ~pc.is_in(pa.array(pairs), value_set=self.pairs).to_numpy(zero_copy_only=False)
         cut[begin] = True
         at = np.flatnonzero(cut)
         return _strings(first[at], data), np.searchsorted(at, begin)
@@ -390,13 +393,15 @@ def encode(docs: DataFrame, pieces: DataFrame, *, fold: str = "merge", model_pat
         return ids
 
     def encoded(left: pa.Table, right: pa.Table) -> pa.Table:
-        texts = [batch for x in left.column("texts").to_pylist() for batch in pa.ipc.open_stream(x)]
-        split = [chunks_of(batch.column("text")) for batch in texts]
+        docs, split = [], []
+        for batch in (batch for x in left.column("texts").to_pylist() for batch in pa.ipc.open_stream(x)):
+            docs.append(batch.column("doc"))
+            split.append(chunks_of(batch.column("text")))
         met = pa.chunked_array([c for c, _ in split], pa.string()).combine_chunks().dictionary_encode()
         codes = np.split(met.indices.to_numpy(), np.cumsum([len(c) for c, _ in split])[:-1])
         coded, chunk_ends, folded = parted(met.dictionary)
         ends = [e for _, e in split]
-        del met, split
+        del met, split, batch
         words = coded.dictionary.take(pa.array(folded))
         cuts = right.column("cuts").take(pa.array(np.argsort(right.column("no").to_numpy()))).combine_chunks()
         symbols, word_ends = symbols_of(words, cuts)
@@ -416,10 +421,10 @@ def encode(docs: DataFrame, pieces: DataFrame, *, fold: str = "merge", model_pat
         of_chunks = part_ends[chunk_ends]
         del words, cuts, symbols, coded
         out = []
-        for batch, text_ends, code in zip(texts, ends, codes, strict=True):
+        for doc, text_ends, code in zip(docs, ends, codes, strict=True):
             values, to = _gathered(ids, of_chunks[:-1], np.diff(of_chunks), code)
             lists = pa.ListArray.from_arrays(pa.array(to[text_ends].astype(np.int32)), pa.array(values))
-            out.append(pa.RecordBatch.from_arrays([batch.column("doc"), lists], names=["doc", "ids"]))
+            out.append(pa.RecordBatch.from_arrays([doc, lists], names=["doc", "ids"]))
         return pa.Table.from_batches(out)
 
     # Exchanged by part first: a part has few places, so counting them before would sort for nothing.
