@@ -1,3 +1,7 @@
+import inspect
+
+import pytest
+
 from tallyline.operators import models
 from tallyline.plans import model_queries
 
@@ -28,3 +32,26 @@ def test_metrics_of_folds_make_the_predictions_once(spark):
     rows = spark.range(60).selectExpr("CAST(id % 3 AS INT) AS season", "CAST(id AS DOUBLE) AS target", "CAST(id + 1 AS DOUBLE) AS prediction")
     got = models.cv_metrics(rows.mapInArrow(seen, rows.schema), target="target", fold="season").collect()
     assert {(r["season"], r["n"], r["mae"]) for r in got} == {(0, 20, 1.0), (1, 20, 1.0), (2, 20, 1.0), (None, 60, 1.0)} and met.value == 60
+
+
+@pytest.mark.parametrize(("query", "operator"), [("gbt_cv", "cv_predictions"), ("feature_importance", "importances"), ("boom_calibrated", "boom_predictions"), ("boom_back_test", "back_test")])
+def test_queries_fit_as_many_trees_as_their_operators(spark, monkeypatch, query, operator):
+    class Met(Exception):
+        pass
+
+    def asked(*_, **given):
+        raise Met(given["trees"])
+
+    whole = inspect.signature(getattr(models, operator)).parameters["trees"].default
+    monkeypatch.setattr(models, operator, asked)
+    with pytest.raises(Met) as met:
+        getattr(model_queries, query)(spark, SF)
+    assert met.value.args == (whole,) and whole >= 200
+
+
+def test_small_fits_are_one_task_and_boosting_is_checkpointed(spark, monkeypatch):
+    rows = spark.range(400, numPartitions=8).selectExpr("CAST(id % 4 AS INT) AS fold", "CAST(id AS DOUBLE) AS x", "CAST(id AS DOUBLE) AS y")
+    parts = models._parted(rows, label="y", fold="fold", segment=None)
+    assert parts.train("all", "1").rdd.getNumPartitions() == 1 and parts.train("all", "1").count() == 300
+    monkeypatch.setattr(models, "TASK_ROWS", 100)
+    assert parts.train("all", "1").rdd.getNumPartitions() > 1 and spark.sparkContext.getCheckpointDir() is not None
