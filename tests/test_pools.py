@@ -95,3 +95,19 @@ def test_stack_targets_neither_sort_nor_exchange_their_rows(spark, monkeypatch):
         want += [(r, e, u, near, k) for k, (near, _, e, u) in enumerate(pool, 1)]
     assert sorted(tuple(x) for x in got.select("roster", "entity", "unit", "is_near", "place").collect()) == sorted(want)
     assert "Window" not in plan(got) and "SortMergeJoin" not in plan(got)
+
+
+def test_stack_targets_rows_of_a_roster_are_bounded(spark, monkeypatch):
+    """A longer list has longer blocks, so that what is written and exchanged is BLOCKS rows of a roster, however many entities there are."""
+    monkeypatch.setattr(drafts, "STRETCH", 4)
+    monkeypatch.setattr(drafts, "BLOCKS", 8)
+    seen, cut = [], drafts.cut
+    monkeypatch.setattr(drafts, "cut", lambda df: seen.append(cut(df)) or seen[-1])
+    lists = spark.range(600).selectExpr("id AS entity", "CAST(id % 5 AS STRING) AS unit", "CAST(id % 90 AS INT) AS market")
+    rosters = spark.range(40).selectExpr("id % 4 AS roster", "id * 7 AS entity", "CAST(id AS INT) AS pick").join(lists, "entity")
+    got = drafts.stack_targets(rosters, lists, roster="roster", entity="entity", unit="unit", pick="pick", market="market")
+    asked = next(df for df in seen if {"__taken", "__key"} <= set(df.columns))
+    assert asked.count() == 4 * 8
+    want = 4 * 600 - 40 - sum(1 for r in range(4) for u in "01234" for _ in range(120) if not any(k % 4 == r and str(k * 7 % 5) == u for k in range(40)))
+    assert got.count() == want and dict(got.dtypes)["mates"] == "bigint"
+    assert [sorted(x["place"] for x in got.where(f"roster = {r}").collect()) for r in range(4)] == [list(range(1, got.where(f"roster = {r}").count() + 1)) for r in range(4)]
