@@ -52,6 +52,6 @@ def test_queries_fit_as_many_trees_as_their_operators(spark, monkeypatch, query,
 def test_small_fits_are_one_task_and_boosting_is_checkpointed(spark, monkeypatch):
     rows = spark.range(400, numPartitions=8).selectExpr("CAST(id % 4 AS INT) AS fold", "CAST(id AS DOUBLE) AS x", "CAST(id AS DOUBLE) AS y")
     parts = models._parted(rows, label="y", fold="fold", segment=None)
-    assert parts.train("all", "1").rdd.getNumPartitions() == 1 and parts.train("all", "1").count() == 300
+    assert parts.gathered("all", "1").rdd.getNumPartitions() == 1 and parts.gathered("all", "1").count() == 300
     monkeypatch.setattr(models, "TASK_ROWS", 100)
-    assert parts.train("all", "1").rdd.getNumPartitions() > 1 and spark.sparkContext.getCheckpointDir() is not None
+    assert parts.gathered("all", "1").rdd.getNumPartitions() > 1 and spark.sparkContext.getCheckpointDir() is not None
